@@ -51,23 +51,22 @@ def assign(documents: DataFrame, shards: int = 16, rounds: int = 8, slack: float
     dropped(linked)
     cells = stored(tagged.where("unit IS NOT NULL").groupBy("unit", "first").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.col("first")), "op4-cells")
     roof = n / shards * (1 - slack)  # for linked rows: the others make room at the end
-    loads = [0] * shards
+    loads, behind = [0] * shards, cells
     for turn in range(rounds):
         tally = cells.groupBy("unit", "label").agg(F.sum("n").alias("here"))
         room = [max(0.0, 1 - load / roof) for load in loads]
         pull = F.col("here") + _lookup(room, F.col("label")) * (F.lit(0.9) if turn < rounds // 2 else F.sum("here").over(Window.partitionBy("unit")))
         best = tally.withColumn("pull", pull).groupBy("unit").agg(F.max_by("label", F.struct("pull", F.xxhash64("unit", "label"))).alias("best"))
         asking = stored(cells.join(best, "unit"), "op4-asking")
-        loads = _loads(cells.groupBy("label").agg(F.sum("n").alias("n")), shards)
-        coming = _loads(asking.where("label <> best").groupBy(F.col("best").alias("label")).agg(F.sum("n").alias("n")), shards)
-        going = _loads(asking.where("label <> best").groupBy("label").agg(F.sum("n").alias("n")), shards)
+        flows = {(r["label"], r["best"]): r["n"] for r in asking.groupBy("label", "best").agg(F.sum("n").alias("n")).collect()}  # shards x shards
+        dropped(behind)
+        behind = asking
+        loads, coming, going = ([sum(n for pair, n in flows.items() if k == pair[end] and (not moving or pair[0] != pair[1])) for k in range(shards)] for end, moving in ((0, False), (1, True), (0, True)))
         if not sum(coming):
             break
         admit = [min(1.0, max(0.0, (roof - load + out / 2) / come)) if come else 0.0 for load, out, come in zip(loads, going, coming, strict=True)]
         moved = F.when(_unit(F.lit(seed + turn), "unit") < _lookup(admit, F.col("best")), F.col("best")).otherwise(F.col("label"))
-        dropped(cells)
-        cells = stored(asking.select("unit", "first", "n", moved.alias("label")), "op4-cells")
-        dropped(asking)
+        cells = asking.select("unit", "first", "n", moved.alias("label"))
     return _shape(_balanced(tagged.join(cells.select("unit", "first", "label"), ["unit", "first"], "left").withColumn("label", F.coalesce("label", "first")), n, shards, seed))
 
 
