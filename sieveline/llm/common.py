@@ -43,6 +43,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
+    spark._jvm.System.gc()  # the step before may still have been in use when its own call came
     df.write.parquet(path)
     del df
     spark._jvm.System.gc()

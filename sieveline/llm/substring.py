@@ -27,11 +27,14 @@ from .common import BASE, BYTE_KEYS, NOT_SPACE, Rolling, chosen, dropped, ragged
 BASE_2 = 0xC2B2AE3D27D4EB4F
 
 
+FIRST = 8
+
+
 def lengths(width: int) -> list[int]:
-    """Window lengths from short to ``width``, each about twice the one before: 13 gives 6 and 13."""
-    out = [width]
-    while out[0] > 8:
-        out.insert(0, out[0] // 2)
+    """Window lengths: FIRST, then twice the one before, up to ``width``: 13 gives 8 and 13."""
+    out = [min(FIRST, width)]
+    while out[-1] < width:
+        out.append(min(2 * out[-1], width))
     return out
 
 
