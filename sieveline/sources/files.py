@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SUFFIXES = ("pdf", "txt", "md")
 
@@ -38,7 +39,7 @@ def list_files(spark: SparkSession, path: str, skip_readme: bool = False) -> Dat
     return files.where(F.lower("stem") != "readme") if skip_readme else files
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def pdf_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text of PDF bytes by pdfplumber, else pypdf; null where neither can read them."""
     for batch in batches:
@@ -99,7 +100,7 @@ def flat_xml_text(xml: str | None) -> str | None:
     return "\n".join(out).strip() or None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def xml_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(flat_xml_text)
