@@ -82,7 +82,7 @@ def recorded_values(registry: DataFrame, fields: list[str] | None = None) -> Dat
     """paper_id, title, ord, field_name, recorded_value: the audited columns turned into rows; absent ones are empty."""
     wanted = fields or [f for own in MODALITIES.values() for f in own]
     have = [F.coalesce(F.col(f"`{f}`"), F.lit("")).alias(f) if f in registry.columns else F.lit("").alias(f) for f in wanted]
-    return registry.select("paper_id", "title", "ord", *have).unpivot(["paper_id", "title", "ord"], [f"`{f}`" for f in wanted], "field_name", "recorded_value")
+    return registry.select("paper_id", (F.col("title") if "title" in registry.columns else F.col("title_key")).alias("title"), "ord", *have).unpivot(["paper_id", "title", "ord"], [f"`{f}`" for f in wanted], "field_name", "recorded_value")
 
 
 def side_by_side(registry: DataFrame, flat: DataFrame, audited: DataFrame | None = None) -> DataFrame:
