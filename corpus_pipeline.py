@@ -43,8 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(*COLUMNS).join(taken, F.expr("doc_id <=> m_id"))
     whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     full = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), whole))).select(*COLUMNS)
-    head = F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), part.cast("string"), F.lit("}"))
-    cut = rows.where(part > 0).withColumn("text", F.expr("text")).withColumn("text", F.regexp_substr("text", head))
+    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each with the white space before its word
+    cut = rows.where(part > 0).withColumn("text", F.array_join(F.slice(pieces, F.lit(1), part), ""))
     cut = cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
     return full.unionByName(cut)
 
