@@ -66,8 +66,8 @@ class Model:
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of each word, and the texts' offsets into them."""
         kinds, words, features = word_kinds(texts)
-        if not len(kinds):
-            return np.zeros((0, len(self.languages))), words
+        if not len(kinds) or not self.languages:
+            return np.zeros((len(kinds), len(self.languages))), words
         chance, _ = marginals(features.sums(self.weights), kinds, words, self.transitions, self.first)
         return chance, words
 
@@ -75,7 +75,7 @@ class Model:
         chance, words = self.words(texts)
         n = np.diff(words)
         totals = np.zeros((len(n), len(self.languages)))
-        if len(chance):
+        if chance.size:
             totals[n > 0] = np.add.reduceat(chance, words[:-1][n > 0], axis=0, dtype=np.float64)
         best = totals.argmax(1) if len(self.languages) else np.zeros(len(n), np.int64)
         names, scores = [], []
