@@ -69,6 +69,12 @@ def read_json_by_key(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select(F.regexp_replace("name", r"\.json$", "").alias("key"), "json", F.from_json("json", schema).alias("value"))
 
 
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """modality and prompt: a text file for each modality, without white space around."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("modality"), strip("value").alias("prompt"))
+    return rows.where(F.col("modality").isin(*records.MODALITIES))
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """RFC quoting and a header; single keeps an order made by orderBy in one file."""
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")

@@ -1,11 +1,13 @@
 """The audit from files to report, the stream, the command line, and the driver's entry."""
 
 import json
+import threading
 
 import __spark_entry__
 from sieveline import cli
 from sieveline.operators import records
 from sieveline.plans import audit, catalog
+from sieveline.plans.runner import StageRunner, status_counts
 from sieveline.sources import providers, tables
 from sieveline.streaming import ingest
 
@@ -56,3 +58,25 @@ def test_entry_and_names(spark):
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(found) and set(catalog.queries()) <= set(found)
     assert __spark_entry__.entry(spark).count() == 1
+
+
+def test_one_stage_at_a_time(spark):
+    gate = threading.Event()
+    runner = StageRunner(spark)
+    assert runner.start("scrape", gate.wait) and not runner.start("verify", lambda: 1) and runner.current == "scrape"
+    gate.set()
+    runner.wait()
+    assert runner.current is None and runner.start("verify", lambda: 1 / 0)
+    runner.wait()
+    assert "division" in runner.recent()[-1]
+    for k in range(400):
+        runner.log(str(k))
+    assert len(runner.recent()) == 80
+
+
+def test_status_and_prompts(spark, tmp_path):
+    cache = spark.createDataFrame([("A", "t"), ("B", None)], "paper_id string, text string")
+    assert tuple(status_counts(cache, cache, cache.limit(0)).first()) == (1, 2, 0)
+    (tmp_path / "ephys.txt").write_text(" look\nhere \n")
+    (tmp_path / "other.txt").write_text("no")
+    assert [tuple(r) for r in tables.read_prompts(spark, str(tmp_path)).collect()] == [("ephys", "look\nhere")]
