@@ -47,17 +47,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     del df
     spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
-def dropped(df: DataFrame) -> None:
+def dropped(table: DataFrame) -> None:
     """Delete the files behind a table made by ``stored`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if name.startswith(shared_folder(spark).replace("file:///", "file:/").rstrip("/")) or name.startswith(shared_folder(spark)):
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
