@@ -63,6 +63,7 @@ def assign(documents: DataFrame, shards: int = 16, rounds: int = 8, slack: float
         behind = asking
         loads, coming, going = ([sum(n for pair, n in flows.items() if k == pair[end] and (not moving or pair[0] != pair[1])) for k in range(shards)] for end, moving in ((0, False), (1, True), (0, True)))
         if not sum(coming):
+            cells = asking
             break
         admit = [min(1.0, max(0.0, (roof - load + out / 2) / come)) if come else 0.0 for load, out, come in zip(loads, going, coming, strict=True)]
         moved = F.when(_unit(F.lit(seed + turn), "unit") < _lookup(admit, F.col("best")), F.col("best")).otherwise(F.col("label"))
