@@ -9,7 +9,7 @@ Each level is an aggregation with map-side combining (least and greatest doc_id
 on the hash, both keyed by content: a passage of a third of all documents is one row per task after combining,
 and its rows in the join can be split, since each is handled alone. Later levels see only what survived.
 
-The hash of the last level has 128 bits and decides; those of the earlier ones only pass candidates on.
+The hash of the last level has 96 bits and decides; those of the earlier ones only pass candidates on.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def _window_rows(width: int, first: int, length: int, before: int, chosen_only:
                 starts = starts[alive[starts] & alive[starts + length - before]]
             one, two = Rolling(numbers), Rolling(numbers, BASE_2)
             doc = np.searchsorted(words, starts, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(one.of(starts, starts + length).view(np.int64)), pa.array(two.of(starts, starts + length).view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array((starts - words[doc]).astype(np.int32))], ["h", "h2", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(one.of(starts, starts + length).view(np.int64)), pa.array((two.of(starts, starts + length) >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column("doc_id").take(pa.array(doc)), pa.array((starts - words[doc]).astype(np.int32))], ["h", "h2", "doc_id", "at"])
 
     return rows
 
@@ -152,7 +152,7 @@ def remove_repeated_windows(documents: DataFrame, width: int = 13) -> DataFrame:
         raise ValueError("width has to be over 8 words")
     alive = _survivors(known.mapInArrow(_chosen_rows(width, first), "h long, doc_id long, at int"), ["h"], False)
     for k, length in enumerate(steps[1:], 1):
-        windows = stored(known.join(alive, "doc_id").mapInArrow(_window_rows(width, first, length, steps[k - 1], k == 1), "h long, h2 long, doc_id long, at int"), "op8-windows")
+        windows = stored(known.join(alive, "doc_id").mapInArrow(_window_rows(width, first, length, steps[k - 1], k == 1), "h long, h2 int, doc_id long, at int"), "op8-windows")
         dropped(alive)
         alive = _survivors(windows, ["h", "h2"], length == width)
         dropped(windows)
