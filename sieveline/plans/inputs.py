@@ -1,7 +1,7 @@
 """Inputs that both engines derive from the test tables with the same SQL text.
 
-The tables hold no articles, registry or verdicts, so these are made of whole tables by plain projections. {name}
-stands for a table.
+The tables hold no articles, registry or verdicts, so these are made of whole tables by plain projections. Each
+article holds its document's whole text, each extracted row its turn's. {name} stands for a table.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ VERDICTS = """SELECT concat('ST-', CAST(user_id % 71 AS STRING)) AS paper_id,
 ARTICLES = """SELECT doc_id, concat('Journal of Sample Studies', chr(10), 'A sample study of ', replace(replace(substring(coalesce(text, ''), 1, 60), chr(10), ' '), '@', ' '), chr(10), 'Ann Bee, Cy D. Dee and Eff Gee*', chr(10),
  'mail', CAST(doc_id AS STRING), '@lab.example.org', chr(10), 'Received: 3 May ', CAST(1990 + doc_id % 30 AS STRING), chr(10),
  CASE WHEN doc_id % 4 = 3 THEN 'No identifier' ELSE concat('DOI: 10.1234/doc.', CAST(doc_id AS STRING), '.') END, chr(10), 'Abstract', chr(10), substring(coalesce(text, ''), 1, 200), chr(10),
- 'Keywords: alpha, Beta ; gamma.', chr(10), '1. Introduction', chr(10), substring(coalesce(text, ''), 201, 300), chr(10), 'IV. Results', chr(10), 'Found it.', chr(10), 'References', chr(10),
+ 'Keywords: alpha, Beta ; gamma.', chr(10), '1. Introduction', chr(10), substring(coalesce(text, ''), 201), chr(10), 'IV. Results', chr(10), 'Found it.', chr(10), 'References', chr(10),
  '[1] First paper, 2001.', chr(10), '[2] Second', chr(10), 'paper.') AS text FROM {documents}"""
 
 REGISTRY = """SELECT doc_id AS ord, concat('ST-', CAST(doc_id AS STRING)) AS paper_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('10.1234/doc.', CAST(doc_id AS STRING)) END AS doi,
@@ -33,8 +33,8 @@ FILES = """SELECT concat('in/', CASE doc_id % 5 WHEN 0 THEN 'st_' WHEN 1 THEN 'S
  concat(CASE doc_id % 5 WHEN 0 THEN 'st_' WHEN 1 THEN 'ST ' ELSE 'scan' END, CAST(doc_id AS STRING)) AS stem, CASE WHEN doc_id % 11 = 5 THEN ' ' ELSE text END AS text FROM ({articles}) AS a"""
 
 FLAT = """SELECT concat('ST-', CAST(conv_id AS STRING)) AS paper_id, CASE conv_id % 4 WHEN 0 THEN 'anatomical' WHEN 1 THEN 'photometry' WHEN 2 THEN 'ephys' ELSE 'functional' END AS modality,
- CAST(turn AS INT) AS row_index, role AS row_label, CASE WHEN turn % 3 = 0 THEN 'Fig. 1' ELSE '' END AS figure_ref, substring(coalesce(text, ''), 1, 30) AS source_quote,
- substring(coalesce(text, ''), 1, 20) AS note, turn % 5 <> 4 AND conv_id % 10 <> 9 AS has_fields, CASE WHEN conv_id % 3 = 0 THEN '' ELSE concat('Summary of ', CAST(conv_id AS STRING)) END AS summary_paragraph FROM {conversations}"""
+ CAST(turn AS INT) AS row_index, role AS row_label, CASE WHEN turn % 3 = 0 THEN 'Fig. 1' ELSE '' END AS figure_ref, coalesce(text, '') AS source_quote,
+ coalesce(text, '') AS note, turn % 5 <> 4 AND conv_id % 10 <> 9 AS has_fields, CASE WHEN conv_id % 3 = 0 THEN '' ELSE concat('Summary of ', CAST(conv_id AS STRING)) END AS summary_paragraph FROM {conversations}"""
 
 
 def sql(text: str, **tables: str) -> str:
