@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escaped, strip
@@ -103,18 +105,34 @@ def _page(title: str, body: str) -> str:
     return f"<!doctype html><html><head><meta charset='utf-8'><title>{title}</title></head><body><h1>{title}</h1>{body}</body></html>"
 
 
-def triage_page(verdicts: DataFrame, most: int = 5000) -> str:
-    """Verdicts with recorded values, worst first. ``most`` bounds what the page, and so the driver, holds."""
-    columns = ["paper_id", "title", "field_name", "recorded_value", "verdict", "confidence", "explanation", "evidence_quote"]
-    rows = verdicts.orderBy(severity("verdict"), "paper_id", "field_name").select(*[html_escaped(F.col(c).cast("string")).alias(c) for c in columns]).limit(most).collect()
-    head = "".join(f"<th>{c}</th>" for c in columns)
-    return _page("Verification", f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{r[c]}</td>" for c in columns) + "</tr>" for r in rows) + "</table>")
+TRIAGE = ["paper_id", "title", "field_name", "recorded_value", "verdict", "confidence", "explanation", "evidence_quote"]
 
 
-def review_page(side_by_side: DataFrame, most: int = 5000) -> str:
-    """Papers by ID, their fields in order, and what was found for each beside what was recorded."""
+def _triage_rows(verdicts: DataFrame) -> Iterator[Row]:
+    return verdicts.orderBy(severity("verdict"), "paper_id", "field_name").select(*[html_escaped(F.col(c).cast("string")).alias(c) for c in TRIAGE]).toLocalIterator()
+
+
+def _triage(rows: Iterable[Row]) -> str:
+    head = "".join(f"<th>{c}</th>" for c in TRIAGE)
+    return _page("Verification", f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{r[c]}</td>" for c in TRIAGE) + "</tr>" for r in rows) + "</table>")
+
+
+def triage_page(verdicts: DataFrame) -> str:
+    """All verdicts with recorded values on one page, worst first. See ``triage_pages`` for more than a page should hold."""
+    return _triage(_triage_rows(verdicts))
+
+
+def triage_pages(verdicts: DataFrame, most: int = 5000) -> Iterator[str]:
+    """The same rows in pages of ``most``; the driver holds a page and a partition at once."""
+    return map(_triage, _chunks(_triage_rows(verdicts), most))
+
+
+def _review_rows(side_by_side: DataFrame) -> Iterator[Row]:
     columns = ["paper_id", "title", "field_name", "recorded_value", "row_label", "found_value", "source_quote", "figure_ref"]
-    rows = side_by_side.orderBy("paper_id", "mod_ord", "field_ord", "kind", "row_index").select(*[html_escaped(c).alias(c) for c in columns]).limit(most).collect()
+    return side_by_side.orderBy("paper_id", "mod_ord", "field_ord", "kind", "row_index").select(*[html_escaped(c).alias(c) for c in columns]).toLocalIterator()
+
+
+def _review(rows: Iterable[Row]) -> str:
     out, paper, field = [], None, None
     for r in rows:
         if r["paper_id"] != paper:
@@ -127,3 +145,38 @@ def review_page(side_by_side: DataFrame, most: int = 5000) -> str:
         figure = f" [{r['figure_ref']}]" if r["figure_ref"] else ""
         out.append(f"<p><b>{r['row_label']}</b> {r['found_value']}{quote}{figure}</p>")
     return _page("Review", "".join(out))
+
+
+def review_page(side_by_side: DataFrame) -> str:
+    """Papers by ID, their fields in order, and what was found for each beside what was recorded, all on one page."""
+    return _review(_review_rows(side_by_side))
+
+
+def review_pages(side_by_side: DataFrame, most: int = 5000) -> Iterator[str]:
+    """The same rows in pages of ``most``; a paper that goes on has its headings again on the next page."""
+    return map(_review, _chunks(_review_rows(side_by_side), most))
+
+
+def _chunks(rows: Iterator[Row], most: int) -> Iterator[Iterable[Row]]:
+    """Lists of ``most`` rows, one empty list for no rows."""
+    yield list(islice(rows, most))
+    while more := list(islice(rows, most)):
+        yield more
+
+
+def write_pages(spark: SparkSession, pages: Iterator[str], folder: str) -> int:
+    """Write each page as page-N.html as it comes, to any store that Spark reaches; the number of pages.
+
+    Pages that an earlier, longer run left in the folder are deleted.
+    """
+    path, n = spark._jvm.org.apache.hadoop.fs.Path, 0
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for n, page in enumerate(pages, 1):
+        out = system.create(path(f"{folder}/page-{n}.html"), True)
+        out.write(bytearray(page.encode()))
+        out.close()
+    left = n + 1
+    while system.exists(path(f"{folder}/page-{left}.html")):
+        system.delete(path(f"{folder}/page-{left}.html"), False)
+        left += 1
+    return n
