@@ -9,9 +9,11 @@ Rules all operators of this subpackage keep:
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -19,47 +21,99 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 _own_folder: list[str] = []
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scopes: list[list[str]] = []
 
 #: Multiplier of the rolling hashes and its inverse mod 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 
+#: While a table is written: its shuffle files go as soon as it is there, and Arrow batches stay small.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+#: Stored tables of fewer bytes than this for each partition are read in fewer partitions.
+PART_BYTES = 8 << 20
+#: Bytes of text that are looked at together.
+SLICE = (1 << 20) - 64
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a fresh one of ours only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Where that is unset: a folder in the warehouse, which all machines of a cluster see, or with a local master,
+    where there is one machine, a temporary one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sieveline-tables"
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="sieveline-"))
     return _own_folder[0]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+@contextlib.contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
-    The shuffle files behind it are then of no more use, so the JVM is asked to let go of them.
-    """
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    spark._jvm.System.gc()  # the step before may still have been in use when its own call came
-    df.write.parquet(path)
-    del df
-    spark._jvm.System.gc()
-    table = spark.read.schema(schema).parquet(path)
-    table.stored_at = path
+    with _set(spark, WRITING):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _places[table] = path
+    if _scopes:
+        _scopes[-1].append(path)
     return table
 
 
-def dropped(table: DataFrame) -> None:
-    """Delete the files behind a table made by ``stored`` that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files behind tables made by ``stored`` that nothing reads any more."""
+    for table in tables:
+        place, system = _at(table.sparkSession, _places[table])
+        system.delete(place, True)
+
+
+def settled(table: DataFrame) -> DataFrame:
+    """A stored table in as many partitions as its bytes ask for; a table of one partition needs no exchange at all."""
+    place, system = _at(table.sparkSession, _places[table])
+    return table.coalesce(1 + int(system.getContentSummary(place).getLength()) // PART_BYTES)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that operators stored inside it; results have to be written before that."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            place, system = _at(spark, path)
+            system.delete(place, True)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of ``column``; a longer text stands alone."""
     for batch in batches:
         n = batch.num_rows
@@ -128,20 +182,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_powers: dict[tuple[int, int], np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n mod 2**64; kept for reuse up to a few MB."""
-    size = 1 << max(12, int(n + 1).bit_length())
-    if (base, size) not in _powers:
-        out = np.full(size, base, U64)
-        out[0] = 1
-        out = np.multiply.accumulate(out)
-        if size > 1 << 23:
-            return out
-        _powers[base, size] = out
-    return _powers[base, size]
+    """base**0 .. base**n mod 2**64 at least. One table of 8 MB a base is kept for reuse; a longer one is made each time."""
+    if n <= SLICE and base in _powers:
+        return _powers[base]
+    out = np.full(max(n, SLICE) + 1, base, U64)
+    out[0] = 1
+    out = np.multiply.accumulate(out)
+    if n <= SLICE:
+        _powers[base] = out
+    return out
 
 
 class Rolling:

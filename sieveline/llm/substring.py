@@ -1,138 +1,296 @@
 """Substring dedup by level-wise doubling of word windows.
 
-A window that repeats is made of shorter windows that repeat. So short windows come first, over all documents;
-only where those repeat are windows of twice the length looked at, and so on up to the length asked for. At the
-first length it is enough to look at windows chosen by winnowing: of any span of ``width`` words at least one
-window of the first length is chosen, by the span's own words, so equal spans choose equally.
-
-Each level is an aggregation with map-side combining (least and greatest doc_id per window hash) and a join back
-on the hash, both keyed by content: a passage of a third of all documents is one row per task after combining,
-and its rows in the join can be split, since each is handled alone. Later levels see only what survived.
-
-The hash of the last level has 96 bits and decides; those of the earlier ones only pass candidates on.
+A window that repeats is made of shorter windows that repeat. So windows of FIRST words come first, all of them;
+where both halves of a window of twice the length repeat it is a candidate at the next level, and so on up to the
+length asked for (13 is two overlapping windows of 8). Only what survived a level is looked at in the next one, and
+the search ends when nothing survives.
+
+Documents are stored once in packs of about PACK bytes, each with a number. At each level a pack sends the sorted
+distinct hashes of its candidates, cut by their leading bits into ranges; whoever gets a range finds the hashes that
+two documents have and answers each pack with one bit a hash. So a passage of a third of all documents is one number
+a pack, no place is ever a row, and answers are small. The ranges follow the size of the input, so that each has
+about RANGE hashes.
+
+At the last level the keys are 128-bit BLAKE2 digests of the words themselves, joined by one space, and packs are
+answered with the least doc_id of each window. Shorter levels only pass candidates on.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_KEYS, NOT_SPACE, Rolling, chosen, dropped, ragged, sliced, stored, text_bytes, word_spans
-
-BASE_2 = 0xC2B2AE3D27D4EB4F
+from .common import BYTE_KEYS, NOT_SPACE, Rolling, dropped, ragged, stored, text_bytes, word_spans
 
-
-FIRST = 8
+FIRST = 4
+PACK = 1 << 20
+RANGE = 1 << 20
+#: 2**LEAST_BITS ranges at least.
+LEAST_BITS = 7
+U64 = np.uint64
+PACKS = "pack long, n_bytes long, body binary, ends binary, ids binary, known binary"
+ANSWERS = "pack long, r int, bits binary, least binary, n long"
+MARKS = "array<struct<level: int, r: int, bits: binary, least: binary>>"
 
 
 def lengths(width: int) -> list[int]:
-    """Window lengths: FIRST, then twice the one before, up to ``width``: 13 gives 8 and 13."""
+    """Window lengths: FIRST, then twice the one before, up to ``width``: 13 gives 4, 8 and 13."""
     out = [min(FIRST, width)]
     while out[-1] < width:
         out.append(min(2 * out[-1], width))
     return out
 
 
-def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each word, and each text's offsets into them."""
-    data, offsets = text_bytes(batch.column("text"))
-    starts, ends, words = word_spans(data, offsets, NOT_SPACE)
-    return Rolling(BYTE_KEYS[data]).of(starts, ends), words
-
-
-def _whole(words: np.ndarray, width: int) -> np.ndarray:
-    """For each word, whether a window of ``width`` words starts there within its text."""
-    counts = np.diff(words)
-    return np.arange(words[-1]) + width <= np.repeat(words[1:], counts)
-
-
-def _anchors(numbers: np.ndarray, words: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chosen places, whole windows of ``width`` words, and the chosen place of each."""
-    grams = Rolling(numbers).grams(first)
-    picks = chosen(grams, width - first + 1)
-    whole = np.flatnonzero(_whole(words, width)[: len(picks)])
-    picks = picks[whole]
-    places = picks[np.flatnonzero(np.diff(picks, prepend=-1))]
-    return places, whole, picks
-
-
-def _chosen_rows(width: int, first: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            numbers, words = _words(batch)
-            places, _, _ = _anchors(numbers, words, first, width)
-            doc = np.searchsorted(words, places, "right") - 1
-            hashes = Rolling(numbers).grams(first)[places].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column("doc_id").take(pa.array(doc)), pa.array((places - words[doc]).astype(np.int32))], ["h", "doc_id", "at"])
-
-    return rows
-
-
-def _window_rows(width: int, first: int, length: int, before: int, chosen_only: bool):
-    """Windows of ``length`` words whose parts all survived; ``before`` is the length of the level before."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            numbers, words = _words(batch)
-            lists = batch.column("at")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            counts = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-            alive = np.zeros(int(words[-1]) + 1, bool)
-            alive[flat + np.repeat(words[:-1], counts)] = True
-            starts = np.flatnonzero(_whole(words, length))
-            if chosen_only:  # what a window of the full width chooses has to be alive; a shorter one may be part of any such
-                _, whole, picks = _anchors(numbers, words, first, width)
-                hit = whole[alive[picks]]
-                if length == width:
-                    starts = hit
-                else:
-                    near = np.zeros(int(words[-1]) + 1, bool)
-                    near[ragged(hit, np.full(len(hit), width - length + 1))] = True
-                    starts = starts[near[starts]]
-            else:
-                starts = starts[alive[starts] & alive[starts + length - before]]
-            one, two = Rolling(numbers), Rolling(numbers, BASE_2)
-            doc = np.searchsorted(words, starts, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(one.of(starts, starts + length).view(np.int64)), pa.array((two.of(starts, starts + length) >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column("doc_id").take(pa.array(doc)), pa.array((starts - words[doc]).astype(np.int32))], ["h", "h2", "doc_id", "at"])
-
-    return rows
-
-
-def _kept_rows(width: int):
+# ---- packs ----------------------------------------------------------------------------------------------------------
+
+
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 33
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        nonlocal held, size, number
+        table = pa.Table.from_batches(held).combine_chunks()
+        data, offsets = text_bytes(table.column("text"))
+        ids = table.column("doc_id")
+        cells = [number, len(data), data.tobytes(), offsets.tobytes(), ids.fill_null(0).to_numpy().tobytes(), ids.is_valid().to_numpy().tobytes()]
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        held, size, number = [], 0, number + 1
+        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], ["pack", "n_bytes", "body", "ends", "ids", "known"])
+
+    for batch in batches:
+        sizes = np.diff(text_bytes(batch.column("text"))[1]) + 16  # a row without text has its weight too
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + PACK - size, "right")))
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to - 1] - base)
+            at = to
+            if size >= PACK or at < batch.num_rows:
+                yield packed()
+    if held:
+        yield packed()
+
+
+class Pack:
+    """The words of a pack's documents."""
+
+    def __init__(self, row: dict) -> None:
+        self.number = row["pack"]
+        self.data = np.frombuffer(row["body"], np.uint8)
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.known = np.frombuffer(row["known"], bool)
+        offsets = np.frombuffer(row["ends"], np.int64)
+        self.starts, self.ends, self.words = word_spans(self.data, offsets, NOT_SPACE)
+        self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.words))
+        self.marks = sorted(row["marks"] or [], key=lambda m: (m["level"], m["r"]))
+
+    def joined(self, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The words of a mask, a space behind each, and the place where each of them starts (and all end)."""
+        starts, sizes = self.starts[keep], (self.ends - self.starts)[keep]
+        at = np.concatenate([[0], np.cumsum(sizes + 1)])
+        flat = np.full(int(at[-1]), 0x20, np.uint8)
+        flat[ragged(at[:-1], sizes)] = self.data[ragged(starts, sizes)]
+        return flat.tobytes(), at
+
+    def whole(self, length: int) -> np.ndarray:
+        """Where a window of ``length`` words lies within a document that has an id."""
+        place = np.arange(len(self.doc))
+        return np.flatnonzero((place + length <= self.words[1:][self.doc]) & self.known[self.doc])
+
+    def answered(self, level: int, cells: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys that the pack sent at a level were repeated, and (of the last level) their least doc_ids."""
+        own = {m["r"]: m for m in self.marks if m["level"] == level}
+        found, least = np.zeros(len(cells), bool), np.zeros(len(cells), np.int64)
+        parts, cuts = ranges(cells, bits)
+        for part, a, b in zip(parts.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if part in own:
+                found[a:b] = np.unpackbits(np.frombuffer(own[part]["bits"], np.uint8), count=b - a)
+                if own[part]["least"]:
+                    least[a:b][found[a:b]] = np.frombuffer(own[part]["least"], np.int64)
+        return found, least
+
+    def candidates(self, steps: list[int], level: int, bits: int) -> np.ndarray:
+        """Starts of the windows that a level looks at: those whose parts survived all levels before."""
+        numbers = Rolling(BYTE_KEYS[self.data]).of(self.starts, self.ends)
+        self.rolling = Rolling(numbers)
+        starts = self.whole(steps[0])
+        for k in range(level):
+            alive = np.zeros(len(self.doc) + 1, bool)
+            cells, _, owner = distinct(self.hashes(starts, steps[k]))
+            alive[starts[self.answered(k, cells, bits)[0][owner]]] = True
+            starts = self.whole(steps[k + 1])
+            starts = starts[alive[starts] & alive[starts + steps[k + 1] - steps[k]]]
+        return starts
+
+    def hashes(self, starts: np.ndarray, length: int) -> np.ndarray:
+        return self.rolling.of(starts, starts + length)
+
+    def firsts(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct digests of windows, the least doc_id of each, and the place of each window's own."""
+        cells, order, owner = distinct(self.digests(starts, length))
+        heads = np.flatnonzero(np.diff(owner[order], prepend=-1))
+        return cells, np.minimum.reduceat(self.ids[self.doc[starts[order]]], heads), owner
+
+    def digests(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """n x 2 numbers: the 128-bit digest of each window's words."""
+        flat, at = self.joined(np.ones(len(self.starts), bool))
+        digest = hashlib.blake2b
+        cells = b"".join([digest(flat[a:b], digest_size=16).digest() for a, b in zip(at[starts].tolist(), (at[starts + length] - 1).tolist(), strict=True)])
+        return np.frombuffer(cells, U64).reshape(-1, 2)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the order (stable) of all, and for each key its place among the distinct ones."""
+    wide = keys.ndim == 2
+    order = np.lexsort((keys[:, 1], keys[:, 0])) if wide else np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (ranked[1:] != ranked[:-1]).any(1) if wide else ranked[1:] != ranked[:-1]
+    owner = np.empty(len(keys), np.int64)
+    owner[order] = np.cumsum(new) - 1
+    return ranked[new], order, owner
+
+
+def ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that sorted keys fall in and n + 1 offsets of each range's keys."""
+    part = ((keys[:, 0] if keys.ndim == 2 else keys) >> U64(64 - bits)).astype(np.int64)
+    heads = np.flatnonzero(np.diff(part, prepend=-1))
+    return part[heads], np.append(heads, len(part))
+
+
+# ---- levels ---------------------------------------------------------------------------------------------------------
+
+
+def _each_pack(made: Callable[[Pack], Iterator[pa.RecordBatch]]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            n_words, n_removed, digests, kept_texts = [], [], [], []
-            for text, at in zip(batch.column("text"), batch.column("at"), strict=True):
-                own = (text.as_py() or "").encode().split()
-                n_words.append(len(own))
-                if at.is_valid and len(at.values):
-                    starts = at.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                    gone = np.zeros(len(own), bool)
-                    gone[ragged(starts, np.full(len(starts), width))] = True
-                    own = [own[i] for i in np.flatnonzero(~gone)]
-                n_removed.append(n_words[-1] - len(own))
-                joined = b" ".join(own)
-                digests.append(hashlib.sha256(joined).hexdigest())
-                kept_texts.append(joined.decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_texts, pa.string()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from made(Pack(batch.slice(k, 1).to_pylist()[0]))
 
     return rows
 
 
-def _survivors(rows: DataFrame, keys: list[str], later_only: bool) -> DataFrame:
-    """Places whose window also starts in another document; with later_only, in one of smaller doc_id."""
-    repeated = stored(rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "op8-repeated")
-    joined = rows.join(repeated, keys)
-    if later_only:
-        joined = joined.where("doc_id > least")
-    out = stored(joined.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "op8-survivors")
-    dropped(repeated)
-    return out
+def _sent(pack: Pack, bits: int, cells: np.ndarray, columns: list[tuple[str, list[bytes]]]) -> pa.RecordBatch:
+    parts, _ = ranges(cells, bits)
+    arrays = [pa.array(parts, pa.int32()), pa.array([pack.number] * len(parts), pa.int64())]
+    arrays += [pa.array(c, pa.binary()) for _, c in columns]
+    return pa.RecordBatch.from_arrays(arrays, ["r", "pack", *(n for n, _ in columns)])
+
+
+def _level(steps: list[int], level: int, bits: int):
+    """Rows (r, pack, keys, twice): distinct hashes of candidates, and whether two documents of the pack have them."""
+
+    def made(pack: Pack) -> Iterator[pa.RecordBatch]:
+        starts = pack.candidates(steps, level, bits)
+        if not len(starts):
+            return
+        cells, order, owner = distinct(pack.hashes(starts, steps[level]))
+        doc = pack.ids[pack.doc[starts[order]]]
+        heads = np.flatnonzero(np.diff(owner[order], prepend=-1))
+        twice = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
+        _, cuts = ranges(cells, bits)
+        pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        yield _sent(pack, bits, cells, [("keys", [cells[a:b].tobytes() for a, b in pairs]), ("twice", [np.packbits(twice[a:b]).tobytes() for a, b in pairs])])
+
+    return _each_pack(made)
+
+
+def _parts(table: pa.Table, width: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Packs, the offsets of each pack's keys, and all keys of a range."""
+    keys = [np.frombuffer(k.as_buffer(), U64) for k in table.column("keys")]
+    offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]) // width
+    flat = np.concatenate(keys)
+    return table.column("pack").to_pylist(), offsets, flat.reshape(-1, width) if width > 1 else flat
+
+
+def _answers(table: pa.Table, packs: list[int], offsets: np.ndarray, found: np.ndarray, least: np.ndarray | None) -> pa.Table:
+    bits, leasts = [], []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        bits.append(np.packbits(found[a:b]).tobytes())
+        leasts.append(least[a:b][found[a:b]].tobytes() if least is not None else None)
+    counts = np.add.reduceat(found, offsets[:-1]) if len(found) else np.zeros(len(packs), np.int64)
+    return pa.table({"pack": packs, "r": table.column("r"), "bits": pa.array(bits, pa.binary()), "least": pa.array(leasts, pa.binary()), "n": pa.array(counts, pa.int64())})
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """Of a range: which hashes come from two packs, or from two documents of one."""
+    packs, offsets, keys = _parts(table, 1)
+    _, _, owner = distinct(keys)
+    twice = np.concatenate([np.unpackbits(np.frombuffer(t.as_buffer(), np.uint8), count=n) for t, n in zip(table.column("twice"), np.diff(offsets).tolist(), strict=True)])
+    found = np.bincount(owner, 1 + twice) > 1
+    return _answers(table, packs, offsets, found[owner], None)
+
+
+def _last_level(steps: list[int], bits: int):
+    """Rows (r, pack, keys, least): distinct digests of candidates, and the least doc_id of the pack that has them."""
+
+    def made(pack: Pack) -> Iterator[pa.RecordBatch]:
+        starts = pack.candidates(steps, len(steps) - 1, bits)
+        if not len(starts):
+            return
+        cells, least, _ = pack.firsts(starts, steps[-1])
+        _, cuts = ranges(cells, bits)
+        pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        yield _sent(pack, bits, cells, [("keys", [cells[a:b].tobytes() for a, b in pairs]), ("least", [least[a:b].tobytes() for a, b in pairs])])
+
+    return _each_pack(made)
+
+
+def _first_owners(table: pa.Table) -> pa.Table:
+    """Of a range: the least doc_id of each digest that several packs have."""
+    packs, offsets, keys = _parts(table, 2)
+    _, order, owner = distinct(keys)
+    own = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("least")])
+    heads = np.flatnonzero(np.diff(owner[order], prepend=-1))
+    least = np.minimum.reduceat(own[order], heads)[owner]
+    return _answers(table, packs, offsets, np.bincount(owner)[owner] > 1, least)
+
+
+def _kept_rows(steps: list[int], bits: int, searched: bool):
+    def made(pack: Pack) -> Iterator[pa.RecordBatch]:
+        gone = np.zeros(len(pack.doc), bool)
+        starts = pack.candidates(steps, len(steps) - 1, bits) if searched else np.zeros(0, np.int64)
+        if len(starts):
+            cells, least, owner = pack.firsts(starts, steps[-1])
+            found, elsewhere = pack.answered(len(steps) - 1, cells, bits)
+            least[found] = elsewhere[found]
+            later = starts[pack.ids[pack.doc[starts]] > least[owner]]
+            gone[ragged(later, np.full(len(later), steps[-1]))] = True
+        flat, at = pack.joined(~gone)
+        left = np.concatenate([[0], np.cumsum(~gone)])[pack.words]
+        texts = [flat[a : max(a, b - 1)] for a, b in zip(at[left[:-1]].tolist(), at[left[1:]].tolist(), strict=True)]
+        n_words = np.diff(pack.words)
+        arrays = [
+            pa.array(pack.ids, mask=~pack.known),
+            pa.array(n_words, pa.int64()),
+            pa.array(n_words - np.diff(left), pa.int64()),
+            pa.array(texts, pa.binary()).cast(pa.string()),
+            pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+
+    return _each_pack(made)
+
+
+def _marked(packs: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """Packs with what they were answered at all levels so far."""
+    if not answers:
+        return packs.withColumn("marks", F.lit(None).cast(MARKS))
+    rows = None
+    for k, table in enumerate(answers):
+        own = table.select("pack", F.struct(F.lit(k).alias("level"), "r", "bits", "least").alias("mark"))
+        rows = own if rows is None else rows.unionByName(own)
+    return packs.join(rows.groupBy("pack").agg(F.collect_list("mark").alias("marks")), "pack", "left")
 
 
 def remove_repeated_windows(documents: DataFrame, width: int = 13) -> DataFrame:
@@ -140,20 +298,25 @@ def remove_repeated_windows(documents: DataFrame, width: int = 13) -> DataFrame:
 
     Words are runs of anything but ASCII white space. Windows are judged on the input. Returns doc_id, n_words,
     n_removed, kept_text (kept words joined by one space) and its kept_sha256, a row for each row. Texts that are
-    null, empty or of fewer than ``width`` words lose nothing. Rows of the same doc_id are one document: they
-    take nothing from each other, and a place found in one is found in all, so their texts have to be equal. A
-    null doc_id neither takes nor loses anything.
+    null, empty or of fewer than ``width`` words lose nothing. Rows of the same doc_id are one document: they take
+    nothing from each other, whatever their texts. A null doc_id neither takes nor loses anything. Columns besides
+    doc_id and text are not read.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if width < 1:
+        raise ValueError("width has to be a word at least")
     steps = lengths(width)
-    first = steps[0]
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    if len(steps) == 1:
-        raise ValueError("width has to be over 8 words")
-    alive = _survivors(known.mapInArrow(_chosen_rows(width, first), "h long, doc_id long, at int"), ["h"], False)
-    for k, length in enumerate(steps[1:], 1):
-        windows = stored(known.join(alive, "doc_id").mapInArrow(_window_rows(width, first, length, steps[k - 1], k == 1), "h long, h2 int, doc_id long, at int"), "op8-windows")
-        dropped(alive)
-        alive = _survivors(windows, ["h", "h2"], length == width)
-        dropped(windows)
-    return docs.join(alive, "doc_id", "left").mapInArrow(_kept_rows(width), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    packs = stored(docs.mapInArrow(_pack_rows, PACKS), "op8-packs")
+    n_bytes = packs.agg(F.sum("n_bytes")).first()[0] or 0
+    bits = max(LEAST_BITS, (n_bytes // (6 * RANGE)).bit_length())
+    answers: list[DataFrame] = []
+    for level in range(len(steps)):
+        last = level == len(steps) - 1
+        sent = "r int, pack long, keys binary, " + ("least binary" if last else "twice binary")
+        rows = _marked(packs, answers).mapInArrow(_last_level(steps, bits) if last else _level(steps, level, bits), sent)
+        answers.append(stored(rows.groupBy("r").applyInArrow(_first_owners if last else _repeated, ANSWERS), f"op8-level-{steps[level]}"))
+        if not last and not answers[-1].agg(F.sum("n")).first()[0]:
+            break
+    searched = len(answers) == len(steps)
+    kept = _marked(packs, answers).mapInArrow(_kept_rows(steps, bits, searched), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return kept
