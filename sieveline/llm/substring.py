@@ -11,8 +11,8 @@ two documents have and answers each pack with one bit a hash. So a passage of a
 a pack, no place is ever a row, and answers are small. The ranges follow the size of the input, so that each has
 about RANGE hashes.
 
-At the last level the keys are 128-bit BLAKE2 digests of the words themselves, joined by one space, and packs are
-answered with the least doc_id of each window. Shorter levels only pass candidates on.
+At the last level a pack sends the 128-bit BLAKE2 digest of the words themselves, joined by one space, and the doc_id
+of each candidate, and is answered whether a smaller doc_id has that digest. Shorter levels only pass candidates on.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ RANGE = 1 << 20
 LEAST_BITS = 7
 U64 = np.uint64
 PACKS = "pack long, n_bytes long, body binary, ends binary, ids binary, known binary"
-ANSWERS = "pack long, r int, bits binary, least binary, n long"
-MARKS = "array<struct<level: int, r: int, bits: binary, least: binary>>"
+ANSWERS = "pack long, r int, bits binary, n long"
+MARKS = "array<struct<level: int, r: int, bits: binary>>"
 
 
 def lengths(width: int) -> list[int]:
@@ -107,17 +107,14 @@ class Pack:
         place = np.arange(len(self.doc))
         return np.flatnonzero((place + length <= self.words[1:][self.doc]) & self.known[self.doc])
 
-    def answered(self, level: int, cells: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the keys that the pack sent at a level were repeated, and (of the last level) their least doc_ids."""
-        own = {m["r"]: m for m in self.marks if m["level"] == level}
-        found, least = np.zeros(len(cells), bool), np.zeros(len(cells), np.int64)
-        parts, cuts = ranges(cells, bits)
+    def answered(self, level: int, parts: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """A yes or no for each of the windows that the pack sent at a level, ``cuts`` being the ranges' offsets."""
+        own = {m["r"]: m["bits"] for m in self.marks if m["level"] == level}
+        found = np.zeros(int(cuts[-1]), bool)
         for part, a, b in zip(parts.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if part in own:
-                found[a:b] = np.unpackbits(np.frombuffer(own[part]["bits"], np.uint8), count=b - a)
-                if own[part]["least"]:
-                    least[a:b][found[a:b]] = np.frombuffer(own[part]["least"], np.int64)
-        return found, least
+                found[a:b] = np.unpackbits(np.frombuffer(own[part], np.uint8), count=b - a)
+        return found
 
     def candidates(self, steps: list[int], level: int, bits: int) -> np.ndarray:
         """Starts of the windows that a level looks at: those whose parts survived all levels before."""
@@ -127,7 +124,7 @@ class Pack:
         for k in range(level):
             alive = np.zeros(len(self.doc) + 1, bool)
             cells, _, owner = distinct(self.hashes(starts, steps[k]))
-            alive[starts[self.answered(k, cells, bits)[0][owner]]] = True
+            alive[starts[self.answered(k, *ranges(cells >> U64(64 - bits)))[owner]]] = True
             starts = self.whole(steps[k + 1])
             starts = starts[alive[starts] & alive[starts + steps[k + 1] - steps[k]]]
         return starts
@@ -135,11 +132,11 @@ class Pack:
     def hashes(self, starts: np.ndarray, length: int) -> np.ndarray:
         return self.rolling.of(starts, starts + length)
 
-    def firsts(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct digests of windows, the least doc_id of each, and the place of each window's own."""
-        cells, order, owner = distinct(self.digests(starts, length))
-        heads = np.flatnonzero(np.diff(owner[order], prepend=-1))
-        return cells, np.minimum.reduceat(self.ids[self.doc[starts[order]]], heads), owner
+    def dealt(self, starts: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows by range, and within it in their order in the pack; the ranges; their offsets."""
+        part = (self.hashes(starts, length) >> U64(64 - bits)).astype(np.int32)
+        order = np.argsort(part.astype(np.uint16) if bits <= 16 else part, kind="stable")
+        return starts[order], *ranges(part[order])
 
     def digests(self, starts: np.ndarray, length: int) -> np.ndarray:
         """n x 2 numbers: the 128-bit digest of each window's words."""
@@ -161,9 +158,9 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[new], order, owner
 
 
-def ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ranges that sorted keys fall in and n + 1 offsets of each range's keys."""
-    part = ((keys[:, 0] if keys.ndim == 2 else keys) >> U64(64 - bits)).astype(np.int64)
+def ranges(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of sorted numbers of ranges, and n + 1 offsets of each one's members."""
+    part = part.astype(np.int64)
     heads = np.flatnonzero(np.diff(part, prepend=-1))
     return part[heads], np.append(heads, len(part))
 
@@ -180,11 +177,14 @@ def _each_pack(made: Callable[[Pack], Iterator[pa.RecordBatch]]):
     return rows
 
 
-def _sent(pack: Pack, bits: int, cells: np.ndarray, columns: list[tuple[str, list[bytes]]]) -> pa.RecordBatch:
-    parts, _ = ranges(cells, bits)
+def _sent(pack: Pack, parts: np.ndarray, cuts: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each range: the pack, and the range's piece of each column (bools as bits)."""
     arrays = [pa.array(parts, pa.int32()), pa.array([pack.number] * len(parts), pa.int64())]
-    arrays += [pa.array(c, pa.binary()) for _, c in columns]
-    return pa.RecordBatch.from_arrays(arrays, ["r", "pack", *(n for n, _ in columns)])
+    pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    for column in columns.values():
+        pieces = [np.packbits(column[a:b]) if column.dtype == bool else column[a:b] for a, b in pairs]
+        arrays.append(pa.array([x.tobytes() for x in pieces], pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, ["r", "pack", *columns])
 
 
 def _level(steps: list[int], level: int, bits: int):
@@ -198,9 +198,7 @@ def _level(steps: list[int], level: int, bits: int):
         doc = pack.ids[pack.doc[starts[order]]]
         heads = np.flatnonzero(np.diff(owner[order], prepend=-1))
         twice = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
-        _, cuts = ranges(cells, bits)
-        pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        yield _sent(pack, bits, cells, [("keys", [cells[a:b].tobytes() for a, b in pairs]), ("twice", [np.packbits(twice[a:b]).tobytes() for a, b in pairs])])
+        yield _sent(pack, *ranges(cells >> U64(64 - bits)), {"keys": cells, "twice": twice})
 
     return _each_pack(made)
 
@@ -213,47 +211,42 @@ def _parts(table: pa.Table, width: int) -> tuple[list[int], np.ndarray, np.ndarr
     return table.column("pack").to_pylist(), offsets, flat.reshape(-1, width) if width > 1 else flat
 
 
-def _answers(table: pa.Table, packs: list[int], offsets: np.ndarray, found: np.ndarray, least: np.ndarray | None) -> pa.Table:
-    bits, leasts = [], []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        bits.append(np.packbits(found[a:b]).tobytes())
-        leasts.append(least[a:b][found[a:b]].tobytes() if least is not None else None)
-    counts = np.add.reduceat(found, offsets[:-1]) if len(found) else np.zeros(len(packs), np.int64)
-    return pa.table({"pack": packs, "r": table.column("r"), "bits": pa.array(bits, pa.binary()), "least": pa.array(leasts, pa.binary()), "n": pa.array(counts, pa.int64())})
+def _answers(table: pa.Table, packs: list[int], offsets: np.ndarray, found: np.ndarray) -> pa.Table:
+    bits = [np.packbits(found[a:b]).tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    counts = np.add.reduceat(found, offsets[:-1], dtype=np.int64)
+    return pa.table({"pack": packs, "r": table.column("r"), "bits": pa.array(bits, pa.binary()), "n": pa.array(counts)})
 
 
 def _repeated(table: pa.Table) -> pa.Table:
     """Of a range: which hashes come from two packs, or from two documents of one."""
     packs, offsets, keys = _parts(table, 1)
     _, _, owner = distinct(keys)
-    twice = np.concatenate([np.unpackbits(np.frombuffer(t.as_buffer(), np.uint8), count=n) for t, n in zip(table.column("twice"), np.diff(offsets).tolist(), strict=True)])
+    sizes = np.diff(offsets).tolist()
+    twice = np.concatenate([np.unpackbits(np.frombuffer(t.as_buffer(), np.uint8), count=n) for t, n in zip(table.column("twice"), sizes, strict=True)])
     found = np.bincount(owner, 1 + twice) > 1
-    return _answers(table, packs, offsets, found[owner], None)
+    return _answers(table, packs, offsets, found[owner])
 
 
 def _last_level(steps: list[int], bits: int):
-    """Rows (r, pack, keys, least): distinct digests of candidates, and the least doc_id of the pack that has them."""
+    """Rows (r, pack, keys, ids): digests of candidates and their doc_ids."""
 
     def made(pack: Pack) -> Iterator[pa.RecordBatch]:
         starts = pack.candidates(steps, len(steps) - 1, bits)
         if not len(starts):
             return
-        cells, least, _ = pack.firsts(starts, steps[-1])
-        _, cuts = ranges(cells, bits)
-        pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        yield _sent(pack, bits, cells, [("keys", [cells[a:b].tobytes() for a, b in pairs]), ("least", [least[a:b].tobytes() for a, b in pairs])])
+        starts, parts, cuts = pack.dealt(starts, steps[-1], bits)
+        yield _sent(pack, parts, cuts, {"keys": pack.digests(starts, steps[-1]), "ids": pack.ids[pack.doc[starts]]})
 
     return _each_pack(made)
 
 
-def _first_owners(table: pa.Table) -> pa.Table:
-    """Of a range: the least doc_id of each digest that several packs have."""
+def _later_ones(table: pa.Table) -> pa.Table:
+    """Of a range: which digests a document of smaller doc_id has too."""
     packs, offsets, keys = _parts(table, 2)
     _, order, owner = distinct(keys)
-    own = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("least")])
+    own = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")])
     heads = np.flatnonzero(np.diff(owner[order], prepend=-1))
-    least = np.minimum.reduceat(own[order], heads)[owner]
-    return _answers(table, packs, offsets, np.bincount(owner)[owner] > 1, least)
+    return _answers(table, packs, offsets, own > np.minimum.reduceat(own[order], heads)[owner])
 
 
 def _kept_rows(steps: list[int], bits: int, searched: bool):
@@ -261,10 +254,8 @@ def _kept_rows(steps: list[int], bits: int, searched: bool):
         gone = np.zeros(len(pack.doc), bool)
         starts = pack.candidates(steps, len(steps) - 1, bits) if searched else np.zeros(0, np.int64)
         if len(starts):
-            cells, least, owner = pack.firsts(starts, steps[-1])
-            found, elsewhere = pack.answered(len(steps) - 1, cells, bits)
-            least[found] = elsewhere[found]
-            later = starts[pack.ids[pack.doc[starts]] > least[owner]]
+            starts, parts, cuts = pack.dealt(starts, steps[-1], bits)
+            later = starts[pack.answered(len(steps) - 1, parts, cuts)]
             gone[ragged(later, np.full(len(later), steps[-1]))] = True
         flat, at = pack.joined(~gone)
         left = np.concatenate([[0], np.cumsum(~gone)])[pack.words]
@@ -288,7 +279,7 @@ def _marked(packs: DataFrame, answers: list[DataFrame]) -> DataFrame:
         return packs.withColumn("marks", F.lit(None).cast(MARKS))
     rows = None
     for k, table in enumerate(answers):
-        own = table.select("pack", F.struct(F.lit(k).alias("level"), "r", "bits", "least").alias("mark"))
+        own = table.select("pack", F.struct(F.lit(k).alias("level"), "r", "bits").alias("mark"))
         rows = own if rows is None else rows.unionByName(own)
     return packs.join(rows.groupBy("pack").agg(F.collect_list("mark").alias("marks")), "pack", "left")
 
@@ -312,9 +303,9 @@ def remove_repeated_windows(documents: DataFrame, width: int = 13) -> DataFrame:
     answers: list[DataFrame] = []
     for level in range(len(steps)):
         last = level == len(steps) - 1
-        sent = "r int, pack long, keys binary, " + ("least binary" if last else "twice binary")
+        sent = "r int, pack long, keys binary, " + ("ids binary" if last else "twice binary")
         rows = _marked(packs, answers).mapInArrow(_last_level(steps, bits) if last else _level(steps, level, bits), sent)
-        answers.append(stored(rows.groupBy("r").applyInArrow(_first_owners if last else _repeated, ANSWERS), f"op8-level-{steps[level]}"))
+        answers.append(stored(rows.groupBy("r").applyInArrow(_later_ones if last else _repeated, ANSWERS), f"op8-level-{steps[level]}"))
         if not last and not answers[-1].agg(F.sum("n")).first()[0]:
             break
     searched = len(answers) == len(steps)
