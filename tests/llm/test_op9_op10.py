@@ -2,9 +2,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
-from sieveline.llm.simhash import FREE, linked, near_duplicates
+from sieveline.llm.components import components, stars
+from sieveline.llm.simhash import KINDS, near_duplicates, neighbours, refined, tallied
 from sieveline.llm.topk import best, top_k
 
 
@@ -56,20 +58,62 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 7), (3, 3), (7, 7), (7, 7)]
 
 
-def test_dense_lists_link_in_linear_space():
-    rnd = np.random.default_rng(1)
-    codes = rnd.choice(1 << 16, 900, replace=False).astype(np.uint64)
-    free = FREE[5]
-    members = np.uint64(0x1122334455667788) & ~np.uint64(sum(255 << 8 * b for b in free))
-    members = members | ((codes & np.uint64(255)) << np.uint64(8 * free[0])) | ((codes >> np.uint64(8)) << np.uint64(8 * free[1]))
+def grouped(members, links):
     comp = list(range(len(members)))
-    edges = [(int(a), int(b)) for x, y in linked(members, free) for a, b in zip(x, y, strict=True)]
-    assert len(edges) < len(members)
-    for a, b in edges:
-        comp = [comp[a] if c == comp[b] else c for c in comp]
+    at = {int(m): i for i, m in enumerate(members)}
+    for x, y in links:
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            one, two = comp[at[a]], comp[at[b]]
+            comp = [one if c == two else c for c in comp]
+    return comp
+
+
+def as_sets(comp):
+    return sorted(sorted(i for i, c in enumerate(comp) if c == k) for k in set(comp))
+
+
+@pytest.mark.parametrize("spread", [8, 14, 32])
+def test_long_lists_give_what_all_pairs_give(spread):
+    """900 fingerprints alike in two pieces: lists that stay long after the cut, that get short, and sparse ones."""
+    rnd = np.random.default_rng(spread)
+    bits = rnd.choice(32, spread, replace=False) if spread < 32 else np.arange(32)
+    codes = set()
+    while len(codes) < min(900, 2**spread - 1):
+        codes.add(int(sum(1 << int(b) for b in bits if rnd.random() < (0.5 if spread < 32 else 0.06))))
+    members = np.array([0x1122334400000000 ^ (c << 32) ^ 0x55667788 for c in sorted(codes)], np.uint64)  # pieces 0 and 1 shared
+    got = grouped(members, refined(members, KINDS.index((0, 1))))
+    want = brute_components({i: int(m) for i, m in enumerate(members)})
+    assert as_sets(got) == as_sets([want[i] for i in range(len(members))])
+    all_pairs = [*tallied(members, np.array([0]), np.array([len(members)]))]
+    assert all(int(d).bit_count() <= 2 for x, y in all_pairs for d in x ^ y)
+    assert as_sets(grouped(members, all_pairs)) == as_sets(got)
+    a, b = stars(refined(members, KINDS.index((0, 1))))
+    assert len(a) < len(members) and (b < a).all() and as_sets(grouped_stars(members, a, b)) == as_sets(got)
+
+
+def grouped_stars(members, a, b):
+    at = {int(m): i for i, m in enumerate(members)}
+    comp = list(range(len(members)))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        comp[at[x]] = at[y]
+    return comp
+
+
+def test_neighbours_of_many_codes():
+    free = (5, 7)
+    codes = np.random.default_rng(1).choice(1 << 16, 900, replace=False).astype(np.uint64)
+    members = np.uint64(0x11) | ((codes & np.uint64(255)) << np.uint64(40)) | ((codes >> np.uint64(8)) << np.uint64(56))
+    got = [*neighbours(members, free)]
+    assert sum(len(x) for x, _ in got) < len(members)
     want = brute_components({i: int(m) for i, m in enumerate(members)})
-    groups = lambda c: sorted(sorted(i for i in range(len(members)) if c[i] == k) for k in {c[j] for j in range(len(members))})
-    assert groups(comp) == groups(want)
+    assert as_sets(grouped(members, got)) == as_sets([want[i] for i in range(len(members))])
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i + 1, i) for i in range(100, 160)] + [(7, k) for k in range(500, 700)] + [(-5, -9), (-9, -5), (3, 3)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(100, 161)} == {100} and {got[i] for i in range(500, 700)} == {7} and got[-5] == -9
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def brute_top(rows, k, every):
