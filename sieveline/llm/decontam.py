@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,15 +72,29 @@ def _hits(batch: pa.RecordBatch, kinds: list[int], seen: np.ndarray | None, whol
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat), n_words
 
 
-def _scan(kinds: list[int], seen: np.ndarray | None, whole_only: int | None, key: str):
+def _scan(kinds: list[int], seen: np.ndarray | None, whole_only: int | None):
+    """Rows with a number of their own (they are stored, so it stays), an id, the text's hash, and its fingerprints."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in sliced(batches, "text"):
             hits, n_words = _hits(batch, kinds, seen, whole_only)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n_words, pa.int64()), hits], [key, "n_words", "hits"])
+            own = np.arange(number, number + batch.num_rows)
+            number += batch.num_rows
+            arrays = [pa.array(own), batch.column("id"), batch.column("text_hash"), pa.array(n_words, pa.int64()), hits]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "text_hash", "n_words", "hits"])
 
     return rows
 
 
+SCANNED = f"row long, id long, text_hash long, n_words long, hits {HIT_TYPE}"
+
+
+def _texts(table: DataFrame, key: str) -> DataFrame:
+    text = F.col("text").cast("string")
+    return table.select(F.col(key).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+
+
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words that agree around a common fingerprint, where they make a whole window."""
     for batch in batches:
@@ -100,7 +115,8 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low.append(at - left)
                 high.append(at + right)
         at = pa.array(picked, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("item_id").take(at), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["doc_id", "item_id", "low", "high"])
+        arrays = [batch.column("row").take(at), batch.column("content").take(at), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["row", "content", "low", "high"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +129,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 upto = max(upto, b)
             n_hit.append(total)
             digests.append(hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in batch.column("items")], pa.int64()), pa.array(digests), batch.column("items"), batch.column("spans")], ["doc_id", "n_hit", "n_items", "items_sha256", "items", "spans"])
+        n_items = batch.column("items").value_lengths().cast(pa.int64())
+        arrays = [batch.column("row"), pa.array(n_hit, pa.int64()), n_items, pa.array(digests, pa.string()), batch.column("items"), batch.column("spans")]
+        yield pa.RecordBatch.from_arrays(arrays, ["row", "n_hit", "n_items", "items_sha256", "items", "spans"])
 
 
 #: sha256 of no items.
@@ -121,29 +139,46 @@ NO_ITEMS = hashlib.sha256(b"").hexdigest()
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and spans (of hit words) for each row.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash, items and spans (of hit words) for each row.
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. A word is hit if it lies in any occurrence
     of ``width`` consecutive words of an item, or of all words of an item of fewer; items without words, and null
     item_ids or texts, have no windows. contaminated: n_hit > 0 and share * n_hit >= n_words. Null and empty texts
-    have no words. doc_id is unique or repeats with the same text; null doc_ids count as one document.
+    have no words. Each row is judged by its own text: null and repeated doc_ids make no difference. text_hash is
+    Spark's xxhash64 of the text. Columns besides doc_id, item_id and text are not read.
+
+    Fingerprints are joined on distinct content, so a passage that many items share is met once; which items those
+    are is looked up behind that, without any text.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = _texts(benchmark, "item_id").where("id IS NOT NULL AND text IS NOT NULL")
     kinds = list(range(1, width + 1))
-    known = stored(items.mapInArrow(_scan(kinds, None, width, "item_id"), f"item_id long, n_words long, hits {HIT_TYPE}").select("item_id", F.inline("hits")), "op5-items")
+    known = stored(items.mapInArrow(_scan(kinds, None, width), SCANNED).select(F.col("id").alias("item_id"), F.inline("hits")), "op5-items")
     present = sorted(r[0] for r in known.select("kind").distinct().collect()) or [width]
     bit = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    cell_bit = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
     seen = np.zeros(FILTER_BITS // 64, np.uint64)
-    for cell, bits in known.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).collect():
+    for cell, bits in known.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(cell_bit).alias("bits")).collect():
         seen[cell] = np.uint64(bits & (1 << 64) - 1)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = stored(docs.mapInArrow(_scan(present, seen, None, "doc_id"), f"doc_id long, n_words long, hits {HIT_TYPE}"), "op5-scan")
-    hits = scan.select("doc_id", F.inline("hits"))
-    other = known.select("item_id", F.col("kind").alias("i_kind"), F.col("h").alias("i_h"), F.col("ahead").alias("i_ahead"), F.col("around").alias("i_around")).distinct()
-    pairs = hits.join(other, F.expr("h = i_h AND kind = i_kind")).select("doc_id", "item_id", "kind", "at", "ahead", "around", "i_ahead", "i_around")
-    spans = pairs.mapInArrow(_extended, "doc_id long, item_id long, low long, high long")
-    by_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans"), F.collect_set("item_id").alias("items"))
-    counted = by_doc.mapInArrow(_counted, "doc_id long, n_hit long, n_items long, items_sha256 string, items array<long>, spans array<struct<low: long, high: long>>").withColumnRenamed("doc_id", "c_id")
-    joined = scan.select("doc_id", "n_words").join(counted, F.expr("doc_id <=> c_id"), "left")
+    scan = stored(_texts(documents, "doc_id").mapInArrow(_scan(present, seen, None), SCANNED), "op5-scan")
+    content = F.xxhash64("kind", "h", "ahead", "around")
+    owners = known.select(content.alias("content"), "item_id").distinct()
+    asked = known.select(content.alias("content"), F.col("kind").alias("i_kind"), F.col("h").alias("i_h"), F.col("ahead").alias("i_ahead"), F.col("around").alias("i_around")).distinct()
+    pairs = scan.select("row", F.inline("hits")).join(asked, F.expr("h = i_h AND kind = i_kind"))
+    pairs = pairs.select("row", "content", "kind", "at", "ahead", "around", "i_ahead", "i_around")
+    matches = stored(pairs.mapInArrow(_extended, "row long, content long, low long, high long"), "op5-matches")
+    spans = matches.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    named = matches.select("row", "content").distinct().join(owners, "content").groupBy("row").agg(F.collect_set("item_id").alias("items"))
+    counted = spans.join(named, "row").mapInArrow(_counted, "row long, n_hit long, n_items long, items_sha256 string, items array<long>, spans array<struct<low: long, high: long>>")
+    joined = scan.select("row", F.col("id").alias("doc_id"), "text_hash", "n_words").join(counted, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.lit(NO_ITEMS)).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "items", "spans")
+    return joined.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.lit(NO_ITEMS)).alias("items_sha256"),
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "text_hash",
+        "items",
+        "spans",
+    )

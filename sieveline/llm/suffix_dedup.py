@@ -307,28 +307,41 @@ def _sorted_rows(least: int, block: int):
     return rows
 
 
+PLACES = pa.struct([("s1", pa.int64()), ("s2", pa.int64()), ("at", pa.int64())])
+
+
 def _exploded_rows(least: int):
-    """What no anchor deals out: a 128-bit digest of the ``least`` bytes from each place on."""
+    """What no anchor deals out: the 128-bit digests of the ``least`` bytes from each place on.
+
+    A slice of snippets gives one row a digest, with its places, so a string that all documents have is a row a slice.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "body", 1 << 16):
+        for batch in sliced(batches, "body", 1 << 19):
             data, offsets = text_bytes(batch.column("body"))
             runs = batch.column("run").to_numpy().astype(np.int64)
             at = ragged(offsets[:-1], runs)
             of = np.repeat(np.arange(batch.num_rows), runs)
             digests = _digests(data.tobytes(), at.tolist(), (at + least).tolist())
+            order = np.lexsort((digests[:, 1], digests[:, 0]))
+            ranked, of, at = digests[order], of[order], (at - offsets[of])[order]
+            heads = np.flatnonzero(np.concatenate([[True], (ranked[1:] != ranked[:-1]).any(1)]))
             pick = pa.array(of)
-            arrays = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), *(batch.column(c).take(pick) for c in ("s1", "s2", "n")), pa.array(at - offsets[of])]
-            yield pa.RecordBatch.from_arrays(arrays, ["w1", "w2", "s1", "s2", "n", "at"])
+            places = pa.StructArray.from_arrays([batch.column("s1").take(pick), batch.column("s2").take(pick), pa.array(at)], fields=list(PLACES))
+            total = np.add.reduceat(batch.column("n").to_numpy()[of], heads)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), places)
+            yield pa.RecordBatch.from_arrays([pa.array(ranked[heads, 0]), pa.array(ranked[heads, 1]), pa.array(total), lists], ["w1", "w2", "n", "places"])
 
     return rows
 
 
 def _exploded(hot: DataFrame, least: int) -> DataFrame:
-    wide = hot.dropDuplicates(["s1", "s2"]).mapInArrow(_exploded_rows(least), "w1 long, w2 long, s1 long, s2 long, n long, at long")
-    twice = wide.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1")
-    own = wide.join(twice, ["w1", "w2"]).where("n = 1").groupBy("s1", "s2")
-    return own.agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("spans"))
+    distinct = hot.dropDuplicates(["s1", "s2"])
+    wide = stored(distinct.mapInArrow(_exploded_rows(least), "w1 long, w2 long, n long, places array<struct<s1: long, s2: long, at: long>>"), "op3-places")
+    twice = wide.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
+    own = wide.join(twice, ["w1", "w2"]).select(F.inline("places"))
+    single = own.join(hot.where("n = 1").select("s1", "s2"), ["s1", "s2"], "left_semi")  # the others are marked as a whole
+    return single.groupBy("s1", "s2").agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("spans"))
 
 
 def repeats(texts: DataFrame, least: int, block: int, bucket_bytes: int, level: int = 0) -> DataFrame:

@@ -6,7 +6,6 @@ import zlib
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from sieveline.llm import decontam, mixing, sharding, token_counts
 
@@ -86,6 +85,19 @@ def test_contamination_edges(spark):
     got = decontam.contamination(make(spark, [(None, "X, y z", "a"), (1, "x y", "a"), (1, "x y", "a")]), one).collect()
     assert sorted((r.doc_id or 0, r.n_hit) for r in got) == [(0, 2), (1, 2), (1, 2)]
     assert [r.contaminated for r in decontam.contamination(make(spark, [(1, "x y", "a")]), none).collect()] == [False]
+    # rows are judged one by one, whether or not they have a doc_id
+    two = spark.createDataFrame([(1, "a b"), (2, "c d")], "item_id long, text string")
+    got = decontam.contamination(make(spark, [(None, "a b", "a"), (None, "c d e", "a"), (None, "q", "a"), (3, "a b", "a"), (3, "q", "a")]), two).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in got) == [(0, 1, 0, 0), (0, 2, 2, 1), (0, 3, 2, 1), (3, 1, 0, 0), (3, 2, 2, 1)]
+
+
+def test_contamination_by_items_that_share_a_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    items = [(i, f"own{i} {passage} end{i}") for i in range(1000)]
+    long = f"{'z ' * 200000}{passage}{' z' * 200000}"
+    docs = [(1, passage), (2, f"x {passage} y"), (3, f"own7 {passage}"), (4, long)]
+    got = decontam.contamination(make(spark, [(i, t, "a") for i, t in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got} == {1: (30, 1000, True), 2: (30, 1000, True), 3: (31, 1000, True), 4: (30, 1000, False)}
 
 
 def brute_targets(sizes):
@@ -161,4 +173,3 @@ def test_sharding_edges(spark):
 def test_sharding_stays_in_the_jvm(spark):
     plan = sharding.assign(make(spark, [(i, "t", "a") for i in range(9)]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
-    assert F.lit(1) is not None

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from sieveline.llm.substring import remove_repeated_windows
 from sieveline.llm.suffix_dedup import remove_repeated_bytes, repeated_starts
@@ -70,6 +71,23 @@ def test_substring_other_widths(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(rows, 40)
 
 
+@pytest.mark.parametrize("width", [1, 3, 4, 8, 9])
+def test_substring_of_few_words(spark, width):
+    rows = corpus(5, 12)
+    got = remove_repeated_windows(spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA), width).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(rows, width)
+
+
+def test_substring_of_long_texts(spark):
+    """A text longer than a pack, and columns named like the results."""
+    rnd = random.Random(8)
+    long = " ".join(str(rnd.randrange(50000)) for _ in range(250000))
+    rows = [(5, long), (6, "x " + long[1000:90000]), (7, "\u00e9t\u00e9 \u00a0 x" * 30), (8, "\u00e9t\u00e9 \u00a0 x" * 30), (2, long[200000:201000])]
+    df = spark.createDataFrame([(d, t, "x", 1, b"") for d, t in rows], "doc_id long, text string, kept_text string, pack int, marks binary")
+    got = remove_repeated_windows(df).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(rows)
+
+
 def test_substring_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert remove_repeated_windows(empty).count() == 0
@@ -97,11 +115,23 @@ def test_suffix_array_block():
 def test_suffix_dedup_equals_brute_force(spark):
     rows = corpus(4)
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
-    for least, bucket in ((400, 8 << 20), (100, 8 << 20), (100, 0)):
+    for least, bucket in ((400, 1 << 20), (100, 1 << 20), (100, 2000), (100, 0)):  # the last two deal large anchors out anew
         got = remove_repeated_bytes(df, least, bucket_bytes=bucket).collect()
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_bytes(rows, least), (least, bucket)
 
 
+def test_suffix_dedup_of_long_runs_and_copies(spark):
+    """Periodic texts, where one run holds equal strings; copies and rows without a doc_id; names that clash."""
+    rows = [(1, "a" * 9000), (2, "xy" * 3000), (3, "xyz" * 200 + "q"), (None, "ab" * 150), (None, "ab" * 150), (4, "k" * 401), (5, None)]
+    rows += [(10 + i, " ".join(f"v{j * j % 977}" for j in range(300))) for i in range(20)]
+    df = spark.createDataFrame([(d, t, b"k", [1], 5) for d, t in rows], "doc_id long, text string, kept binary, spans array<int>, body int")
+    for bucket in (1 << 20, 1000):
+        got = remove_repeated_bytes(df, 400, bucket_bytes=bucket).where("doc_id IS NOT NULL").collect()
+        want = {d: x for d, x in brute_bytes(rows, 400).items() if d is not None}
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    assert len(remove_repeated_bytes(df).collect()) == len(rows)
+
+
 def test_suffix_dedup_edges(spark):
     assert remove_repeated_bytes(spark.createDataFrame([], SCHEMA)).count() == 0
     text = "".join(map(str, range(400)))
