@@ -18,6 +18,7 @@ from weakref import WeakKeyDictionary
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _own_folder: list[str] = []
@@ -88,11 +89,15 @@ def _at(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    place, system = _at(spark, path)
+    system.delete(place, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete the files behind tables made by ``stored`` that nothing reads any more."""
     for table in tables:
-        place, system = _at(table.sparkSession, _places[table])
-        system.delete(place, True)
+        removed(table.sparkSession, _places[table])
 
 
 def settled(table: DataFrame) -> DataFrame:
@@ -109,8 +114,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            place, system = _at(spark, path)
-            system.delete(place, True)
+            removed(spark, path)
+
+
+def keyed(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows with what tells them apart, without nulls: ID_KEYS, that is doc_id (0 if null), whether it is null, and the text's hash."""
+    text = F.col("text").cast("string")
+    return documents.withColumns({"key_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "key_null": F.col(doc_id).isNull(), "key_text": F.xxhash64(text)})
+
+
+ID_KEYS = ["key_id", "key_null", "key_text"]
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:

@@ -36,20 +36,21 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken for each row.
+    """doc_id, source, size, source_size, target, taken and text_hash (Spark's xxhash64) for each row.
 
     size counts the words (null: 0); source_size sums them. Sources weigh ``weights`` in turn by code point, null
     last, and share ``share`` of all words; none gets over ``most`` times its size. Every document is taken as often
     as the target holds its source whole; the rest of the target goes once more through the source's documents in
     an order seeded by ``seed`` and doc_id, whole documents first and a part of the one at the end, so that a
     source's taken words add up to its target, rounded. taken <= most * size for each document if most is whole.
-    Rows of equal doc_id stand side by side in that order. An empty table gives an empty result.
+    Rows of equal doc_id stand side by side in that order, and so do all without one: a single prefix sum goes over
+    them. Columns besides doc_id, text and source are not read. An empty table gives an empty result.
 
     The order is by hash, so its buckets are ranges of it: sums per (source, bucket) and a prefix scan over these
     tell where each bucket starts, and a source of any size is spread over BUCKETS keys.
     """
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
+    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     sized = stored(sized.withColumn("draw", draw).withColumn("bucket", F.shiftrightunsigned("draw", 64 - BUCKETS.bit_length() + 1)), "op7-sized")
     buckets = stored(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "op7-buckets")
     sources = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -59,7 +60,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     placed = buckets.withColumn("ahead", ahead).join(quotas.withColumnRenamed("source", "q_source"), F.expr("source <=> q_source")).drop("q_source", "words")
     keys = placed.withColumnsRenamed({"source": "p_source", "bucket": "p_bucket"})
     rows = sized.join(keys, F.expr("bucket = p_bucket AND source <=> p_source"))
-    own = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("ahead") + F.coalesce(F.sum("size").over(own), F.lit(0))
     extra = F.least("size", F.greatest(F.col("rest") - start, F.lit(0)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), "text_hash")

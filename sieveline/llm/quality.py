@@ -7,16 +7,18 @@ documents turns it into the score.
 
 Training documents are a documented bounded sample: ``per_class`` labelled documents of each class, those of least
 hash. A document's label stands for its lines at first; in a second pass lines of bad documents take the labels
-that the first model gives them, as such documents have good lines too.
+that the first model gives them, as such documents have good lines too. The model is fitted in a task and only its
+weights come to the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BYTE_KEYS, NOT_SPACE, Rolling, sliced, text_bytes, word_spans
@@ -170,18 +172,25 @@ def held_out(column: str = "doc_id"):
 
 
 def learn(documents: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model | None:
-    """Fit on per_class labelled documents of each class, of least hash, among doc_ids whose crc32 mod 3 is not 1."""
+    """Fit on per_class labelled documents of each class, of least hash, among doc_ids whose crc32 mod 3 is not 1.
+
+    Of several labels of one doc_id the lower counts. The sample, 2 x per_class texts, is gathered in one task and
+    fitted there; rows that repeat a doc_id are all in it.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out())
-    label = {}
-    for value in (0, 1):
-        picked = known.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        label |= {r[0]: value for r in picked.select("doc_id").collect()}
+    place = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = known.select("doc_id", "quality", place.alias("place")).where(F.col("place") <= per_class).drop("place")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = docs.where(F.col("doc_id").isin(list(label))).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")]) if label else None
-    if sample is None or not len(sample):
-        return None
-    return train(sample.column("text").combine_chunks(), np.array([label[i] for i in sample.column("doc_id").to_pylist()]))
+    sample = docs.join(F.broadcast(picked), "doc_id")  # 2 x per_class rows
+
+    def fitted(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        model = train(table.column("text").combine_chunks(), table.column("quality").to_numpy())
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    found = sample.groupBy().applyInArrow(fitted, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def classify(documents: DataFrame, model: Model | None) -> DataFrame:

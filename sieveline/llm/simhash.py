@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, ragged, sliced, stored
+from .common import ID_KEYS, dropped, keyed, ragged, sliced, stored
 from .components import components, stars
 
 SEED = 42
@@ -66,7 +66,7 @@ def _majority(hashes: list[int]) -> int:
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text"):
         prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
 
 def tallied(members: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -178,19 +178,14 @@ def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fp (the unsigned fingerprint's bits as a long) of each row."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_fingerprint_rows, "doc_id long, fp long")
+    """doc_id, text_hash (Spark's xxhash64) and fp (the unsigned fingerprint's bits as a long) of each row."""
+    text = F.col("text").cast("string")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return docs.mapInArrow(_fingerprint_rows, "doc_id long, text_hash long, fp long")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, a row for each row.
-
-    Fingerprints of 3-word shingles (A-Z lower-cased, repeats counted) link at two or fewer differing bits;
-    component_id is the smallest doc_id that can be reached over links. Null, empty and blank texts have the
-    fingerprint zero and are linked like any other. Equal fingerprints are one node, so copies cost nothing; null
-    doc_ids belong to their component but can't name it.
-    """
+def _classes(documents: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp, root (a fingerprint of the class) and component_id of each row."""
     prints = stored(fingerprints(documents), "op10-prints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "op10-nodes")
     masks = [_signed(sum(0xFFFF << (16 * piece) for piece in kind)) for kind in KINDS]
@@ -201,9 +196,32 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     roots = components(edges).withColumnsRenamed({"node": "fp"})
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(named.join(ids, "root").select("fp", "component_id"), "op10-classes")
+    classes = stored(named.join(ids, "root").select("fp", "root", "component_id"), "op10-classes")
     dropped(nodes)
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(classes, "fp")
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, a row for each row.
+
+    Fingerprints of 3-word shingles (A-Z lower-cased, repeats counted) link at two or fewer differing bits;
+    component_id is the smallest doc_id that can be reached over links. Null, empty and blank texts have the
+    fingerprint zero and are linked like any other. Equal fingerprints are one node, so copies cost nothing; null
+    doc_ids belong to their component but can't name it, and a component of nothing else has a null id. Columns
+    besides doc_id and text are not read.
+    """
+    return _classes(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """One row of each class of near duplicates: that of least doc_id, of several such the one whose text has the least hash.
+
+    A class without any doc_id keeps one row too. Of rows of one doc_id and one text any may be the one.
+    """
+    kept = _classes(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("key_text"))
+    kept = kept.select(F.coalesce("doc_id", F.lit(0)).alias("key_id"), F.col("doc_id").isNull().alias("key_null"), "key_text")
+    return keyed(documents).join(kept, ID_KEYS).dropDuplicates(ID_KEYS).drop(*ID_KEYS)
 
 
 def _signed(x: int) -> int:
