@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, normal_doi, nonblank, rx
+from ..tables import stored
 from .article import DOI
 
 DOI_WINDOW, TITLE_WINDOW, THRESHOLD = 3000, 4000, 0.5
@@ -29,51 +30,88 @@ def by_file_name(files: DataFrame, registry: DataFrame) -> DataFrame:
     return files.select("file", file_key("stem").alias("key")).where("key <> ''").join(keys, "key").select("file", "paper_id")
 
 
+def head_dois(text: Column | str, window: int = DOI_WINDOW) -> Column:
+    """All DOIs near the top of a text, in order."""
+    found = F.regexp_extract_all(F.substring(text, 1, window), F.lit(rx(DOI, "iu")), 0)
+    return F.transform(found, lambda d: normal_doi(F.rtrim(d, F.lit(").,;"))))
+
+
+def head_words(text: Column | str, window: int = TITLE_WINDOW) -> Column:
+    """The distinct words near the top of a text, as numbers: 64-bit hashes, so that no word is shuffled."""
+    return F.transform(word_set(F.substring(text, 1, window)), lambda w: F.xxhash64(w))
+
+
 def by_doi(files: DataFrame, registry: DataFrame, window: int = DOI_WINDOW) -> DataFrame:
     """file and paper_id of the first DOI near the top of the text that the registry has; of equal DOIs its last row."""
+    return _cited(files.select("file", head_dois("text", window).alias("dois")), registry)
+
+
+def _cited(heads: DataFrame, registry: DataFrame) -> DataFrame:
     known = registry.where(F.coalesce("doi", F.lit("")) != "").groupBy("doi").agg(F.max_by("paper_id", "ord").alias("paper_id"))
-    found = F.regexp_extract_all(F.substring("text", 1, window), F.lit(rx(DOI, "iu")), 0)
-    dois = F.transform(found, lambda d: normal_doi(F.rtrim(d, F.lit(").,;"))))
-    return files.select("file", F.posexplode(dois).alias("at", "doi")).join(known, "doi").groupBy("file").agg(F.min_by("paper_id", "at").alias("paper_id"))
+    found = heads.select("file", F.posexplode("dois").alias("at", "doi")).join(known, "doi")
+    return found.groupBy("file").agg(F.min_by("paper_id", "at").alias("paper_id"))
 
 
 def by_title(files: DataFrame, registry: DataFrame, threshold: float = THRESHOLD, window: int = TITLE_WINDOW) -> DataFrame:
     """file, paper_id and score: the title of which most words stand near the top of the text, if half of them do.
 
-    Of equal scores the first row of the registry wins. A title that reaches the threshold shares one at least of
-    any ceil-complement of its words with the text, so only its rarest words, so many, are looked up (a join on
-    words, no product of files and titles); candidates are then counted in full.
+    Of equal scores the first row of the registry wins. See ``_titled`` for how it is found without a product of
+    files and titles. Files' words are made once and stored, as two joins use them.
+    """
+    return _titled(stored(files.select("file", head_words("text", window).alias("words")), "title-heads"), registry, threshold)
+
+
+def _titled(heads: DataFrame, registry: DataFrame, threshold: float) -> DataFrame:
+    """The best title for each file by counts of shared words; ``heads`` holds files' words as numbers.
+
+    A title of n words needs ``needed`` of them. Sorted by rarity, its words but the last needed - e make a front: a
+    file that has enough words has e of those in the front at least (e is 2, or 1 where one word is enough). Fronts
+    are looked up and counted; what passes is counted in full with the words behind the front. All joins are on
+    single words, and all that is shuffled is numbers.
     """
-    titles = registry.select("ord", "paper_id", word_set(F.col("title")).alias("title_words")).where(F.size("title_words") > 0)
-    each = titles.select("ord", "paper_id", F.size("title_words").alias("n"), F.explode("title_words").alias("word"))
+    titles = registry.select("ord", "paper_id", F.transform(word_set(F.col("title")), lambda w: F.xxhash64(w)).alias("title_words")).where(F.size("title_words") > 0)
+    needed = F.greatest(F.lit(1), F.ceil(F.size("title_words") * threshold - 1e-9).cast("int"))
+    each = titles.select("ord", "paper_id", F.size("title_words").alias("n"), needed.alias("needed"), F.explode("title_words").alias("word"))
     rarity = each.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    listed = each.join(rarity, "word").groupBy("ord", "paper_id", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "word"))).alias("ranked"))
-    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9).cast("int"))
-    index = listed.select("ord", F.explode(F.slice(F.transform("ranked", lambda r: r["word"]), F.lit(1), F.col("n") - needed + 1)).alias("word"))
-    heads = files.select("file", word_set(F.substring("text", 1, window)).alias("head_words"))
-    candidates = heads.select("file", F.explode("head_words").alias("word")).join(index, "word").select("file", "ord").distinct()
-    scored = candidates.join(heads, "file").join(titles, "ord").withColumn("score", F.size(F.array_intersect("title_words", "head_words")) / F.size("title_words"))
-    best = scored.where((F.col("score") >= threshold) & (F.col("score") > 0)).groupBy("file").agg(F.max_by(F.struct("paper_id", "score"), F.struct("score", -F.col("ord"))).alias("best"))
+    place = F.row_number().over(Window.partitionBy("ord", "paper_id").orderBy("freq", "word"))
+    least = F.least(F.lit(2), "needed")
+    ranked = stored(each.join(rarity, "word").select("ord", "paper_id", "n", "needed", "word", least.alias("least"), (place <= F.col("n") - F.col("needed") + least).alias("front")), "title-words")
+    own = heads.select("file", F.explode("words").alias("word"))
+    fronts = own.join(ranked.where("front").drop("front"), "word").groupBy("file", "ord", "paper_id").agg(F.count(F.lit(1)).alias("shared"), *(F.first(c).alias(c) for c in ("n", "needed", "least")))
+    behind = ranked.where("NOT front").groupBy("ord", "paper_id").agg(F.collect_list("word").alias("rest"))  # a title's words at most
+    likely = fronts.where("shared >= least").join(behind, ["ord", "paper_id"], "left")
+    asked = likely.select("file", "ord", "paper_id", "shared", "n", "needed", F.explode_outer("rest").alias("word"))
+    met = asked.join(own.withColumn("there", F.lit(1)), ["file", "word"], "left")
+    counted = met.groupBy("file", "ord", "paper_id").agg((F.first("shared") + F.count("there")).alias("shared"), F.first("n").alias("n"), F.first("needed").alias("needed"))
+    scored = counted.where("shared >= needed").withColumn("score", F.col("shared") / F.col("n"))
+    best = scored.groupBy("file").agg(F.max_by(F.struct("paper_id", "score"), F.struct("score", -F.col("ord"))).alias("best"))
     return best.select("file", "best.paper_id", "best.score")
 
 
 def match_files(files: DataFrame, registry: DataFrame) -> DataFrame:
     """file, paper_id, match_method, confidence and status: by file name, else DOI, else title, else unmatched.
 
-    Files without any text failed. Later ways only see the files that earlier ones left.
+    Files without any text failed. Later ways only see the files that earlier ones left. Each text is read once: what
+    the three ways need of it goes to a small table.
     """
-    readable = files.where(nonblank("text").isNotNull())
-    named = by_file_name(readable, registry).select("file", "paper_id", F.lit("filename").alias("match_method"), F.lit(1.0).alias("confidence"))
-    rest = readable.join(named, "file", "left_anti")
-    cited = by_doi(rest, registry).select("file", "paper_id", F.lit("doi").alias("match_method"), F.lit(0.95).alias("confidence"))
-    rest = rest.join(cited, "file", "left_anti")
-    titled = by_title(rest, registry).select("file", "paper_id", F.lit("title").alias("match_method"), F.bround("score", 3).alias("confidence"))
-    found = named.unionByName(cited).unionByName(titled)
-    failed = nonblank("text").isNull()
-    joined = files.select("file", failed.alias("failed")).join(found, "file", "left")
-    method = F.when(F.col("failed"), "extraction_failed").otherwise(F.coalesce("match_method", F.lit("unmatched")))
-    status = F.when(F.col("failed"), "failed").when(F.col("paper_id").isNull(), "unmatched").otherwise("matched")
-    return joined.select("file", F.coalesce("paper_id", F.lit("")).alias("paper_id"), method.alias("match_method"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), status.alias("status"))
+    readable = nonblank("text").isNotNull()
+    heads = files.select("file", readable.alias("readable"), file_key("stem").alias("key"), F.when(readable, head_dois("text")).alias("dois"), F.when(readable, head_words("text")).alias("words"))
+    heads = stored(heads, "match-heads")
+    names = registry.select(file_key("paper_id").alias("key"), "paper_id", "ord").groupBy("key").agg(F.min_by("paper_id", "ord").alias("named")).where("key <> ''")
+    named = stored(heads.where("readable").select("file", "key").join(names, "key").select("file", "named"), "match-named")
+    rest = heads.where("readable").join(named, "file", "left_anti")
+    cited = stored(_cited(rest.select("file", "dois"), registry).withColumnRenamed("paper_id", "cited"), "match-cited")
+    rest = rest.join(cited, "file", "left_anti").select("file", "words")
+    titled = _titled(rest, registry, THRESHOLD).withColumnRenamed("paper_id", "titled")
+    joined = heads.select("file", "readable").join(named, "file", "left").join(cited, "file", "left").join(titled, "file", "left")
+    ways = [(~F.col("readable"), "extraction_failed", 0.0), (F.col("named").isNotNull(), "filename", 1.0), (F.col("cited").isNotNull(), "doi", 0.95)]
+    ways.append((F.col("titled").isNotNull(), "title", F.bround("score", 3)))
+    method, confidence = F.lit("unmatched"), F.lit(0.0)
+    for holds, name, value in reversed(ways):
+        method, confidence = F.when(holds, name).otherwise(method), F.when(holds, value).otherwise(confidence)
+    paper = F.coalesce("named", "cited", "titled")
+    status = F.when(~F.col("readable"), "failed").when(paper.isNull(), "unmatched").otherwise("matched")
+    return joined.select("file", F.coalesce(paper, F.lit("")).alias("paper_id"), method.alias("match_method"), confidence.alias("confidence"), status.alias("status"))
 
 
 def settle_claims(matches: DataFrame, *order: Column | str) -> DataFrame:
