@@ -9,114 +9,27 @@ Rules all operators of this subpackage keep:
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
-from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import dropped, removed, scratch, settled, shared_folder, stored
+
+__all__ = ["dropped", "removed", "scratch", "settled", "shared_folder", "stored"]
+
 U64 = np.uint64
-_own_folder: list[str] = []
-_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-_scopes: list[list[str]] = []
 
 #: Multiplier of the rolling hashes and its inverse mod 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 
-#: While a table is written: its shuffle files go as soon as it is there, and Arrow batches stay small.
-WRITING = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
-}
-#: Stored tables of fewer bytes than this for each partition are read in fewer partitions.
-PART_BYTES = 8 << 20
 #: Bytes of text that are looked at together.
 SLICE = (1 << 20) - 64
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir.
-
-    Where that is unset: a folder in the warehouse, which all machines of a cluster see, or with a local master,
-    where there is one machine, a temporary one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sieveline-tables"
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="sieveline-"))
-    return _own_folder[0]
-
-
-@contextlib.contextmanager
-def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    with _set(spark, WRITING):
-        df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    _places[table] = path
-    if _scopes:
-        _scopes[-1].append(path)
-    return table
-
-
-def _at(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    place, system = _at(spark, path)
-    system.delete(place, True)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete the files behind tables made by ``stored`` that nothing reads any more."""
-    for table in tables:
-        removed(table.sparkSession, _places[table])
-
-
-def settled(table: DataFrame) -> DataFrame:
-    """A stored table in as many partitions as its bytes ask for; a table of one partition needs no exchange at all."""
-    place, system = _at(table.sparkSession, _places[table])
-    return table.coalesce(1 + int(system.getContentSummary(place).getLength()) // PART_BYTES)
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end the tables that operators stored inside it; results have to be written before that."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        for path in _scopes.pop():
-            removed(spark, path)
-
-
 def keyed(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows with what tells them apart, without nulls: ID_KEYS, that is doc_id (0 if null), whether it is null, and the text's hash."""
     text = F.col("text").cast("string")
