@@ -46,15 +46,25 @@ def is_provisional(audited: Column, total: Column) -> Column:
     return audited < total * 0.2
 
 
+def breakdown(counts: DataFrame, by: str = "field_name") -> DataFrame:
+    """The lines of the report's last part in order: ``by`` and line, for groups with any of the four verdicts."""
+    some = F.array_compact(F.array(*[F.when(F.col(v) > 0, F.concat(F.lit(f"{v}="), F.col(v).cast("string"))) for v in VERDICTS]))
+    return counts.where(F.size(some) > 0).select(by, F.concat(F.lit("  "), by, F.lit(": "), F.array_join(some, ", ")).alias("line")).orderBy(by)
+
+
 def report(result: Row, fields: list[Row], total_papers: int) -> str:
     """The text report of one result row and the counts by field_name."""
     audited = result["n_papers_audited"]
     out = [
         f"Reliability score: {result['shrunk_score_10']}/10  (raw, unshrunk: {result['raw_score_10']}/10)",
-        f"Based on {result['n_scored_verdicts']} scored field-verdicts across {audited}/{total_papers} papers audited ({result['n_field_verdicts']} total verdicts including unverifiable).",
+        f"Based on {result['n_scored_verdicts']} scored field-verdicts across {audited}/{total_papers} papers audited "
+        f"({result['n_field_verdicts']} total verdicts including unverifiable).",
     ]
     if audited < total_papers * 0.2:
-        out.append(f"CAUTION: only {audited}/{total_papers} papers have been audited so far; this score is provisional.")
+        out.append(
+            f"CAUTION: only {audited}/{total_papers} papers have been audited so far - this score is a provisional estimate, "
+            "not a corpus-wide reliability figure. It will change, possibly a lot, as more papers are audited."
+        )
     out += ["", "Verdict breakdown: " + ", ".join(f"{v}={result[f'n_{v}']}" for v in VERDICTS), "", "By field:"]
     for row in sorted(fields, key=lambda r: r["field_name"]):
         if any(row[v] for v in VERDICTS):

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matching, records, score
 from ..sources import files, providers, tables
+from ..tables import stored
 
 
 def scrape(spark: SparkSession, folder: str, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -18,6 +19,40 @@ def scrape(spark: SparkSession, folder: str, registry: DataFrame) -> tuple[DataF
     return manifest, providers.local_cache(texts, manifest, known)
 
 
+def scrape_stage(spark: SparkSession, folder: str, registry_csv: str, out: str) -> Row:
+    """Articles of a folder into ``out``: manifest (CSV) and cache (a table); returns what was found and what is missing."""
+    registry = tables.read_registry(spark, registry_csv)
+    manifest, cache = scrape(spark, folder, registry)
+    manifest = stored(manifest, "scrape-manifest")
+    tables.write_scrape_manifest(manifest, f"{out}/manifest")
+    cache.write.mode("overwrite").parquet(f"{out}/cache")
+    return matching.scrape_totals(tables.for_matching(registry), manifest).first()
+
+
+def fetch_stage(spark: SparkSession, registry_csv: str, cache_table: str, out: str, literature: Callable, connections: int = 1) -> list[Row]:
+    """Texts of papers that the cache lacks or that failed, appended to it; the manifest (CSV) of all. Returns counts by outcome."""
+    registry = tables.for_matching(tables.read_registry(spark, registry_csv))
+    empty = spark.createDataFrame([], providers.CACHE)
+    cache = spark.read.parquet(cache_table) if tables.exists(spark, cache_table) else empty
+    fetched = stored(providers.fetch_texts(providers.to_do(registry, cache), literature, connections), "fetched")
+    kept = cache.select(*empty.columns).join(fetched.select("paper_id"), "paper_id", "left_anti")
+    whole = stored(kept.unionByName(fetched), "fetched-all")  # before the table it reads is replaced
+    whole.write.mode("overwrite").parquet(cache_table)
+    tables.write_fetch_manifest(whole, f"{out}/fetch_manifest")
+    return providers.fetch_counts(whole).collect()
+
+
+def compare_stage(spark: SparkSession, registry_csv: str, flat_csv: str, out: str) -> None:
+    """What was recorded beside what was found, as a CSV."""
+    registry = tables.read_registry(spark, registry_csv)
+    tables.write_side_by_side(records.side_by_side(registry, tables.read_flat(spark, flat_csv)), f"{out}/side_by_side")
+
+
+def score_stage(spark: SparkSession, registry_csv: str, verdicts_csv: str) -> str:
+    """The reliability report of the verdicts so far."""
+    return reliability_report(tables.read_table(spark, verdicts_csv, tables.VERDICTS), tables.read_registry(spark, registry_csv))
+
+
 def chosen_papers(registry: DataFrame, paper_id: str | None = None, limit: int | None = None) -> DataFrame:
     """One paper, or the first ``limit`` of the registry's order; 0 and None mean all."""
     rows = registry.where(F.col("paper_id") == paper_id) if paper_id else registry
@@ -31,21 +66,33 @@ def pairs(papers: DataFrame, cache: DataFrame, modalities: list[str] | None = No
     return papers.select("paper_id").join(read, "paper_id").crossJoin(F.broadcast(kinds))  # four rows at most
 
 
+def _open(work: DataFrame, done: DataFrame, force: bool) -> DataFrame:
+    return work if force else work.join(done.select("paper_id", "modality"), ["paper_id", "modality"], "left_anti")
+
+
+def extraction_messages(work: DataFrame, prompts: DataFrame) -> DataFrame:
+    """work and the message for each pair. ``prompts``: modality, prompt."""
+    return work.join(prompts, "modality").withColumn("message", providers.extraction_message("text", "text_source", "prompt"))
+
+
 def reextract(work: DataFrame, done: DataFrame, prompts: DataFrame, model: Callable, force: bool = False) -> DataFrame:
-    """paper_id, modality, json and error of the pairs without a result yet (all with force). ``prompts``: modality, prompt."""
-    open_ = work if force else work.join(done.select("paper_id", "modality"), ["paper_id", "modality"], "left_anti")
-    asked = open_.join(prompts, "modality").withColumn("message", providers.extraction_message("text", "text_source", "prompt"))
-    return providers.answers(asked, model)
+    """paper_id, modality, json and error of the pairs without a result yet (all with force)."""
+    return providers.answers(extraction_messages(_open(work, done, force), prompts), model, contract=providers.EXTRACTION)
 
 
-def verify(work: DataFrame, done: DataFrame, registry: DataFrame, flat: DataFrame, model: Callable, force: bool = False) -> DataFrame:
-    """The same for verdicts on the recorded values, with the fresh results as context."""
-    open_ = work if force else work.join(done.select("paper_id", "modality"), ["paper_id", "modality"], "left_anti")
+def verification_messages(work: DataFrame, registry: DataFrame, flat: DataFrame) -> DataFrame:
+    """work and the message for each pair: the recorded values of its fields, with the fresh results as context."""
     audited = records.audited_fields(registry.sparkSession)
-    values = records.recorded_values(registry).join(audited, "field_name").groupBy("paper_id", "modality").agg(F.array_sort(F.collect_list(F.struct("field_ord", "field_name", "recorded_value"))).alias("values"))
-    context = open_.join(values, ["paper_id", "modality"]).join(records.modality_summaries(flat), ["paper_id", "modality"], "left")
+    values = records.recorded_values(registry).join(audited, "field_name").groupBy("paper_id", "modality")
+    values = values.agg(F.array_sort(F.collect_list(F.struct("field_ord", "field_name", "recorded_value"))).alias("values"))
+    context = work.join(values, ["paper_id", "modality"]).join(records.modality_summaries(flat), ["paper_id", "modality"], "left")
     summary = F.coalesce("summary", F.lit("(no re-extraction available for this modality)"))
-    return providers.answers(context.withColumn("message", providers.verification_message("text", "text_source", summary, "values")), model)
+    return context.withColumn("message", providers.verification_message("text", "text_source", summary, "values"))
+
+
+def verify(work: DataFrame, done: DataFrame, registry: DataFrame, flat: DataFrame, model: Callable, force: bool = False) -> DataFrame:
+    """The same as ``reextract`` for verdicts on the recorded values."""
+    return providers.answers(verification_messages(_open(work, done, force), registry, flat), model, contract=providers.VERIFICATION)
 
 
 def reliability_report(verdicts: DataFrame, registry: DataFrame) -> str:

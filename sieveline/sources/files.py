@@ -22,21 +22,41 @@ def _name(path: str = "path"):
     return F.element_at(F.split(path, "/"), -1)
 
 
-def list_files(spark: SparkSession, path: str, skip_readme: bool = False) -> DataFrame:
-    """path, suffix and stem of the articles under a folder, or of the one file; zero-length files are listed too."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
+#: The suffixes as a glob that holds whatever their case.
+GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in suffix) for suffix in SUFFIXES) + "}"
+
+
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    """Spark's reader of whole files, held to the suffixes; it leaves out files of no length."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(path)
+
+
+def _described(paths: DataFrame, skip_readme: bool) -> DataFrame:
+    named = paths.withColumns({"suffix": F.lower(F.regexp_extract(_name(), r"\.([^.]+)$", 1)), "stem": F.regexp_replace(_name(), r"(?<=.)\.[^.]+$", "")})
+    return named.where(F.lower("stem") != "readme") if skip_readme else named
+
+
+def _checked(spark: SparkSession, path: str) -> None:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(root):
         raise FileNotFoundError(path)
     if not system.getFileStatus(root).isDirectory() and path.rsplit(".", 1)[-1].lower() not in SUFFIXES:
         raise UnsupportedFileType(path)
-    found, walk = [], system.listFiles(root, True)  # names alone; contents are read by the executors
-    while walk.hasNext():
-        found.append((walk.next().getPath().toString(),))
-    files = spark.createDataFrame(found, "path string").withColumn("suffix", F.lower(F.regexp_extract(_name(), r"\.([^.]+)$", 1)))
-    files = files.withColumn("stem", F.regexp_replace(_name(), r"(?<=.)\.[^.]+$", "")).where(F.col("suffix").isin(*SUFFIXES))
-    return files.where(F.lower("stem") != "readme") if skip_readme else files
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """path of every file, those of no length too: the names that Spark's own listing holds, in one call."""
+    found = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", _contents(spark, path)._jdf.inputFiles())
+    names = spark.createDataFrame([(name,) for name in found.split("\n") if name], "path string")
+    plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    return names.select(F.regexp_replace(plain, "^([A-Za-z0-9+.-]+):///", "$1:/").alias("path"))  # as the reader writes them
+
+
+def list_files(spark: SparkSession, path: str, skip_readme: bool = False) -> DataFrame:
+    """path, suffix and stem of the articles under a folder, or of the one file; files of no length are listed too."""
+    _checked(spark, path)
+    return _described(_listed(spark, path), skip_readme)
 
 
 @F.pandas_udf(T.StringType())
@@ -73,31 +93,49 @@ def load_texts(spark: SparkSession, path: str, skip_readme: bool = False) -> Dat
 
     Plain text is UTF-8 with replacement characters; all line ends become \\n.
     """
-    files = list_files(spark, path, skip_readme)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    content = reader.load(path).select("path", "content")
-    joined = files.join(content, "path", "left")
-    plain = F.regexp_replace(F.make_valid_utf8(F.coalesce(F.col("content"), F.lit(b"")).cast("string")), r"\r\n?", "\n")
-    pdf = joined.where("suffix = 'pdf'").withColumn("text", pdf_text("content"))
-    text = joined.where("suffix <> 'pdf'").withColumn("text", plain)
-    return pdf.unionByName(text).select(F.col("path").alias("file"), "stem", "suffix", "text")
+    _checked(spark, path)
+    content = _described(_contents(spark, path).select("path", "content"), skip_readme)
+    plain = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\r\n?", "\n")
+    is_pdf = F.col("suffix") == "pdf"
+    # one scan for all kinds; what is no PDF goes through Python as a null
+    read = content.withColumn("from_pdf", pdf_text(F.when(is_pdf, F.col("content"))))
+    read = read.select("path", "stem", "suffix", F.when(is_pdf, F.col("from_pdf")).otherwise(plain).alias("text"))
+    blank = _described(_listed(spark, path).join(_contents(spark, path).select("path"), "path", "left_anti"), skip_readme)
+    blank = blank.select("path", "stem", "suffix", F.when(~is_pdf, F.lit("")).alias("text"))
+    return read.unionByName(blank).withColumnRenamed("path", "file")
+
+
+#: Elements of a journal article's body that are kept, and what stands in front of their text.
+MARKS = {"title": "\n## ", "p": ""}
 
 
 def flat_xml_text(xml: str | None) -> str | None:
-    """Headings and paragraphs of a journal article's body in document order; null without a body or if malformed."""
+    """Headings and paragraphs of a journal article's body in document order; null without a body or if malformed.
+
+    An element's text is that of everything inside it, with single spaces. Only the first body counts.
+    """
+    open_, out, depth = [], [], 0
     try:
-        body = ElementTree.fromstring(xml or "").find(".//body")
+        parser = ElementTree.XMLPullParser(("start", "end"))
+        parser.feed(xml or "")
+        parser.close()
+        for event, node in parser.read_events():
+            kind = node.tag.rpartition("}")[2]
+            if event == "start":
+                depth += bool(depth) or (node.tag == "body" and not out)
+                if depth > 1 and kind in MARKS:
+                    out.append("")  # its place is where it starts
+                    open_.append(len(out) - 1)
+                elif depth == 1:
+                    out.append("")
+            elif depth:
+                if depth > 1 and kind in MARKS:
+                    text = " ".join("".join(node.itertext()).split())
+                    out[open_.pop()] = MARKS[kind] + text if text else ""
+                depth -= 1
     except ElementTree.ParseError:
         return None
-    if body is None:
-        return None
-    out = []
-    for node in body.iter():
-        kind = node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
-        text = " ".join("".join(node.itertext()).split()) if kind in ("title", "p") else ""
-        if text:
-            out.append(f"\n## {text}" if kind == "title" else text)
-    return "\n".join(out).strip() or None
+    return "\n".join(x for x in out if x).strip() or None
 
 
 @F.pandas_udf(T.StringType())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_doi, strip
@@ -14,7 +14,7 @@ VERDICTS = "paper_id string, modality string, field_name string, verdict string,
 MANIFEST = "file string, paper_id string, match_method string, confidence double, status string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
@@ -48,7 +48,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with a known schema, by column name; empty if the file is not there. Any column *_field is field_name."""
     want = spark.createDataFrame([], schema)
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return want
     got = read_csv(spark, path)
     for c in got.columns:
@@ -88,6 +88,49 @@ def write_verdicts(verdicts: DataFrame, path: str) -> None:
     write_csv(records.triaged(verdicts, "paper_id", "modality", "field_name").select("paper_id", "modality", "field_name", "verdict", "confidence", "explanation", "evidence_quote"), path, True)
 
 
-def write_json_by_key(df: DataFrame, path: str, key: str) -> None:
-    """A folder of JSON lines for each key."""
-    df.write.mode("overwrite").partitionBy(key).json(path)
+def write_fetch_manifest(cache: DataFrame, path: str) -> None:
+    """How each paper's text was fetched: all but the text."""
+    write_csv(cache.select("paper_id", "doi", "pmid", "pmcid", "text_source", "status", "fetched_at", "error").orderBy("paper_id"), path, True)
+
+
+def write_scrape_manifest(manifest: DataFrame, path: str) -> None:
+    """Which file was matched to which paper, in the files' order."""
+    write_csv(manifest.select("file", "paper_id", "match_method", "confidence", "status").orderBy(F.split("file", "/")), path, True)
+
+
+def write_side_by_side(rows: DataFrame, path: str) -> None:
+    """Recorded beside found values, in the registry's order."""
+    ordered = rows.orderBy("ord", "mod_ord", "field_ord", "kind", "row_index")
+    write_csv(ordered.select("paper_id", "title", "modality", "field_name", "row_label", "recorded_value", F.col("found_value").alias("reextracted_value"), "source_quote", "figure_ref"), path, True)
+
+
+def indented_json(*columns: Column | str) -> Column:
+    """A row's columns as one indented JSON object; other letters than ASCII's stay as they are."""
+    return F.to_json(F.struct(*columns), {"pretty": "true", "ignoreNullFields": "false"})
+
+
+def write_files(rows: DataFrame, folder: str, name: str, body: str) -> int:
+    """A file for each row, as it comes, in any store that Spark reaches; a later row of one name wins. The number of rows.
+
+    The driver holds a partition at once. For more rows than a folder should have files, write a table instead.
+    """
+    spark = rows.sparkSession
+    path, n = spark._jvm.org.apache.hadoop.fs.Path, 0
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for n, (to, text) in enumerate(rows.select(name, body).toLocalIterator(), 1):
+        out = system.create(path(f"{folder}/{to}"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return n
+
+
+def write_json_by_key(df: DataFrame, folder: str, key: str) -> int:
+    """An indented JSON file for each row, named by its key; ``read_json_by_key`` reads them."""
+    return write_files(df.select(F.concat(key, F.lit(".json")).alias("name"), indented_json("*").alias("body")), folder, "name", "body")
+
+
+def write_articles(articles: DataFrame, folder: str) -> int:
+    """An indented JSON file for each article, named by its file's stem; of two with one stem the later path wins."""
+    stem = F.regexp_replace(F.element_at(F.split("source_file", "/"), -1), r"(?<=.)\.[^.]+$", "")
+    shaped = articles.withColumn("sections", F.map_from_entries("sections")).orderBy(F.split("source_file", "/"))
+    return write_files(shaped.select(F.concat(stem, F.lit(".json")).alias("name"), indented_json("*").alias("body")), folder, "name", "body")
