@@ -59,17 +59,52 @@ def natural_order(c: Column | str) -> list[Column]:
     return [F.get(parts, F.lit(0)), F.try_to_number(F.nullif(F.regexp_extract(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"^\s*(\d+)", 1), F.lit("")), F.lit("999999999999"))]
 
 
+def order_columns(key: str = "id", down: bool = False) -> list[Column]:
+    """By natural id, by confidence (none counts as -1), by matched, or by a column's text whatever its case."""
+    by = {"id": natural_order("id"), "confidence": [F.coalesce("confidence", F.lit(-1.0))], "matched": [F.col("matched")]}.get(key, [F.lower(F.col(key).cast("string"))])
+    return [c.desc() if down else c.asc() for c in by]
+
+
 def ordered(rows: DataFrame, key: str = "id", down: bool = False) -> DataFrame:
-    """By natural id, by confidence (none counts as -1), by matched, or by a column's text."""
-    by = natural_order("id") if key == "id" else [F.coalesce(key, F.lit(-1.0))] if key == "confidence" else [F.col(key)]
-    return rows.orderBy(*[c.desc() if down else c.asc() for c in by], "ord")
+    return rows.orderBy(*order_columns(key, down), "ord")
+
+
+def verdict_order(verdict: Column | str, down: bool = False) -> list[Column]:
+    """By severity, unknown verdicts behind the known ones (and in front if turned round)."""
+    by = severity(verdict, 9)
+    return [by.desc() if down else by.asc()]
+
+
+def triage_filtered(rows: DataFrame, shown: list[str], term: str = "") -> DataFrame:
+    """Verdicts of the kinds in ``shown``, with the term in ID, title, field or modality."""
+    blob = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("paper_id", "title", "field_name", "modality")]))
+    return rows.where(F.col("verdict").isin(*shown) & F.contains(blob, F.lit(term.lower())))
+
+
+def review_order() -> list[Column]:
+    """Papers by ID as a text."""
+    return [F.col("paper_id").asc()]
+
+
+def nested(side_by_side: DataFrame) -> DataFrame:
+    """paper_id, title and fields: of each paper its fields in order, each with its rows. A paper's rows are few."""
+    row = F.struct("mod_ord", "field_ord", "kind", "row_index", "row_label", "found_value", "source_quote", "figure_ref")
+    fields = side_by_side.groupBy("paper_id", "mod_ord", "field_ord", "field_name").agg(F.min("title").alias("title"), F.min("recorded_value").alias("recorded_value"), F.array_sort(F.collect_list(row)).alias("rows"))
+    field = F.struct("mod_ord", "field_ord", "field_name", "recorded_value", F.transform("rows", lambda r: r.dropFields("mod_ord", "field_ord")).alias("rows"))
+    papers = fields.groupBy("paper_id").agg(F.min("title").alias("title"), F.array_sort(F.collect_list(field)).alias("fields"))
+    return papers.withColumn("fields", F.transform("fields", lambda f: f.dropFields("mod_ord", "field_ord")))
+
+
+def review_searched(papers: DataFrame, term: str) -> DataFrame:
+    """Papers with the term in their ID or title."""
+    return papers.where(F.contains(F.lower(F.concat("paper_id", F.lit(" "), F.coalesce("title", F.lit("")))), F.lit(term.lower())))
 
 
 def verdict_view(verdicts: DataFrame, chip: str = "all", term: str = "") -> DataFrame:
     """Verdicts by severity, unknown ones before none; the quote of nothing stated is not shown."""
     shown = verdicts if chip == "all" else verdicts.where(F.col("verdict") == chip)
     quote = F.when(F.lower(strip(F.coalesce("evidence_quote", F.lit("")))) == "not explicitly stated", "").otherwise(F.coalesce("evidence_quote", F.lit("")))
-    return searched(shown, term, ["paper_id", "field_name", "explanation", "evidence_quote"]).withColumn("shown_quote", quote).orderBy(severity("verdict", 9), "paper_id", "field_name")
+    return searched(shown, term, ["paper_id", "field_name", "explanation", "modality"]).withColumn("shown_quote", quote).orderBy(*verdict_order("verdict"), "paper_id", "field_name")
 
 
 def doi_label(c: Column | str) -> Column:

@@ -12,7 +12,7 @@ from ..operators import article, dashboard, matching, records, score
 from ..sources import files as file_sources
 from ..sources import providers
 
-from .inputs import ARTICLES, FILES, FLAT, REGISTRY, VERDICTS, derived, sql
+from .inputs import ARTICLES, FILES, FLAT, REGISTRY, VERDICTS, article_part, derived, sql
 
 FLAGSHIP = "reliability_score"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,28 +105,48 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 A = f"({sql(ARTICLES)}) AS a"
+FIELDS = ["title", "authors", "first_email", "keywords", "doi", "journal", "publication_year", "refs", "section_names", "results", "abstract"]
 
 
-@_query(rf"""SELECT doc_id, trim(split_part(text, chr(10), 2), ' ') AS title, 'Ann Bee|Cy D. Dee|Eff Gee' AS authors, concat('mail', doc_id, '@lab.example.org') AS first_email, 'alpha|Beta|gamma' AS keywords,
- nullif(rtrim(regexp_extract(text, '10\.1234/doc[^\s]+'), ').,;'), '') AS doi, 'Journal of Sample Studies' AS journal, CAST(1990 + doc_id % 30 AS VARCHAR) AS publication_year, '[First paper, 2001.][Second paper.]' AS refs,
- 'abstract|introduction|results' AS section_names, trim(split_part(split_part(text, chr(10) || 'Abstract' || chr(10), 2), chr(10) || 'Keywords: alpha', 1), chr(10) || ' ') AS abstract FROM {A}""")
+@_query(f"SELECT doc_id, {', '.join(f'{article_part(f)} AS {f}' for f in FIELDS)} FROM documents")
 def article_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = article.parse_articles(derived(spark, sf_dir, ARTICLES), source_file="doc_id")
     names = F.array_join(F.transform("sections", lambda s: s["name"]), "|")
-    return parsed.select(F.col("source_file").alias("doc_id"), "title", F.array_join("authors", "|").alias("authors"), F.get("emails", F.lit(0)).alias("first_email"), F.array_join("keywords", "|").alias("keywords"), "doi", "journal", "publication_year", F.array_join(F.transform("references", lambda r: F.concat(F.lit("["), r, F.lit("]"))), "").alias("refs"), names.alias("section_names"), "abstract")
-
-
-@_query(rf"""SELECT doc_id AS source_file, trim(split_part(text, chr(10), 2), ' ') AS title, 'Ann Bee; Cy D. Dee; Eff Gee' AS authors, nullif(rtrim(regexp_extract(text, '10\.1234/doc[^\s]+'), ').,;'), '') AS doi, 'Journal of Sample Studies' AS journal,
- CAST(1990 + doc_id % 30 AS VARCHAR) AS publication_year, CAST(len(regexp_extract_all(text, '[^\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+')) AS INTEGER) AS word_count FROM {A}""")
+    return parsed.select(
+        F.col("source_file").alias("doc_id"),
+        "title",
+        F.array_join("authors", "|").alias("authors"),
+        F.get("emails", F.lit(0)).alias("first_email"),
+        F.array_join("keywords", "|").alias("keywords"),
+        "doi",
+        "journal",
+        "publication_year",
+        F.array_join(F.transform("references", lambda r: F.concat(F.lit("["), r, F.lit("]"))), "").alias("refs"),
+        names.alias("section_names"),
+        F.get(F.filter("sections", lambda s: s["name"] == "results"), F.lit(0))["body"].alias("results"),
+        "abstract",
+    )
+
+
+_SUMMARY = ["title", "doi", "journal", "publication_year"]
+_WORD_COUNT = r"CAST(len(regexp_extract_all(text, '[^\s\x0B\x1C-\x1F\x{85}\p{Z}]+')) AS INTEGER)"
+
+
+@_query(
+    f"WITH d AS (SELECT doc_id, {article_part('authors', '; ')} AS authors, {', '.join(f'{article_part(f)} AS {f}' for f in _SUMMARY)} FROM documents) "
+    f"SELECT doc_id AS source_file, title, authors, doi, journal, publication_year, {_WORD_COUNT} AS word_count FROM d JOIN {A} USING (doc_id)"
+)
 def article_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return article.summary_rows(article.parse_articles(derived(spark, sf_dir, ARTICLES), source_file="doc_id"))
 
 
-@_query("SELECT doc_id, nullif(concat('10.1/', doc_id), '') AS doi FROM documents")
+@_query("SELECT doc_id, CASE WHEN doc_id % 6 < 4 THEN concat('10.1/', doc_id) END AS doi FROM documents")
 def doi_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = ["https://doi.org/10.1/", " HTTP://dx.DOI.org/10.1/", "10.1/", "/10.1/"]
-    head = F.get(F.array(*[F.lit(f) for f in forms]), (F.col("doc_id") % 4).cast("int"))
-    return _docs(spark, sf_dir).select("doc_id", normal_doi(F.concat(head, F.col("doc_id").cast("string"), F.lit("/ "))).alias("doi"))
+    """Each form of a DOI, and among them blank and absent ones."""
+    own = F.col("doc_id").cast("string")
+    forms = [F.concat(F.lit(head), own, F.lit("/ ")) for head in ("https://doi.org/10.1/", " HTTP://dx.DOI.org/10.1/", "10.1/", "/10.1/")]
+    given = F.get(F.array(*forms, F.lit(" \t"), F.lit(None).cast("string")), (F.col("doc_id") % 6).cast("int"))
+    return _docs(spark, sf_dir).select("doc_id", normal_doi(given).alias("doi"))
 
 
 WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
@@ -194,7 +214,7 @@ DETAIL = "CASE WHEN has_fields THEN concat('note: ', note, '; turn: ', row_index
 
 
 @_query(f"""SELECT paper_id, modality, CAST(row_number() OVER (PARTITION BY paper_id, modality ORDER BY row_index) - 1 AS INTEGER) AS row_index, row_label, figure_ref, source_quote, {DETAIL} AS detail, trim(summary_paragraph) AS summary_paragraph FROM ({L}) AS l
- UNION ALL SELECT DISTINCT concat('EMPTY-', conv_id), 'ephys', 0, '{records.SUMMARY_ONLY}', '', '', '', '' FROM conversations""")
+ UNION ALL SELECT DISTINCT concat('EMPTY-', conv_id), 'ephys', 0, '(summary only - no itemized rows returned)', '', '', '', '' FROM conversations""")
 def flatten_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _flat(spark, sf_dir)
     item = F.struct("row_index", "row_label", "figure_ref", "source_quote", "fields")
@@ -217,20 +237,29 @@ def modality_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.modality_summaries(_flat(spark, sf_dir))
 
 
-@_query(f"SELECT paper_id, modality, field_name, verdict, confidence, explanation, evidence_quote, CAST(0 AS INTEGER) AS ord FROM {V}")
+ANSWER = "concat(paper_id, '/', event_id // 20)"
+
+
+@_query(f"""SELECT {ANSWER} AS paper_id, modality, field_name, CASE WHEN event_id % 13 = 0 THEN 'unverifiable' ELSE verdict END AS verdict, CASE WHEN event_id % 13 = 0 THEN '' ELSE confidence END AS confidence, explanation, evidence_quote,
+ CAST(row_number() OVER (PARTITION BY paper_id, event_id // 20, modality ORDER BY event_id) - 1 AS INTEGER) AS ord FROM {V}""")
 def flatten_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived(spark, sf_dir, VERDICTS)
-    one = F.to_json(F.struct(F.array(F.struct(F.col("field_name").alias("recorded_field"), "verdict", "confidence", "explanation", "evidence_quote")).alias("verdicts")))
-    return records.flatten_verdicts(rows.select("paper_id", "modality", F.regexp_replace(one, "recorded_field", "x_field").alias("json")))
+    """Answers of several verdicts, some without a verdict and a confidence, and some without any verdict at all."""
+    rows = derived(spark, sf_dir, VERDICTS).withColumn("paper_id", F.concat("paper_id", F.lit("/"), F.floor(F.col("event_id") / 20).cast("string")))
+    told = [F.when(F.col("event_id") % 13 != 0, F.col(c)).alias(c) for c in ("verdict", "confidence")]
+    one = F.struct("event_id", F.struct(F.col("field_name").alias("x_field"), *told, "explanation", "evidence_quote").alias("v"))
+    grouped = rows.groupBy("paper_id", "modality").agg(F.array_sort(F.collect_list(F.struct("event_id", F.to_json(one["v"]).alias("v")))).alias("vs"))
+    made = F.concat(F.lit('{"verdicts": ['), F.array_join(F.transform("vs", lambda v: v["v"]), ","), F.lit("]}"))
+    none = grouped.select("paper_id", F.lit("none").alias("modality"), F.lit('{"verdicts": []}').alias("json"))
+    return records.flatten_verdicts(grouped.select("paper_id", "modality", made.alias("json")).unionByName(none))
 
 
 SIDE = f"""r AS ({R_SQL}), l AS ({L}), audit(mod_ord, modality, field_ord, field_name) AS (VALUES {', '.join(f"({i}, '{m}', {j}, '{f}')" for i, (m, fields) in enumerate(records.MODALITIES.items()) for j, f in enumerate(fields))}),
 base AS (SELECT ord, mod_ord, field_ord, paper_id, title, modality, field_name, coalesce(CASE field_name WHEN 'Anatomical connections' THEN anatomical WHEN 'Photometry Data' THEN photometry WHEN 'Electrophysiology Data' THEN ephys WHEN 'Purpose of this circuit' THEN functional END, '') AS recorded_value FROM r, audit),
 g AS (SELECT paper_id, modality, min_by(summary_paragraph, row_index) AS s, count(*) FILTER (has_fields) AS n FROM l GROUP BY ALL),
-rows AS (SELECT b.*, 0 AS kind, 0 AS row_index, '' AS row_label, '{records.NOT_YET}' AS found_value, '' AS source_quote, '' AS figure_ref FROM base b LEFT JOIN g USING (paper_id, modality) WHERE g.paper_id IS NULL
+rows AS (SELECT b.*, 0 AS kind, 0 AS row_index, '' AS row_label, '[not re-extracted yet]' AS found_value, '' AS source_quote, '' AS figure_ref FROM base b LEFT JOIN g USING (paper_id, modality) WHERE g.paper_id IS NULL
  UNION ALL SELECT b.*, 0, 0, '(overall summary)', s, '', '' FROM base b JOIN g USING (paper_id, modality) WHERE s <> ''
  UNION ALL SELECT b.*, 1, row_index, row_label, concat(row_label, ' — ', {DETAIL}), source_quote, figure_ref FROM base b JOIN l USING (paper_id, modality) WHERE has_fields
- UNION ALL SELECT b.*, 0, 0, '', '{records.NO_DATA}', '', '' FROM base b JOIN g USING (paper_id, modality) WHERE s = '' AND n = 0)"""
+ UNION ALL SELECT b.*, 0, 0, '', '[model returned no data]', '', '' FROM base b JOIN g USING (paper_id, modality) WHERE s = '' AND n = 0)"""
 
 
 @_query(f"WITH {SIDE} SELECT ord, CAST(mod_ord AS INTEGER) AS mod_ord, CAST(field_ord AS INTEGER) AS field_ord, paper_id, title, modality, field_name, recorded_value, CAST(kind AS INTEGER) AS kind, CAST(row_index AS INTEGER) AS row_index, row_label, found_value, source_quote, figure_ref FROM rows")
@@ -255,13 +284,15 @@ def verdicts_with_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOARD = f"""{MANIFEST}, last_claim AS (SELECT paper_id, max_by(confidence, file) AS confidence, max_by(match_method, file) AS match_method FROM claims WHERE paper_id <> '' GROUP BY 1),
-board AS (SELECT ord, r.paper_id AS id, trim(split_part(who, ';', -1), ' ') AS year, coalesce(trim(anatomical, ' '), '') AS anatomical_text, trim(photometry, ' ') AS photometry_text, trim(ephys, ' ') AS ephys_text, coalesce(trim(anatomical, ' '), '') <> '' AS has_anatomical,
- coalesce(trim(photometry, ' '), '') <> '' AS has_photometry, coalesce(trim(ephys, ' '), '') <> '' AS has_ephys, coalesce(trim(functional, ' '), '') <> '' AS has_functional, c.paper_id IS NOT NULL AS matched, CAST(c.confidence AS DOUBLE) AS confidence, match_method FROM r LEFT JOIN last_claim AS c ON r.paper_id = c.paper_id)"""
-BOARD_COLUMNS = ["ord", "id", "year", "anatomical_text", "photometry_text", "ephys_text", "has_anatomical", "has_photometry", "has_ephys", "has_functional", "matched", "confidence", "match_method"]
+board AS (SELECT ord, r.paper_id AS id, title, '' AS authors, coalesce(doi, '') AS doi, concat('animal ', lang) AS animal_model, trim(split_part(who, ';', -1), ' ') AS year, coalesce(trim(anatomical, ' '), '') AS anatomical_text, trim(photometry, ' ') AS photometry_text, trim(ephys, ' ') AS ephys_text, coalesce(trim(anatomical, ' '), '') <> '' AS has_anatomical,
+ coalesce(trim(photometry, ' '), '') <> '' AS has_photometry, coalesce(trim(ephys, ' '), '') <> '' AS has_ephys, coalesce(trim(functional, ' '), '') <> '' AS has_functional, c.paper_id IS NOT NULL AS matched, CAST(c.confidence AS DOUBLE) AS confidence, match_method FROM (SELECT r.*, functional AS lang FROM r) AS r LEFT JOIN last_claim AS c ON r.paper_id = c.paper_id)"""
+BOARD_COLUMNS = ["ord", "id", "title", "authors", "year", "doi", "animal_model", "anatomical_text", "photometry_text", "ephys_text", "has_anatomical", "has_photometry", "has_ephys", "has_functional", "matched", "confidence", "match_method"]
 
 
 def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.paper_rows(_registry(spark, sf_dir).drop("title", "doi"), dashboard.last_claims(_manifest(spark, sf_dir), "file"))
+    registry = _registry(spark, sf_dir).withColumnsRenamed({"title": dashboard.TITLE, "doi": dashboard.DOI_COLUMN})
+    registry = registry.withColumn(dashboard.ANIMAL, F.concat(F.lit("animal "), F.col(f"`{dashboard.FUNCTIONAL}`")))
+    return dashboard.paper_rows(registry, dashboard.last_claims(_manifest(spark, sf_dir), "file"))
 
 
 @_query(f"WITH {BOARD} SELECT {', '.join(BOARD_COLUMNS)} FROM board")
@@ -269,7 +300,7 @@ def dashboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _board(spark, sf_dir).select(*BOARD_COLUMNS)
 
 
-@_query(f"WITH {BOARD} SELECT id, matched FROM board WHERE NOT matched AND (contains(lower(id), 'src1') OR contains(lower(anatomical_text), 'src1') OR contains(lower(photometry_text), 'src1') OR contains(lower(ephys_text), 'src1'))")
+@_query(f"WITH {BOARD} SELECT id, matched FROM board WHERE NOT matched AND (contains(lower(id), 'src1') OR contains(lower(title), 'src1') OR contains(lower(doi), 'src1') OR contains(lower(anatomical_text), 'src1') OR contains(lower(photometry_text), 'src1') OR contains(lower(ephys_text), 'src1'))")
 def dashboard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.searched(dashboard.with_status(_board(spark, sf_dir), "missing"), "SRC1").select("id", "matched")
 
@@ -280,13 +311,15 @@ def natural_id_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("paper_id", F.row_number().over(Window.partitionBy("functional").orderBy(*dashboard.natural_order("paper_id"))).cast("long").alias("place"))
 
 
-@_query(f"""WITH {BOARD}, s AS (SELECT count(DISTINCT paper_id) AS audited, count(*) FILTER (verdict = 'mismatch') AS mismatches, count(*) FILTER (verdict = 'partial') AS partials FROM {V})
-SELECT (SELECT count(*) FROM board) AS papers, (SELECT count(*) FROM board WHERE matched) AS matched, (SELECT count(*) FROM board WHERE NOT matched) AS missing, audited, mismatches, partials FROM s""")
+@_query(f"""WITH {BOARD}, s AS (SELECT count(DISTINCT paper_id) AS audited, count(*) FILTER (verdict = 'mismatch') AS mismatches, count(*) FILTER (verdict = 'partial') AS partials,
+ CAST(sum(CAST({POINTS} AS DECIMAL(4,2)) * CAST({WEIGHTS} AS DECIMAL(4,2))) AS DOUBLE) AS p, CAST(sum(CAST({WEIGHTS} AS DECIMAL(4,2))) FILTER ({POINTS} IS NOT NULL) AS DOUBLE) AS w FROM {V})
+SELECT (SELECT count(*) FROM board) AS papers, (SELECT count(*) FROM board WHERE matched) AS matched, (SELECT count(*) FROM board WHERE NOT matched) AS missing, audited, mismatches, partials,
+ round_even(p / nullif(w, 0) * 10, 1) AS raw_score_10, round_even((p + 2.5::DOUBLE) / (w + 5.0::DOUBLE) * 10, 1) AS shrunk_score_10 FROM s""")
 def dashboard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.tiles(_board(spark, sf_dir), derived(spark, sf_dir, VERDICTS)).drop("raw_score_10", "shrunk_score_10")
+    return dashboard.tiles(_board(spark, sf_dir), derived(spark, sf_dir, VERDICTS))
 
 
-@_query(f"SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '' ELSE evidence_quote END AS shown_quote FROM {V} WHERE verdict = 'mismatch' AND (contains(lower(paper_id), 'st-1') OR contains(lower(explanation), 'st-1'))")
+@_query(f"SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '' ELSE evidence_quote END AS shown_quote FROM {V} WHERE verdict = 'mismatch' AND (contains(lower(paper_id), 'st-1') OR contains(lower(field_name), 'st-1') OR contains(lower(explanation), 'st-1') OR contains(lower(modality), 'st-1'))")
 def verdict_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.verdict_view(derived(spark, sf_dir, VERDICTS), "mismatch", "ST-1").select("event_id", "shown_quote")
 
@@ -304,9 +337,14 @@ def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.to_do(_registry(spark, sf_dir).select("paper_id"), cache)
 
 
-@_query("SELECT doc_id, concat('<paper_text source=\"', CASE doc_id % 3 WHEN 0 THEN 'FULL TEXT (from a locally supplied text file)' WHEN 1 THEN 'UNKNOWN SOURCE' ELSE 'other' END, '\">', chr(10), text, chr(10), '</paper_text>', chr(10), chr(10), '<extraction_instructions>', chr(10), lang, chr(10), '</extraction_instructions>') AS message FROM documents")
+LABEL = """CASE doc_id % 6 WHEN 0 THEN 'FULL TEXT (from a locally supplied text file)' WHEN 1 THEN 'UNKNOWN SOURCE' WHEN 2 THEN 'FULL TEXT (from PubMed Central)'
+ WHEN 3 THEN 'ABSTRACT ONLY (full text was not available - treat missing details as ''not explicitly stated'' rather than guessing from an abstract-limited view)' WHEN 4 THEN 'FULL TEXT (extracted from a locally supplied PDF)' ELSE 'other' END"""
+
+
+@_query(f"""SELECT doc_id, concat('<paper_text source="', {LABEL}, '">', chr(10), text, chr(10), '</paper_text>', chr(10), chr(10), '<extraction_instructions>', chr(10), lang, chr(10), '</extraction_instructions>') AS message FROM documents""")
 def extraction_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = F.when(F.col("doc_id") % 3 == 0, "local_txt").when(F.col("doc_id") % 3 == 1, "").otherwise("other")
+    names = ["local_txt", "", "pmc_fulltext", "pubmed_abstract", "local_pdf", "other"]
+    source = F.get(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % 6).cast("int"))
     return _docs(spark, sf_dir).select("doc_id", providers.extraction_message("text", source, "lang").alias("message"))
 
 
@@ -315,7 +353,11 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html_escaped("html").alias("escaped"))
 
 
-@_query()
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+
+
+@_query(rf"""WITH p AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '{_SPACE}', ' ', 'g'), ' ')) AS ps FROM documents)
+SELECT doc_id, array_to_string(list_prepend('## Part', list_filter(ps, lambda x: x <> '')), chr(10)) AS text FROM p""")
 def article_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body text of articles in XML made of the documents' lines."""
     lines = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("<p>"), html_escaped(x), F.lit("</p>"))), "")
@@ -323,3 +365,4 @@ def article_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", xml.alias("xml")).select("doc_id", file_sources.xml_text("xml").alias("text"))
 
 
+from . import catalog_stages  # noqa: E402, F401  registers the queries of the stages

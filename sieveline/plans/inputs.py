@@ -18,11 +18,47 @@ VERDICTS = """SELECT concat('ST-', CAST(user_id % 71 AS STRING)) AS paper_id,
  concat('reason ', CAST(event_id AS STRING)) AS explanation, CASE WHEN event_id % 9 = 0 THEN 'Not explicitly stated' ELSE event_type END AS evidence_quote, event_id
  FROM {events}"""
 
-ARTICLES = """SELECT doc_id, concat('Journal of Sample Studies', chr(10), 'A sample study of ', replace(replace(substring(coalesce(text, ''), 1, 60), chr(10), ' '), '@', ' '), chr(10), 'Ann Bee, Cy D. Dee and Eff Gee*', chr(10),
- 'mail', CAST(doc_id AS STRING), '@lab.example.org', chr(10), 'Received: 3 May ', CAST(1990 + doc_id % 30 AS STRING), chr(10),
- CASE WHEN doc_id % 4 = 3 THEN 'No identifier' ELSE concat('DOI: 10.1234/doc.', CAST(doc_id AS STRING), '.') END, chr(10), 'Abstract', chr(10), substring(coalesce(text, ''), 1, 200), chr(10),
- 'Keywords: alpha, Beta ; gamma.', chr(10), '1. Introduction', chr(10), substring(coalesce(text, ''), 201), chr(10), 'IV. Results', chr(10), 'Found it.', chr(10), 'References', chr(10),
- '[1] First paper, 2001.', chr(10), '[2] Second', chr(10), 'paper.') AS text FROM {documents}"""
+# Parts of articles, in several forms each, chosen by doc_id, so that no field is the same in all.
+_TITLE = "concat('A sample study of ', replace(replace(substring(coalesce(text, ''), 1, 60), chr(10), ' '), '@', ' '))"
+_FRONT = {
+    "journal": "CASE WHEN doc_id % 6 = 1 THEN '' WHEN doc_id % 6 = 2 THEN concat('Proceedings of Things', chr(10)) ELSE concat('Journal of Sample Studies', chr(10)) END",
+    "banner": "CASE WHEN doc_id % 5 = 0 THEN concat('ORIGINAL CONTRIBUTION', chr(10)) ELSE '' END",
+    "title": f"{_TITLE}, chr(10)",
+    "people": "CASE doc_id % 3 WHEN 0 THEN 'Ann Bee, Cy D. Dee and Eff Gee*' WHEN 1 THEN 'Uma V. Wye 1 & Ivo Jay 2' ELSE concat('Department of Things', chr(10), 'Ann Bee, Cy Dee') END, chr(10)",
+    "mail": "'mail', CAST(doc_id AS STRING), '@lab.example.org', chr(10)",
+    "year": "'Received: 3 May ', CAST(1990 + doc_id % 30 AS STRING), chr(10)",
+    "doi": "CASE WHEN doc_id % 4 = 3 THEN 'No identifier' ELSE concat('DOI: 10.1234/doc.', CAST(doc_id AS STRING), '.') END, chr(10)",
+    "abstract": "CASE WHEN doc_id % 7 = 3 THEN 'Abstract: ' ELSE concat('Abstract', chr(10)) END, substring(coalesce(text, ''), 1, 200), chr(10)",
+    "keywords": "CASE doc_id % 4 WHEN 0 THEN concat('Keywords: alpha, Beta ; gamma.', chr(10)) WHEN 1 THEN concat('Index terms - delta; eps', chr(10)) WHEN 2 THEN concat('KEY WORDS: one', chr(10)) ELSE '' END",
+}
+_BACK = {
+    "introduction": "'1. Introduction', chr(10), substring(coalesce(text, ''), 201), chr(10)",
+    "results": "CASE WHEN doc_id % 2 = 0 THEN concat('IV. Results', chr(10), 'Found it.', chr(10)) ELSE concat('2.1 Methods', chr(10), 'Did it.', chr(10), 'Findings', chr(10), 'Found it.', chr(10), 'RESULTS', chr(10), 'And more.', chr(10)) END",
+    "references": "CASE doc_id % 4 WHEN 0 THEN concat('References', chr(10), '[1] First paper, 2001.', chr(10), '[2] Second', chr(10), 'paper.') WHEN 1 THEN concat('Bibliography', chr(10), '1. One work of ', CAST(doc_id AS STRING), chr(10), '2. Another work')"
+    " WHEN 2 THEN concat('References', chr(10), 'Bee A. A work without numbers', chr(10), 'tiny', chr(10), 'Dee C. Another of them') ELSE '' END",
+}
+ARTICLES = f"SELECT doc_id, concat({', '.join([*_FRONT.values(), *_BACK.values()])}) AS text FROM {{documents}}"
+
+# What the fields of these articles are, for the oracles.
+ARTICLE_PARTS = {
+    "title": "trim({title}, ' ')",
+    "authors": "CASE doc_id % 3 WHEN 0 THEN 'Ann Bee{sep}Cy D. Dee{sep}Eff Gee' WHEN 1 THEN 'Uma V. Wye{sep}Ivo Jay' ELSE '' END",
+    "first_email": "concat('mail', doc_id, '@lab.example.org')",
+    "keywords": "CASE doc_id % 4 WHEN 0 THEN 'alpha|Beta|gamma' WHEN 1 THEN 'delta|eps' WHEN 2 THEN 'one' ELSE '' END",
+    "doi": "CASE WHEN doc_id % 4 <> 3 THEN concat('10.1234/doc.', doc_id) END",
+    "journal": "CASE doc_id % 6 WHEN 1 THEN NULL WHEN 2 THEN 'Proceedings of Things' ELSE 'Journal of Sample Studies' END",
+    "publication_year": "CAST(1990 + doc_id % 30 AS VARCHAR)",
+    "refs": "CASE doc_id % 4 WHEN 0 THEN '[First paper, 2001.][Second paper.]' WHEN 1 THEN concat('[One work of ', doc_id, '][Another work]') WHEN 2 THEN '[Bee A. A work without numbers][Dee C. Another of them]' ELSE '' END",
+    "section_names": "concat(CASE WHEN doc_id % 7 = 3 THEN '' ELSE 'abstract|' END, 'introduction', CASE WHEN doc_id % 2 = 0 THEN '' ELSE '|methods' END, '|results')",
+    "results": "CASE WHEN doc_id % 2 = 0 THEN 'Found it.' ELSE concat('Found it.', chr(10), 'And more.') END",
+    "abstract": "nullif(trim(substring(coalesce(text, ''), 1, 200), chr(10) || ' '), '')",
+}
+
+
+def article_part(name: str, sep: str = "|") -> str:
+    """SQL, over documents, of a field of the derived articles."""
+    return ARTICLE_PARTS[name].format(title=_TITLE, sep=sep)
+
 
 REGISTRY = """SELECT doc_id AS ord, concat('ST-', CAST(doc_id AS STRING)) AS paper_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('10.1234/doc.', CAST(doc_id AS STRING)) END AS doi,
  concat('Study ', replace(substring(coalesce(text, ''), 1, 60), chr(10), ' ')) AS title, concat('Ann Bee; Cy Dee', CASE WHEN doc_id % 2 = 0 THEN '' ELSE concat('; ', CAST(1990 + doc_id % 30 AS STRING)) END) AS who,

@@ -77,7 +77,8 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """RFC quoting and a header; single keeps an order made by orderBy in one file."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # the writer would strip fields else
+    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", **keep)
 
 
 def write_flat(flat: DataFrame, path: str) -> None:
