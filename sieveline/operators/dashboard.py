@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escaped, strip
-from .records import severity
-from .score import reliability
+from .pages import FILTER, OVERVIEW, SORT, page
+from .records import SEVERITY, severity
+from .score import reliability, verdict_counts
 
 # The registry's column names.
 TITLE, AUTHORS, DOI_COLUMN, YEAR, ANIMAL = "Title", "Authors", "DOI", "Authors and Publication Year", "Animal Model"
@@ -123,7 +124,7 @@ def embedded(rows: list[Row]) -> str:
     return json.dumps([r.asDict(True) for r in rows], ensure_ascii=False).replace("</", "<\\/")
 
 
-def overview_page(rows: list[Row], verdicts: list[Row], template: str) -> str:
+def overview_page(rows: list[Row], verdicts: list[Row], template: str = OVERVIEW) -> str:
     """The template with both tables in place of its two marks; text in the data is never taken for a mark."""
     parts = {"__DATA_JSON__": embedded(rows), "__VERIFICATION_JSON__": embedded(verdicts)}
     out, rest = [], template
@@ -136,30 +137,42 @@ def overview_page(rows: list[Row], verdicts: list[Row], template: str) -> str:
         rest = rest[first + len(at[first]) :]
 
 
-def _page(title: str, body: str) -> str:
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>{title}</title></head><body><h1>{title}</h1>{body}</body></html>"
+TRIAGE = ["paper_id", "title", "modality", "field_name", "verdict", "confidence", "recorded_value", "explanation", "evidence_quote"]
 
 
-TRIAGE = ["paper_id", "title", "field_name", "recorded_value", "verdict", "confidence", "explanation", "evidence_quote"]
+def _triage_rows(verdicts: DataFrame) -> Iterator[Row]:
+    shown = [html_escaped(F.col(c).cast("string")).alias(c) for c in TRIAGE]
+    return verdicts.orderBy(severity("verdict"), "paper_id", "field_name").select(*shown).toLocalIterator()
 
 
-def _triage_rows(verdicts: DataFrame) -> Iterator[Row]:
-    return verdicts.orderBy(severity("verdict"), "paper_id", "field_name").select(*[html_escaped(F.col(c).cast("string")).alias(c) for c in TRIAGE]).toLocalIterator()
+def _counted(verdicts: DataFrame) -> str:
+    """The page's line of totals."""
+    n = verdict_counts(verdicts).first()
+    total = verdicts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("paper_id").alias("papers")).first()
+    told = " | ".join(f"{v}: {n[v]}" for v in SEVERITY)
+    return f"<p>{total['n']} verdicts on {total['papers']} papers: {told}</p>"
 
 
-def _triage(rows: Iterable[Row]) -> str:
+def _triage(rows: Iterable[Row], totals: str) -> str:
+    boxes = "".join(f"<label><input type='checkbox' class='kind' value='{v}' checked> {v}</label> " for v in SEVERITY)
     head = "".join(f"<th>{c}</th>" for c in TRIAGE)
-    return _page("Verification", f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{r[c]}</td>" for c in TRIAGE) + "</tr>" for r in rows) + "</table>")
+    body = []
+    for r in rows:
+        blob = " ".join(r[c] for c in ("paper_id", "title", "field_name", "modality")).lower()
+        body.append(f"<tr data-kind='{r['verdict']}' data-search='{blob}'>" + "".join(f"<td>{r[c]}</td>" for c in TRIAGE) + "</tr>")
+    table = f"<table><thead><tr>{head}</tr></thead><tbody>{''.join(body)}</tbody></table>"
+    return page("Verification", f"{totals}<input type='search' id='search' placeholder='paper, title, field or modality'><p>{boxes}</p>{table}", FILTER, SORT)
 
 
 def triage_page(verdicts: DataFrame) -> str:
     """All verdicts with recorded values on one page, worst first. See ``triage_pages`` for more than a page should hold."""
-    return _triage(_triage_rows(verdicts))
+    return _triage(_triage_rows(verdicts), _counted(verdicts))
 
 
 def triage_pages(verdicts: DataFrame, most: int = 5000) -> Iterator[str]:
     """The same rows in pages of ``most``; the driver holds a page and a partition at once."""
-    return map(_triage, _chunks(_triage_rows(verdicts), most))
+    totals = _counted(verdicts)
+    return (_triage(rows, totals) for rows in _chunks(_triage_rows(verdicts), most))
 
 
 def _review_rows(side_by_side: DataFrame) -> Iterator[Row]:
@@ -171,15 +184,18 @@ def _review(rows: Iterable[Row]) -> str:
     out, paper, field = [], None, None
     for r in rows:
         if r["paper_id"] != paper:
+            out.append("</section>" if paper is not None else "")
             paper, field = r["paper_id"], None
-            out.append(f"<h2>{paper}: {r['title']}</h2>")
+            blob = f"{paper} {r['title']}".lower()
+            out.append(f"<section data-search='{blob}'><h2>{paper}: {r['title']}</h2>")
         if r["field_name"] != field:
             field = r["field_name"]
             out.append(f"<h3>{field}</h3><p>Recorded: {r['recorded_value']}</p>")
         quote = f" <q>{r['source_quote']}</q>" if r["source_quote"] else ""
         figure = f" [{r['figure_ref']}]" if r["figure_ref"] else ""
         out.append(f"<p><b>{r['row_label']}</b> {r['found_value']}{quote}{figure}</p>")
-    return _page("Review", "".join(out))
+    out.append("</section>" if paper is not None else "")
+    return page("Review", "<input type='search' id='search' placeholder='paper or title'>" + "".join(out), FILTER)
 
 
 def review_page(side_by_side: DataFrame) -> str:
