@@ -7,6 +7,8 @@ import xxhash
 
 from sieveline.llm.components import components, stars
 from sieveline.llm.simhash import KINDS, near_duplicates, neighbours, refined, tallied
+from sieveline.llm import topk
+from sieveline.llm.common import stored
 from sieveline.llm.topk import best, top_k
 
 
@@ -118,31 +120,44 @@ def test_components_of_chains_and_stars(spark):
 
 def brute_top(rows, k, every):
     vectors = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for qi, q in vectors:
-        if qi % every == 0:
+    out, seen = set(), set()
+    for at, (qi, q) in enumerate(vectors):
+        if qi % every == 0 and qi not in seen:
+            seen.add(qi)
             m = lambda v: int(sum(a * b for a, b in zip(q.tolist(), v.tolist(), strict=False)))
-            best = sorted((-m(v), i) for i, v in vectors if i != qi)[:k]
+            best = sorted((-m(v), i) for j, (i, v) in enumerate(vectors) if j != at)[:k]
             out |= {(qi, r, i, -s) for r, (s, i) in enumerate(best, 1)}
     return out
 
 
 def test_top_k_equals_brute_force(spark):
     rnd = random.Random(9)
-    rows = [(i, [rnd.choice([-1.0, -0.25, 0.0, 0.1, 0.5]) for _ in range(8)], 1) for i in range(700)]
-    rows += [(1000, None, 1), (1020, [1.0, None], 1), (1040, [float("nan")], 1), (1060, [float("inf")], 1), (1080, [], 1), (1100, [2.0] * 3, 1), (None, [1.0], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    for block, chunk, group in ((256, 1024, 16384), (16, 8, 100)):
+    rows = [(i, [rnd.choice([-1.0, -0.25, 0.0, 0.1, 0.5]) for _ in range(8)], 1, "x") for i in range(700)]
+    rows += [(i, v, 1, "x") for i, v in [(1000, None), (1020, [1.0, None]), (1040, [float("nan")]), (1060, [float("inf")]), (1080, []), (1100, [2.0] * 3), (None, [1.0])]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, signs string")
+    for block, chunk, group in ((64, 1024, 16384), (16, 8, 100)):
         got = top_k(df, df.where("vec_id % 20 = 0"), 20, block, chunk, group).collect()
         assert {tuple(r) for r in got} == brute_top([r[:2] for r in rows], 20, 20)
         assert len(got) == len({tuple(r) for r in got})
 
 
 def test_top_k_edges(spark):
-    schema = "vec_id long, embedding array<float>"
+    schema = "vec_id long, embedding array<double>"
     assert top_k(spark.createDataFrame([], schema), spark.createDataFrame([], schema)).count() == 0
-    df = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (5, [1.0]), (6, [1.0])], schema)
+    df = spark.createDataFrame([(0, [1.0]), (5, [1.0]), (6, [1.0])], schema)
     assert sorted(tuple(r) for r in top_k(df, df.where("vec_id % 20 = 0")).collect()) == [(0, 1, 5, 4096), (0, 2, 6, 4096)]
+    # of rows with one vec_id a bad one goes, and the others are candidates of each other
+    df = spark.createDataFrame([(0, [1.0, None]), (0, [0.5]), (0, [1.0]), (7, [2.0])], schema)
+    assert sorted(tuple(r) for r in top_k(df, df.where("vec_id = 0")).collect()) == [(0, 1, 7, 4096), (0, 2, 0, 2048)]
+    # large scores are exact, and what does not fit is said
+    big = 2.0**24
+    df = spark.createDataFrame([(20, [big, 1.0]), (1, [big, 2.0]), (2, [big, 3.0])], schema)
+    got = {r.vec_id: r.score for r in top_k(df, df.where("vec_id = 20")).collect()}
+    assert got == {i: 2**60 + 64 * 64 * v for i, v in ((1, 2), (2, 3))}
+    for huge in (1e300, 2.0**40):
+        df = spark.createDataFrame([(0, [huge]), (1, [huge])], schema)
+        with pytest.raises(Exception, match="64 bits"):
+            top_k(df, df.where("vec_id = 0")).collect()
 
 
 def test_blocks_are_skipped():
@@ -151,5 +166,26 @@ def test_blocks_are_skipped():
     for level in (50, 10, 1, 1, 1, 1):
         rows = rnd.integers(0, level + 1, (64, 6))
         blocks.append((rnd.choice(10**6, 64, replace=False), rows, rows.max(0), rows.min(0)))
-    _, _, visited = best(rnd.integers(1, 9, (10, 6)), np.full(10, -1), blocks, 5)
+    queries = rnd.integers(1, 9, (10, 6))
+    scores, _, visited = best(queries, blocks, 5)
     assert visited.max() < len(blocks)
+    again, _, fewer = best(queries, blocks, 5, scores[:, -1])
+    assert (again == scores).all() and fewer.sum() <= visited.sum()
+
+
+def test_pairs_without_hope_get_no_rows(spark, monkeypatch):
+    """Clusters along different axes: most pairs of a chunk and a group are never given rows."""
+    sizes = {}
+
+    def counted(df, label):
+        table = stored(df, label)
+        sizes[label] = table.count()
+        return table
+
+    monkeypatch.setattr(topk, "stored", counted)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.eye(16)[i % 16] * (-1 if i % 32 > 15 else 1) + rng.normal(0, 0.01, 16)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in top_k(df, df.where("vec_id % 20 = 0"), 20, 16, 16, 64).collect()}
+    assert got == brute_top(rows, 20, 20)
+    assert sizes["op9-open"] < 0.5 * sizes["op9-home"] * 2000 / 64
