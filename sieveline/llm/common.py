@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import dropped, removed, scratch, settled, shared_folder, stored
@@ -36,6 +36,20 @@ def keyed(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return documents.withColumns({"key_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "key_null": F.col(doc_id).isNull(), "key_text": F.xxhash64(text)})
 
 
+def least_drawn(rows: DataFrame, by: str, most: int, *order: str) -> DataFrame:
+    """Of each value of ``by`` the ``most`` rows of least hash of ``order`` (then by order itself).
+
+    First only rows stay whose hash is among the least of so many rows as the value has, by a margin, so that what is
+    ranked does not grow with the table. The margin is four times and 64 rows, far beyond chance.
+    """
+    unit = F.shiftrightunsigned(F.xxhash64(*order), 11) * F.lit(2.0**-53)
+    drawn = rows.withColumn("draw", unit)
+    counts = drawn.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"))
+    thin = drawn.join(counts, by).where(F.col("draw") * F.col("n_rows") < 4 * most + 64).drop("n_rows")
+    place = F.row_number().over(Window.partitionBy(by).orderBy("draw", *order))
+    return thin.withColumn("place", place).where(F.col("place") <= most).drop("place", "draw")
+
+
 ID_KEYS = ["key_id", "key_null", "key_text"]
 
 

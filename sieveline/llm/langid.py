@@ -20,11 +20,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_KEYS, U64, Rolling, mixed, ragged, sliced, text_bytes, word_spans
+from .common import BYTE_KEYS, U64, Rolling, least_drawn, mixed, ragged, sliced, text_bytes, word_spans
 from .crf import Features, fit, marginals
 
 TABLE = 1 << 17
@@ -174,16 +174,13 @@ def train(sample: pa.Table, rounds: int) -> Model:
 def learn(documents: DataFrame, per_language: int = 150, rounds: int = 15) -> Model:
     """Fit on the per_language texts of least hash of each language, among doc_ids whose crc32 mod 5 is not 0.
 
-    Two passes over the table: one for ids and languages alone, one for the texts picked. At most per_language rows
-    of a language leave a task, and the sample, per_language x languages texts, is gathered in one task and fitted
-    there.
+    Ids and languages alone are looked at first, then the texts picked. The sample, per_language x languages texts
+    (more where a doc_id repeats), is gathered in one task and fitted there.
     """
     named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    named = named.withColumn("draw", F.xxhash64("doc_id"))
-    usable = named.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-    picked = usable.select("doc_id", "lang", "draw", place.alias("place")).where(F.col("place") <= per_language).select("doc_id", "lang").distinct()
-    sample = usable.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")  # per_language rows a language at most
+    usable = named.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
+    picked = least_drawn(usable.select("doc_id", "lang"), "lang", per_language, "doc_id")
+    sample = usable.where("text IS NOT NULL").join(picked, ["doc_id", "lang"], "left_semi").withColumn("draw", F.xxhash64("doc_id"))
 
     def fitted(table: pa.Table) -> pa.Table:
         return pa.table({"model": pa.array([pickle.dumps(train(table, rounds))], pa.binary())})

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, NOT_SPACE, Rolling, sliced, text_bytes, word_spans
+from .common import BYTE_KEYS, NOT_SPACE, Rolling, least_drawn, sliced, text_bytes, word_spans
 from .crf import Features, fit, marginals
 
 BINS = 8
@@ -179,10 +179,9 @@ def learn(documents: DataFrame, labels: DataFrame, per_class: int = 1000) -> Mod
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out())
-    place = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.select("doc_id", "quality", place.alias("place")).where(F.col("place") <= per_class).drop("place")
+    picked = least_drawn(known, "quality", per_class, "doc_id")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = docs.join(F.broadcast(picked), "doc_id")  # 2 x per_class rows
+    sample = docs.join(picked, "doc_id")
 
     def fitted(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()

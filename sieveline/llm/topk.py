@@ -1,13 +1,13 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
-Vectors are dealt into ranges that are alike in the signs of their leading dimensions, and packed into blocks with a
-forward index (the block's rows as one matrix) and, per dimension, the block's greatest and least value. For a query
+Vectors are dealt into ranges that are alike in their largest components (which, and of what sign), and packed into
+blocks with a forward index (the block's rows as one matrix) and, per dimension, the block's greatest and least value. For a query
 these give an upper bound of all scores in the block: the sum over dimensions of the query's value times whichever
 extreme suits its sign. Each query visits blocks by falling bound and stops where the bound falls below its k-th
 score.
 
-Queries come in chunks and blocks in groups. First every chunk sees the groups' extremes alone and picks the group of
-the highest bounds; scores there give each query a k-th score to beat. Then the extremes are looked at again, and
+Queries come in chunks and blocks in groups. First every chunk sees the groups' extremes alone, and each strip of its
+queries picks the group of the highest bounds; scores there give each query a k-th score to beat. Then the extremes are looked at again, and
 only pairs of a chunk and a group in which some query's bound still reaches its k-th score get the group's rows. So
 neither side is broadcast or gathered, and rows travel after bounds. The lists of a query from all groups are merged
 at the end. How much the bounds skip depends on the vectors; README has figures.
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import dropped, stored
 
 SCALE = 64.0
-#: Leading dimensions whose signs order the vectors.
-SIGNS = 16
+#: The largest components whose places and signs order the vectors.
+LEAD = 3
+#: A chunk's queries are taken in so many strips when its first groups are picked.
+STRIPS = 16
 PACKED = "part int, dim int, n int, ids binary, rows binary, high binary, low binary"
 CELLS = ["dim", "n", "ids", "rows", "high", "low"]
 NONE = -(1 << 63)
@@ -36,11 +38,12 @@ LAST = (1 << 63) - 1
 
 
 def _valid(table: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part, with the signs of their leading dimensions as a number."""
+    """vec_id and embedding of the rows that take part, and lead: the places and signs of their largest components."""
     given = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    signs = sum((F.when(F.get("embedding", F.lit(k)) > 0, 1 << (SIGNS - 1 - k)).otherwise(0) for k in range(SIGNS)), F.lit(0))
-    return given.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))).withColumn("signs", signs)
+    sized = F.array_sort(F.transform("embedding", lambda x, at: F.struct((-F.abs(x)).alias("size"), (2 * at + F.when(x > 0, 1).otherwise(0)).alias("side"))))
+    lead = F.transform(F.slice(sized, 1, LEAD), lambda c: c["side"])
+    return given.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))).withColumn("lead", lead)
 
 
 def _pack(size: int):
@@ -171,15 +174,27 @@ def _search(k: int):
     return pair
 
 
-def _promise(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Of a chunk and a group's extremes: the mean of the queries' highest bounds, and whether any reaches what it has to beat."""
-    extremes = _read(right, "high", "low")
-    mean, reached = [], []
-    for rows, beat in _read(left, "rows", "beat") if extremes else []:
-        top = bounds(rows, extremes).max(1)
-        mean.append(float(np.mean(top.astype(np.float64))))
-        reached.append(bool((top >= beat).any()))
-    return pa.table({"c": pa.array([key[0].as_py()] * len(mean), pa.int32()), "g": pa.array([key[1].as_py()] * len(mean), pa.int32()), "mean": pa.array(mean, pa.float64()), "reached": pa.array(reached, pa.bool_())})
+PROMISES = "c int, g int, strip int, mean double, reached boolean"
+
+
+def _promise(strip: int):
+    """Of a chunk and a group's extremes, for each strip of queries: the mean of their highest bounds, and whether any reaches what it has to beat."""
+
+    def pair(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        extremes = _read(right, "high", "low")
+        columns: list[list] = [[], [], []]
+        for rows, beat in _read(left, "rows", "beat") if extremes else []:
+            top = bounds(rows, extremes).max(1)
+            heads = np.arange(0, len(top), strip)
+            sizes = np.diff(np.append(heads, len(top)))
+            columns[0] += range(len(heads))
+            columns[1] += (np.add.reduceat(top.astype(np.float64), heads) / sizes).tolist()
+            columns[2] += np.logical_or.reduceat(np.asarray(top >= beat, bool), heads).tolist()
+        own = [pa.array([key[k].as_py()] * len(columns[0]), pa.int32()) for k in (0, 1)]
+        kinds = (pa.int32(), pa.float64(), pa.bool_())
+        return pa.table([*own, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["c", "g", "strip", "mean", "reached"])
+
+    return pair
 
 
 def _paired(chunks: DataFrame, n_groups: int, groups: DataFrame, n_chunks: int, made, schema: str) -> DataFrame:
@@ -231,11 +246,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 64,
     among the candidates each row counts. A component or score that does not fit in 64 bits is an error. Columns
     besides vec_id and embedding are not read.
     """
-    asked = _valid(queries).groupBy("vec_id").agg(F.min(F.struct("embedding", "signs")).alias("x")).select("vec_id", "x.embedding", "x.signs")
+    asked = _valid(queries).groupBy("vec_id").agg(F.min(F.struct("embedding", "lead")).alias("x")).select("vec_id", "x.embedding", "x.lead")
     known = _valid(vectors)
     n_groups = max(1, math.ceil(vectors.agg(F.count(F.lit(1))).first()[0] / group))
     n_chunks = max(1, math.ceil(asked.agg(F.count(F.lit(1))).first()[0] / chunk))
-    packed = lambda rows, n, size: rows.repartitionByRange(n, "signs", "vec_id").sortWithinPartitions("signs", "vec_id").mapInArrow(_pack(size), PACKED)
+    packed = lambda rows, n, size: rows.repartitionByRange(n, "lead", "vec_id").sortWithinPartitions("lead", "vec_id").mapInArrow(_pack(size), PACKED)
     groups = stored(packed(known, n_groups, block).withColumnRenamed("part", "g"), "op9-blocks")
     chunks = stored(packed(asked, n_chunks, chunk), "op9-queries")
     # a partition's queries are a pack or two: each pack is a chunk
@@ -245,11 +260,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 64,
     chunks_at, n_chunks = stored(numbered, "op9-chunks"), max(1, chunks.count())
     dropped(chunks)
     depth = k + 1  # the query's own row is among them
-    promises = _paired(chunks_at, n_groups, groups, n_chunks, _promise, "c int, g int, mean double, reached boolean")
-    home = stored(promises.groupBy("c").agg(F.max_by("g", F.struct("mean", "g")).alias("g")), "op9-home")
+    promise = _promise(max(1, chunk // STRIPS))
+    promises = _paired(chunks_at, n_groups, groups, n_chunks, promise, PROMISES)
+    home = stored(promises.groupBy("c", "strip").agg(F.max_by("g", F.struct("mean", "g")).alias("g")).select("c", "g").distinct(), "op9-home")
     first = stored(_scored(home, chunks_at, groups, depth), "op9-first")
     raised = stored(_raised(chunks_at, first, depth), "op9-raised")
-    open_ = _paired(raised, n_groups, groups, n_chunks, _promise, "c int, g int, mean double, reached boolean").where("reached")
+    open_ = _paired(raised, n_groups, groups, n_chunks, promise, PROMISES).where("reached").select("c", "g").distinct()
     open_ = stored(open_.join(home, ["c", "g"], "left_anti"), "op9-open")
     rest = _scored(open_, raised, groups, depth)
     found = _best_rows(first.unionByName(rest), depth)

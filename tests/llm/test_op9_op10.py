@@ -134,7 +134,7 @@ def test_top_k_equals_brute_force(spark):
     rnd = random.Random(9)
     rows = [(i, [rnd.choice([-1.0, -0.25, 0.0, 0.1, 0.5]) for _ in range(8)], 1, "x") for i in range(700)]
     rows += [(i, v, 1, "x") for i, v in [(1000, None), (1020, [1.0, None]), (1040, [float("nan")]), (1060, [float("inf")]), (1080, []), (1100, [2.0] * 3), (None, [1.0])]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, signs string")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, lead string")
     for block, chunk, group in ((64, 1024, 16384), (16, 8, 100)):
         got = top_k(df, df.where("vec_id % 20 = 0"), 20, block, chunk, group).collect()
         assert {tuple(r) for r in got} == brute_top([r[:2] for r in rows], 20, 20)
