@@ -8,6 +8,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sieveline.operators import dashboard, matching, records, score
+from sieveline.operators.article import parse_articles
+from sieveline.plans import audit
 from sieveline.sources import files, providers, tables
 
 REGISTRY = "ord long, paper_id string, doi string, title string"
@@ -261,3 +263,138 @@ def test_messages_and_cache(spark):
     cache = spark.createDataFrame([("A", "ok"), ("B", "failed"), ("C", "no_doi")], "paper_id string, status string")
     papers = spark.createDataFrame([("A",), ("B",), ("D",)], "paper_id string")
     assert sorted(r[0] for r in providers.to_do(papers, cache).collect()) == ["B", "D"] and providers.to_do(papers, cache, True).count() == 3
+
+
+class Block:
+    def __init__(self, **own):
+        self.__dict__.update(own)
+
+
+class RateLimitError(Exception):
+    """Named as a client library names it."""
+
+
+class Client:
+    """Stands in for a client library: fails twice, then answers with the form that it was forced to use."""
+
+    def __init__(self, given, failures=2):
+        self.messages, self.given, self.failures, self.requests = self, given, failures, []
+
+    def create(self, **request):
+        self.requests.append(request)
+        if len(self.requests) <= self.failures:
+            raise RateLimitError("slow down")
+        return Block(content=[Block(type="text", text="hm"), Block(type="tool_use", name=request["tool_choice"]["name"], input=self.given)])
+
+
+@pytest.mark.parametrize("contract,given,most", [(providers.EXTRACTION, {"rows": [], "summary_paragraph": "é"}, 8000), (providers.VERIFICATION, {"verdicts": []}, 4000)])
+def test_model_contract(contract, given, most):
+    client, slept = Client(given), []
+    ask = providers.client_model(lambda: client, contract, "some-model")()
+    assert json.loads(providers.asked(ask, "the message", slept.append)) == given and slept == [1, 2]
+    request = client.requests[-1]
+    assert (request["model"], request["max_tokens"], request["messages"]) == ("some-model", most, [{"role": "user", "content": "the message"}])
+    assert request["tool_choice"] == {"type": "tool", "name": contract.name} and [t["name"] for t in request["tools"]] == [contract.name]
+    assert request["system"] == contract.system and set(request["tools"][0]["input_schema"]["required"]) == set(given)
+    for bad in ({}, {"other": 1}):
+        with pytest.raises(ValueError, match="lacks"):
+            providers.asked(providers.client_model(lambda: Client(bad, 0), contract, "m")(), "x", slept.append)
+    with pytest.raises(ValueError, match="no .* form"):
+        contract.answer([{"type": "text"}])
+    with pytest.raises(RuntimeError, match="5 attempts"):
+        providers.asked(providers.client_model(lambda: Client(given, 9), contract, "m")(), "x", slept.append)
+
+
+def test_answers_that_break_the_contract_are_errors(spark):
+    messages = spark.createDataFrame([("P", "ephys", "cats"), ("Q", "ephys", "dogs")], "paper_id string, modality string, message string")
+    model = providers.recorded_model({"cats": '{"rows": [], "summary_paragraph": ""}', "dogs": "[1]"})
+    got = {r.paper_id: r for r in providers.answers(messages, model, contract=providers.EXTRACTION).collect()}
+    assert got["P"].error is None and got["Q"].json is None and "lacks rows" in got["Q"].error
+
+
+def test_odd_answers_of_services_stay_in_their_row():
+    odd = client(Answer({"records": [{"pmcid": 7}]}), Answer({"esearchresult": {"idlist": []}})).fetch("P", "10.1/a")
+    assert odd["status"] == "failed" and odd["error"]
+    assert client(Answer({"records": "x"})).fetch("P", "10.1/a")["status"] == "failed"
+
+
+class Page:
+    def __init__(self, text):
+        self.text = text
+
+    def extract_text(self):
+        return self.text
+
+
+class Pdf:
+    def __init__(self, *texts):
+        self.pages = [Page(t) for t in texts]
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *why):
+        return False
+
+
+def test_readable_pdf(monkeypatch):
+    """With stand-ins for both readers, as neither is installed here: the second is asked where the first finds nothing."""
+    import sys
+    from types import SimpleNamespace
+
+    first = SimpleNamespace(open=lambda raw: Pdf("page one", None, "page three"))
+    monkeypatch.setitem(sys.modules, "pdfplumber", first)
+    monkeypatch.setitem(sys.modules, "pypdf", SimpleNamespace(PdfReader=lambda raw: Pdf("from the second")))
+    assert files._pdf_text(b"%PDF") == "page one\n\npage three"
+    first.open = lambda raw: Pdf(" ", None)
+    assert files._pdf_text(b"%PDF") == "from the second"
+    first.open = lambda raw: 1 / 0
+    assert files._pdf_text(b"%PDF") == "from the second" and files._pdf_text(b"") is None
+
+
+def test_contents_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    plan = files.load_texts(spark, f"file://{tmp_path}")._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "Exchange" in line:
+            assert "content" not in line, line
+    assert plan.count("content#") and sum("ReadSchema" in x and "content" in x.split("ReadSchema")[1] for x in plan.splitlines()) == 1
+
+
+def test_stages_write_their_tables(spark, tmp_path):
+    folder, out = tmp_path / "in", f"file://{tmp_path}/out"
+    folder.mkdir()
+    (folder / "AIM-1.txt").write_text("text of one")
+    (folder / "other.txt").write_text("nothing known")
+    (tmp_path / "r.csv").write_text("Reference ID,Title,DOI,Photometry Data\nAIM-1,One,10.1/a,seen\nAIM-2,Two,,\n")
+    registry = f"file://{tmp_path}/r.csv"
+    totals = audit.scrape_stage(spark, f"file://{folder}", registry, out)
+    assert (totals.matched, totals.unmatched_files, totals.missing) == (1, 1, 1)
+    assert sorted(r.status for r in tables.read_table(spark, f"{out}/manifest", tables.MANIFEST).collect()) == ["matched", "unmatched"]
+    assert spark.read.parquet(f"{out}/cache").first().text == "text of one"
+
+    def literature():
+        return client(Answer({"records": [{}]}), Answer({"esearchresult": {"idlist": ["5"]}}), Answer(text="an abstract"))
+
+    counts = {r.outcome: r.n for r in audit.fetch_stage(spark, registry, f"{out}/texts", out, literature)}
+    assert counts == {"pubmed_abstract": 1, "no_doi": 1}
+    again = {r.outcome: r.n for r in audit.fetch_stage(spark, registry, f"{out}/texts", out, lambda: 1 / 0)}
+    assert again == counts  # nothing is asked twice
+    manifest = tables.read_csv(spark, f"{out}/fetch_manifest")
+    assert manifest.columns == ["paper_id", "doi", "pmid", "pmcid", "text_source", "status", "fetched_at", "error"] and manifest.count() == 2
+    flat = records.flatten_extractions(spark.createDataFrame([("AIM-1", "photometry", '{"rows": [], "summary_paragraph": " s "}')], "paper_id string, modality string, json string"))
+    tables.write_flat(flat, f"{out}/flat")
+    audit.compare_stage(spark, registry, f"{out}/flat", out)
+    side = tables.read_csv(spark, f"{out}/side_by_side")
+    assert side.count() == 12 and [(r.recorded_value, r.reextracted_value) for r in side.where("paper_id = 'AIM-1' AND modality = 'photometry'").collect()] == [("seen", "s")]
+    assert audit.score_stage(spark, registry, f"{out}/none").startswith("Reliability score: 5.0/10")
+
+
+def test_articles_in_files_of_their_own(spark, tmp_path):
+    texts = spark.createDataFrame([("in/a.txt", "A title that is long enough\n\nAbstract\nÉté."), ("in/z/a.md", "Another title of the same stem")], "f string, text string")
+    assert tables.write_articles(parse_articles(texts, source_file="f"), f"file://{tmp_path}/out") == 2
+    raw = (tmp_path / "out" / "a.json").read_text()
+    body = json.loads(raw)
+    assert body["title"] == "Another title of the same stem" and "\n" in raw and body["sections"] == {} and body["doi"] is None
+    tables.write_articles(parse_articles(texts.limit(1), source_file="f"), f"file://{tmp_path}/one")
+    assert "Été." in (tmp_path / "one" / "a.json").read_text()
