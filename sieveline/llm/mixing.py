@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
-BUCKETS = 4096
+#: Leading hexadecimal digits of a draw that make its bucket: 4,096 buckets.
+BUCKET_DIGITS = 3
 
 
 def n_words(text: str = "text"):
@@ -41,17 +42,17 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     size counts the words (null: 0); source_size sums them. Sources weigh ``weights`` in turn by code point, null
     last, and share ``share`` of all words; none gets over ``most`` times its size. Every document is taken as often
     as the target holds its source whole; the rest of the target goes once more through the source's documents in
-    an order seeded by ``seed`` and doc_id, whole documents first and a part of the one at the end, so that a
+    an order seeded by ``seed``, doc_id and text, whole documents first and a part of the one at the end, so that a
     source's taken words add up to its target, rounded. taken <= most * size for each document if most is whole.
-    Rows of equal doc_id stand side by side in that order, and so do all without one: a single prefix sum goes over
-    them. Columns besides doc_id, text and source are not read. An empty table gives an empty result.
+    Rows of equal doc_id and text stand side by side in that order. Columns besides doc_id, text and source are not read. An empty table gives an empty result.
 
     The order is by hash, so its buckets are ranges of it: sums per (source, bucket) and a prefix scan over these
-    tell where each bucket starts, and a source of any size is spread over BUCKETS keys.
+    tell where each bucket starts, and a source of any size is spread over 4,096 keys.
     """
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    sized = stored(sized.withColumn("draw", draw).withColumn("bucket", F.shiftrightunsigned("draw", 64 - BUCKETS.bit_length() + 1)), "op7-sized")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
+    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), draw.alias("draw"))
+    sized = stored(sized.withColumn("bucket", F.substring("draw", 1, BUCKET_DIGITS)), "op7-sized")
     buckets = stored(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "op7-buckets")
     sources = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")

@@ -62,11 +62,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_suffix_array_dedup, op4_sharding, op5_benchmark_decontamination, op6_language_id, op7_mixing, op8_substring_dedup, op9_exact_top_k, op10_simhash_near_dedup)}
 
 
-#: op1, op2, op4, op6, op7 and op10 have none: BPE, learned labels, label propagation, Spark's hash order and XXH64 are
-#: not in SQL; op3's would hold 400 bytes for each byte of the table. tests/llm holds these against brute force.
+#: op1, op2, op4, op6 and op10 have none: BPE, learned labels, label propagation and XXH64 are not in SQL; op3's would
+#: look at 400 bytes for each byte of the table. tests/llm holds these against brute force.
 def oracle_sql() -> dict[str, str]:
     """Equivalent DuckDB SQL where SQL can express the contract."""
-    return {"op5_benchmark_decontamination": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_exact_top_k": OP9_SQL}
+    return {"op5_benchmark_decontamination": OP5_SQL, "op7_mixing": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_exact_top_k": OP9_SQL}
 
 
 OP9_SQL = """
@@ -76,6 +76,21 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+#: Sources in the order in which they fill up; the water's level behind each prefix of full ones; then the seeded order.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat('17:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))) AS draw FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
+f AS (SELECT *, cap / weight AS full_at, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS total FROM w),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+r AS (SELECT *, max(CASE WHEN full_at > level THEN level END) OVER () AS reached FROM l),
+t AS (SELECT source, source_size, CASE WHEN full_at <= level THEN cap ELSE reached * weight END AS target FROM r),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+p AS (SELECT d.*, q.source_size, q.target, q.whole, CAST(floor(q.target + 0.5) AS BIGINT) - q.whole * q.source_size AS rest,
+ coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + least(size, greatest(rest - start, 0)) AS BIGINT) AS taken FROM p
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),

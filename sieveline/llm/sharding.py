@@ -76,7 +76,8 @@ def assign(documents: DataFrame, shards: int = 16, rounds: int = 8, slack: float
     like any other. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("same"))
+    # a number of its own for each row, stored with it: rows without a doc_id are told apart by it when they are ranked
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("same"))
     base = stored(rows.withColumn("first", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("int")), "op4-base")
     group = ["same", "text_crc32", "size"]
     counts = base.groupBy(*group, "first").count().groupBy(*group).agg(F.sum("count").alias("many"))
@@ -118,6 +119,12 @@ def assign(documents: DataFrame, shards: int = 16, rounds: int = 8, slack: float
     return _shape(_balanced(placed.unionByName(_split(tagged.where("home = -1"), split, seed)) if split else placed, n, shards, seed))
 
 
+def _by_row(seed: int) -> Column:
+    """A hash of doc_id and text; of rows without a doc_id, of their own number, as those of one text are interchangeable."""
+    known = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text_crc32", "size", "row")).otherwise(known)
+
+
 def _dealt(free: list[int], seed: int) -> Column:
     """A first label for each cell, in proportion to the room that large groups leave."""
     at = _unit(F.lit(seed + 2), "unit", "first") * F.lit(float(sum(free)))
@@ -130,7 +137,7 @@ def _dealt(free: list[int], seed: int) -> Column:
 def _split(rows: DataFrame, split: dict[int, list[tuple[int, int]]], seed: int) -> DataFrame:
     """Labels for the rows of split groups: as many for each shard as it was given, in the order of a hash."""
     ends = {u: [(sum(m for _, m in p[: i + 1]), k) for i, (k, _) in enumerate(p)] for u, p in split.items()}
-    ranked = _ranked(rows.withColumn("order", F.xxhash64(F.lit(seed + 1), "doc_id")).withColumn("bucket", _bucket()), "unit", "op4-split")
+    ranked = _ranked(rows.withColumn("order", _by_row(seed + 1)).withColumn("bucket", _bucket()), "unit", "op4-split")
     label = F.lit(None).cast("int")
     for u, own in ends.items():
         inside = F.lit(own[-1][1])
@@ -162,7 +169,7 @@ def _ranked(keyed: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFram
 def _balanced(rows: DataFrame, n: int, shards: int, seed: int) -> DataFrame:
     """Exact sizes. Documents are ranked in each shard, those of large groups first, those without links last; ranks beyond the shard's size go where there is room."""
     large = F.col("home").isNotNull()
-    order = F.xxhash64(F.lit(seed), F.when(large, F.col("doc_id")).otherwise(F.coalesce("unit", "doc_id")))
+    order = F.when(~large & F.col("unit").isNotNull(), F.xxhash64(F.lit(seed), "unit")).otherwise(_by_row(seed))
     kind = F.when(large, 0).when(F.col("unit").isNotNull(), 1).otherwise(2)
     ranked, buckets = _ranked(rows.withColumn("order", order).withColumn("bucket", kind * BUCKETS + _bucket()), "label", "op4-keyed")
     loads = _loads(buckets.groupBy("label").agg(F.sum("n").alias("n")), shards)

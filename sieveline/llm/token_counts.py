@@ -41,12 +41,13 @@ def encoding(path: str):
     return _encodings[path]
 
 
-def packed(documents: DataFrame, block_tokens: int = 1 << 16, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
-    """Blocks (file, block, payload) of flat files of 16-bit ids, and beside them the doc_ids that end in each block.
+def packed(documents: DataFrame, block_tokens: int = 1 << 16, vocabulary: str = VOCABULARY, end: int = END, width: int = 2) -> DataFrame:
+    """Blocks (file, block, payload) of flat files of ids of ``width`` bytes, and beside them the doc_ids that end in each block.
 
     The doc_ids are no part of the files; they only name the documents afterwards. A null or empty text is a
-    document of no tokens.
+    document of no tokens. An id that does not fit, or that is ``end``, is an error.
     """
+    kind, most = np.dtype(f"<u{width}"), 1 << 8 * width
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(vocabulary).encode_ordinary
@@ -57,7 +58,7 @@ def packed(documents: DataFrame, block_tokens: int = 1 << 16, vocabulary: str =
 
         def cut(n: int) -> pa.RecordBatch:
             nonlocal held, ends, size, block
-            flat = np.concatenate(held) if held else np.zeros(0, "<u2")
+            flat = np.concatenate(held) if held else np.zeros(0, kind)
             inside = [i for at, i in ends if at < n]
             out = pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([flat[:n].tobytes()], pa.binary()), pa.array([inside], pa.list_(pa.int64()))], ["file", "block", "payload", "doc_ids"])
             held, ends, size, block = [flat[n:]], [(at - n, i) for at, i in ends if at >= n], size - n, block + 1
@@ -65,7 +66,10 @@ def packed(documents: DataFrame, block_tokens: int = 1 << 16, vocabulary: str =
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                held.append(np.array([*encode(text.as_py() or ""), end], "<u2"))
+                ids = np.array([*encode(text.as_py() or ""), end], np.int64)
+                if ids.max() >= most or (ids[:-1] == end).any():
+                    raise ValueError(f"ids of this vocabulary do not fit in {width} bytes, or {end} is one of them")
+                held.append(ids.astype(kind))
                 size += len(held[-1])
                 ends.append((size - 1, doc_id))
                 while size >= block_tokens:
@@ -77,18 +81,45 @@ def packed(documents: DataFrame, block_tokens: int = 1 << 16, vocabulary: str =
     return docs.mapInArrow(rows, f"{BLOCKS}, doc_ids array<long>")
 
 
-def blocks_of_files(spark: SparkSession, path: str, block_bytes: int = 1 << 17, glob: str = "*") -> DataFrame:
-    """Blocks (file, block, payload) of the flat token files under ``path``; block_bytes is a multiple of the ids' width."""
+def blocks_of_files(spark: SparkSession, path: str, block_bytes: int = 1 << 17, glob: str = "*", whole: int = 1 << 28, piece: int = 1 << 26) -> DataFrame:
+    """Blocks (file, block, payload) of the flat token files under ``path``; block_bytes is a multiple of the ids' width.
+
+    Files of up to ``whole`` bytes come through Spark's reader, from any store. Larger ones, which that reader takes
+    as one value each and refuses beyond 2 GB, are read in pieces of about ``piece`` bytes, many at once, by Arrow's
+    file systems (local, HDFS, S3 and the like). A file without a byte has no blocks.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                raw = content.as_buffer()
-                for k, at in enumerate(range(0, raw.size, block_bytes)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([raw.slice(at, min(block_bytes, raw.size - at)).to_pybytes()], pa.binary())], ["file", "block", "payload"])
+                yield from _cut(name, 0, content.as_buffer(), block_bytes)
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        for batch in batches:
+            for name, first, n in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "blocks")), strict=True):
+                local = name.startswith("file:")
+                system, place = (fs.LocalFileSystem(), name.removeprefix("file:")) if local else fs.FileSystem.from_uri(quote(name, safe=":/@"))
+                with system.open_input_file(place) as file:
+                    for k in range(first, first + n):
+                        yield from _cut(name, k, pa.py_buffer(file.read_at(block_bytes, k * block_bytes)), block_bytes)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(rows, BLOCKS)
+    small = files.where(F.col("length") <= whole).select("path", "content").mapInArrow(rows, BLOCKS)
+    step = max(1, piece // block_bytes)
+    n_blocks = F.ceil(F.col("length") / block_bytes)
+    starts = files.where(F.col("length") > whole).select("path", n_blocks.alias("all"), F.explode(F.sequence(F.lit(0), n_blocks - 1, F.lit(step))).alias("first"))
+    pieces = starts.select("path", "first", F.least(F.lit(step), F.col("all") - F.col("first")).alias("blocks")).repartition("path", "first")
+    return small.unionByName(pieces.mapInArrow(ranges, BLOCKS))
+
+
+def _cut(name: str, first: int, raw: pa.Buffer, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    for k, at in enumerate(range(0, raw.size, block_bytes), first):
+        cells = [pa.array([name]), pa.array([k], pa.int64()), pa.array([raw.slice(at, min(block_bytes, raw.size - at)).to_pybytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cells, ["file", "block", "payload"])
 
 
 def scanned(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame:
@@ -119,16 +150,21 @@ def scanned(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame:
 def stitched(scan: DataFrame) -> DataFrame:
     """file, ordinal (from 0), first_token, n_tokens (without the separator) and closed for every document of every file.
 
-    Tokens behind a file's last separator are a document that is not closed.
+    Tokens behind a file's last separator are a document that is not closed. The prefix scan over a file's blocks
+    sees three numbers a block (tokens, separators, the last separator); the separators join its result.
     """
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.when(F.size("seps") > 0, F.col("base") + F.element_at("seps", -1))
-    based = scan.select("file", "block", "n", "seps", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum(F.size("seps")).over(before), F.lit(0)).alias("ordinal0"))
-    linked = based.withColumn("previous", F.coalesce(F.max(last).over(before), F.lit(-1)))
-    spread = linked.select("file", "base", "ordinal0", "previous", F.expr("seps AS all_seps"), F.posexplode("seps").alias("k", "at"))
+    sums = scan.select("file", "block", "n", F.size("seps").alias("n_seps"), F.try_element_at("seps", F.lit(-1)).alias("last_sep"))
+    sums = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("last", F.col("base") + F.col("last_sep"))
+    linked = sums.select(
+        "file", "block", "n", "base", "n_seps", "last", F.coalesce(F.sum("n_seps").over(before), F.lit(0)).alias("ordinal0"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("previous")
+    )
+    starts = linked.select(F.col("file").alias("in_file"), F.col("block").alias("in_block"), "base", "ordinal0", "previous")
+    joined = scan.select("file", "block", "seps").join(starts, F.expr("file = in_file AND block = in_block"))
+    spread = joined.select("file", "base", "ordinal0", "previous", F.expr("seps AS all_seps"), F.posexplode("seps").alias("k", "at"))
     start = F.when(F.col("k") > 0, F.col("base") + F.get("all_seps", F.col("k") - 1)).otherwise(F.col("previous")) + 1
     documents = spread.select("file", (F.col("ordinal0") + F.col("k")).alias("ordinal"), start.alias("first_token"), (F.col("base") + F.col("at") - start).alias("n_tokens"), F.lit(True).alias("closed"))
-    files = linked.groupBy("file").agg(F.sum("n").alias("total"), F.max(F.coalesce(last, F.lit(-1))).alias("last"), F.sum(F.size("seps")).alias("ordinal"))
+    files = linked.groupBy("file").agg(F.sum("n").alias("total"), F.coalesce(F.max("last"), F.lit(-1)).alias("last"), F.sum("n_seps").alias("ordinal"))
     tails = files.where("last + 1 < total").select("file", "ordinal", (F.col("last") + 1).alias("first_token"), (F.col("total") - F.col("last") - 1).alias("n_tokens"), F.lit(False).alias("closed"))
     return documents.unionByName(tails)
 

@@ -38,6 +38,31 @@ def test_flat_files_without_index(spark, tmp_path):
         assert got == [("a.bin", 0, 0, 1, True), ("a.bin", 1, 2, 0, True), ("a.bin", 2, 3, 1, True), ("a.bin", 3, 5, 5, True), ("a.bin", 4, 11, 1, False), ("b.bin", 0, 0, 0, True), ("b.bin", 1, 1, 0, True)]
 
 
+def test_large_flat_files_are_read_in_pieces(spark, tmp_path):
+    rnd = random.Random(6)
+    ids = [rnd.choice([9, 1, 2, 3, 4, 5]) for _ in range(5000)]
+    (tmp_path / "a b.bin").write_bytes(struct.pack(f"<{len(ids)}H", *ids))
+    (tmp_path / "none.bin").write_bytes(b"")
+    want = [len(x) for x in " ".join(map(str, ids)).replace(" ", "").split("9")]
+    for whole, piece in ((1 << 28, 64), (0, 64), (0, 1 << 20)):
+        scan = token_counts.scanned(token_counts.blocks_of_files(spark, f"file://{tmp_path}", 32, whole=whole, piece=piece), 9, 2)
+        got = [r.n_tokens for r in token_counts.stitched(scan).orderBy("ordinal").collect()]
+        assert got == want or got == want[:-1] and not want[-1]
+
+
+def test_ids_that_do_not_fit_are_errors(spark):
+    with pytest.raises(Exception, match="do not fit"):
+        token_counts.token_counts(make(spark, [(1, "some words", "a")]), end=token_counts.encoding(token_counts.VOCABULARY).encode_ordinary("some")[0]).collect()
+    scan = token_counts.scanned(token_counts.packed(make(spark, [(1, "some words", "a")]), end=70000, width=4), 70000, 4)
+    assert [r.closed for r in token_counts.stitched(scan).collect()] == [True]
+
+
+def test_token_counts_of_a_long_text(spark):
+    df = spark.createDataFrame([(1, "the word " * 200000, "x", 1, 2), (2, "a", "y", 3, 4)], "doc_id long, text string, file string, n_tokens int, ordinal int")
+    encode = token_counts.encoding(token_counts.VOCABULARY).encode_ordinary
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df).collect()} == {1: len(encode("the word " * 200000)), 2: len(encode("a"))}
+
+
 def brute_contamination(docs, items, width=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {}
@@ -134,6 +159,9 @@ def test_mix(spark):
     assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in got)
     assert Counter((r.doc_id, r.taken) for r in mixing.mix(make(spark, rows), seed=2).collect()) != Counter((r.doc_id, r.taken) for r in got)
     assert mixing.mix(make(spark, [])).count() == 0
+    one = [(None, "w " * 300000, "a"), (None, "v", "a"), (7, "u", "b")]  # a very long text among rows without a doc_id
+    got = {r["size"]: r.taken for r in mixing.mix(make(spark, one)).where("source = 'a'").collect()}
+    assert set(got) == {300000, 1} and abs(sum(got.values()) - (1.5 * 300002 - 2)) <= 1
     assert [r.taken for r in mixing.mix(make(spark, [(1, None, None)])).collect()] == [0]
 
 
@@ -163,6 +191,39 @@ def test_sharding(spark):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
+def cut_edges(text, shard):
+    """The share of pairs of equal texts that stand in two shards, largest groups left out (no shard holds them)."""
+    groups = {}
+    for i, t in text.items():
+        groups.setdefault(t, []).append(shard[i])
+    pairs = cut = 0
+    for members in groups.values():
+        counts = Counter(members).values()
+        n = sum(counts)
+        pairs += n * (n - 1) // 2
+        cut += n * (n - 1) // 2 - sum(c * (c - 1) // 2 for c in counts)
+    return cut / pairs
+
+
+def test_sharding_cuts_few_edges(spark):
+    """Against shards by hash, which cut 15 of 16 edges."""
+    rnd = random.Random(7)
+    rows = [(i, f"text {i}", "a") for i in range(1000)] + [(2000 + i, f"copy {rnd.randrange(90)}", "a") for i in range(1500)]
+    got = sharding.assign(make(spark, rows)).collect()
+    text = {i: t for i, t, _ in rows}
+    found = cut_edges(text, {r.doc_id: r.shard for r in got})
+    plain = cut_edges(text, {i: zlib.crc32(str(i).encode()) % 16 for i in text})
+    assert plain > 0.9 and found < 0.02, (found, plain)
+
+
+def test_sharding_without_doc_ids(spark):
+    rows = [(None, f"t{i % 700}", "a") for i in range(1400)] + [(None, "hot", "a")] * 900 + [(None, None, "a")] * 5
+    got = sharding.assign(make(spark, rows)).collect()
+    shards_hold(rows, got)
+    again = sharding.assign(make(spark, rows[::-1]).repartition(3)).collect()
+    assert Counter((r.text_crc32, r.shard) for r in again) == Counter((r.text_crc32, r.shard) for r in got)
+
+
 def test_sharding_edges(spark):
     assert sharding.assign(make(spark, [])).count() == 0
     for n in (1, 5, 17):
