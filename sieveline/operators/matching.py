@@ -64,28 +64,34 @@ def by_title(files: DataFrame, registry: DataFrame, threshold: float = THRESHOLD
 def _titled(heads: DataFrame, registry: DataFrame, threshold: float) -> DataFrame:
     """The best title for each file by counts of shared words; ``heads`` holds files' words as numbers.
 
-    A title of n words needs ``needed`` of them. Sorted by rarity, its words but the last needed - e make a front: a
-    file that has enough words has e of those in the front at least (e is 2, or 1 where one word is enough). Fronts
-    are looked up and counted; what passes is counted in full with the words behind the front. All joins are on
-    single words, and all that is shuffled is numbers.
+    Of titles with the same words only the first counts. A title of n words needs a share of them, so a file that has
+    enough has one at least of its rarest ones, all but that many less one: its front. Fronts are looked up and
+    counted, which bounds a title's score from both sides, as the words behind the front may all be there or none.
+    What can't reach the file's best lower bound goes, and the rest is counted in full. All joins are on single
+    words, and all that is shuffled is numbers.
     """
-    titles = registry.select("ord", "paper_id", F.transform(word_set(F.col("title")), lambda w: F.xxhash64(w)).alias("title_words")).where(F.size("title_words") > 0)
+    titles = registry.select("ord", "paper_id", F.array_sort(F.transform(word_set(F.col("title")), lambda w: F.xxhash64(w))).alias("title_words")).where(F.size("title_words") > 0)
+    titles = titles.groupBy("title_words").agg(F.min("ord").alias("ord"), F.min_by("paper_id", "ord").alias("paper_id"))
     needed = F.greatest(F.lit(1), F.ceil(F.size("title_words") * threshold - 1e-9).cast("int"))
     each = titles.select("ord", "paper_id", F.size("title_words").alias("n"), needed.alias("needed"), F.explode("title_words").alias("word"))
     rarity = each.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    place = F.row_number().over(Window.partitionBy("ord", "paper_id").orderBy("freq", "word"))
-    least = F.least(F.lit(2), "needed")
-    ranked = stored(each.join(rarity, "word").select("ord", "paper_id", "n", "needed", "word", least.alias("least"), (place <= F.col("n") - F.col("needed") + least).alias("front")), "title-words")
+    place = F.row_number().over(Window.partitionBy("ord").orderBy("freq", "word"))
+    ranked = each.join(rarity, "word").select("ord", "paper_id", "n", "needed", "word", (place <= F.col("n") - F.col("needed") + 1).alias("front"))
+    ranked = stored(ranked, "title-words")
     own = heads.select("file", F.explode("words").alias("word"))
-    fronts = own.join(ranked.where("front").drop("front"), "word").groupBy("file", "ord", "paper_id").agg(F.count(F.lit(1)).alias("shared"), *(F.first(c).alias(c) for c in ("n", "needed", "least")))
-    behind = ranked.where("NOT front").groupBy("ord", "paper_id").agg(F.collect_list("word").alias("rest"))  # a title's words at most
-    likely = fronts.where("shared >= least").join(behind, ["ord", "paper_id"], "left")
-    asked = likely.select("file", "ord", "paper_id", "shared", "n", "needed", F.explode_outer("rest").alias("word"))
+    fronts = own.join(ranked.where("front").select("word", "ord", "n", "needed"), "word").groupBy("file", "ord")
+    fronts = stored(fronts.agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("needed").alias("needed")), "title-fronts")
+    sure, hoped = F.col("shared") / F.col("n"), (F.col("shared") + F.col("needed") - 1) / F.col("n")
+    roof = fronts.where("shared >= needed").groupBy("file").agg(F.max(sure).alias("best_sure"))
+    likely = fronts.join(roof, "file", "left").where(hoped >= F.greatest(F.coalesce("best_sure", F.lit(0.0)), F.lit(threshold)) - 1e-9)
+    behind = ranked.where("NOT front").groupBy("ord").agg(F.collect_list("word").alias("rest"))  # a title's words at most
+    asked = likely.join(behind, "ord", "left").select("file", "ord", "shared", "n", "needed", F.explode_outer("rest").alias("word"))
     met = asked.join(own.withColumn("there", F.lit(1)), ["file", "word"], "left")
-    counted = met.groupBy("file", "ord", "paper_id").agg((F.first("shared") + F.count("there")).alias("shared"), F.first("n").alias("n"), F.first("needed").alias("needed"))
+    counted = met.groupBy("file", "ord").agg((F.first("shared") + F.count("there")).alias("shared"), F.first("n").alias("n"), F.first("needed").alias("needed"))
     scored = counted.where("shared >= needed").withColumn("score", F.col("shared") / F.col("n"))
-    best = scored.groupBy("file").agg(F.max_by(F.struct("paper_id", "score"), F.struct("score", -F.col("ord"))).alias("best"))
-    return best.select("file", "best.paper_id", "best.score")
+    best = scored.groupBy("file").agg(F.max_by(F.struct("ord", "score"), F.struct("score", -F.col("ord"))).alias("best"))
+    names = ranked.groupBy("ord").agg(F.first("paper_id").alias("paper_id"))
+    return best.select("file", "best.ord", "best.score").join(names, "ord").select("file", "paper_id", "score")
 
 
 def match_files(files: DataFrame, registry: DataFrame) -> DataFrame:
