@@ -33,7 +33,9 @@ SLICE = (1 << 20) - 64
 def keyed(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows with what tells them apart, without nulls: ID_KEYS, that is doc_id (0 if null), whether it is null, and the text's hash."""
     text = F.col("text").cast("string")
-    return documents.withColumns({"key_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "key_null": F.col(doc_id).isNull(), "key_text": F.xxhash64(text)})
+    return documents.withColumns(
+        {"key_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "key_null": F.col(doc_id).isNull(), "key_text": F.xxhash64(text)}
+    )
 
 
 def least_drawn(rows: DataFrame, by: str, most: int, *order: str) -> DataFrame:

@@ -27,7 +27,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def marginals(emissions: np.ndarray, kinds: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, first: np.ndarray, moves: bool = False, real=np.float32) -> tuple[np.ndarray, np.ndarray | None]:
+def marginals(
+    emissions: np.ndarray,
+    kinds: np.ndarray,
+    offsets: np.ndarray,
+    transitions: np.ndarray,
+    first: np.ndarray,
+    moves: bool = False,
+    real=np.float32
+) -> tuple[np.ndarray, np.ndarray | None]:
     """P(label) of each element and, with moves, the expected number of each transition over all sequences.
 
     emissions: kinds of elements x labels, logarithms; kinds: the kind of each element. offsets: n + 1 ends of the
@@ -129,7 +137,9 @@ class Features:
         return out
 
 
-def fit(features: Features, kinds: np.ndarray, offsets: np.ndarray, targets: np.ndarray, n_weights: int, rounds: int, rate: float, decay: float):
+def fit(
+    features: Features, kinds: np.ndarray, offsets: np.ndarray, targets: np.ndarray, n_weights: int, rounds: int, rate: float, decay: float
+):
     """Weights (features x labels), transitions and first-label weights.
 
     kinds[i] is the kind of element i (elements that share all features are one kind). targets: elements x labels,

@@ -62,12 +62,34 @@ def _hits(batch: pa.RecordBatch, kinds: list[int], seen: np.ndarray | None, whol
             picks, hashes = picks[kept], hashes[kept]
         low = np.maximum(starts_of[picks], picks - (width - k))
         high = np.minimum(ends_of[picks], picks + width)
-        found.append((np.full(len(picks), width), hashes.view(np.int64), picks - starts_of[picks], picks - low, low, high, np.searchsorted(words, picks, "right") - 1))
+        found.append(
+            (
+                np.full(len(picks), width),
+                hashes.view(np.int64),
+                picks - starts_of[picks],
+                picks - low,
+                low,
+                high,
+                np.searchsorted(words, picks, "right") - 1
+            )
+        )
     kind, h, at, ahead, low, high, doc = (np.concatenate([f[i] for f in found]) for i in range(7))
     order = np.argsort(doc, kind="stable")
     raw = data.tobytes()
-    around = [b" ".join(raw[a:b] for a, b in zip(starts[x:y].tolist(), ends[x:y].tolist(), strict=True)) for x, y in zip(low[order].tolist(), high[order].tolist(), strict=True)]
-    flat = pa.StructArray.from_arrays([pa.array(kind[order].astype(np.int32)), pa.array(h[order]), pa.array(at[order].astype(np.int32)), pa.array(ahead[order].astype(np.int32)), pa.array(around, pa.binary()).cast(pa.string())], ["kind", "h", "at", "ahead", "around"])
+    around = [
+        b" ".join(raw[a:b] for a, b in zip(starts[x:y].tolist(), ends[x:y].tolist(), strict=True)) for x,
+        y in zip(low[order].tolist(), high[order].tolist(), strict=True)
+    ]
+    flat = pa.StructArray.from_arrays(
+        [
+            pa.array(kind[order].astype(np.int32)),
+            pa.array(h[order]),
+            pa.array(at[order].astype(np.int32)),
+            pa.array(ahead[order].astype(np.int32)),
+            pa.array(around, pa.binary()).cast(pa.string())
+        ],
+        ["kind", "h", "at", "ahead", "around"]
+    )
     counts = np.bincount(doc, minlength=batch.num_rows)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat), n_words
 
@@ -130,7 +152,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_hit.append(total)
             digests.append(hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest())
         n_items = batch.column("items").value_lengths().cast(pa.int64())
-        arrays = [batch.column("row"), pa.array(n_hit, pa.int64()), n_items, pa.array(digests, pa.string()), batch.column("items"), batch.column("spans")]
+        arrays = [
+            batch.column("row"),
+            pa.array(n_hit, pa.int64()),
+            n_items,
+            pa.array(digests, pa.string()),
+            batch.column("items"),
+            batch.column("spans")
+        ]
         yield pa.RecordBatch.from_arrays(arrays, ["row", "n_hit", "n_items", "items_sha256", "items", "spans"])
 
 
@@ -162,13 +191,21 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, s
     scan = stored(_texts(documents, "doc_id").mapInArrow(_scan(present, seen, None), SCANNED), "op5-scan")
     content = F.xxhash64("kind", "h", "ahead", "around")
     owners = known.select(content.alias("content"), "item_id").distinct()
-    asked = known.select(content.alias("content"), F.col("kind").alias("i_kind"), F.col("h").alias("i_h"), F.col("ahead").alias("i_ahead"), F.col("around").alias("i_around")).distinct()
+    asked = known.select(
+        content.alias("content"),
+        F.col("kind").alias("i_kind"),
+        F.col("h").alias("i_h"),
+        F.col("ahead").alias("i_ahead"),
+        F.col("around").alias("i_around")
+    ).distinct()
     pairs = scan.select("row", F.inline("hits")).join(asked, F.expr("h = i_h AND kind = i_kind"))
     pairs = pairs.select("row", "content", "kind", "at", "ahead", "around", "i_ahead", "i_around")
     matches = stored(pairs.mapInArrow(_extended, "row long, content long, low long, high long"), "op5-matches")
     spans = matches.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     named = matches.select("row", "content").distinct().join(owners, "content").groupBy("row").agg(F.collect_set("item_id").alias("items"))
-    counted = spans.join(named, "row").mapInArrow(_counted, "row long, n_hit long, n_items long, items_sha256 string, items array<long>, spans array<struct<low: long, high: long>>")
+    counted = spans.join(named, "row").mapInArrow(
+        _counted, "row long, n_hit long, n_items long, items_sha256 string, items array<long>, spans array<struct<low: long, high: long>>"
+    )
     joined = scan.select("row", F.col("id").alias("doc_id"), "text_hash", "n_words").join(counted, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(

@@ -93,7 +93,9 @@ def word_kinds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, Fea
 class Model:
     """Learned languages, weights, transitions, lexicon; small enough (TABLE x languages) to go with the tasks."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, transitions: np.ndarray, first: np.ndarray, lexicon: Lexicon = NO_LEXICON) -> None:
+    def __init__(
+        self, languages: list[str], weights: np.ndarray, transitions: np.ndarray, first: np.ndarray, lexicon: Lexicon = NO_LEXICON
+    ) -> None:
         self.languages, self.weights, self.transitions, self.first = languages, weights.astype(np.float32), transitions, first
         self.lexicon = lexicon
 
@@ -177,7 +179,9 @@ def learn(documents: DataFrame, per_language: int = 150, rounds: int = 15) -> Mo
     Ids and languages alone are looked at first, then the texts picked. The sample, per_language x languages texts
     (more where a doc_id repeats), is gathered in one task and fitted there.
     """
-    named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    named = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
+    )
     usable = named.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     picked = least_drawn(usable.select("doc_id", "lang"), "lang", per_language, "doc_id")
     sample = usable.where("text IS NOT NULL").join(picked, ["doc_id", "lang"], "left_semi").withColumn("draw", F.xxhash64("doc_id"))
@@ -209,7 +213,9 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     ``und`` with score 0 for null texts and texts without a letter (and for all if nothing could be learned).
     lang, source and doc_id are not read for the prediction.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
+    docs = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out")
+    )
     return identify_rows(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -220,4 +226,6 @@ def label_words(model: Model, text: str) -> list[tuple[str, str]]:
     data, offsets = text_bytes(pc.utf8_lower(lowered))
     starts, ends, _ = word_spans(data, offsets, LETTER)
     raw = data.tobytes()
-    return [(raw[a:b].decode(), model.languages[k]) for a, b, k in zip(starts.tolist(), ends.tolist(), chance.argmax(1).tolist(), strict=True)]
+    return [
+        (raw[a:b].decode(), model.languages[k]) for a, b, k in zip(starts.tolist(), ends.tolist(), chance.argmax(1).tolist(), strict=True)
+    ]

@@ -92,7 +92,9 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, edges: list[np.ndarray], weights: np.ndarray, transitions: np.ndarray, first: np.ndarray, curve: tuple[float, float]) -> None:
+    def __init__(
+        self, edges: list[np.ndarray], weights: np.ndarray, transitions: np.ndarray, first: np.ndarray, curve: tuple[float, float]
+    ) -> None:
         self.edges, self.weights, self.transitions, self.first, self.curve = edges, weights, transitions, first, curve
 
     def ids(self, features: np.ndarray, lines: np.ndarray) -> np.ndarray:
@@ -157,7 +159,9 @@ def train(texts: pa.Array, label: np.ndarray, rounds: int = 60) -> Model:
     active = Features(len(ids), [(column, np.arange(len(ids)), True) for column in ids.T])
     targets = np.eye(2)[of_line]
     for turn in range(2):
-        model.weights, model.transitions, model.first = fit(active, np.arange(len(ids)), lines, targets, len(model.weights), rounds, 0.2, 1e-5)
+        model.weights, model.transitions, model.first = fit(
+            active, np.arange(len(ids)), lines, targets, len(model.weights), rounds, 0.2, 1e-5
+        )
         if turn == 0:
             chance = model.lines(ids, lines)
             targets = np.where((of_line == 0)[:, None], chance, targets)
@@ -177,7 +181,9 @@ def learn(documents: DataFrame, labels: DataFrame, per_class: int = 1000) -> Mod
     Of several labels of one doc_id the lower counts. The sample, 2 x per_class texts, is gathered in one task and
     fitted there; rows that repeat a doc_id are all in it.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")
+    ).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out())
     picked = least_drawn(known, "quality", per_class, "doc_id")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -202,7 +208,17 @@ def classify(documents: DataFrame, model: Model | None) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             score = model.score(batch.column("text")) if model else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("held_out"),
+                    pa.array(score, pa.float64()),
+                    pa.array((score >= 0.5).astype(np.int32))
+                ],
+                ["doc_id", "held_out", "score", "predicted"]
+            )
+
+    docs = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out")
+    )
     return docs.mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")

@@ -24,7 +24,9 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_suffix_array_dedup, op4_sharding, op5_benchmark_decontamination, op6_language_id, op7_mixing, op8_substring_dedup, op9_exact_top_k, op10_simhash_near_dedup)}
+    return {
+        f.__name__: f for f in (
+            op1_token_counts,
+            op2_quality_classifier,
+            op3_suffix_array_dedup,
+            op4_sharding,
+            op5_benchmark_decontamination,
+            op6_language_id,
+            op7_mixing,
+            op8_substring_dedup,
+            op9_exact_top_k,
+            op10_simhash_near_dedup
+        )
+    }
 
 
 #: op1, op2, op4, op6 and op10 have none: BPE, learned labels, label propagation and XXH64 are not in SQL; op3's would

@@ -33,7 +33,10 @@ def _lookup(values: list[float], index: Column) -> Column:
 
 def _packed(sizes: list[int], exact: list[int]) -> list[list[tuple[int, int]]]:
     """For each group its (shard, rows), largest group first. Of two fits the one that splits fewer rows is taken."""
-    return min((_fitted(sizes, exact, tight) for tight in (True, False)), key=lambda found: sum(sum(n for _, n in parts) for parts in found if len(parts) > 1))
+    return min(
+        (_fitted(sizes, exact, tight) for tight in (True, False)),
+        key=lambda found: sum(sum(n for _, n in parts) for parts in found if len(parts) > 1)
+    )
 
 
 def _fitted(sizes: list[int], exact: list[int], tight: bool) -> list[list[tuple[int, int]]]:
@@ -77,7 +80,13 @@ def assign(documents: DataFrame, shards: int = 16, rounds: int = 8, slack: float
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # a number of its own for each row, stored with it: rows without a doc_id are told apart by it when they are ranked
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("same"))
+    rows = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.monotonically_increasing_id().alias("row"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("same")
+    )
     base = stored(rows.withColumn("first", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("int")), "op4-base")
     group = ["same", "text_crc32", "size"]
     counts = base.groupBy(*group, "first").count().groupBy(*group).agg(F.sum("count").alias("many"))
@@ -86,9 +95,14 @@ def assign(documents: DataFrame, shards: int = 16, rounds: int = 8, slack: float
         return _shape(base.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}))
     linked = stored(counts.where("many > 1").withColumn("unit", F.xxhash64(*group)), "op4-linked")
     exact = [n // shards + (k < n % shards) for k in range(shards)]
-    large = sorted(((r["unit"], r["many"]) for r in linked.where(F.col("many") > n // shards // COARSE).select("unit", "many").collect()), key=lambda g: (-g[1], g[0]))
+    large = sorted(
+        ((r["unit"], r["many"]) for r in linked.where(F.col("many") > n // shards // COARSE).select("unit", "many").collect()),
+        key=lambda g: (-g[1], g[0])
+    )
     parts = dict(zip((u for u, _ in large), _packed([m for _, m in large], exact), strict=True))
-    home = F.try_element_at(F.create_map(*[F.lit(x) for u, p in parts.items() for x in (u, p[0][0] if len(p) == 1 else -1)]), F.col("unit")) if parts else F.lit(None).cast("int")
+    home = F.try_element_at(
+        F.create_map(*[F.lit(x) for u, p in parts.items() for x in (u, p[0][0] if len(p) == 1 else -1)]), F.col("unit")
+    ) if parts else F.lit(None).cast("int")
     tagged = stored(base.join(linked.withColumn("home", home).drop("many"), group, "left").drop("same"), "op4-tagged")
     dropped(base)
     dropped(linked)
@@ -100,22 +114,36 @@ def assign(documents: DataFrame, shards: int = 16, rounds: int = 8, slack: float
     for turn in range(rounds):
         tally = cells.groupBy("unit", "label").agg(F.sum("n").alias("here"))
         room = [max(0.0, roof - load) / (n / shards * (1 - slack)) for roof, load in zip(roofs, loads, strict=True)]
-        pull = F.col("here") + _lookup(room, F.col("label")) * (F.lit(0.9) if turn < rounds // 2 else F.sum("here").over(Window.partitionBy("unit")))
-        best = tally.withColumn("pull", pull).groupBy("unit").agg(F.max_by("label", F.struct("pull", F.xxhash64("unit", "label"))).alias("best"))
+        pull = F.col("here") + _lookup(room, F.col("label")) * (
+            F.lit(0.9) if turn < rounds // 2 else F.sum("here").over(Window.partitionBy("unit"))
+        )
+        best = tally.withColumn("pull", pull).groupBy("unit").agg(
+            F.max_by("label", F.struct("pull", F.xxhash64("unit", "label"))).alias("best")
+        )
         asking = stored(cells.join(best, "unit"), "op4-asking")
         flows = {(r["label"], r["best"]): r["n"] for r in asking.groupBy("label", "best").agg(F.sum("n").alias("n")).collect()}  # shards x shards
         dropped(behind)
         behind = asking
-        loads, coming, going = ([sum(n for pair, n in flows.items() if k == pair[end] and (not moving or pair[0] != pair[1])) for k in range(shards)] for end, moving in ((0, False), (1, True), (0, True)))
+        loads, coming, going = (
+            [sum(n for pair, n in flows.items() if k == pair[end] and (not moving or pair[0] != pair[1])) for k in range(shards)] for end,
+            moving in ((0, False), (1, True), (0, True))
+        )
         if not sum(coming):
             cells = asking
             break
-        admit = [min(1.0, max(0.0, (roof - load + out / 2) / come)) if come else 0.0 for roof, load, out, come in zip(roofs, loads, going, coming, strict=True)]
+        admit = [
+            min(1.0, max(0.0, (roof - load + out / 2) / come)) if come else 0.0 for roof,
+            load,
+            out,
+            come in zip(roofs, loads, going, coming, strict=True)
+        ]
         moved = F.when(_unit(F.lit(seed + turn), "unit") < _lookup(admit, F.col("best")), F.col("best")).otherwise(F.col("label"))
         cells = asking.select("unit", "first", "n", moved.alias("label"))
     split = {u: p for u, p in parts.items() if len(p) > 1}
     rest = tagged.where("coalesce(home, 0) >= 0") if split else tagged
-    placed = rest.join(cells.select("unit", "first", "label"), ["unit", "first"], "left").withColumn("label", F.coalesce("home", "label", "first"))
+    placed = rest.join(
+        cells.select("unit", "first", "label"), ["unit", "first"], "left"
+    ).withColumn("label", F.coalesce("home", "label", "first"))
     return _shape(_balanced(placed.unionByName(_split(tagged.where("home = -1"), split, seed)) if split else placed, n, shards, seed))
 
 
@@ -161,7 +189,13 @@ def _ranked(keyed: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFram
     """The rows with their rank in the key, by bucket and order, and the number of rows by key and bucket."""
     keyed = stored(keyed, label)
     buckets = stored(keyed.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n")), f"{label}-buckets")
-    starts = buckets.select(key, "bucket", F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    starts = buckets.select(
+        key,
+        "bucket",
+        F.coalesce(
+            F.sum("n").over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("ahead")
+    )
     own = F.row_number().over(Window.partitionBy(key, "bucket").orderBy("order", "unit", "doc_id", "text_crc32", "size")) - 1
     return keyed.join(starts, [key, "bucket"]).withColumn("rank", F.col("ahead") + own), buckets
 
@@ -182,8 +216,18 @@ def _balanced(rows: DataFrame, n: int, shards: int, seed: int) -> DataFrame:
             inside = F.col("surplus") < sum(room[: k + 1])
             shard, slot = F.when(inside, k).otherwise(shard), F.when(inside, F.col("surplus") - sum(room[:k]) + loads[k]).otherwise(slot)
     stays = F.col("rank") < _lookup(exact, F.col("label"))
-    return ranked.withColumn("surplus", surplus).withColumns({"shard": F.when(stays, F.col("label")).otherwise(shard), "slot": F.when(stays, F.col("rank")).otherwise(slot)})
+    return ranked.withColumn("surplus", surplus).withColumns(
+        {"shard": F.when(stays, F.col("label")).otherwise(shard), "slot": F.when(stays, F.col("rank")).otherwise(slot)}
+    )
 
 
 def _shape(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "size", F.col("text_crc32").cast("long").alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select(
+        "doc_id",
+        "size",
+        F.col("text_crc32").cast("long").alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard")
+    )

@@ -60,10 +60,14 @@ def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
         data, offsets = text_bytes(table.column("text"))
         ids = table.column("doc_id")
-        cells = [number, len(data), data.tobytes(), offsets.tobytes(), ids.fill_null(0).to_numpy().tobytes(), ids.is_valid().to_numpy().tobytes()]
+        cells = [
+            number, len(data), data.tobytes(), offsets.tobytes(), ids.fill_null(0).to_numpy().tobytes(), ids.is_valid().to_numpy().tobytes()
+        ]
         kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
         held, size, number = [], 0, number + 1
-        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], ["pack", "n_bytes", "body", "ends", "ids", "known"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], ["pack", "n_bytes", "body", "ends", "ids", "known"]
+        )
 
     for batch in batches:
         sizes = np.diff(text_bytes(batch.column("text"))[1]) + 16  # a row without text has its weight too
@@ -142,7 +146,12 @@ class Pack:
         """n x 2 numbers: the 128-bit digest of each window's words."""
         flat, at = self.joined(np.ones(len(self.starts), bool))
         digest = hashlib.blake2b
-        cells = b"".join([digest(flat[a:b], digest_size=16).digest() for a, b in zip(at[starts].tolist(), (at[starts + length] - 1).tolist(), strict=True)])
+        cells = b"".join(
+            [
+                digest(flat[a:b], digest_size=16).digest() for a,
+                b in zip(at[starts].tolist(), (at[starts + length] - 1).tolist(), strict=True)
+            ]
+        )
         return np.frombuffer(cells, U64).reshape(-1, 2)
 
 
@@ -222,7 +231,9 @@ def _repeated(table: pa.Table) -> pa.Table:
     packs, offsets, keys = _parts(table, 1)
     _, _, owner = distinct(keys)
     sizes = np.diff(offsets).tolist()
-    twice = np.concatenate([np.unpackbits(np.frombuffer(t.as_buffer(), np.uint8), count=n) for t, n in zip(table.column("twice"), sizes, strict=True)])
+    twice = np.concatenate(
+        [np.unpackbits(np.frombuffer(t.as_buffer(), np.uint8), count=n) for t, n in zip(table.column("twice"), sizes, strict=True)]
+    )
     found = np.bincount(owner, 1 + twice) > 1
     return _answers(table, packs, offsets, found[owner])
 
@@ -309,5 +320,7 @@ def remove_repeated_windows(documents: DataFrame, width: int = 13) -> DataFrame:
         if not last and not answers[-1].agg(F.sum("n")).first()[0]:
             break
     searched = len(answers) == len(steps)
-    kept = _marked(packs, answers).mapInArrow(_kept_rows(steps, bits, searched), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    kept = _marked(packs, answers).mapInArrow(
+        _kept_rows(steps, bits, searched), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    )
     return kept

@@ -233,7 +233,9 @@ def _index_rows(least: int, level: int):
             digests = _digests(data.tobytes(), first.tolist(), (last + least).tolist())
             of = pa.array(doc)
             arrays = [batch.column(c).take(of) for c in ("k1", "k2", "n")]
-            arrays += [pa.array(x) for x in (anchor.view(np.int64), digests[:, 0], digests[:, 1], first - offsets[doc], last - first + 1, again)]
+            arrays += [
+                pa.array(x) for x in (anchor.view(np.int64), digests[:, 0], digests[:, 1], first - offsets[doc], last - first + 1, again)
+            ]
             yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "n", "h", "s1", "s2", "first", "run", "again"])
 
     return rows
@@ -255,7 +257,11 @@ def _body_rows(least: int):
                     continue
                 seen.add(key)
                 raw = memoryview(body.as_buffer())
-                out += [(p["h"], p["s1"], p["s2"], p["n"], p["run"], p["hot"], bytes(raw[p["first"] : p["first"] + p["run"] - 1 + least])) for p in picks.as_py()]
+                out += [
+                    (
+                        p["h"], p["s1"], p["s2"], p["n"], p["run"], p["hot"], bytes(raw[p["first"] : p["first"] + p["run"] - 1 + least])
+                    ) for p in picks.as_py()
+                ]
                 if len(out) >= 2048:
                     yield _made(out)
                     out = []
@@ -267,7 +273,9 @@ def _body_rows(least: int):
 
 def _made(out: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["h", "s1", "s2", "n", "run", "hot", "body"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["h", "s1", "s2", "n", "run", "hot", "body"]
+    )
 
 
 def _spans_of(found: np.ndarray) -> list[dict[str, int]]:
@@ -287,7 +295,10 @@ def _sorted_rows(least: int, block: int):
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         found = repeated_starts([r[5] for r in rows], [r[3] for r in rows], [r[4] for r in rows], least)
         out = [(r[1], r[2], _spans_of(f)) for r, f in zip(rows, found, strict=True) if len(f) and r[4] == 1]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], SPANS)], ["s1", "s2", "spans"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], SPANS)],
+            ["s1", "s2", "spans"]
+        )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -327,17 +338,24 @@ def _exploded_rows(least: int):
             ranked, of, at = digests[order], of[order], (at - offsets[of])[order]
             heads = np.flatnonzero(np.concatenate([[True], (ranked[1:] != ranked[:-1]).any(1)]))
             pick = pa.array(of)
-            places = pa.StructArray.from_arrays([batch.column("s1").take(pick), batch.column("s2").take(pick), pa.array(at)], fields=list(PLACES))
+            places = pa.StructArray.from_arrays(
+                [batch.column("s1").take(pick), batch.column("s2").take(pick), pa.array(at)], fields=list(PLACES)
+            )
             total = np.add.reduceat(batch.column("n").to_numpy()[of], heads)
             lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)).astype(np.int32)), places)
-            yield pa.RecordBatch.from_arrays([pa.array(ranked[heads, 0]), pa.array(ranked[heads, 1]), pa.array(total), lists], ["w1", "w2", "n", "places"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ranked[heads, 0]), pa.array(ranked[heads, 1]), pa.array(total), lists], ["w1", "w2", "n", "places"]
+            )
 
     return rows
 
 
 def _exploded(hot: DataFrame, least: int) -> DataFrame:
     distinct = hot.dropDuplicates(["s1", "s2"])
-    wide = stored(distinct.mapInArrow(_exploded_rows(least), "w1 long, w2 long, n long, places array<struct<s1: long, s2: long, at: long>>"), "op3-places")
+    wide = stored(
+        distinct.mapInArrow(_exploded_rows(least), "w1 long, w2 long, n long, places array<struct<s1: long, s2: long, at: long>>"),
+        "op3-places"
+    )
     twice = wide.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
     own = wide.join(twice, ["w1", "w2"]).select(F.inline("places"))
     single = own.join(hot.where("n = 1").select("s1", "s2"), ["s1", "s2"], "left_semi")  # the others are marked as a whole
@@ -351,22 +369,30 @@ def repeats(texts: DataFrame, least: int, block: int, bucket_bytes: int, level:
         F.sum("n").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("first").alias("first"), F.first("run").alias("run"), F.max("again").alias("again")
     )
     kinds = stored(kinds, "op3-kinds")
-    anchors = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.max("again").alias("any_again"), F.sum(F.col("run") + F.lit(least - 1)).alias("bytes"))
+    anchors = kinds.groupBy("h").agg(
+        F.count(F.lit(1)).alias("kinds"), F.max("again").alias("any_again"), F.sum(F.col("run") + F.lit(least - 1)).alias("bytes")
+    )
     shared = anchors.where("kinds > 1 OR any_again").select("h", (F.col("bytes") > bucket_bytes).alias("hot"))
-    picks = kinds.join(shared, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "s1", "s2", "n", "run", "first", "hot")).alias("picks"))
+    picks = kinds.join(shared, "h").groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("h", "s1", "s2", "n", "run", "first", "hot")).alias("picks")
+    )
     bodies = stored(texts.join(picks, ["k1", "k2"]).mapInArrow(_body_rows(least), BODIES), "op3-bodies")
     usual = bodies.where("NOT hot").repartition("h").sortWithinPartitions("h", "s1", "s2")
     found = usual.mapInArrow(_sorted_rows(least, block), f"s1 long, s2 long, spans {SPANS_TYPE}")
     hot = bodies.where("hot")
     if not hot.isEmpty():
         if level + 1 < LEVELS:
-            deeper = repeats(hot.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), "n", "body"), least, block, bucket_bytes, level + 1)
+            deeper = repeats(
+                hot.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), "n", "body"), least, block, bucket_bytes, level + 1
+            )
             # what occurs twice anyway is marked as a whole
             deeper = deeper.join(kinds.where("n = 1").select(F.col("s1").alias("k1"), F.col("s2").alias("k2")), ["k1", "k2"], "left_semi")
             found = found.unionByName(deeper.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.flatten("marks").alias("spans")))
         else:
             found = found.unionByName(_exploded(hot, least))
-    whole = kinds.where("n > 1").select("s1", "s2", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("run") - 1).alias("b"))).alias("spans"))
+    whole = kinds.where("n > 1").select(
+        "s1", "s2", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("run") - 1).alias("b"))).alias("spans")
+    )
     found = stored(found.unionByName(whole), "op3-found")
     dropped(bodies, kinds)
     shifted = F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))
@@ -395,9 +421,23 @@ def _kept_rows(least: int):
                     kept.append(raw[at:a])
                     at = b
                 body = b"".join([*kept, raw[at:]])
-                out.append((len(raw), len(raw) - len(body), len(spans), hashlib.sha256(body).hexdigest(), body, [{"a": a, "b": b} for a, b in spans]))
-            columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), SPANS))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+                out.append(
+                    (
+                        len(raw),
+                        len(raw) - len(body),
+                        len(spans),
+                        hashlib.sha256(body).hexdigest(),
+                        body,
+                        [{"a": a, "b": b} for a, b in spans]
+                    )
+                )
+            columns = [
+                pa.array([x[i] for x in out], kind) for i,
+                kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), SPANS))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
+            )
 
     return rows
 
@@ -420,8 +460,14 @@ def remove_repeated_bytes(documents: DataFrame, least: int = 400, block: int = 1
     # a text is known by the first 128 bits of its SHA-256; short ones match nothing and get any number
     digest = F.sha2("text", 256)
     long_enough = F.coalesce(F.octet_length("text") >= least, F.lit(False))
-    keys = [F.when(long_enough, F.conv(F.substring(digest, at, 16), 16, -10).cast("long")).otherwise(F.monotonically_increasing_id()) for at in (1, 17)]
+    keys = [
+        F.when(
+            long_enough, F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
+        ).otherwise(F.monotonically_increasing_id()) for at in (1, 17)
+    ]
     docs = docs.withColumns({"k1": keys[0], "k2": keys[1]})
-    texts = docs.where(F.octet_length("text") >= least).select("k1", "k2", F.lit(1).cast("long").alias("n"), F.col("text").cast("binary").alias("body"))
+    texts = docs.where(F.octet_length("text") >= least).select(
+        "k1", "k2", F.lit(1).cast("long").alias("n"), F.col("text").cast("binary").alias("body")
+    )
     marks = repeats(texts, least, block, bucket_bytes)
     return docs.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "marks").mapInArrow(_kept_rows(least), OUT)

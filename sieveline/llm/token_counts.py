@@ -60,7 +60,15 @@ def packed(documents: DataFrame, block_tokens: int = 1 << 16, vocabulary: str =
             nonlocal held, ends, size, block
             flat = np.concatenate(held) if held else np.zeros(0, kind)
             inside = [i for at, i in ends if at < n]
-            out = pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([flat[:n].tobytes()], pa.binary()), pa.array([inside], pa.list_(pa.int64()))], ["file", "block", "payload", "doc_ids"])
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([file]),
+                    pa.array([block], pa.int64()),
+                    pa.array([flat[:n].tobytes()], pa.binary()),
+                    pa.array([inside], pa.list_(pa.int64()))
+                ],
+                ["file", "block", "payload", "doc_ids"]
+            )
             held, ends, size, block = [flat[n:]], [(at - n, i) for at, i in ends if at >= n], size - n, block + 1
             return out
 
@@ -81,7 +89,9 @@ def packed(documents: DataFrame, block_tokens: int = 1 << 16, vocabulary: str =
     return docs.mapInArrow(rows, f"{BLOCKS}, doc_ids array<long>")
 
 
-def blocks_of_files(spark: SparkSession, path: str, block_bytes: int = 1 << 17, glob: str = "*", whole: int = 1 << 28, piece: int = 1 << 26) -> DataFrame:
+def blocks_of_files(
+    spark: SparkSession, path: str, block_bytes: int = 1 << 17, glob: str = "*", whole: int = 1 << 28, piece: int = 1 << 26
+) -> DataFrame:
     """Blocks (file, block, payload) of the flat token files under ``path``; block_bytes is a multiple of the ids' width.
 
     Files of up to ``whole`` bytes come through Spark's reader, from any store. Larger ones, which that reader takes
@@ -102,7 +112,9 @@ def blocks_of_files(spark: SparkSession, path: str, block_bytes: int = 1 << 17,
         for batch in batches:
             for name, first, n in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "blocks")), strict=True):
                 local = name.startswith("file:")
-                system, place = (fs.LocalFileSystem(), name.removeprefix("file:")) if local else fs.FileSystem.from_uri(quote(name, safe=":/@"))
+                system, place = (
+                    fs.LocalFileSystem(), name.removeprefix("file:")
+                ) if local else fs.FileSystem.from_uri(quote(name, safe=":/@"))
                 with system.open_input_file(place) as file:
                     for k in range(first, first + n):
                         yield from _cut(name, k, pa.py_buffer(file.read_at(block_bytes, k * block_bytes)), block_bytes)
@@ -111,14 +123,22 @@ def blocks_of_files(spark: SparkSession, path: str, block_bytes: int = 1 << 17,
     small = files.where(F.col("length") <= whole).select("path", "content").mapInArrow(rows, BLOCKS)
     step = max(1, piece // block_bytes)
     n_blocks = F.ceil(F.col("length") / block_bytes)
-    starts = files.where(F.col("length") > whole).select("path", n_blocks.alias("all"), F.explode(F.sequence(F.lit(0), n_blocks - 1, F.lit(step))).alias("first"))
-    pieces = starts.select("path", "first", F.least(F.lit(step), F.col("all") - F.col("first")).alias("blocks")).repartition("path", "first")
+    starts = files.where(F.col("length") > whole).select(
+        "path", n_blocks.alias("all"), F.explode(F.sequence(F.lit(0), n_blocks - 1, F.lit(step))).alias("first")
+    )
+    pieces = starts.select(
+        "path", "first", F.least(F.lit(step), F.col("all") - F.col("first")).alias("blocks")
+    ).repartition("path", "first")
     return small.unionByName(pieces.mapInArrow(ranges, BLOCKS))
 
 
 def _cut(name: str, first: int, raw: pa.Buffer, block_bytes: int) -> Iterator[pa.RecordBatch]:
     for k, at in enumerate(range(0, raw.size, block_bytes), first):
-        cells = [pa.array([name]), pa.array([k], pa.int64()), pa.array([raw.slice(at, min(block_bytes, raw.size - at)).to_pybytes()], pa.binary())]
+        cells = [
+            pa.array([name]),
+            pa.array([k], pa.int64()),
+            pa.array([raw.slice(at, min(block_bytes, raw.size - at)).to_pybytes()], pa.binary())
+        ]
         yield pa.RecordBatch.from_arrays(cells, ["file", "block", "payload"])
 
 
@@ -157,15 +177,31 @@ def stitched(scan: DataFrame) -> DataFrame:
     sums = scan.select("file", "block", "n", F.size("seps").alias("n_seps"), F.try_element_at("seps", F.lit(-1)).alias("last_sep"))
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("last", F.col("base") + F.col("last_sep"))
     linked = sums.select(
-        "file", "block", "n", "base", "n_seps", "last", F.coalesce(F.sum("n_seps").over(before), F.lit(0)).alias("ordinal0"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("previous")
+        "file", "block", "n", "base", "n_seps", "last", F.coalesce(
+            F.sum("n_seps").over(before), F.lit(0)
+        ).alias("ordinal0"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("previous")
     )
     starts = linked.select(F.col("file").alias("in_file"), F.col("block").alias("in_block"), "base", "ordinal0", "previous")
     joined = scan.select("file", "block", "seps").join(starts, F.expr("file = in_file AND block = in_block"))
     spread = joined.select("file", "base", "ordinal0", "previous", F.expr("seps AS all_seps"), F.posexplode("seps").alias("k", "at"))
     start = F.when(F.col("k") > 0, F.col("base") + F.get("all_seps", F.col("k") - 1)).otherwise(F.col("previous")) + 1
-    documents = spread.select("file", (F.col("ordinal0") + F.col("k")).alias("ordinal"), start.alias("first_token"), (F.col("base") + F.col("at") - start).alias("n_tokens"), F.lit(True).alias("closed"))
-    files = linked.groupBy("file").agg(F.sum("n").alias("total"), F.coalesce(F.max("last"), F.lit(-1)).alias("last"), F.sum("n_seps").alias("ordinal"))
-    tails = files.where("last + 1 < total").select("file", "ordinal", (F.col("last") + 1).alias("first_token"), (F.col("total") - F.col("last") - 1).alias("n_tokens"), F.lit(False).alias("closed"))
+    documents = spread.select(
+        "file",
+        (F.col("ordinal0") + F.col("k")).alias("ordinal"),
+        start.alias("first_token"),
+        (F.col("base") + F.col("at") - start).alias("n_tokens"),
+        F.lit(True).alias("closed")
+    )
+    files = linked.groupBy("file").agg(
+        F.sum("n").alias("total"), F.coalesce(F.max("last"), F.lit(-1)).alias("last"), F.sum("n_seps").alias("ordinal")
+    )
+    tails = files.where("last + 1 < total").select(
+        "file",
+        "ordinal",
+        (F.col("last") + 1).alias("first_token"),
+        (F.col("total") - F.col("last") - 1).alias("n_tokens"),
+        F.lit(False).alias("closed")
+    )
     return documents.unionByName(tails)
 
 
@@ -177,5 +213,7 @@ def token_counts(documents: DataFrame, block_tokens: int = 1 << 16, vocabulary:
     scan = stored(scanned(packed(documents, block_tokens, vocabulary, end), end), "op1-scan")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     names = scan.select("file", "doc_ids", F.coalesce(F.sum(F.size("doc_ids")).over(before), F.lit(0)).alias("ordinal0"))
-    names = names.select("file", "ordinal0", F.posexplode("doc_ids").alias("k", "doc_id")).select("file", (F.col("ordinal0") + F.col("k")).alias("ordinal"), "doc_id")
+    names = names.select("file", "ordinal0", F.posexplode("doc_ids").alias("k", "doc_id")).select(
+        "file", (F.col("ordinal0") + F.col("k")).alias("ordinal"), "doc_id"
+    )
     return stitched(scan).join(names, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")

@@ -41,7 +41,9 @@ def _valid(table: DataFrame) -> DataFrame:
     """vec_id and embedding of the rows that take part, and lead: the places and signs of their largest components."""
     given = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    sized = F.array_sort(F.transform("embedding", lambda x, at: F.struct((-F.abs(x)).alias("size"), (2 * at + F.when(x > 0, 1).otherwise(0)).alias("side"))))
+    sized = F.array_sort(
+        F.transform("embedding", lambda x, at: F.struct((-F.abs(x)).alias("size"), (2 * at + F.when(x > 0, 1).otherwise(0)).alias("side")))
+    )
     lead = F.transform(F.slice(sized, 1, LEAD), lambda c: c["side"])
     return given.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))).withColumn("lead", lead)
 
@@ -166,10 +168,22 @@ def _search(k: int):
         for own, rows, beat in _read(left, "ids", "rows", "beat") if blocks else []:
             scores, ids, _ = best(rows, blocks, k, beat)
             there = scores > NONE
-            for column, x in zip(columns, (np.repeat(own, there.sum(1)), np.repeat(np.arange(len(own)), there.sum(1)), ids[there], scores[there]), strict=True):
+            for column, x in zip(
+                columns,
+                (np.repeat(own, there.sum(1)), np.repeat(np.arange(len(own)), there.sum(1)), ids[there], scores[there]),
+                strict=True
+            ):
                 column.append(x)
         made = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
-        return pa.table({"c": pa.array([key[0].as_py()] * len(made[0]), pa.int32()), "query_id": made[0], "q_at": pa.array(made[1], pa.int32()), "vec_id": made[2], "score": made[3]})
+        return pa.table(
+            {
+                "c": pa.array([key[0].as_py()] * len(made[0]), pa.int32()),
+                "query_id": made[0],
+                "q_at": pa.array(made[1], pa.int32()),
+                "vec_id": made[2],
+                "score": made[3]
+            }
+        )
 
     return pair
 
@@ -200,14 +214,18 @@ def _promise(strip: int):
 def _paired(chunks: DataFrame, n_groups: int, groups: DataFrame, n_chunks: int, made, schema: str) -> DataFrame:
     """Every chunk with every group's extremes."""
     left = chunks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).groupBy("c", "g")
-    right = groups.select("g", "dim", "n", "high", "low").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))).groupBy("c", "g")
+    right = groups.select("g", "dim", "n", "high", "low").withColumn(
+        "c", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))
+    ).groupBy("c", "g")
     return left.cogroup(right).applyInArrow(made, schema)
 
 
 def _scored(pairs: DataFrame, chunks: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """Pairs (c, g) with the chunks' queries and the groups' rows."""
     left = pairs.select("c", "g").join(chunks, "c").groupBy("c", "g")
-    right = pairs.select(F.col("c").alias("with_c"), F.col("g").alias("with_g")).join(groups, F.col("with_g") == F.col("g")).drop("g").groupBy("with_c", "with_g")
+    right = pairs.select(
+        F.col("c").alias("with_c"), F.col("g").alias("with_g")
+    ).join(groups, F.col("with_g") == F.col("g")).drop("g").groupBy("with_c", "with_g")
     return left.cogroup(right).applyInArrow(_search(k), FOUND)
 
 
@@ -262,7 +280,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 64,
     depth = k + 1  # the query's own row is among them
     promise = _promise(max(1, chunk // STRIPS))
     promises = _paired(chunks_at, n_groups, groups, n_chunks, promise, PROMISES)
-    home = stored(promises.groupBy("c", "strip").agg(F.max_by("g", F.struct("mean", "g")).alias("g")).select("c", "g").distinct(), "op9-home")
+    home = stored(
+        promises.groupBy("c", "strip").agg(F.max_by("g", F.struct("mean", "g")).alias("g")).select("c", "g").distinct(), "op9-home"
+    )
     first = stored(_scored(home, chunks_at, groups, depth), "op9-first")
     raised = stored(_raised(chunks_at, first, depth), "op9-raised")
     open_ = _paired(raised, n_groups, groups, n_chunks, promise, PROMISES).where("reached").select("c", "g").distinct()
@@ -270,8 +290,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 64,
     rest = _scored(open_, raised, groups, depth)
     found = _best_rows(first.unionByName(rest), depth)
     squares = _own_scores(asked)
-    own = F.row_number().over(Window.partitionBy("query_id", (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own_score"))).orderBy("place"))
-    marked = found.join(squares, "query_id").withColumn("mine", (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own_score")) & (own == 1))
+    own = F.row_number().over(
+        Window.partitionBy("query_id", (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own_score"))).orderBy("place")
+    )
+    marked = found.join(squares, "query_id").withColumn(
+        "mine", (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own_score")) & (own == 1)
+    )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
     return marked.where("NOT mine").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -86,12 +86,24 @@ def plain_lines(text):
         words = re.findall(rb"[^\x20\x09-\x0d]+", line)
         n = max(1, len(words))
         full = max(1, len(line))
-        upper, lower, digit, stop, bar, shout, symbol = (share(line, t) for t in (quality.UPPER, quality.LOWER, quality.DIGIT, quality.STOP, quality.BAR, quality.SHOUT, quality.SYMBOL))
+        upper, lower, digit, stop, bar, shout, symbol = (
+            share(line, t) for t in (quality.UPPER, quality.LOWER, quality.DIGIT, quality.STOP, quality.BAR, quality.SHOUT, quality.SYMBOL)
+        )
         letters = max(1, upper + lower)
         next_to = sum(words[i] == words[i - 1] for i in range(1, len(words)))
         near = sum(any(i >= lag and words[i] == words[i - lag] for lag in range(1, quality.LAGS + 1)) for i in range(len(words)))
         marked = sum(bool((quality.SYMBOL | quality.SHOUT)[w[-1]]) for w in words)
-        own = [math.log1p(len(line)), math.log1p(len(words)), upper / letters, digit / full, stop / full, bar / n, shout / n, symbol / full, (upper + lower) / full]
+        own = [
+            math.log1p(len(line)),
+            math.log1p(len(words)),
+            upper / letters,
+            digit / full,
+            stop / full,
+            bar / n,
+            shout / n,
+            symbol / full,
+            (upper + lower) / full
+        ]
         out.append([*own, next_to / n, near / n, float(k > 0 and line == lines[k - 1]), letters / n, marked / n, math.log1p(len(lines))])
     return out, [len(line) + 1 for line in lines]
 
@@ -103,7 +115,9 @@ def plain_quality(model, text):
     emissions = []
     for k in range(len(bins)):
         three = (bins[k], bins[k - 1] if k else none, bins[k + 1] if k + 1 < len(bins) else none)
-        emissions.append(sum(model.weights[part * step + f * (quality.BINS + 1) + b] for part, row in enumerate(three) for f, b in enumerate(row)))
+        emissions.append(
+            sum(model.weights[part * step + f * (quality.BINS + 1) + b] for part, row in enumerate(three) for f, b in enumerate(row))
+        )
     good = chances(np.array(emissions), model.transitions, model.first)[:, 1]
     raw = min(1 - 1e-6, max(1e-6, float(np.dot(good, sizes) / sum(sizes))))
     return 1 / (1 + math.exp(-min(30, max(-30, model.curve[0] * math.log(raw / (1 - raw)) + model.curve[1]))))
@@ -132,7 +146,10 @@ def test_quality_of_repeated_rows_and_names_that_clash(spark):
 def test_switches_are_learned(spark):
     """A text that changes its language midway is labelled word by word; transitions from one language to another are not shut off."""
     en, de = "the house and the tree with the mouse", "das Haus und der Baum mit der Maus"
-    df = spark.createDataFrame([(i, t, g, "x") for i, (t, g) in enumerate([(en, "en"), (de, "de")] * 40)], "doc_id long, text string, lang string, lang_pred string")
+    df = spark.createDataFrame(
+        [(i, t, g, "x") for i, (t, g) in enumerate([(en, "en"), (de, "de")] * 40)],
+        "doc_id long, text string, lang string, lang_pred string"
+    )
     model = langid.learn(df)
     got = [lang for _, lang in langid.label_words(model, f"{en} {de} {en}")]
     assert got == ["en"] * 8 + ["de"] * 8 + ["en"] * 8

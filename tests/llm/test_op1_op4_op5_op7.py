@@ -35,7 +35,15 @@ def test_flat_files_without_index(spark, tmp_path):
     for block in (4, 8, 1024):
         scan = token_counts.scanned(token_counts.blocks_of_files(spark, str(tmp_path), block), 9, 4)
         got = sorted((r.file[-5:], r.ordinal, r.first_token, r.n_tokens, r.closed) for r in token_counts.stitched(scan).collect())
-        assert got == [("a.bin", 0, 0, 1, True), ("a.bin", 1, 2, 0, True), ("a.bin", 2, 3, 1, True), ("a.bin", 3, 5, 5, True), ("a.bin", 4, 11, 1, False), ("b.bin", 0, 0, 0, True), ("b.bin", 1, 1, 0, True)]
+        assert got == [
+            ("a.bin", 0, 0, 1, True),
+            ("a.bin", 1, 2, 0, True),
+            ("a.bin", 2, 3, 1, True),
+            ("a.bin", 3, 5, 5, True),
+            ("a.bin", 4, 11, 1, False),
+            ("b.bin", 0, 0, 0, True),
+            ("b.bin", 1, 1, 0, True)
+        ]
 
 
 def test_large_flat_files_are_read_in_pieces(spark, tmp_path):
@@ -52,15 +60,21 @@ def test_large_flat_files_are_read_in_pieces(spark, tmp_path):
 
 def test_ids_that_do_not_fit_are_errors(spark):
     with pytest.raises(Exception, match="do not fit"):
-        token_counts.token_counts(make(spark, [(1, "some words", "a")]), end=token_counts.encoding(token_counts.VOCABULARY).encode_ordinary("some")[0]).collect()
+        token_counts.token_counts(
+            make(spark, [(1, "some words", "a")]), end=token_counts.encoding(token_counts.VOCABULARY).encode_ordinary("some")[0]
+        ).collect()
     scan = token_counts.scanned(token_counts.packed(make(spark, [(1, "some words", "a")]), end=70000, width=4), 70000, 4)
     assert [r.closed for r in token_counts.stitched(scan).collect()] == [True]
 
 
 def test_token_counts_of_a_long_text(spark):
-    df = spark.createDataFrame([(1, "the word " * 200000, "x", 1, 2), (2, "a", "y", 3, 4)], "doc_id long, text string, file string, n_tokens int, ordinal int")
+    df = spark.createDataFrame(
+        [(1, "the word " * 200000, "x", 1, 2), (2, "a", "y", 3, 4)], "doc_id long, text string, file string, n_tokens int, ordinal int"
+    )
     encode = token_counts.encoding(token_counts.VOCABULARY).encode_ordinary
-    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df).collect()} == {1: len(encode("the word " * 200000)), 2: len(encode("a"))}
+    assert {
+        r.doc_id: r.n_tokens for r in token_counts.token_counts(df).collect()
+    } == {1: len(encode("the word " * 200000)), 2: len(encode("a"))}
 
 
 def brute_contamination(docs, items, width=13):
@@ -96,7 +110,9 @@ def test_contamination_equals_brute_force(spark, seed):
     for i in range(40):
         piece = rnd.choice([x[1] for x in items if x[1]]).split(" ")
         a = rnd.randrange(len(piece))
-        docs.append((i, f"{text(rnd.randrange(60), other)} {' '.join(piece[a : a + rnd.randrange(30)]).upper()} {text(rnd.randrange(60), other)}"))
+        docs.append(
+            (i, f"{text(rnd.randrange(60), other)} {' '.join(piece[a : a + rnd.randrange(30)]).upper()} {text(rnd.randrange(60), other)}")
+        )
     benchmark = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n_words int")
     got = decontam.contamination(make(spark, [(i, t, "a") for i, t in docs]), benchmark).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == brute_contamination(docs, items)
@@ -112,8 +128,12 @@ def test_contamination_edges(spark):
     assert [r.contaminated for r in decontam.contamination(make(spark, [(1, "x y", "a")]), none).collect()] == [False]
     # rows are judged one by one, whether or not they have a doc_id
     two = spark.createDataFrame([(1, "a b"), (2, "c d")], "item_id long, text string")
-    got = decontam.contamination(make(spark, [(None, "a b", "a"), (None, "c d e", "a"), (None, "q", "a"), (3, "a b", "a"), (3, "q", "a")]), two).collect()
-    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in got) == [(0, 1, 0, 0), (0, 2, 2, 1), (0, 3, 2, 1), (3, 1, 0, 0), (3, 2, 2, 1)]
+    got = decontam.contamination(
+        make(spark, [(None, "a b", "a"), (None, "c d e", "a"), (None, "q", "a"), (3, "a b", "a"), (3, "q", "a")]), two
+    ).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in got) == [
+        (0, 1, 0, 0), (0, 2, 2, 1), (0, 3, 2, 1), (3, 1, 0, 0), (3, 2, 2, 1)
+    ]
 
 
 def test_contamination_by_items_that_share_a_passage(spark):
@@ -121,8 +141,12 @@ def test_contamination_by_items_that_share_a_passage(spark):
     items = [(i, f"own{i} {passage} end{i}") for i in range(1000)]
     long = f"{'z ' * 200000}{passage}{' z' * 200000}"
     docs = [(1, passage), (2, f"x {passage} y"), (3, f"own7 {passage}"), (4, long)]
-    got = decontam.contamination(make(spark, [(i, t, "a") for i, t in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got} == {1: (30, 1000, True), 2: (30, 1000, True), 3: (31, 1000, True), 4: (30, 1000, False)}
+    got = decontam.contamination(
+        make(spark, [(i, t, "a") for i, t in docs]), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got} == {
+        1: (30, 1000, True), 2: (30, 1000, True), 3: (31, 1000, True), 4: (30, 1000, False)
+    }
 
 
 def brute_targets(sizes):
@@ -157,7 +181,9 @@ def test_mix(spark):
     assert all(abs(taken[s] - want[s]) <= 0.5 + 1e-6 for s in want)
     again = mixing.mix(make(spark, rows[::-1]).repartition(7)).collect()
     assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in got)
-    assert Counter((r.doc_id, r.taken) for r in mixing.mix(make(spark, rows), seed=2).collect()) != Counter((r.doc_id, r.taken) for r in got)
+    assert Counter(
+        (r.doc_id, r.taken) for r in mixing.mix(make(spark, rows), seed=2).collect()
+    ) != Counter((r.doc_id, r.taken) for r in got)
     assert mixing.mix(make(spark, [])).count() == 0
     one = [(None, "w " * 300000, "a"), (None, "v", "a"), (7, "u", "b")]  # a very long text among rows without a doc_id
     got = {r["size"]: r.taken for r in mixing.mix(make(spark, one)).where("source = 'a'").collect()}
@@ -167,7 +193,9 @@ def test_mix(spark):
 
 def shards_hold(rows, got, shards=16):
     crc = lambda t: zlib.crc32((t or "").encode())
-    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, crc(t)) for i, t, _ in rows)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter(
+        (i, len((t or "").encode()) + 1, crc(t)) for i, t, _ in rows
+    )
     slots = {k: sorted(r.slot for r in got if r.shard == k) for k in range(shards)}
     assert all(s == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1

@@ -69,7 +69,13 @@ def test_language_held_out(spark):
 def test_language_edges(spark):
     schema = "doc_id long, text string, lang string, score double"
     rows = [(i, t, g, 0.0) for i, (t, g) in enumerate([("the house and the tree", "en"), ("das Haus und der Baum", "de")] * 20)]
-    rows += [(100, None, "en", 0.0), (101, "", None, 0.0), (102, "12 — !!", "de", 0.0), (None, "das Haus", "en", 0.0), (103, "den " * 30000, None, 0.0)]
+    rows += [
+        (100, None, "en", 0.0),
+        (101, "", None, 0.0),
+        (102, "12 — !!", "de", 0.0),
+        (None, "das Haus", "en", 0.0),
+        (103, "den " * 30000, None, 0.0)
+    ]
     df = spark.createDataFrame(rows, schema)
     got = {r.doc_id: r for r in langid.identify(df, langid.learn(df)).collect()}
     assert [got[k].lang_pred for k in (100, 101, 102)] == ["und"] * 3 and got[None].lang_pred == "de" and not got[None].held_out
@@ -80,7 +86,13 @@ def test_language_edges(spark):
 
 
 def test_words_of_mixed_text(spark):
-    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("the house and the tree with the mouse", "en"), ("das Haus und der Baum mit der Maus", "de")] * 20)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame(
+        [
+            (i, t, g) for i,
+            (t, g) in enumerate([("the house and the tree with the mouse", "en"), ("das Haus und der Baum mit der Maus", "de")] * 20)
+        ],
+        "doc_id long, text string, lang string"
+    )
     got = langid.label_words(langid.learn(df), "the house and the tree. Das Haus und der Baum")
     assert [x[1] for x in got[:5]] == ["en"] * 5 and [x[1] for x in got[6:]] == ["de"] * 4
 
@@ -97,10 +109,14 @@ def test_quality_held_out(spark):
 
 
 def test_quality_edges(spark):
-    docs = spark.createDataFrame([(1, None, 3), (2, "", 3), (None, "x", 3), (3, "\n\n", 3), (4, "w " * 50000, 3)], "doc_id long, text string, quality int")
+    docs = spark.createDataFrame(
+        [(1, None, 3), (2, "", 3), (None, "x", 3), (3, "\n\n", 3), (4, "w " * 50000, 3)], "doc_id long, text string, quality int"
+    )
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.classify(docs, quality.learn(docs, none)).collect()} == {0.5}
-    one = spark.createDataFrame([(2, 1, 0), (4, 0, 0), (4, 0, 0), (9, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    one = spark.createDataFrame(
+        [(2, 1, 0), (4, 0, 0), (4, 0, 0), (9, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int"
+    )
     got = quality.classify(docs, quality.learn(docs, one)).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert quality.classify(docs.limit(0), None).count() == 0

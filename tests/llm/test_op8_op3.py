@@ -82,7 +82,13 @@ def test_substring_of_long_texts(spark):
     """A text longer than a pack, and columns named like the results."""
     rnd = random.Random(8)
     long = " ".join(str(rnd.randrange(50000)) for _ in range(250000))
-    rows = [(5, long), (6, "x " + long[1000:90000]), (7, "\u00e9t\u00e9 \u00a0 x" * 30), (8, "\u00e9t\u00e9 \u00a0 x" * 30), (2, long[200000:201000])]
+    rows = [
+        (5, long),
+        (6, "x " + long[1000:90000]),
+        (7, "\u00e9t\u00e9 \u00a0 x" * 30),
+        (8, "\u00e9t\u00e9 \u00a0 x" * 30),
+        (2, long[200000:201000])
+    ]
     df = spark.createDataFrame([(d, t, "x", 1, b"") for d, t in rows], "doc_id long, text string, kept_text string, pack int, marks binary")
     got = remove_repeated_windows(df).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(rows)

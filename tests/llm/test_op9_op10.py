@@ -119,7 +119,10 @@ def test_components_of_chains_and_stars(spark):
 
 
 def brute_top(rows, k, every):
-    vectors = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    vectors = [
+        (i, np.floor(64 * np.array(v, float)).astype(int)) for i,
+        v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
     out, seen = set(), set()
     for at, (qi, q) in enumerate(vectors):
         if qi % every == 0 and qi not in seen:
@@ -133,7 +136,12 @@ def brute_top(rows, k, every):
 def test_top_k_equals_brute_force(spark):
     rnd = random.Random(9)
     rows = [(i, [rnd.choice([-1.0, -0.25, 0.0, 0.1, 0.5]) for _ in range(8)], 1, "x") for i in range(700)]
-    rows += [(i, v, 1, "x") for i, v in [(1000, None), (1020, [1.0, None]), (1040, [float("nan")]), (1060, [float("inf")]), (1080, []), (1100, [2.0] * 3), (None, [1.0])]]
+    rows += [
+        (i, v, 1, "x") for i,
+        v in [
+            (1000, None), (1020, [1.0, None]), (1040, [float("nan")]), (1060, [float("inf")]), (1080, []), (1100, [2.0] * 3), (None, [1.0])
+        ]
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, lead string")
     for block, chunk, group in ((64, 1024, 16384), (16, 8, 100)):
         got = top_k(df, df.where("vec_id % 20 = 0"), 20, block, chunk, group).collect()

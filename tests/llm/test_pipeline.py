@@ -19,7 +19,17 @@ def made(spark):
     rows = [(*r, *REST) for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(120).select(*pipeline.COLUMNS).collect()]
     item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
     long = "the long house of many words " * 30000
-    odd = [(5000, None), (5001, ""), (5002, "1 2 3"), (5003, item), (5004, rows[3][1]), (5004, rows[3][1]), (None, item), (None, "a clean text without any number, of its own"), (5005, long)]
+    odd = [
+        (5000, None),
+        (5001, ""),
+        (5002, "1 2 3"),
+        (5003, item),
+        (5004, rows[3][1]),
+        (5004, rows[3][1]),
+        (None, item),
+        (None, "a clean text without any number, of its own"),
+        (5005, long)
+    ]
     odd += [(5006, "two texts have this number, and this is the one"), (5006, "while the other says something else entirely")]
     return spark.createDataFrame(rows + [(i, t, "en", "src1", len(t or ""), *REST) for i, t in odd], SCHEMA)
 
@@ -56,7 +66,9 @@ def test_stages_equal_brute_force(spark):
     three = again(spark, pipeline.decontaminate(spark, two, DATA))
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     bad = {k for k, x in brute_contamination([(k, r.text) for k, r in enumerate(two.collect())], bench).items() if x[4]}
-    assert Counter((r.doc_id, r.text) for r in three.collect()) == Counter((r.doc_id, r.text) for k, r in enumerate(two.collect()) if k not in bad)
+    assert Counter((r.doc_id, r.text) for r in three.collect()) == Counter(
+        (r.doc_id, r.text) for k, r in enumerate(two.collect()) if k not in bad
+    )
     assert bad and None in {r.doc_id for r in three.collect()}
     # mixing: what is left of each source is near its target, and rows are whole texts or fronts of them
     four = again(spark, pipeline.mix(spark, three, DATA))
