@@ -28,7 +28,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages make up a twentieth of, or more, go. Null and empty texts stay, as does any row whose own text is clean."""
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    bad = found.select(F.coalesce("doc_id", F.lit(0)).alias("key_id"), F.col("doc_id").isNull().alias("key_null"), F.col("text_hash").alias("key_text")).distinct()
+    bad = found.select(
+        F.coalesce("doc_id", F.lit(0)).alias("key_id"), F.col("doc_id").isNull().alias("key_null"), F.col("text_hash").alias("key_text")
+    ).distinct()
     return keyed(docs.select(*COLUMNS)).join(bad, ID_KEYS, "left_anti").select(*COLUMNS)
 
 
@@ -37,13 +39,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one doc_id and text, of which near-dedup leaves none, are each taken as often as the one taken most.
     """
-    taken = mixing.mix(docs).where("taken > 0").withColumns({"key_id": F.coalesce("doc_id", F.lit(0)), "key_null": F.col("doc_id").isNull(), "key_text": F.col("text_hash")})
+    taken = mixing.mix(docs).where("taken > 0").withColumns(
+        {"key_id": F.coalesce("doc_id", F.lit(0)), "key_null": F.col("doc_id").isNull(), "key_text": F.col("text_hash")}
+    )
     taken = stored(taken.groupBy(*ID_KEYS).agg(F.max("taken").alias("taken"), F.max("size").alias("size")), "mix")
     rows = keyed(docs.select(*COLUMNS)).join(taken, ID_KEYS)
     whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each with the white space before its word
     cut = F.when(part > 0, F.array(F.array_join(F.slice(pieces, F.lit(1), part), ""))).otherwise(F.array().cast("array<string>"))
-    spread = rows.withColumn("whole", whole).select("*", F.posexplode(F.concat(F.array_repeat(F.col("text"), whole), cut)).alias("at", "taken_text"))
+    spread = rows.withColumn("whole", whole).select(
+        "*", F.posexplode(F.concat(F.array_repeat(F.col("text"), whole), cut)).alias("at", "taken_text")
+    )
     n_chars = F.when(F.col("at") < F.col("whole"), F.col("n_chars")).otherwise(F.length("taken_text").cast("long"))
     return spread.select("doc_id", F.col("taken_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
@@ -53,7 +59,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, SHARDS)
 
 
-STAGES = [("language_id", language), ("simhash_near_dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
+STAGES = [
+    ("language_id", language), ("simhash_near_dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)
+]
 
 #: Learned labels can't be told in SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None

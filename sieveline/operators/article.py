@@ -58,7 +58,9 @@ def clean_header(line: Column) -> Column:
 
 def looks_like_metadata(line: Column) -> Column:
     low = F.lower(line)
-    return matches(line, EMAIL) | matches(line, DOI, "iu") | starts_with_any(low, METADATA_HEADS) | (matches(low, JOURNAL, "iu") & (F.length(line) < 120))
+    return matches(line, EMAIL) | matches(line, DOI, "iu") | starts_with_any(low, METADATA_HEADS) | (
+        matches(low, JOURNAL, "iu") & (F.length(line) < 120)
+    )
 
 
 def without_keywords(text: Column) -> Column:
@@ -92,8 +94,16 @@ def year_of(text: Column) -> Column:
 
 def _merged(bodies: Column) -> Column:
     def step(done: Column, new: Column) -> Column:
-        joined = F.transform(done, lambda s: F.struct(s["name"].alias("name"), F.when(s["name"] == new["name"], strip(F.concat(s["body"], F.lit("\n"), new["body"]))).otherwise(s["body"]).alias("body")))
-        return F.when(F.exists(done, lambda s: s["name"] == new["name"]), joined).otherwise(F.array_append(done, F.struct(new["name"].alias("name"), new["body"].alias("body"))))
+        joined = F.transform(
+            done,
+            lambda s: F.struct(
+                s["name"].alias("name"),
+                F.when(s["name"] == new["name"], strip(F.concat(s["body"], F.lit("\n"), new["body"]))).otherwise(s["body"]).alias("body")
+            )
+        )
+        return F.when(F.exists(done, lambda s: s["name"] == new["name"]), joined).otherwise(
+            F.array_append(done, F.struct(new["name"].alias("name"), new["body"].alias("body")))
+        )
 
     return F.aggregate(bodies, F.array().cast(SECTION), step)
 
@@ -114,9 +124,13 @@ def _authors(candidates: Column, title_at: Column) -> Column:
         halt = (looks_like_metadata(line) & ~matches(line, EMAIL)) | starts_with_any(low, PLACE_HEADS)
         listed = line.contains(",") | low.contains(" and ") | line.contains("&")
         kept = lambda stop, names: F.struct(stop.alias("stop"), names.alias("names"))
-        return F.when(so_far["stop"], so_far).when(halt, kept(F.lit(True), so_far["names"])).when(listed, kept(F.lit(True), names_in(line))).otherwise(so_far)
+        return F.when(so_far["stop"], so_far).when(halt, kept(F.lit(True), so_far["names"])).when(
+            listed, kept(F.lit(True), names_in(line))
+        ).otherwise(so_far)
 
-    return F.when(title_at.isNull(), F.array().cast("array<string>")).otherwise(F.aggregate(F.slice(candidates, F.coalesce(title_at, F.lit(0)) + 2, F.lit(3)), state, step)["names"])
+    return F.when(title_at.isNull(), F.array().cast("array<string>")).otherwise(
+        F.aggregate(F.slice(candidates, F.coalesce(title_at, F.lit(0)) + 2, F.lit(3)), state, step)["names"]
+    )
 
 
 def parse_articles(texts: DataFrame, text: str = "text", source_file: str = "source_file") -> DataFrame:
@@ -128,27 +142,47 @@ def parse_articles(texts: DataFrame, text: str = "text", source_file: str = "sou
     given = texts.select(F.col(source_file).alias("source_file"), F.coalesce(F.col(text), F.lit("")).alias("txt"))
     split = given.withColumn("lns", lines("txt"))
     alias = F.create_map(*[F.lit(x) for pair in SECTION_ALIASES.items() for x in pair])
-    header = lambda line, at: F.struct(at.alias("line_no"), F.length(strip(line)).alias("long"), F.try_element_at(alias, clean_header(line)).alias("name"))
+    header = lambda line, at: F.struct(
+        at.alias("line_no"), F.length(strip(line)).alias("long"), F.try_element_at(alias, clean_header(line)).alias("name")
+    )
     headed = split.withColumn("hds", F.filter(F.transform("lns", header), lambda h: h["name"].isNotNull() & h["long"].between(1, 60)))
 
     def body(h: Column, k: Column) -> Column:
         until = F.coalesce(F.get(F.col("hds"), k + 1)["line_no"], F.size("lns"))
-        return F.struct(h["name"].alias("name"), strip(F.array_join(F.slice("lns", h["line_no"] + 2, until - h["line_no"] - 1), "\n")).alias("body"))
+        return F.struct(
+            h["name"].alias("name"), strip(F.array_join(F.slice("lns", h["line_no"] + 2, until - h["line_no"] - 1), "\n")).alias("body")
+        )
 
     parted = headed.withColumn("secs", _merged(F.transform("hds", body))).withColumn("head_stop", F.get("hds", F.lit(0))["line_no"])
     head = lambda n: F.slice("lns", F.lit(1), F.coalesce("head_stop", F.least(F.size("lns"), F.lit(n))))
     fronted = parted.withColumn("cds", F.filter(F.transform(head(40), strip), lambda c: c != ""))
-    titled = lambda c: ~looks_like_metadata(c["line"]) & F.length(c["line"]).between(15, 300) & ~(is_upper(c["line"]) & (F.size(words(c["line"])) <= 3))
+    titled = lambda c: ~looks_like_metadata(c["line"]) & F.length(c["line"]).between(15, 300) & ~(
+        is_upper(c["line"]) & (F.size(words(c["line"])) <= 3)
+    )
     pick = F.get(F.filter(F.transform("cds", lambda c, i: F.struct(i.alias("at"), c.alias("line"))), titled), F.lit(0))
     named = fronted.withColumn("tit", pick).withColumn("own_abstract", _body("secs", "abstract"))
     found = F.nullif(without_keywords(strip(first_match("txt", ABSTRACT, 1, "ius"))), F.lit(""))
-    told = named.withColumn("abstract", F.when(F.coalesce("own_abstract", F.lit("")) != "", without_keywords(F.col("own_abstract"))).otherwise(found)).withColumn("refs", F.coalesce(_body("secs", "references"), F.lit("")))
-    cited = F.filter(F.transform(F.split("refs", rx(CITATION, "m")), lambda r: F.replace(strip(r), F.lit("\n"), F.lit(" "))), lambda r: r != "")
+    told = named.withColumn(
+        "abstract", F.when(F.coalesce("own_abstract", F.lit("")) != "", without_keywords(F.col("own_abstract"))).otherwise(found)
+    ).withColumn("refs", F.coalesce(_body("secs", "references"), F.lit("")))
+    cited = F.filter(
+        F.transform(F.split("refs", rx(CITATION, "m")), lambda r: F.replace(strip(r), F.lit("\n"), F.lit(" "))), lambda r: r != ""
+    )
     listed = F.filter(F.transform(lines("refs"), strip), lambda r: F.length(r) > 5)
-    kept = F.transform(F.filter("secs", lambda s: s["name"] != "references"), lambda s: F.struct(s["name"].alias("name"), F.when((s["name"] == "abstract") & (F.coalesce("abstract", F.lit("")) != ""), F.col("abstract")).otherwise(s["body"]).alias("body")))
+    kept = F.transform(
+        F.filter("secs", lambda s: s["name"] != "references"),
+        lambda s: F.struct(
+            s["name"].alias("name"),
+            F.when(
+                (s["name"] == "abstract") & (F.coalesce("abstract", F.lit("")) != ""), F.col("abstract")
+            ).otherwise(s["body"]).alias("body")
+        )
+    )
     journal = F.get(F.filter(F.transform(head(15), strip), lambda j: (j != "") & matches(j, JOURNAL, "iu") & (F.length(j) < 150)), F.lit(0))
     return told.select(
-        "source_file", F.col("tit")["line"].alias("title"), _authors(F.col("cds"), F.col("tit")["at"]).alias("authors"), F.array().cast("array<string>").alias("affiliations"), emails_of("txt").alias("emails"),
+        "source_file", F.col("tit")["line"].alias("title"), _authors(
+            F.col("cds"), F.col("tit")["at"]
+        ).alias("authors"), F.array().cast("array<string>").alias("affiliations"), emails_of("txt").alias("emails"),
         "abstract", keywords_of(F.col("txt")).alias("keywords"), doi_of("txt").alias("doi"), journal.alias("journal"), year_of(F.col("txt")).alias("publication_year"), kept.alias("sections"),
         F.when(matches("refs", CITATION, "m"), cited).otherwise(listed).alias("references"), word_count("txt").alias("word_count"),
     )
@@ -156,4 +190,6 @@ def parse_articles(texts: DataFrame, text: str = "text", source_file: str = "sou
 
 def summary_rows(articles: DataFrame) -> DataFrame:
     """The seven columns of the summary table."""
-    return articles.select("source_file", "title", F.array_join("authors", "; ").alias("authors"), "doi", "journal", "publication_year", "word_count")
+    return articles.select(
+        "source_file", "title", F.array_join("authors", "; ").alias("authors"), "doi", "journal", "publication_year", "word_count"
+    )

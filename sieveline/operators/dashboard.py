@@ -24,7 +24,9 @@ def last_claims(manifest: DataFrame, ord_column: str = "ord", matched_only: bool
     """The last manifest row of each paper, whatever its status unless matched_only."""
     rows = manifest.where("coalesce(paper_id, '') <> ''")
     rows = rows.where("status = 'matched'") if matched_only else rows
-    return rows.groupBy("paper_id").agg(F.max_by(F.struct("confidence", "match_method"), ord_column).alias("claim")).select("paper_id", "claim.confidence", "claim.match_method")
+    return rows.groupBy("paper_id").agg(
+        F.max_by(F.struct("confidence", "match_method"), ord_column).alias("claim")
+    ).select("paper_id", "claim.confidence", "claim.match_method")
 
 
 def paper_rows(registry: DataFrame, claims: DataFrame) -> DataFrame:
@@ -37,7 +39,22 @@ def paper_rows(registry: DataFrame, claims: DataFrame) -> DataFrame:
     )
     joined = given.join(claims.withColumn("there", F.lit(True)), "paper_id", "left")
     flags = [(F.col(f"{kind}_text") != "").alias(f"has_{kind}") for kind in ("anatomical", "photometry", "ephys", "functional")]
-    return joined.select("ord", F.col("paper_id").alias("id"), "title", "authors", "year", "doi", "animal_model", "anatomical_text", "photometry_text", "ephys_text", *flags, F.coalesce("there", F.lit(False)).alias("matched"), F.col("confidence").cast("double").alias("confidence"), "match_method")
+    return joined.select(
+        "ord",
+        F.col("paper_id").alias("id"),
+        "title",
+        "authors",
+        "year",
+        "doi",
+        "animal_model",
+        "anatomical_text",
+        "photometry_text",
+        "ephys_text",
+        *flags,
+        F.coalesce("there", F.lit(False)).alias("matched"),
+        F.col("confidence").cast("double").alias("confidence"),
+        "match_method"
+    )
 
 
 def searched(rows: DataFrame, term: str, columns: list[str] | None = None) -> DataFrame:
@@ -57,12 +74,19 @@ def with_status(rows: DataFrame, chip: str) -> DataFrame:
 def natural_order(c: Column | str) -> list[Column]:
     """AIM-2 before AIM-10: the prefix, then the number behind it."""
     parts = F.split(c, "-")
-    return [F.get(parts, F.lit(0)), F.try_to_number(F.nullif(F.regexp_extract(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"^\s*(\d+)", 1), F.lit("")), F.lit("999999999999"))]
+    return [
+        F.get(parts, F.lit(0)),
+        F.try_to_number(
+            F.nullif(F.regexp_extract(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"^\s*(\d+)", 1), F.lit("")), F.lit("999999999999")
+        )
+    ]
 
 
 def order_columns(key: str = "id", down: bool = False) -> list[Column]:
     """By natural id, by confidence (none counts as -1), by matched, or by a column's text whatever its case."""
-    by = {"id": natural_order("id"), "confidence": [F.coalesce("confidence", F.lit(-1.0))], "matched": [F.col("matched")]}.get(key, [F.lower(F.col(key).cast("string"))])
+    by = {
+        "id": natural_order("id"), "confidence": [F.coalesce("confidence", F.lit(-1.0))], "matched": [F.col("matched")]
+    }.get(key, [F.lower(F.col(key).cast("string"))])
     return [c.desc() if down else c.asc() for c in by]
 
 
@@ -90,8 +114,16 @@ def review_order() -> list[Column]:
 def nested(side_by_side: DataFrame) -> DataFrame:
     """paper_id, title and fields: of each paper its fields in order, each with its rows. A paper's rows are few."""
     row = F.struct("mod_ord", "field_ord", "kind", "row_index", "row_label", "found_value", "source_quote", "figure_ref")
-    fields = side_by_side.groupBy("paper_id", "mod_ord", "field_ord", "field_name").agg(F.min("title").alias("title"), F.min("recorded_value").alias("recorded_value"), F.array_sort(F.collect_list(row)).alias("rows"))
-    field = F.struct("mod_ord", "field_ord", "field_name", "recorded_value", F.transform("rows", lambda r: r.dropFields("mod_ord", "field_ord")).alias("rows"))
+    fields = side_by_side.groupBy("paper_id", "mod_ord", "field_ord", "field_name").agg(
+        F.min("title").alias("title"), F.min("recorded_value").alias("recorded_value"), F.array_sort(F.collect_list(row)).alias("rows")
+    )
+    field = F.struct(
+        "mod_ord",
+        "field_ord",
+        "field_name",
+        "recorded_value",
+        F.transform("rows", lambda r: r.dropFields("mod_ord", "field_ord")).alias("rows")
+    )
     papers = fields.groupBy("paper_id").agg(F.min("title").alias("title"), F.array_sort(F.collect_list(field)).alias("fields"))
     return papers.withColumn("fields", F.transform("fields", lambda f: f.dropFields("mod_ord", "field_ord")))
 
@@ -104,8 +136,12 @@ def review_searched(papers: DataFrame, term: str) -> DataFrame:
 def verdict_view(verdicts: DataFrame, chip: str = "all", term: str = "") -> DataFrame:
     """Verdicts by severity, unknown ones before none; the quote of nothing stated is not shown."""
     shown = verdicts if chip == "all" else verdicts.where(F.col("verdict") == chip)
-    quote = F.when(F.lower(strip(F.coalesce("evidence_quote", F.lit("")))) == "not explicitly stated", "").otherwise(F.coalesce("evidence_quote", F.lit("")))
-    return searched(shown, term, ["paper_id", "field_name", "explanation", "modality"]).withColumn("shown_quote", quote).orderBy(*verdict_order("verdict"), "paper_id", "field_name")
+    quote = F.when(
+        F.lower(strip(F.coalesce("evidence_quote", F.lit("")))) == "not explicitly stated", ""
+    ).otherwise(F.coalesce("evidence_quote", F.lit("")))
+    return searched(
+        shown, term, ["paper_id", "field_name", "explanation", "modality"]
+    ).withColumn("shown_quote", quote).orderBy(*verdict_order("verdict"), "paper_id", "field_name")
 
 
 def doi_label(c: Column | str) -> Column:
@@ -114,8 +150,16 @@ def doi_label(c: Column | str) -> Column:
 
 def tiles(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row: papers, matched, missing, audited, mismatches, partials and the scores."""
-    papers = rows.agg(F.count(F.lit(1)).alias("papers"), F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("missing"))
-    score = reliability(verdicts).select(F.col("n_papers_audited").alias("audited"), F.col("n_mismatch").alias("mismatches"), F.col("n_partial").alias("partials"), "raw_score_10", "shrunk_score_10")
+    papers = rows.agg(
+        F.count(F.lit(1)).alias("papers"), F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("missing")
+    )
+    score = reliability(verdicts).select(
+        F.col("n_papers_audited").alias("audited"),
+        F.col("n_mismatch").alias("mismatches"),
+        F.col("n_partial").alias("partials"),
+        "raw_score_10",
+        "shrunk_score_10"
+    )
     return papers.join(score)
 
 
@@ -161,7 +205,12 @@ def _triage(rows: Iterable[Row], totals: str) -> str:
         blob = " ".join(r[c] for c in ("paper_id", "title", "field_name", "modality")).lower()
         body.append(f"<tr data-kind='{r['verdict']}' data-search='{blob}'>" + "".join(f"<td>{r[c]}</td>" for c in TRIAGE) + "</tr>")
     table = f"<table><thead><tr>{head}</tr></thead><tbody>{''.join(body)}</tbody></table>"
-    return page("Verification", f"{totals}<input type='search' id='search' placeholder='paper, title, field or modality'><p>{boxes}</p>{table}", FILTER, SORT)
+    return page(
+        "Verification",
+        f"{totals}<input type='search' id='search' placeholder='paper, title, field or modality'><p>{boxes}</p>{table}",
+        FILTER,
+        SORT
+    )
 
 
 def triage_page(verdicts: DataFrame) -> str:
@@ -177,7 +226,9 @@ def triage_pages(verdicts: DataFrame, most: int = 5000) -> Iterator[str]:
 
 def _review_rows(side_by_side: DataFrame) -> Iterator[Row]:
     columns = ["paper_id", "title", "field_name", "recorded_value", "row_label", "found_value", "source_quote", "figure_ref"]
-    return side_by_side.orderBy("paper_id", "mod_ord", "field_ord", "kind", "row_index").select(*[html_escaped(c).alias(c) for c in columns]).toLocalIterator()
+    return side_by_side.orderBy(
+        "paper_id", "mod_ord", "field_ord", "kind", "row_index"
+    ).select(*[html_escaped(c).alias(c) for c in columns]).toLocalIterator()
 
 
 def _review(rows: Iterable[Row]) -> str:

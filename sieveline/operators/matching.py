@@ -26,7 +26,9 @@ def word_set(c: Column) -> Column:
 
 def by_file_name(files: DataFrame, registry: DataFrame) -> DataFrame:
     """file and paper_id where the stem is the paper's ID; of equal IDs the first row of the registry."""
-    keys = registry.select(file_key("paper_id").alias("key"), "paper_id", "ord").groupBy("key").agg(F.min_by("paper_id", "ord").alias("paper_id"))
+    keys = registry.select(
+        file_key("paper_id").alias("key"), "paper_id", "ord"
+    ).groupBy("key").agg(F.min_by("paper_id", "ord").alias("paper_id"))
     return files.select("file", file_key("stem").alias("key")).where("key <> ''").join(keys, "key").select("file", "paper_id")
 
 
@@ -70,24 +72,34 @@ def _titled(heads: DataFrame, registry: DataFrame, threshold: float) -> DataFram
     What can't reach the file's best lower bound goes, and the rest is counted in full. All joins are on single
     words, and all that is shuffled is numbers.
     """
-    titles = registry.select("ord", "paper_id", F.array_sort(F.transform(word_set(F.col("title")), lambda w: F.xxhash64(w))).alias("title_words")).where(F.size("title_words") > 0)
+    titles = registry.select(
+        "ord", "paper_id", F.array_sort(F.transform(word_set(F.col("title")), lambda w: F.xxhash64(w))).alias("title_words")
+    ).where(F.size("title_words") > 0)
     titles = titles.groupBy("title_words").agg(F.min("ord").alias("ord"), F.min_by("paper_id", "ord").alias("paper_id"))
     needed = F.greatest(F.lit(1), F.ceil(F.size("title_words") * threshold - 1e-9).cast("int"))
-    each = titles.select("ord", "paper_id", F.size("title_words").alias("n"), needed.alias("needed"), F.explode("title_words").alias("word"))
+    each = titles.select(
+        "ord", "paper_id", F.size("title_words").alias("n"), needed.alias("needed"), F.explode("title_words").alias("word")
+    )
     rarity = each.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
     place = F.row_number().over(Window.partitionBy("ord").orderBy("freq", "word"))
-    ranked = each.join(rarity, "word").select("ord", "paper_id", "n", "needed", "word", (place <= F.col("n") - F.col("needed") + 1).alias("front"))
+    ranked = each.join(rarity, "word").select(
+        "ord", "paper_id", "n", "needed", "word", (place <= F.col("n") - F.col("needed") + 1).alias("front")
+    )
     ranked = stored(ranked, "title-words")
     own = heads.select("file", F.explode("words").alias("word"))
     fronts = own.join(ranked.where("front").select("word", "ord", "n", "needed"), "word").groupBy("file", "ord")
-    fronts = stored(fronts.agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("needed").alias("needed")), "title-fronts")
+    fronts = stored(
+        fronts.agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("needed").alias("needed")), "title-fronts"
+    )
     sure, hoped = F.col("shared") / F.col("n"), (F.col("shared") + F.col("needed") - 1) / F.col("n")
     roof = fronts.where("shared >= needed").groupBy("file").agg(F.max(sure).alias("best_sure"))
     likely = fronts.join(roof, "file", "left").where(hoped >= F.greatest(F.coalesce("best_sure", F.lit(0.0)), F.lit(threshold)) - 1e-9)
     behind = ranked.where("NOT front").groupBy("ord").agg(F.collect_list("word").alias("rest"))  # a title's words at most
     asked = likely.join(behind, "ord", "left").select("file", "ord", "shared", "n", "needed", F.explode_outer("rest").alias("word"))
     met = asked.join(own.withColumn("there", F.lit(1)), ["file", "word"], "left")
-    counted = met.groupBy("file", "ord").agg((F.first("shared") + F.count("there")).alias("shared"), F.first("n").alias("n"), F.first("needed").alias("needed"))
+    counted = met.groupBy("file", "ord").agg(
+        (F.first("shared") + F.count("there")).alias("shared"), F.first("n").alias("n"), F.first("needed").alias("needed")
+    )
     scored = counted.where("shared >= needed").withColumn("score", F.col("shared") / F.col("n"))
     best = scored.groupBy("file").agg(F.max_by(F.struct("ord", "score"), F.struct("score", -F.col("ord"))).alias("best"))
     names = ranked.groupBy("ord").agg(F.first("paper_id").alias("paper_id"))
@@ -101,23 +113,41 @@ def match_files(files: DataFrame, registry: DataFrame) -> DataFrame:
     the three ways need of it goes to a small table.
     """
     readable = nonblank("text").isNotNull()
-    heads = files.select("file", readable.alias("readable"), file_key("stem").alias("key"), F.when(readable, head_dois("text")).alias("dois"), F.when(readable, head_words("text")).alias("words"))
+    heads = files.select(
+        "file",
+        readable.alias("readable"),
+        file_key("stem").alias("key"),
+        F.when(readable, head_dois("text")).alias("dois"),
+        F.when(readable, head_words("text")).alias("words")
+    )
     heads = stored(heads, "match-heads")
-    names = registry.select(file_key("paper_id").alias("key"), "paper_id", "ord").groupBy("key").agg(F.min_by("paper_id", "ord").alias("named")).where("key <> ''")
+    names = registry.select(
+        file_key("paper_id").alias("key"), "paper_id", "ord"
+    ).groupBy("key").agg(F.min_by("paper_id", "ord").alias("named")).where("key <> ''")
     named = stored(heads.where("readable").select("file", "key").join(names, "key").select("file", "named"), "match-named")
     rest = heads.where("readable").join(named, "file", "left_anti")
     cited = stored(_cited(rest.select("file", "dois"), registry).withColumnRenamed("paper_id", "cited"), "match-cited")
     rest = rest.join(cited, "file", "left_anti").select("file", "words")
     titled = _titled(rest, registry, THRESHOLD).withColumnRenamed("paper_id", "titled")
     joined = heads.select("file", "readable").join(named, "file", "left").join(cited, "file", "left").join(titled, "file", "left")
-    ways = [(~F.col("readable"), "extraction_failed", 0.0), (F.col("named").isNotNull(), "filename", 1.0), (F.col("cited").isNotNull(), "doi", 0.95)]
+    ways = [
+        (~F.col("readable"), "extraction_failed", 0.0),
+        (F.col("named").isNotNull(), "filename", 1.0),
+        (F.col("cited").isNotNull(), "doi", 0.95)
+    ]
     ways.append((F.col("titled").isNotNull(), "title", F.bround("score", 3)))
     method, confidence = F.lit("unmatched"), F.lit(0.0)
     for holds, name, value in reversed(ways):
         method, confidence = F.when(holds, name).otherwise(method), F.when(holds, value).otherwise(confidence)
     paper = F.coalesce("named", "cited", "titled")
     status = F.when(~F.col("readable"), "failed").when(paper.isNull(), "unmatched").otherwise("matched")
-    return joined.select("file", F.coalesce(paper, F.lit("")).alias("paper_id"), method.alias("match_method"), confidence.alias("confidence"), status.alias("status"))
+    return joined.select(
+        "file",
+        F.coalesce(paper, F.lit("")).alias("paper_id"),
+        method.alias("match_method"),
+        confidence.alias("confidence"),
+        status.alias("status")
+    )
 
 
 def settle_claims(matches: DataFrame, *order: Column | str) -> DataFrame:
@@ -141,5 +171,8 @@ def missing_papers(registry: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def scrape_totals(registry: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row: papers with a file, papers without one, files without a paper."""
-    state = manifest.agg(F.count_distinct(F.when(F.col("status") == "matched", F.col("paper_id"))).alias("matched"), F.count_if(F.col("status").isin("unmatched", "failed")).alias("unmatched_files"))
+    state = manifest.agg(
+        F.count_distinct(F.when(F.col("status") == "matched", F.col("paper_id"))).alias("matched"),
+        F.count_if(F.col("status").isin("unmatched", "failed")).alias("unmatched_files")
+    )
     return state.join(missing_papers(registry, manifest).agg(F.count(F.lit(1)).alias("missing")))

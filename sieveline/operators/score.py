@@ -26,13 +26,19 @@ def reliability(verdicts: DataFrame) -> DataFrame:
     point, weight = _decimal(POINTS, "verdict"), _decimal(WEIGHTS, "confidence")
     scored = point.isNotNull() & weight.isNotNull()
     sums = verdicts.agg(
-        F.count(F.lit(1)).alias("n_field_verdicts"), F.count_if(scored).alias("n_scored_verdicts"), F.count_distinct(F.nullif("paper_id", F.lit(""))).alias("n_papers_audited"),
+        F.count(F.lit(1)).alias("n_field_verdicts"), F.count_if(scored).alias("n_scored_verdicts"), F.count_distinct(
+            F.nullif("paper_id", F.lit(""))
+        ).alias("n_papers_audited"),
         *[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in VERDICTS],
-        F.coalesce(F.sum(F.when(scored, point * weight)), F.lit(0)).cast("double").alias("weighted_points"), F.coalesce(F.sum(F.when(scored, weight)), F.lit(0)).cast("double").alias("weighted_weight"),
+        F.coalesce(
+            F.sum(F.when(scored, point * weight)), F.lit(0)
+        ).cast("double").alias("weighted_points"), F.coalesce(F.sum(F.when(scored, weight)), F.lit(0)).cast("double").alias("weighted_weight"),
     )
     raw = F.try_divide("weighted_points", F.nullif("weighted_weight", F.lit(0.0)))
     shrunk = (F.col("weighted_points") + PRIOR_SCORE * PRIOR_STRENGTH) / (F.col("weighted_weight") + PRIOR_STRENGTH)
-    return sums.withColumns({"raw_fraction": raw, "shrunk_fraction": shrunk, "raw_score_10": F.bround(raw * 10, 1), "shrunk_score_10": F.bround(shrunk * 10, 1)})
+    return sums.withColumns(
+        {"raw_fraction": raw, "shrunk_fraction": shrunk, "raw_score_10": F.bround(raw * 10, 1), "shrunk_score_10": F.bround(shrunk * 10, 1)}
+    )
 
 
 def verdict_counts(verdicts: DataFrame, by: str | None = None) -> DataFrame:
@@ -49,7 +55,9 @@ def is_provisional(audited: Column, total: Column) -> Column:
 def breakdown(counts: DataFrame, by: str = "field_name") -> DataFrame:
     """The lines of the report's last part in order: ``by`` and line, for groups with any of the four verdicts."""
     some = F.array_compact(F.array(*[F.when(F.col(v) > 0, F.concat(F.lit(f"{v}="), F.col(v).cast("string"))) for v in VERDICTS]))
-    return counts.where(F.size(some) > 0).select(by, F.concat(F.lit("  "), by, F.lit(": "), F.array_join(some, ", ")).alias("line")).orderBy(by)
+    return counts.where(F.size(some) > 0).select(
+        by, F.concat(F.lit("  "), by, F.lit(": "), F.array_join(some, ", ")).alias("line")
+    ).orderBy(by)
 
 
 def report(result: Row, fields: list[Row], total_papers: int) -> str:

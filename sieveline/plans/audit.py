@@ -29,7 +29,9 @@ def scrape_stage(spark: SparkSession, folder: str, registry_csv: str, out: str)
     return matching.scrape_totals(tables.for_matching(registry), manifest).first()
 
 
-def fetch_stage(spark: SparkSession, registry_csv: str, cache_table: str, out: str, literature: Callable, connections: int = 1) -> list[Row]:
+def fetch_stage(
+    spark: SparkSession, registry_csv: str, cache_table: str, out: str, literature: Callable, connections: int = 1
+) -> list[Row]:
     """Texts of papers that the cache lacks or that failed, appended to it; the manifest (CSV) of all. Returns counts by outcome."""
     registry = tables.for_matching(tables.read_registry(spark, registry_csv))
     empty = spark.createDataFrame([], providers.CACHE)

@@ -44,7 +44,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived registry with the audited columns under their real names."""
-    names = {"anatomical": dashboard.ANATOMICAL, "photometry": dashboard.PHOTOMETRY, "ephys": dashboard.EPHYS, "functional": dashboard.FUNCTIONAL, "who": dashboard.YEAR}
+    names = {
+        "anatomical": dashboard.ANATOMICAL,
+        "photometry": dashboard.PHOTOMETRY,
+        "ephys": dashboard.EPHYS,
+        "functional": dashboard.FUNCTIONAL,
+        "who": dashboard.YEAR
+    }
     return derived(spark, sf_dir, REGISTRY).withColumnsRenamed(names)
 
 
@@ -99,13 +105,17 @@ def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("e", "|").alias("emails"), F.size("e").cast("long").alias("n_emails"))
 
 
-@_query(r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\s\x0B\x1C-\x1F\x{85}\p{Z}]+')) AS BIGINT) AS word_count FROM documents")
+@_query(
+    r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\s\x0B\x1C-\x1F\x{85}\p{Z}]+')) AS BIGINT) AS word_count FROM documents"
+)
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", article.word_count(F.coalesce("text", F.lit(""))).cast("long").alias("word_count"))
 
 
 A = f"({sql(ARTICLES)}) AS a"
-FIELDS = ["title", "authors", "first_email", "keywords", "doi", "journal", "publication_year", "refs", "section_names", "results", "abstract"]
+FIELDS = [
+    "title", "authors", "first_email", "keywords", "doi", "journal", "publication_year", "refs", "section_names", "results", "abstract"
+]
 
 
 @_query(f"SELECT doc_id, {', '.join(f'{article_part(f)} AS {f}' for f in FIELDS)} FROM documents")
@@ -162,7 +172,9 @@ title AS (SELECT file, paper_id, score FROM o QUALIFY row_number() OVER (PARTITI
 {_title_sql('f', 'r')} SELECT file, paper_id, CAST(score AS DOUBLE) AS score FROM title""")
 def title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _docs(spark, sf_dir).select(F.col("doc_id").alias("file"), F.coalesce("text", F.lit("")).alias("text"))
-    registry = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("ord"), F.col("item_id").cast("string").alias("paper_id"), F.col("text").alias("title"))
+    registry = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
+        F.col("item_id").alias("ord"), F.col("item_id").cast("string").alias("paper_id"), F.col("text").alias("title")
+    )
     return matching.by_title(files, registry)
 
 
@@ -218,15 +230,39 @@ DETAIL = "CASE WHEN has_fields THEN concat('note: ', note, '; turn: ', row_index
 def flatten_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _flat(spark, sf_dir)
     item = F.struct("row_index", "row_label", "figure_ref", "source_quote", "fields")
-    grouped = flat.groupBy("paper_id", "modality").agg(F.array_sort(F.collect_list(F.struct("row_index", F.to_json(item).alias("item")))).alias("items"), F.min("summary_paragraph").alias("s"))
-    made = F.concat(F.lit('{"rows": ['), F.array_join(F.transform("items", lambda i: i["item"]), ","), F.lit('], "summary_paragraph": " '), "s", F.lit(' "}'))
-    empty = derived(spark, sf_dir, "SELECT DISTINCT conv_id FROM {conversations}").select(F.concat(F.lit("EMPTY-"), F.col("conv_id").cast("string")).alias("paper_id"), F.lit("ephys").alias("modality"), F.lit('{"rows": []}').alias("json"))
+    grouped = flat.groupBy("paper_id", "modality").agg(
+        F.array_sort(F.collect_list(F.struct("row_index", F.to_json(item).alias("item")))).alias("items"),
+        F.min("summary_paragraph").alias("s")
+    )
+    made = F.concat(
+        F.lit('{"rows": ['),
+        F.array_join(F.transform("items", lambda i: i["item"]), ","),
+        F.lit('], "summary_paragraph": " '),
+        "s",
+        F.lit(' "}')
+    )
+    empty = derived(spark, sf_dir, "SELECT DISTINCT conv_id FROM {conversations}").select(
+        F.concat(F.lit("EMPTY-"), F.col("conv_id").cast("string")).alias("paper_id"),
+        F.lit("ephys").alias("modality"),
+        F.lit('{"rows": []}').alias("json")
+    )
     raw = grouped.select("paper_id", "modality", made.alias("json")).unionByName(empty)
     out = records.flatten_extractions(raw)
-    return out.select("paper_id", "modality", "row_index", "row_label", "figure_ref", "source_quote", records.detail("fields").alias("detail"), "summary_paragraph")
+    return out.select(
+        "paper_id",
+        "modality",
+        "row_index",
+        "row_label",
+        "figure_ref",
+        "source_quote",
+        records.detail("fields").alias("detail"),
+        "summary_paragraph"
+    )
 
 
-@_query(f"SELECT paper_id, modality, row_index, CASE WHEN has_fields THEN concat(row_label, ' — ', {DETAIL}) ELSE row_label END AS value FROM ({L}) AS l")
+@_query(
+    f"SELECT paper_id, modality, row_index, CASE WHEN has_fields THEN concat(row_label, ' — ', {DETAIL}) ELSE row_label END AS value FROM ({L}) AS l"
+)
 def rendered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir).select("paper_id", "modality", "row_index", records.rendered("row_label", "fields").alias("value"))
 
@@ -244,10 +280,14 @@ ANSWER = "concat(paper_id, '/', event_id // 20)"
  CAST(row_number() OVER (PARTITION BY paper_id, event_id // 20, modality ORDER BY event_id) - 1 AS INTEGER) AS ord FROM {V}""")
 def flatten_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of several verdicts, some without a verdict and a confidence, and some without any verdict at all."""
-    rows = derived(spark, sf_dir, VERDICTS).withColumn("paper_id", F.concat("paper_id", F.lit("/"), F.floor(F.col("event_id") / 20).cast("string")))
+    rows = derived(spark, sf_dir, VERDICTS).withColumn(
+        "paper_id", F.concat("paper_id", F.lit("/"), F.floor(F.col("event_id") / 20).cast("string"))
+    )
     told = [F.when(F.col("event_id") % 13 != 0, F.col(c)).alias(c) for c in ("verdict", "confidence")]
     one = F.struct("event_id", F.struct(F.col("field_name").alias("x_field"), *told, "explanation", "evidence_quote").alias("v"))
-    grouped = rows.groupBy("paper_id", "modality").agg(F.array_sort(F.collect_list(F.struct("event_id", F.to_json(one["v"]).alias("v")))).alias("vs"))
+    grouped = rows.groupBy("paper_id", "modality").agg(
+        F.array_sort(F.collect_list(F.struct("event_id", F.to_json(one["v"]).alias("v")))).alias("vs")
+    )
     made = F.concat(F.lit('{"verdicts": ['), F.array_join(F.transform("vs", lambda v: v["v"]), ","), F.lit("]}"))
     none = grouped.select("paper_id", F.lit("none").alias("modality"), F.lit('{"verdicts": []}').alias("json"))
     return records.flatten_verdicts(grouped.select("paper_id", "modality", made.alias("json")).unionByName(none))
@@ -262,7 +302,9 @@ rows AS (SELECT b.*, 0 AS kind, 0 AS row_index, '' AS row_label, '[not re-extrac
  UNION ALL SELECT b.*, 0, 0, '', '[model returned no data]', '', '' FROM base b JOIN g USING (paper_id, modality) WHERE s = '' AND n = 0)"""
 
 
-@_query(f"WITH {SIDE} SELECT ord, CAST(mod_ord AS INTEGER) AS mod_ord, CAST(field_ord AS INTEGER) AS field_ord, paper_id, title, modality, field_name, recorded_value, CAST(kind AS INTEGER) AS kind, CAST(row_index AS INTEGER) AS row_index, row_label, found_value, source_quote, figure_ref FROM rows")
+@_query(
+    f"WITH {SIDE} SELECT ord, CAST(mod_ord AS INTEGER) AS mod_ord, CAST(field_ord AS INTEGER) AS field_ord, paper_id, title, modality, field_name, recorded_value, CAST(kind AS INTEGER) AS kind, CAST(row_index AS INTEGER) AS row_index, row_label, found_value, source_quote, figure_ref FROM rows"
+)
 def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.side_by_side(_registry(spark, sf_dir), _flat(spark, sf_dir))
 
@@ -270,23 +312,50 @@ def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEVERITY = "CASE verdict WHEN 'mismatch' THEN 0 WHEN 'partial' THEN 1 WHEN 'unverifiable' THEN 2 WHEN 'match' THEN 3 ELSE 99 END"
 
 
-@_query(f"SELECT event_id, verdict, {SEVERITY} AS severity, row_number() OVER (PARTITION BY paper_id ORDER BY {SEVERITY}, event_id) AS place FROM {V}")
+@_query(
+    f"SELECT event_id, verdict, {SEVERITY} AS severity, row_number() OVER (PARTITION BY paper_id ORDER BY {SEVERITY}, event_id) AS place FROM {V}"
+)
 def triage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each verdict among those of its paper, worst first."""
     rows = derived(spark, sf_dir, VERDICTS).withColumn("severity", records.severity("verdict"))
-    return rows.select("event_id", "verdict", "severity", F.row_number().over(Window.partitionBy("paper_id").orderBy("severity", "event_id")).cast("long").alias("place"))
+    return rows.select(
+        "event_id",
+        "verdict",
+        "severity",
+        F.row_number().over(Window.partitionBy("paper_id").orderBy("severity", "event_id")).cast("long").alias("place")
+    )
 
 
 @_query(f"""WITH r AS ({R_SQL}) SELECT event_id, v.paper_id, v.field_name, verdict, coalesce(title, '') AS title, coalesce(CASE v.field_name WHEN 'Anatomical connections' THEN anatomical WHEN 'Electrophysiology Data' THEN ephys WHEN 'Purpose of this circuit' THEN functional END, '') AS recorded_value
  FROM {V} LEFT JOIN (SELECT * FROM r) AS r ON r.paper_id = v.paper_id AND v.field_name <> 'Verification of Zona Incerta Targeting'""")
 def verdicts_with_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.with_recorded(derived(spark, sf_dir, VERDICTS), _registry(spark, sf_dir)).select("event_id", "paper_id", "field_name", "verdict", "title", "recorded_value")
+    return records.with_recorded(derived(spark, sf_dir, VERDICTS), _registry(spark, sf_dir)).select(
+        "event_id", "paper_id", "field_name", "verdict", "title", "recorded_value"
+    )
 
 
 BOARD = f"""{MANIFEST}, last_claim AS (SELECT paper_id, max_by(confidence, file) AS confidence, max_by(match_method, file) AS match_method FROM claims WHERE paper_id <> '' GROUP BY 1),
 board AS (SELECT ord, r.paper_id AS id, title, '' AS authors, coalesce(doi, '') AS doi, concat('animal ', lang) AS animal_model, trim(split_part(who, ';', -1), ' ') AS year, coalesce(trim(anatomical, ' '), '') AS anatomical_text, trim(photometry, ' ') AS photometry_text, trim(ephys, ' ') AS ephys_text, coalesce(trim(anatomical, ' '), '') <> '' AS has_anatomical,
  coalesce(trim(photometry, ' '), '') <> '' AS has_photometry, coalesce(trim(ephys, ' '), '') <> '' AS has_ephys, coalesce(trim(functional, ' '), '') <> '' AS has_functional, c.paper_id IS NOT NULL AS matched, CAST(c.confidence AS DOUBLE) AS confidence, match_method FROM (SELECT r.*, functional AS lang FROM r) AS r LEFT JOIN last_claim AS c ON r.paper_id = c.paper_id)"""
-BOARD_COLUMNS = ["ord", "id", "title", "authors", "year", "doi", "animal_model", "anatomical_text", "photometry_text", "ephys_text", "has_anatomical", "has_photometry", "has_ephys", "has_functional", "matched", "confidence", "match_method"]
+BOARD_COLUMNS = [
+    "ord",
+    "id",
+    "title",
+    "authors",
+    "year",
+    "doi",
+    "animal_model",
+    "anatomical_text",
+    "photometry_text",
+    "ephys_text",
+    "has_anatomical",
+    "has_photometry",
+    "has_ephys",
+    "has_functional",
+    "matched",
+    "confidence",
+    "match_method"
+]
 
 
 def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,15 +369,22 @@ def dashboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _board(spark, sf_dir).select(*BOARD_COLUMNS)
 
 
-@_query(f"WITH {BOARD} SELECT id, matched FROM board WHERE NOT matched AND (contains(lower(id), 'src1') OR contains(lower(title), 'src1') OR contains(lower(doi), 'src1') OR contains(lower(anatomical_text), 'src1') OR contains(lower(photometry_text), 'src1') OR contains(lower(ephys_text), 'src1'))")
+@_query(
+    f"WITH {BOARD} SELECT id, matched FROM board WHERE NOT matched AND (contains(lower(id), 'src1') OR contains(lower(title), 'src1') OR contains(lower(doi), 'src1') OR contains(lower(anatomical_text), 'src1') OR contains(lower(photometry_text), 'src1') OR contains(lower(ephys_text), 'src1'))"
+)
 def dashboard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.searched(dashboard.with_status(_board(spark, sf_dir), "missing"), "SRC1").select("id", "matched")
 
 
-@_query(f"WITH r AS ({R_SQL}) SELECT paper_id, row_number() OVER (PARTITION BY functional ORDER BY split_part(paper_id, '-', 1), CAST(split_part(paper_id, '-', 2) AS BIGINT)) AS place FROM r")
+@_query(
+    f"WITH r AS ({R_SQL}) SELECT paper_id, row_number() OVER (PARTITION BY functional ORDER BY split_part(paper_id, '-', 1), CAST(split_part(paper_id, '-', 2) AS BIGINT)) AS place FROM r"
+)
 def natural_id_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _registry(spark, sf_dir).withColumnRenamed(dashboard.FUNCTIONAL, "functional")
-    return rows.select("paper_id", F.row_number().over(Window.partitionBy("functional").orderBy(*dashboard.natural_order("paper_id"))).cast("long").alias("place"))
+    return rows.select(
+        "paper_id",
+        F.row_number().over(Window.partitionBy("functional").orderBy(*dashboard.natural_order("paper_id"))).cast("long").alias("place")
+    )
 
 
 @_query(f"""WITH {BOARD}, s AS (SELECT count(DISTINCT paper_id) AS audited, count(*) FILTER (verdict = 'mismatch') AS mismatches, count(*) FILTER (verdict = 'partial') AS partials,
@@ -319,21 +395,29 @@ def dashboard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.tiles(_board(spark, sf_dir), derived(spark, sf_dir, VERDICTS))
 
 
-@_query(f"SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '' ELSE evidence_quote END AS shown_quote FROM {V} WHERE verdict = 'mismatch' AND (contains(lower(paper_id), 'st-1') OR contains(lower(field_name), 'st-1') OR contains(lower(explanation), 'st-1') OR contains(lower(modality), 'st-1'))")
+@_query(
+    f"SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '' ELSE evidence_quote END AS shown_quote FROM {V} WHERE verdict = 'mismatch' AND (contains(lower(paper_id), 'st-1') OR contains(lower(field_name), 'st-1') OR contains(lower(explanation), 'st-1') OR contains(lower(modality), 'st-1'))"
+)
 def verdict_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.verdict_view(derived(spark, sf_dir, VERDICTS), "mismatch", "ST-1").select("event_id", "shown_quote")
 
 
-@_query(f"WITH {MANIFEST} SELECT CASE WHEN status = 'matched' THEN 'local_txt' ELSE status END AS outcome, count(*) AS n FROM claims GROUP BY 1")
+@_query(
+    f"WITH {MANIFEST} SELECT CASE WHEN status = 'matched' THEN 'local_txt' ELSE status END AS outcome, count(*) AS n FROM claims GROUP BY 1"
+)
 def fetch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = _manifest(spark, sf_dir)
     return providers.fetch_counts(manifest.select(F.when(F.col("status") == "matched", "local_txt").alias("text_source"), "status"))
 
 
-@_query(f"WITH {MANIFEST} SELECT paper_id FROM r WHERE paper_id NOT IN (SELECT paper_id FROM claims WHERE status <> 'superseded' AND paper_id <> '')")
+@_query(
+    f"WITH {MANIFEST} SELECT paper_id FROM r WHERE paper_id NOT IN (SELECT paper_id FROM claims WHERE status <> 'superseded' AND paper_id <> '')"
+)
 def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers still to be fetched: those without a claim that holds."""
-    cache = _manifest(spark, sf_dir).where("paper_id <> ''").select("paper_id", F.when(F.col("status") == "superseded", "failed").otherwise("ok").alias("status"))
+    cache = _manifest(spark, sf_dir).where("paper_id <> ''").select(
+        "paper_id", F.when(F.col("status") == "superseded", "failed").otherwise("ok").alias("status")
+    )
     return providers.to_do(_registry(spark, sf_dir).select("paper_id"), cache)
 
 
@@ -341,14 +425,18 @@ LABEL = """CASE doc_id % 6 WHEN 0 THEN 'FULL TEXT (from a locally supplied text
  WHEN 3 THEN 'ABSTRACT ONLY (full text was not available - treat missing details as ''not explicitly stated'' rather than guessing from an abstract-limited view)' WHEN 4 THEN 'FULL TEXT (extracted from a locally supplied PDF)' ELSE 'other' END"""
 
 
-@_query(f"""SELECT doc_id, concat('<paper_text source="', {LABEL}, '">', chr(10), text, chr(10), '</paper_text>', chr(10), chr(10), '<extraction_instructions>', chr(10), lang, chr(10), '</extraction_instructions>') AS message FROM documents""")
+@_query(
+    f"""SELECT doc_id, concat('<paper_text source="', {LABEL}, '">', chr(10), text, chr(10), '</paper_text>', chr(10), chr(10), '<extraction_instructions>', chr(10), lang, chr(10), '</extraction_instructions>') AS message FROM documents"""
+)
 def extraction_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["local_txt", "", "pmc_fulltext", "pubmed_abstract", "local_pdf", "other"]
     source = F.get(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % 6).cast("int"))
     return _docs(spark, sf_dir).select("doc_id", providers.extraction_message("text", source, "lang").alias("message"))
 
 
-@_query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages""")
+@_query(
+    """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages"""
+)
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html_escaped("html").alias("escaped"))
 
@@ -360,7 +448,9 @@ _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 SELECT doc_id, array_to_string(list_prepend('## Part', list_filter(ps, lambda x: x <> '')), chr(10)) AS text FROM p""")
 def article_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body text of articles in XML made of the documents' lines."""
-    lines = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("<p>"), html_escaped(x), F.lit("</p>"))), "")
+    lines = F.array_join(
+        F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("<p>"), html_escaped(x), F.lit("</p>"))), ""
+    )
     xml = F.concat(F.lit("<article><front/><body><sec><title>Part</title>"), lines, F.lit("</sec></body></article>"))
     return _docs(spark, sf_dir).select("doc_id", xml.alias("xml")).select("doc_id", file_sources.xml_text("xml").alias("text"))
 

@@ -37,7 +37,9 @@ PICKED = ["functional", "ephys"]
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(F.col("doc_id") % 3 == 0, "local_txt").when(F.col("doc_id") % 3 == 1, "pmc_fulltext").otherwise("")
     text = F.when(F.col("doc_id") % 11 == 5, "").otherwise(F.col("text"))
-    return _docs(spark, sf_dir).select(F.concat(F.lit("ST-"), F.col("doc_id").cast("string")).alias("paper_id"), text.alias("text"), source.alias("text_source"))
+    return _docs(spark, sf_dir).select(
+        F.concat(F.lit("ST-"), F.col("doc_id").cast("string")).alias("paper_id"), text.alias("text"), source.alias("text_source")
+    )
 
 
 @_query(f"WITH r AS ({R_SQL}) SELECT ord, paper_id FROM r ORDER BY ord LIMIT 60")
@@ -87,7 +89,9 @@ def full_text_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPLIES = '{"rows": [], "summary_paragraph": "of the paper"}'
 
 
-@_query(f"""WITH {PAIRS} SELECT paper_id, modality, CASE WHEN contains(lower(text), ' the ') THEN '{REPLIES}' END AS json, CASE WHEN contains(lower(text), ' the ') THEN '' ELSE 'no reply' END AS error FROM pairs""")
+@_query(
+    f"""WITH {PAIRS} SELECT paper_id, modality, CASE WHEN contains(lower(text), ' the ') THEN '{REPLIES}' END AS json, CASE WHEN contains(lower(text), ' the ') THEN '' ELSE 'no reply' END AS error FROM pairs"""
+)
 def reextraction_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of a model that fails on some pairs: each failure stays in its own row."""
 
@@ -113,10 +117,21 @@ def local_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     texts = derived(spark, sf_dir, FILES).withColumn("suffix", F.lit("txt"))
     rows = providers.local_cache(texts, _manifest(spark, sf_dir), _registry(spark, sf_dir))
-    return rows.select("source_file", "paper_id", F.coalesce("doi", F.lit("")).alias("doi"), "text_source", "status", "match_method", F.col("match_confidence").cast("double").alias("match_confidence"), F.md5("text").alias("digest"))
+    return rows.select(
+        "source_file",
+        "paper_id",
+        F.coalesce("doi", F.lit("")).alias("doi"),
+        "text_source",
+        "status",
+        "match_method",
+        F.col("match_confidence").cast("double").alias("match_confidence"),
+        F.md5("text").alias("digest")
+    )
 
 
-@_query(f"""WITH c AS ({CACHE}) SELECT (SELECT count(*) FROM c WHERE text <> '') AS cached, (SELECT count(*) FROM ({L}) AS l) AS extracted, (SELECT count(*) FROM {V}) AS verified""")
+@_query(
+    f"""WITH c AS ({CACHE}) SELECT (SELECT count(*) FROM c WHERE text <> '') AS cached, (SELECT count(*) FROM ({L}) AS l) AS extracted, (SELECT count(*) FROM {V}) AS verified"""
+)
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runner.status_counts(_cache(spark, sf_dir), _flat(spark, sf_dir), derived(spark, sf_dir, VERDICTS))
 
@@ -131,20 +146,28 @@ def review_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = dashboard.nested(records.side_by_side(_registry(spark, sf_dir), _flat(spark, sf_dir)))
     spread = nested.select("paper_id", "title", F.posexplode("fields").alias("place", "f"))
     told = F.array_join(F.transform("f.rows", lambda r: F.concat(r["row_label"], F.lit("="), r["found_value"])), "|")
-    return spread.select("paper_id", "title", "f.field_name", "f.recorded_value", "place", F.size("f.rows").alias("n_rows"), F.md5(told).alias("digest"))
+    return spread.select(
+        "paper_id", "title", "f.field_name", "f.recorded_value", "place", F.size("f.rows").alias("n_rows"), F.md5(told).alias("digest")
+    )
 
 
-@_query(f"WITH {SIDE} SELECT DISTINCT paper_id FROM rows WHERE contains(lower(concat(paper_id, ' ', title)), 'st-1') OR contains(lower(concat(paper_id, ' ', title)), 'study t')")
+@_query(
+    f"WITH {SIDE} SELECT DISTINCT paper_id FROM rows WHERE contains(lower(concat(paper_id, ' ', title)), 'st-1') OR contains(lower(concat(paper_id, ' ', title)), 'study t')"
+)
 def review_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers whose ID or title has either of two terms."""
     nested = dashboard.nested(records.side_by_side(_registry(spark, sf_dir), _flat(spark, sf_dir)))
-    return dashboard.review_searched(nested, "ST-1").select("paper_id").union(dashboard.review_searched(nested, "Study T").select("paper_id")).distinct()
+    return dashboard.review_searched(nested, "ST-1").select("paper_id").union(
+        dashboard.review_searched(nested, "Study T").select("paper_id")
+    ).distinct()
 
 
 RECORDED = f"""r AS ({R_SQL}), j AS (SELECT v.*, coalesce(title, '') AS title FROM {V} LEFT JOIN r ON r.paper_id = v.paper_id AND v.field_name <> 'Verification of Zona Incerta Targeting')"""
 
 
-@_query(f"WITH {RECORDED} SELECT event_id FROM j WHERE verdict IN ('partial', 'unverifiable') AND contains(lower(concat(paper_id, ' ', title, ' ', field_name, ' ', modality)), 'ephys')")
+@_query(
+    f"WITH {RECORDED} SELECT event_id FROM j WHERE verdict IN ('partial', 'unverifiable') AND contains(lower(concat(paper_id, ' ', title, ' ', field_name, ' ', modality)), 'ephys')"
+)
 def triage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the kinds that are ticked, with the term in what is searched."""
     rows = records.with_recorded(derived(spark, sf_dir, VERDICTS), _registry(spark, sf_dir))
@@ -183,18 +206,27 @@ def cell_text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(_board(spark, sf_dir), "title", True)
 
 
-@_query(f"WITH {SIDE} SELECT paper_id, dense_rank() OVER (PARTITION BY modality, field_name ORDER BY paper_id) AS place FROM (SELECT DISTINCT paper_id, modality, field_name FROM rows WHERE field_name = 'Photometry Data') AS x")
+@_query(
+    f"WITH {SIDE} SELECT paper_id, dense_rank() OVER (PARTITION BY modality, field_name ORDER BY paper_id) AS place FROM (SELECT DISTINCT paper_id, modality, field_name FROM rows WHERE field_name = 'Photometry Data') AS x"
+)
 def string_id_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers by ID as a text, so that ST-10 comes before ST-2."""
-    rows = records.side_by_side(_registry(spark, sf_dir), _flat(spark, sf_dir)).where("field_name = 'Photometry Data'").select("paper_id", "modality", "field_name").distinct()
-    return rows.select("paper_id", F.dense_rank().over(Window.partitionBy("modality", "field_name").orderBy(*dashboard.review_order())).cast("long").alias("place"))
+    rows = records.side_by_side(
+        _registry(spark, sf_dir), _flat(spark, sf_dir)
+    ).where("field_name = 'Photometry Data'").select("paper_id", "modality", "field_name").distinct()
+    return rows.select(
+        "paper_id",
+        F.dense_rank().over(Window.partitionBy("modality", "field_name").orderBy(*dashboard.review_order())).cast("long").alias("place")
+    )
 
 
 @_query("SELECT doc_id, concat('10.1/', doc_id) AS label FROM documents")
 def doi_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a DOI link shows: no resolver's address."""
     heads = F.get(F.array(F.lit("https://doi.org/"), F.lit("http://dx.doi.org/"), F.lit("")), (F.col("doc_id") % 3).cast("int"))
-    return _docs(spark, sf_dir).select("doc_id", dashboard.doi_label(F.concat(heads, F.lit("10.1/"), F.col("doc_id").cast("string"))).alias("label"))
+    return _docs(spark, sf_dir).select(
+        "doc_id", dashboard.doi_label(F.concat(heads, F.lit("10.1/"), F.col("doc_id").cast("string"))).alias("label")
+    )
 
 
 @_query(f"""WITH c AS (SELECT field_name, {FOUR.replace('{}', '')} FROM {V} GROUP BY field_name) SELECT field_name, concat('  ', field_name, ': ', concat_ws(', ', CASE WHEN match > 0 THEN concat('match=', match) END,
@@ -212,7 +244,9 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@_query("""SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, concat('AIM-', doc_id) AS paper_id, CASE WHEN doc_id % 3 > 0 THEN concat('10.1/', doc_id) END AS doi, trim(text, ' ' || chr(9) || chr(10)) AS title FROM documents WHERE doc_id % 9 <> 4""")
+@_query(
+    """SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, concat('AIM-', doc_id) AS paper_id, CASE WHEN doc_id % 3 > 0 THEN concat('10.1/', doc_id) END AS doi, trim(text, ' ' || chr(9) || chr(10)) AS title FROM documents WHERE doc_id % 9 <> 4"""
+)
 def registry_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registry written as CSV, titles of many lines and quotes included, and read again; rows without an ID are left out."""
     doc = F.col("doc_id").cast("string")
@@ -233,7 +267,16 @@ def registry_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flat_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "flat")
     tables.write_flat(_flat(spark, sf_dir), path)
-    return tables.read_flat(spark, path).select("paper_id", "modality", "row_index", "row_label", "figure_ref", "source_quote", records.detail("fields").alias("detail"), "summary_paragraph")
+    return tables.read_flat(spark, path).select(
+        "paper_id",
+        "modality",
+        "row_index",
+        "row_label",
+        "figure_ref",
+        "source_quote",
+        records.detail("fields").alias("detail"),
+        "summary_paragraph"
+    )
 
 
 @_query(f"SELECT paper_id, modality, field_name, verdict, confidence, explanation, evidence_quote FROM {V}")
@@ -253,24 +296,39 @@ def manifest_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 FETCHED = "paper_id string, doi string, pmid string, pmcid string, text_source string, status string, fetched_at string, error string"
 
 
-@_query(f"WITH c AS ({CACHE}) SELECT paper_id, '10.1/x' AS doi, '' AS pmid, 'PMC1' AS pmcid, text_source, CASE WHEN text = '' THEN 'failed' ELSE 'ok' END AS status, '2026-01-01T00:00:00' AS fetched_at, CASE WHEN text = '' THEN concat('a \"quoted\", broken', chr(10), 'reason') ELSE '' END AS error FROM c")
+@_query(
+    f"WITH c AS ({CACHE}) SELECT paper_id, '10.1/x' AS doi, '' AS pmid, 'PMC1' AS pmcid, text_source, CASE WHEN text = '' THEN 'failed' ELSE 'ok' END AS status, '2026-01-01T00:00:00' AS fetched_at, CASE WHEN text = '' THEN concat('a \"quoted\", broken', chr(10), 'reason') ELSE '' END AS error FROM c"
+)
 def fetch_manifest_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.col("text") == ""
     none = F.lit(None).cast("string")
-    rows = _cache(spark, sf_dir).select("paper_id", F.lit("10.1/x").alias("doi"), none.alias("pmid"), F.lit("PMC1").alias("pmcid"), "text_source", F.when(failed, "failed").otherwise("ok").alias("status"), F.lit("2026-01-01T00:00:00").alias("fetched_at"), F.when(failed, 'a "quoted", broken\nreason').alias("error"))
+    rows = _cache(spark, sf_dir).select(
+        "paper_id",
+        F.lit("10.1/x").alias("doi"),
+        none.alias("pmid"),
+        F.lit("PMC1").alias("pmcid"),
+        "text_source",
+        F.when(failed, "failed").otherwise("ok").alias("status"),
+        F.lit("2026-01-01T00:00:00").alias("fetched_at"),
+        F.when(failed, 'a "quoted", broken\nreason').alias("error")
+    )
     path = _folder(spark, "fetched")
     tables.write_fetch_manifest(rows, path)
     return tables.read_table(spark, path, FETCHED)
 
 
-@_query(f"WITH {SIDE} SELECT paper_id, title, modality, field_name, row_label, recorded_value, found_value AS reextracted_value, source_quote, figure_ref FROM rows")
+@_query(
+    f"WITH {SIDE} SELECT paper_id, title, modality, field_name, row_label, recorded_value, found_value AS reextracted_value, source_quote, figure_ref FROM rows"
+)
 def side_by_side_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "side")
     tables.write_side_by_side(records.side_by_side(_registry(spark, sf_dir), _flat(spark, sf_dir)), path)
     return tables.read_csv(spark, path)
 
 
-@_query("SELECT concat('item-', item_id) AS key, text, CAST(length(text) AS INTEGER) AS n_chars, false AS malformed FROM benchmark UNION ALL SELECT 'odd', NULL, -1, true")
+@_query(
+    "SELECT concat('item-', item_id) AS key, text, CAST(length(text) AS INTEGER) AS n_chars, false AS malformed FROM benchmark UNION ALL SELECT 'odd', NULL, -1, true"
+)
 def json_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indented JSON files, one for each key, and one that is no JSON."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -280,14 +338,23 @@ def json_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.range(1).select(F.lit("odd.json").alias("name"), F.lit("{not json").alias("body"))
     tables.write_files(odd, path, "name", "body")
     back = tables.read_json_by_key(spark, path, "text string, n_chars int")
-    return back.select("key", "value.text", F.coalesce("value.n_chars", F.lit(-1)).alias("n_chars"), F.col("value.text").isNull().alias("malformed"))
+    return back.select(
+        "key", "value.text", F.coalesce("value.n_chars", F.lit(-1)).alias("n_chars"), F.col("value.text").isNull().alias("malformed")
+    )
 
 
-@_query(r"""SELECT concat('item ', item_id) AS stem, CASE item_id % 3 WHEN 0 THEN 'md' ELSE 'txt' END AS suffix, CASE WHEN item_id % 5 = 0 THEN '' ELSE concat(text, chr(10), 'é', chr(10)) END AS text FROM benchmark""")
+@_query(
+    r"""SELECT concat('item ', item_id) AS stem, CASE item_id % 3 WHEN 0 THEN 'md' ELSE 'txt' END AS suffix, CASE WHEN item_id % 5 = 0 THEN '' ELSE concat(text, chr(10), 'é', chr(10)) END AS text FROM benchmark"""
+)
 def loaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text files in folders, some without any content, beside a readme and a file of another kind."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("id", F.col("item_id").cast("string"))
-    name = F.concat(F.when(F.col("item_id") % 2 == 0, "sub folder/").otherwise(""), F.lit("item "), "id", F.when(F.col("item_id") % 3 == 0, ".MD").otherwise(".txt"))
+    name = F.concat(
+        F.when(F.col("item_id") % 2 == 0, "sub folder/").otherwise(""),
+        F.lit("item "),
+        "id",
+        F.when(F.col("item_id") % 3 == 0, ".MD").otherwise(".txt")
+    )
     body = F.when(F.col("item_id") % 5 == 0, "").otherwise(F.concat("text", F.lit("\r\né\r")))
     path = _folder(spark, "articles")
     tables.write_files(items.select(name.alias("name"), body.alias("body")), path, "name", "body")
@@ -299,14 +366,20 @@ def loaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH {MANIFEST} SELECT file, row_number() OVER (PARTITION BY status ORDER BY string_split(file, '/')) AS place FROM claims""")
 def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by the parts of their paths."""
-    return _manifest(spark, sf_dir).select("file", F.row_number().over(Window.partitionBy("status").orderBy(F.split("file", "/"))).cast("long").alias("place"))
+    return _manifest(spark, sf_dir).select(
+        "file", F.row_number().over(Window.partitionBy("status").orderBy(F.split("file", "/"))).cast("long").alias("place")
+    )
 
 
-@_query("SELECT modality, concat('Ask about ', modality, '.') AS prompt FROM (VALUES ('anatomical'), ('photometry'), ('ephys'), ('functional')) AS m(modality)")
+@_query(
+    "SELECT modality, concat('Ask about ', modality, '.') AS prompt FROM (VALUES ('anatomical'), ('photometry'), ('ephys'), ('functional')) AS m(modality)"
+)
 def prompts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts by modality, without the white space around; files of other names are left out."""
     named = spark.createDataFrame([(m,) for m in [*records.MODALITIES, "else"]], "modality string")
     path = _folder(spark, "prompts")
-    rows = named.select(F.concat("modality", F.lit(".txt")).alias("name"), F.concat(F.lit("\n Ask about "), "modality", F.lit(".\n\n")).alias("body"))
+    rows = named.select(
+        F.concat("modality", F.lit(".txt")).alias("name"), F.concat(F.lit("\n Ask about "), "modality", F.lit(".\n\n")).alias("body")
+    )
     tables.write_files(rows, path, "name", "body")
     return tables.read_prompts(spark, path)

@@ -60,5 +60,8 @@ class StageRunner:
 
 def status_counts(cache: DataFrame, raw: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row: cached texts, extraction results and verdict results so far."""
-    counts = [t.agg(F.count(F.lit(1)).alias(n)) for t, n in ((cache.where("coalesce(text, '') <> ''"), "cached"), (raw, "extracted"), (verdicts, "verified"))]
+    counts = [
+        t.agg(F.count(F.lit(1)).alias(n)) for t,
+        n in ((cache.where("coalesce(text, '') <> ''"), "cached"), (raw, "extracted"), (verdicts, "verified"))
+    ]
     return counts[0].join(counts[1]).join(counts[2])

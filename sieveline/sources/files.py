@@ -32,7 +32,9 @@ def _contents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _described(paths: DataFrame, skip_readme: bool) -> DataFrame:
-    named = paths.withColumns({"suffix": F.lower(F.regexp_extract(_name(), r"\.([^.]+)$", 1)), "stem": F.regexp_replace(_name(), r"(?<=.)\.[^.]+$", "")})
+    named = paths.withColumns(
+        {"suffix": F.lower(F.regexp_extract(_name(), r"\.([^.]+)$", 1)), "stem": F.regexp_replace(_name(), r"(?<=.)\.[^.]+$", "")}
+    )
     return named.where(F.lower("stem") != "readme") if skip_readme else named
 
 

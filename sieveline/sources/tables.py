@@ -31,7 +31,9 @@ def as_registry(wide: DataFrame) -> DataFrame:
     """
     text = lambda name: F.col(f"`{name}`") if name in wide.columns else F.lit("")
     keyed = wide.withColumn("ord", F.monotonically_increasing_id())
-    named = keyed.withColumns({"paper_id": strip(text(ID_COLUMN)), "doi_key": normal_doi(text(DOI_COLUMN)), "title_key": strip(text(TITLE_COLUMN))}).where("paper_id <> ''")
+    named = keyed.withColumns(
+        {"paper_id": strip(text(ID_COLUMN)), "doi_key": normal_doi(text(DOI_COLUMN)), "title_key": strip(text(TITLE_COLUMN))}
+    ).where("paper_id <> ''")
     own = [F.col(f"`{c}`") for c in wide.columns if c not in ("ord", "paper_id")]
     return named.select("ord", "paper_id", "doi_key", "title_key", *own)
 
@@ -60,7 +62,9 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_flat(spark: SparkSession, path: str) -> DataFrame:
     """Flattened extractions, their fields as a map again."""
     rows = read_table(spark, path, FLAT)
-    return rows.withColumn("fields", F.coalesce(F.from_json("fields_json", "map<string,string>"), F.create_map().cast("map<string,string>"))).drop("fields_json")
+    return rows.withColumn(
+        "fields", F.coalesce(F.from_json("fields_json", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    ).drop("fields_json")
 
 
 def read_json_by_key(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -71,7 +75,9 @@ def read_json_by_key(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """modality and prompt: a text file for each modality, without white space around."""
-    rows = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("modality"), strip("value").alias("prompt"))
+    rows = spark.read.text(path, wholetext=True).select(
+        F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("modality"), strip("value").alias("prompt")
+    )
     return rows.where(F.col("modality").isin(*records.MODALITIES))
 
 
@@ -82,16 +88,37 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
 
 
 def write_flat(flat: DataFrame, path: str) -> None:
-    write_csv(flat.select("paper_id", "modality", "row_index", "row_label", "figure_ref", "source_quote", F.to_json("fields").alias("fields_json"), "summary_paragraph").orderBy("paper_id", "modality", "row_index"), path, True)
+    write_csv(
+        flat.select(
+            "paper_id",
+            "modality",
+            "row_index",
+            "row_label",
+            "figure_ref",
+            "source_quote",
+            F.to_json("fields").alias("fields_json"),
+            "summary_paragraph"
+        ).orderBy("paper_id", "modality", "row_index"),
+        path,
+        True
+    )
 
 
 def write_verdicts(verdicts: DataFrame, path: str) -> None:
-    write_csv(records.triaged(verdicts, "paper_id", "modality", "field_name").select("paper_id", "modality", "field_name", "verdict", "confidence", "explanation", "evidence_quote"), path, True)
+    write_csv(
+        records.triaged(verdicts, "paper_id", "modality", "field_name").select(
+            "paper_id", "modality", "field_name", "verdict", "confidence", "explanation", "evidence_quote"
+        ),
+        path,
+        True
+    )
 
 
 def write_fetch_manifest(cache: DataFrame, path: str) -> None:
     """How each paper's text was fetched: all but the text."""
-    write_csv(cache.select("paper_id", "doi", "pmid", "pmcid", "text_source", "status", "fetched_at", "error").orderBy("paper_id"), path, True)
+    write_csv(
+        cache.select("paper_id", "doi", "pmid", "pmcid", "text_source", "status", "fetched_at", "error").orderBy("paper_id"), path, True
+    )
 
 
 def write_scrape_manifest(manifest: DataFrame, path: str) -> None:
@@ -102,7 +129,21 @@ def write_scrape_manifest(manifest: DataFrame, path: str) -> None:
 def write_side_by_side(rows: DataFrame, path: str) -> None:
     """Recorded beside found values, in the registry's order."""
     ordered = rows.orderBy("ord", "mod_ord", "field_ord", "kind", "row_index")
-    write_csv(ordered.select("paper_id", "title", "modality", "field_name", "row_label", "recorded_value", F.col("found_value").alias("reextracted_value"), "source_quote", "figure_ref"), path, True)
+    write_csv(
+        ordered.select(
+            "paper_id",
+            "title",
+            "modality",
+            "field_name",
+            "row_label",
+            "recorded_value",
+            F.col("found_value").alias("reextracted_value"),
+            "source_quote",
+            "figure_ref"
+        ),
+        path,
+        True
+    )
 
 
 def indented_json(*columns: Column | str) -> Column:
@@ -134,4 +175,6 @@ def write_articles(articles: DataFrame, folder: str) -> int:
     """An indented JSON file for each article, named by its file's stem; of two with one stem the later path wins."""
     stem = F.regexp_replace(F.element_at(F.split("source_file", "/"), -1), r"(?<=.)\.[^.]+$", "")
     shaped = articles.withColumn("sections", F.map_from_entries("sections")).orderBy(F.split("source_file", "/"))
-    return write_files(shaped.select(F.concat(stem, F.lit(".json")).alias("name"), indented_json("*").alias("body")), folder, "name", "body")
+    return write_files(
+        shaped.select(F.concat(stem, F.lit(".json")).alias("name"), indented_json("*").alias("body")), folder, "name", "body"
+    )

@@ -64,7 +64,9 @@ def test_invented_article(spark):
 
 def test_without_headers(spark):
     got = one(spark, "A title that is long enough\nAda & Bob\n\nAbstract: This is it.\nKeywords: a\nIntroduction here")
-    assert (got.title, got.authors, got.abstract, got.sections, got.references) == ("A title that is long enough", ["Ada", "Bob"], "This is it.", [], [])
+    assert (got.title, got.authors, got.abstract, got.sections, got.references) == (
+        "A title that is long enough", ["Ada", "Bob"], "This is it.", [], []
+    )
     empty = one(spark, None)
     assert (empty.title, empty.doi, empty.publication_year, empty.keywords, empty.word_count) == (None, None, None, [], 0)
 
@@ -92,7 +94,14 @@ def test_text_rules_equal_python(spark):
 
 
 def test_doi_forms(spark):
-    rows = [("https://doi.org/10.1/X ", "10.1/X"), ("HTTP://DX.doi.org/10.1/x/", "10.1/x"), (" ", None), (None, None), ("/ /", None), ("10.1/y", "10.1/y")]
+    rows = [
+        ("https://doi.org/10.1/X ", "10.1/X"),
+        ("HTTP://DX.doi.org/10.1/x/", "10.1/x"),
+        (" ", None),
+        (None, None),
+        ("/ /", None),
+        ("10.1/y", "10.1/y")
+    ]
     got = spark.createDataFrame(rows, "t string, want string").select(normal_doi("t").alias("d"), "want").collect()
     assert all(r.d == r.want for r in got)
 
@@ -100,7 +109,26 @@ def test_doi_forms(spark):
 def test_parser_equals_python_on_random_documents(spark):
     """Sections, title and journal against a plain restatement of the rules."""
     rnd = random.Random(11)
-    pool = ["Abstract", "1. Introduction", "iv. results", "RESULTS:", "references", "The journal of x", "An ordinary line of text", "SHOUTED WORDS HERE", "x@y.zz is a mail", "doi: 10.1234/abc", "", "  ", "short", "2. Methods and more", "Conclusions and future work", "© 2001 someone", "University of A, and B", "Ann A, Bob B"]
+    pool = [
+        "Abstract",
+        "1. Introduction",
+        "iv. results",
+        "RESULTS:",
+        "references",
+        "The journal of x",
+        "An ordinary line of text",
+        "SHOUTED WORDS HERE",
+        "x@y.zz is a mail",
+        "doi: 10.1234/abc",
+        "",
+        "  ",
+        "short",
+        "2. Methods and more",
+        "Conclusions and future work",
+        "© 2001 someone",
+        "University of A, and B",
+        "Ann A, Bob B"
+    ]
     texts = [rnd.choice(["\n", "\r\n"]).join(rnd.choice(pool) for _ in range(rnd.randrange(14))) for _ in range(300)]
     aliases = __import__("sieveline.operators.article", fromlist=["SECTION_ALIASES"]).SECTION_ALIASES
 
@@ -116,7 +144,14 @@ def test_parser_equals_python_on_random_documents(spark):
             body = "\n".join(ls[i + 1 : heads[k + 1][0] if k + 1 < len(heads) else len(ls)]).strip()
             bodies[name] = f"{bodies[name]}\n{body}".strip() if name in bodies else body
         front = [x.strip() for x in ls[: heads[0][0] if heads else 40] if x.strip()]
-        title = next((x for x in front if not (re.search(r"@y|10\.1234", x) or x.lower().startswith(("doi", "©")) or "journal" in x.lower()) and 15 <= len(x) and not (x.isupper() and len(x.split()) <= 3)), None)
+        title = next(
+            (
+                x for x in front if not (
+                    re.search(r"@y|10\.1234", x) or x.lower().startswith(("doi", "©")) or "journal" in x.lower()
+                ) and 15 <= len(x) and not (x.isupper() and len(x.split()) <= 3)
+            ),
+            None
+        )
         return title, {k: v for k, v in bodies.items() if k != "references" and k != "abstract"}
 
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "source_file string, text string")

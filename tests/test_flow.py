@@ -21,7 +21,9 @@ def test_audit_end_to_end(spark, tmp_path):
     (papers / "copy.txt").write_text("doi 10.1234/one more on cats")
     (papers / "other.txt").write_text("zz")
     (papers / "README.md").write_text("no")
-    (tmp_path / "r.csv").write_text('"Reference ID","DOI","Title","Photometry Data"\n"AIM-1","10.1234/one","Quite another title","flat"\n"AIM-2","","Second",""\n')
+    (tmp_path / "r.csv").write_text(
+        '"Reference ID","DOI","Title","Photometry Data"\n"AIM-1","10.1234/one","Quite another title","flat"\n"AIM-2","","Second",""\n'
+    )
     reg = tables.read_registry(spark, str(tmp_path / "r.csv"))
     manifest, cache = audit.scrape(spark, f"file://{papers}", reg)
     state = {r.file.rsplit("/", 1)[1]: r.status for r in manifest.collect()}
@@ -30,7 +32,9 @@ def test_audit_end_to_end(spark, tmp_path):
     assert [(r.paper_id, r.text_source) for r in work.collect()] == [("AIM-1", "local_txt")]
     none = spark.createDataFrame([], "paper_id string, modality string")
     prompts = spark.createDataFrame([("photometry", "look")], "modality string, prompt string")
-    model = providers.recorded_model({"recorded_values": json.dumps(VERDICT), "cats": json.dumps({"rows": [], "summary_paragraph": "seen"})})
+    model = providers.recorded_model(
+        {"recorded_values": json.dumps(VERDICT), "cats": json.dumps({"rows": [], "summary_paragraph": "seen"})}
+    )
     flat = records.flatten_extractions(audit.reextract(work, none, prompts, model))
     assert flat.first().summary_paragraph == "seen" and audit.reextract(work, work, prompts, model).count() == 0
     verdicts = records.flatten_verdicts(audit.verify(work, none, reg, flat, model))
