@@ -1,4 +1,8 @@
-"""Articles to structured records: ``python -m sieveline.cli input [-o out] [--summary-csv file]``."""
+"""Articles to structured records, and the stages of the audit.
+
+``python -m sieveline.cli input [-o out] [--summary-csv folder]`` parses one article (JSON to a file or to the screen)
+or a folder of them (a JSON file for each, named by its stem).
+"""
 
 from __future__ import annotations
 
@@ -15,8 +19,8 @@ from .sources import files, tables
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("input", help="an article or a folder of articles (PDF, TXT, MD)")
-    parser.add_argument("-o", "--output", help="folder for JSON records; without it they are printed")
-    parser.add_argument("--summary-csv", help="folder for the summary table")
+    parser.add_argument("-o", "--output", help="file for one article's JSON (printed without it), folder for those of a folder")
+    parser.add_argument("--summary-csv", help="folder for the summary table of a folder's articles")
     given = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     try:
@@ -26,13 +30,19 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     readable = texts.where("text IS NOT NULL").orderBy(F.split("file", "/"))
     articles = parse_articles(readable, source_file="file")
-    if given.output:
-        articles.withColumn("sections", F.map_from_entries("sections")).write.mode("overwrite").json(given.output)
+    if tables.is_folder(spark, given.input):
+        n = tables.write_articles(articles, given.output or "extracted")
+        print(f"{n} articles written to {given.output or 'extracted'}")
+        if given.summary_csv:
+            tables.write_csv(summary_rows(articles), given.summary_csv, True)
     else:
-        for row in articles.withColumn("sections", F.map_from_entries("sections")).select(F.to_json(F.struct("*"))).toLocalIterator():
-            print(row[0])
-    if given.summary_csv:
-        tables.write_csv(summary_rows(articles), given.summary_csv, True)
+        shaped = articles.withColumn("sections", F.map_from_entries("sections")).select(tables.indented_json("*").alias("body"))
+        if given.output:
+            folder, _, name = given.output.rpartition("/")
+            tables.write_files(shaped.withColumn("name", F.lit(name)), folder or ".", "name", "body")
+        else:
+            for row in shaped.collect():  # one article
+                print(row.body)
     failed = [r.file for r in texts.where("text IS NULL").select("file").toLocalIterator()]
     for file in failed:
         print(f"error: no text in {file}", file=sys.stderr)

@@ -2,11 +2,16 @@
 
 import json
 import threading
+import time
+import urllib.error
+import urllib.request
+
+import pytest
 
 import __spark_entry__
 from sieveline import cli
 from sieveline.operators import records
-from sieveline.plans import audit, catalog
+from sieveline.plans import audit, catalog, web
 from sieveline.plans.runner import StageRunner, status_counts
 from sieveline.sources import providers, tables
 from sieveline.streaming import ingest
@@ -52,12 +57,51 @@ def test_stream(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    (tmp_path / "a.txt").write_text("A title that is long enough\nAnn A, Bob B\n")
-    assert cli.main([f"file://{tmp_path}/a.txt", "--summary-csv", str(tmp_path / "s")]) == 0
-    assert json.loads(capsys.readouterr().out.splitlines()[-1])["authors"] == ["Ann A", "Bob B"]
+    folder = tmp_path / "in"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "a.txt").write_text("A title that is long enough\nAnn A, Bob B\n")
+    (folder / "sub" / "b.md").write_text("Another title, long enough too\n")
+    assert cli.main([f"file://{folder}/a.txt"]) == 0
+    shown = capsys.readouterr().out
+    assert json.loads(shown)["authors"] == ["Ann A", "Bob B"] and "\n  " in shown
+    assert cli.main([f"file://{folder}/a.txt", "-o", f"file://{tmp_path}/one.json"]) == 0
+    assert json.loads((tmp_path / "one.json").read_text())["title"] == "A title that is long enough"
+    assert cli.main([f"file://{folder}", "-o", f"file://{tmp_path}/out", "--summary-csv", f"file://{tmp_path}/s"]) == 0
+    assert {p.name for p in (tmp_path / "out").glob("*.json")} == {"a.json", "b.json"}
+    assert [r.authors for r in tables.read_csv(spark, f"file://{tmp_path}/s").orderBy("source_file").collect()] == ["Ann A; Bob B", ""]
+    (folder / "c.pdf").write_bytes(b"no pdf")
+    assert cli.main([f"file://{folder}", "-o", f"file://{tmp_path}/out"]) == 1 and "c.pdf" in capsys.readouterr().err
     assert cli.main([f"file://{tmp_path}/none"]) == 1
 
 
+def test_front_end(spark):
+    gate, seen = threading.Event(), []
+    runner = StageRunner(spark)
+    stages = {"scrape": lambda limit: seen.append(limit) or gate.wait(20), "verify": lambda limit: 1}
+    front = web.FrontEnd(runner, {"/": lambda: "<h1>é</h1>"}, lambda: {"cached": 3}, stages)
+    serving = web.server(front)
+    threading.Thread(target=serving.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{serving.server_port}"
+    try:
+        with urllib.request.urlopen(f"{at}/?x=1") as answer:
+            assert answer.read().decode() == "<h1>é</h1>" and "html" in answer.headers["Content-Type"]
+        post = lambda name: json.load(urllib.request.urlopen(f"{at}/api/run/{name}", data=b"limit=5"))
+        assert post("scrape") == {"started": True} and post("verify") == {"started": False}
+        while not seen:  # the stage starts in a thread of its own
+            time.sleep(0.01)
+        status = json.load(urllib.request.urlopen(f"{at}/api/status"))
+        assert status["running"] == "scrape" and status["cached"] == 3 and "scrape: started" in status["log"][0]
+        gate.set()
+        runner.wait()
+        assert seen == [5] and post("verify") == {"started": True}
+        for path in ("/none", "/api/run/none"):
+            with pytest.raises(urllib.error.HTTPError):
+                urllib.request.urlopen(f"{at}{path}", data=b"" if "run" in path else None)
+    finally:
+        serving.shutdown()
+        serving.server_close()
+
+
 def test_entry_and_names(spark):
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(found) and set(catalog.queries()) <= set(found)
