@@ -1,0 +1,149 @@
+"""Registered queries of outside services, here recorded ones, and of sinks that write texts, with DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import article
+from ..sources import providers, tables
+from . import audit
+from .catalog import FOUR, POINTS, V, WEIGHTS, _docs, _query, _registry
+from .catalog_stages import _folder
+from .inputs import ARTICLES, VERDICTS, article_part, derived
+
+
+class _Reply:
+    def __init__(self, data: dict | None = None, text: str = "") -> None:
+        self.data, self.text = data, text
+
+    def raise_for_status(self) -> None:
+        pass
+
+    def json(self) -> dict | None:
+        return self.data
+
+
+class _Library:
+    """A lookup service that knows a paper by the number at its DOI's end."""
+
+    def get(self, url: str, params: dict, timeout: int) -> _Reply:
+        if url == providers.ID_SERVICE:
+            n = int(params["ids"].rsplit("/", 1)[1])
+            if n % 5 == 4:
+                raise ConnectionError("down")
+            found = {0: {"status": "error"}, 3: {"pmid": str(n)}}.get(n % 5, {"pmid": str(n), "pmcid": f"PMC{n}"})
+            return _Reply({"records": [found]})
+        if url.endswith("esearch.fcgi"):
+            n = int(params["term"].removesuffix("[DOI]").rsplit("/", 1)[1])
+            return _Reply({"esearchresult": {"idlist": [] if n % 10 == 0 else [str(n)]}})
+        n = int(params["id"])
+        if params["db"] == "pubmed":
+            return _Reply(text=f" abstract of {n}\n")
+        body = "word " * (250 if n % 5 == 1 else 20)
+        return _Reply(text=f"<article><body><title>Paper {n}</title><p>{body}</p></body></article>")
+
+
+@_query(
+    """WITH d AS (SELECT doc_id AS n, doc_id % 7 = 6 AS without FROM documents),
+t AS (SELECT *, CASE WHEN n % 5 = 1 THEN concat('## Paper ', n, chr(10), rtrim(repeat('word ', 250), ' '))
+  WHEN n % 5 = 4 OR n % 10 = 0 THEN NULL ELSE concat('abstract of ', n) END AS text FROM d)
+SELECT concat('ST-', n) AS paper_id,
+ CASE WHEN without OR n % 5 = 4 OR n % 10 = 0 THEN '' ELSE CAST(n AS VARCHAR) END AS pmid,
+ CASE WHEN NOT without AND n % 5 IN (1, 2) THEN concat('PMC', n) ELSE '' END AS pmcid,
+ CASE WHEN without OR text IS NULL THEN '' WHEN n % 5 = 1 THEN 'pmc_fulltext' ELSE 'pubmed_abstract' END AS text_source,
+ CASE WHEN without THEN 'no_doi' WHEN n % 5 = 4 THEN 'failed' WHEN text IS NULL THEN 'unavailable' ELSE 'ok' END AS status,
+ CASE WHEN NOT without AND n % 5 = 4 THEN 'down' ELSE '' END AS error,
+ CASE WHEN without THEN md5('') ELSE md5(coalesce(text, '')) END AS digest FROM t"""
+)
+def fetched_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fetch cascade: full text, else abstract, else nothing; a lost connection is the paper's own failure."""
+    n = F.col("doc_id").cast("string")
+    doi = F.when(F.col("doc_id") % 7 != 6, F.concat(F.lit("10.1/"), n))
+    papers = _docs(spark, sf_dir).select(F.concat(F.lit("ST-"), n).alias("paper_id"), doi.alias("doi"))
+    rows = providers.fetch_texts(papers, lambda: providers.Literature(_Library(), interval=0.0), 4)
+    shown = [F.coalesce(c, F.lit("")).alias(c) for c in ("pmid", "pmcid", "text_source", "status", "error")]
+    return rows.select("paper_id", *shown, F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+class _Busy(providers.Overloaded):
+    pass
+
+
+class _Client:
+    """A model's client that is busy as often as the message says, then fills in the form."""
+
+    def __init__(self) -> None:
+        self.messages, self.asked = self, {}
+
+    def create(self, **request):
+        message, name = request["messages"][0]["content"], request["tool_choice"]["name"]
+        self.asked[message] = self.asked.get(message, 0) + 1
+        if self.asked[message] <= int(message.split(" ")[0]):
+            raise _Busy("busy")
+        given = {"rows": [], "summary_paragraph": f"{self.asked[message]} {name} {request['max_tokens']} {message}"}
+        form = {"type": "tool_use", "name": name, "input": given}
+        return type("Reply", (), {"content": [] if message.endswith("odd") else [{"type": "text"}, form]})
+
+
+@_query(
+    """SELECT CAST(item_id AS VARCHAR) AS paper_id,
+ CASE WHEN item_id % 7 < 5 AND item_id % 4 > 0 THEN concat(item_id % 7 + 1, ' record_extraction 8000 ', item_id % 7, ' item ', item_id) END AS summary,
+ CASE WHEN item_id % 7 >= 5 THEN 'no answer after 5 attempts: busy' WHEN item_id % 4 = 0 THEN 'the reply has no record_extraction form' ELSE '' END AS error
+FROM benchmark"""
+)
+def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured calls: retries, the forced form, replies without it, and errors that stay in their rows."""
+    item = F.col("item_id").cast("string")
+    odd = F.when(F.col("item_id") % 4 == 0, " odd").otherwise("")
+    message = F.concat((F.col("item_id") % 7).cast("string"), F.lit(" item "), item, odd)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    messages = items.select(item.alias("paper_id"), F.lit("ephys").alias("modality"), message.alias("message"))
+    model = providers.client_model(_Client, providers.EXTRACTION, "any")
+    got = providers.answers(messages, model, lambda seconds: None, providers.EXTRACTION)
+    summary = F.get_json_object("json", "$.summary_paragraph").alias("summary")
+    return got.select("paper_id", summary, F.coalesce("error", F.lit("")).alias("error"))
+
+
+@_query(
+    f"SELECT CAST(doc_id AS VARCHAR) AS stem, {article_part('title')} AS title, coalesce({article_part('doi')}, '') AS doi, "
+    f"{article_part('results')} AS results FROM documents"
+)
+def article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An indented JSON file for each article, read again."""
+    path = _folder(spark, "records")
+    parsed = article.parse_articles(derived(spark, sf_dir, ARTICLES), source_file="doc_id")
+    tables.write_articles(parsed.withColumn("source_file", F.concat(F.lit("in/"), F.col("source_file").cast("string"), F.lit(".txt"))), path)
+    back = tables.read_json_by_key(spark, path, "title string, doi string, sections map<string,string>")
+    doi = F.coalesce("value.doi", F.lit("")).alias("doi")
+    return back.select(F.col("key").alias("stem"), "value.title", doi, F.col("value.sections")["results"].alias("results"))
+
+
+_SUMMARY = ", ".join(
+    [f"{article_part('title')} AS title", f"{article_part('authors', '; ')} AS authors"]
+    + [f"coalesce({article_part(c)}, '') AS {c}" for c in ("doi", "journal", "publication_year")]
+)
+
+
+@_query(f"SELECT CAST(doc_id AS VARCHAR) AS source_file, {_SUMMARY} FROM documents")
+def summary_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "summary")
+    parsed = article.parse_articles(derived(spark, sf_dir, ARTICLES), source_file="doc_id")
+    tables.write_csv(article.summary_rows(parsed), path, True)
+    return tables.read_csv(spark, path).drop("word_count")
+
+
+@_query(
+    f"""WITH s AS (SELECT *, CAST({POINTS} AS DECIMAL(4,2)) AS p, CAST({WEIGHTS} AS DECIMAL(4,2)) AS w FROM {V}),
+a AS (SELECT count(*) AS n, count(*) FILTER (p IS NOT NULL AND w IS NOT NULL) AS scored, count(DISTINCT paper_id) AS papers, {FOUR.replace('{}', '')},
+ CAST(sum(p * w) AS DOUBLE) AS wp, CAST(sum(w) FILTER (p IS NOT NULL) AS DOUBLE) AS ww FROM s), t AS (SELECT count(*) AS total FROM documents)
+SELECT concat('Reliability score: ', round_even((wp + 2.5::DOUBLE) / (ww + 5.0::DOUBLE) * 10, 1), '/10  (raw, unshrunk: ', round_even(wp / ww * 10, 1), '/10)', chr(10),
+ 'Based on ', scored, ' scored field-verdicts across ', papers, '/', total, ' papers audited (', n, ' total verdicts including unverifiable).', chr(10),
+ CASE WHEN papers < total * 0.2 THEN concat('CAUTION: only ', papers, '/', total, ' papers have been audited so far - this score is a provisional estimate, ',
+  'not a corpus-wide reliability figure. It will change, possibly a lot, as more papers are audited.', chr(10)) ELSE '' END, chr(10),
+ 'Verdict breakdown: match=', match, ', partial=', partial, ', mismatch=', mismatch, ', unverifiable=', unverifiable) AS head FROM a, t"""
+)
+def report_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text report down to the breakdown by field."""
+    text = audit.reliability_report(derived(spark, sf_dir, VERDICTS), _registry(spark, sf_dir))
+    return spark.createDataFrame([(text.split("\n\nBy field:")[0],)], "head string")

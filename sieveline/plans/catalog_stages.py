@@ -109,7 +109,7 @@ def reextraction_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("paper_id", "modality", "json", F.coalesce("error", F.lit("")).alias("error"))
 
 
-@_query(f"""WITH {MANIFEST} SELECT file AS source_file, paper_id, coalesce(r.doi, '') AS doi, CASE WHEN file LIKE '%.pdf' THEN 'local_pdf' ELSE 'local_txt' END AS text_source, 'ok' AS status, match_method, CAST(confidence AS DOUBLE) AS match_confidence, md5(text) AS digest
+@_query(f"""WITH {MANIFEST} SELECT file AS source_file, paper_id, coalesce(r.doi, '') AS doi, CASE WHEN file LIKE '%.pdf' THEN 'local_pdf' ELSE 'local_txt' END AS text_source, 'ok' AS status, match_method, CAST(confidence AS DOUBLE) AS match_confidence, md5(text) AS digest, true AS stamped
  FROM claims JOIN f USING (file) LEFT JOIN r USING (paper_id) WHERE status = 'matched'""")
 def local_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cache rows of files that were matched."""
@@ -125,7 +125,8 @@ def local_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         "status",
         "match_method",
         F.col("match_confidence").cast("double").alias("match_confidence"),
-        F.md5("text").alias("digest")
+        F.md5("text").alias("digest"),
+        F.rlike("fetched_at", F.lit(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}(Z|[+-]\d\d:\d\d)$")).alias("stamped"),
     )
 
 
