@@ -29,6 +29,8 @@ from .crf import Features, fit, marginals
 
 TABLE = 1 << 17
 NO_LANGUAGE = "und"
+#: Rows (doc_id, lang) of a sample that are sent to all tasks at most; beyond that the join is dealt out.
+MOST_SENT = 1 << 18
 #: A word is in a language's lexicon if so many texts have it and so great a share of them are in that language.
 LEXICON_TEXTS, LEXICON_SHARE = 3, 0.9
 LETTER = np.zeros(256, bool)
@@ -184,7 +186,11 @@ def learn(documents: DataFrame, per_language: int = 150, rounds: int = 15) -> Mo
     )
     usable = named.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     picked = least_drawn(usable.select("doc_id", "lang"), "lang", per_language, "doc_id")
-    sample = usable.where("text IS NOT NULL").join(picked, ["doc_id", "lang"], "left_semi").withColumn("draw", F.xxhash64("doc_id"))
+    # per_language rows a language; that these are few enough to be sent to all tasks is checked
+    few = usable.select("lang").distinct().count() * per_language <= MOST_SENT
+    picked = F.broadcast(picked) if few else picked
+    sample = usable.where("text IS NOT NULL").join(picked, ["doc_id", "lang"], "left_semi")
+    sample = sample.withColumn("draw", F.xxhash64("doc_id"))
 
     def fitted(table: pa.Table) -> pa.Table:
         return pa.table({"model": pa.array([pickle.dumps(train(table, rounds))], pa.binary())})

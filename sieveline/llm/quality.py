@@ -187,7 +187,7 @@ def learn(documents: DataFrame, labels: DataFrame, per_class: int = 1000) -> Mod
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out())
     picked = least_drawn(known, "quality", per_class, "doc_id")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = docs.join(picked, "doc_id")
+    sample = docs.join(F.broadcast(picked), "doc_id")  # 2 x per_class rows at most
 
     def fitted(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()

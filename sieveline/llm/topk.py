@@ -271,9 +271,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 64,
     packed = lambda rows, n, size: rows.repartitionByRange(n, "lead", "vec_id").sortWithinPartitions("lead", "vec_id").mapInArrow(_pack(size), PACKED)
     groups = stored(packed(known, n_groups, block).withColumnRenamed("part", "g"), "op9-blocks")
     chunks = stored(packed(asked, n_chunks, chunk), "op9-queries")
-    # a partition's queries are a pack or two: each pack is a chunk
-    numbered = chunks.withColumn("c", (F.row_number().over(Window.orderBy("part", "ids")) - 1).cast("int"))
-    numbered = numbered.select("c", *CELLS, F.expr(f"CAST(repeat(unhex('{np.int64(NONE).tobytes().hex()}'), n) AS BINARY)").alias("beat"))
+    # each pack is a chunk; chunks are numbered by their partitions and first ids alone
+    headed = chunks.withColumn("head", F.substring("ids", 1, 8))
+    number = (F.row_number().over(Window.orderBy("part", "head")) - 1).cast("int")
+    numbers = headed.select("part", "head", number.alias("c"))
+    nothing = F.expr(f"CAST(repeat(unhex('{np.int64(NONE).tobytes().hex()}'), n) AS BINARY)")
+    numbered = headed.join(numbers, ["part", "head"]).select("c", *CELLS, nothing.alias("beat"))
     n_groups = (groups.agg(F.max("g")).first()[0] or 0) + 1
     chunks_at, n_chunks = stored(numbered, "op9-chunks"), max(1, chunks.count())
     dropped(chunks)
