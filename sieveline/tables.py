@@ -14,8 +14,10 @@ _own_folder: list[str] = []
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _scopes: list[list[str]] = []
 
-#: While a table is written: its shuffle files go as soon as it is there, and Arrow batches stay small.
+#: While a table is written: its shuffle files go as soon as it is there, Arrow batches stay small, and small tables
+#: are written in few files.
 WRITING = {
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
