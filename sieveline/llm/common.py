@@ -38,6 +38,10 @@ def keyed(documents: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     )
 
 
+#: Counts by value that are sent to all tasks at most.
+MOST_VALUES = 1 << 16
+
+
 def least_drawn(rows: DataFrame, by: str, most: int, *order: str) -> DataFrame:
     """Of each value of ``by`` the ``most`` rows of least hash of ``order`` (then by order itself).
 
@@ -47,7 +51,9 @@ def least_drawn(rows: DataFrame, by: str, most: int, *order: str) -> DataFrame:
     unit = F.shiftrightunsigned(F.xxhash64(*order), 11) * F.lit(2.0**-53)
     drawn = rows.withColumn("draw", unit)
     counts = drawn.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"))
-    thin = drawn.join(counts, by).where(F.col("draw") * F.col("n_rows") < 4 * most + 64).drop("n_rows")
+    few = counts.count() <= MOST_VALUES  # else the join is dealt out by value
+    thin = drawn.join(F.broadcast(counts) if few else counts, by)
+    thin = thin.where(F.col("draw") * F.col("n_rows") < 4 * most + 64).drop("n_rows")
     place = F.row_number().over(Window.partitionBy(by).orderBy("draw", *order))
     return thin.withColumn("place", place).where(F.col("place") <= most).drop("place", "draw")
 
