@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, sharding, simhash, substring, suffix_dedup, token_counts, topk
+from . import (
+    decontam, langid, line_rules, mixing, prefix_trie, quality, sharding, simhash, substring, suffix_dedup, token_counts, topk, turn_repair
+)
+from .queries_sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +63,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_rules(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f for f in (
@@ -72,7 +87,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op7_mixing,
             op8_substring_dedup,
             op9_exact_top_k,
-            op10_simhash_near_dedup
+            op10_simhash_near_dedup,
+            op11_quality_rules,
+            op12_conversation_prefix_trie,
+            op13_conversation_repair
         )
     }
 
@@ -81,7 +99,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: look at 400 bytes for each byte of the table. tests/llm holds these against brute force.
 def oracle_sql() -> dict[str, str]:
     """Equivalent DuckDB SQL where SQL can express the contract."""
-    return {"op5_benchmark_decontamination": OP5_SQL, "op7_mixing": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_exact_top_k": OP9_SQL}
+    return {
+        "op5_benchmark_decontamination": OP5_SQL,
+        "op7_mixing": OP7_SQL,
+        "op8_substring_dedup": OP8_SQL,
+        "op9_exact_top_k": OP9_SQL,
+        "op11_quality_rules": OP11_SQL,
+        "op12_conversation_prefix_trie": OP12_SQL,
+        "op13_conversation_repair": OP13_SQL
+    }
 
 
 OP9_SQL = """
