@@ -108,7 +108,7 @@ def _prefixes(convs: DataFrame, turns: DataFrame) -> DataFrame:
 def trie(conversations: DataFrame) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of each node; see the module.
 
-    Null roles and texts are empty; turns of one number (or none) stand in order of role and of the text's MD5; rows
+    The remainder of a negative conv_id is negative. Null roles and texts are empty; turns of one number (or none) stand in order of role and of the text's MD5; rows
     that repeat are turns of their own. Rows without a conv_id are left out, as no conversation can be named by them.
     A very long text counts by its code points and travels as its MD5; a conversation of any length is taken in blocks.
     An empty table gives an empty result.

@@ -305,7 +305,7 @@ def repair(conversations: DataFrame) -> DataFrame:
     blank and duplicate ones), I inserts an empty turn; a row that is cut off and stays costs more. Of the cheapest
     edits the least audit is taken. gaps: turn numbers between the least and the greatest that no row has.
 
-    Nulls are one space; rows without a conv_id are one conversation, of a null id. A conversation that lost all rows has zeros
+    Nulls are one space; an empty role has no initial, so its row can't be kept as it is; rows without a conv_id are one conversation, of a null id. A conversation that lost all rows has zeros
     and an empty audit. Rows that repeat are duplicates; very long texts stay in their rows, which pass one by one;
     an empty table gives an empty result.
     """
