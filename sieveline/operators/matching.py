@@ -57,53 +57,81 @@ def _cited(heads: DataFrame, registry: DataFrame) -> DataFrame:
 def by_title(files: DataFrame, registry: DataFrame, threshold: float = THRESHOLD, window: int = TITLE_WINDOW) -> DataFrame:
     """file, paper_id and score: the title of which most words stand near the top of the text, if half of them do.
 
-    Of equal scores the first row of the registry wins. See ``_titled`` for how it is found without a product of
-    files and titles. Files' words are made once and stored, as two joins use them.
+    Of equal scores the first row of the registry wins. See ``TitleIndex`` for how it is found without a product of
+    files and titles. Files' words are made once and stored, as each level uses them.
     """
-    return _titled(stored(files.select("file", head_words("text", window).alias("words")), "title-heads"), registry, threshold)
+    return TitleIndex(stored(files.select("file", head_words("text", window).alias("words")), "title-heads"), registry).best(threshold)
 
 
-def _titled(heads: DataFrame, registry: DataFrame, threshold: float) -> DataFrame:
-    """The best title for each file by counts of shared words; ``heads`` holds files' words as numbers.
+#: Shares of a title's words that are asked for one after another.
+LEVELS = (1.0, 0.8, 0.65)
 
-    Of titles with the same words only the first counts. A title of n words needs a share of them, so a file that has
-    enough has one at least of its rarest ones, all but that many less one: its front. Fronts are looked up and
-    counted, which bounds a title's score from both sides, as the words behind the front may all be there or none.
-    What can't reach the file's best lower bound goes, and the rest is counted in full. All joins are on single
-    words, and all that is shuffled is numbers.
+
+class TitleIndex:
+    """A positional prefix index of titles' words and of the files' words that any title has.
+
+    Words are put in one order, by how many pairs of a title and a file they would join: the rarest first, those
+    that no file has before them. A file that has enough of a title's n words has one of its first n - needed + 1, its
+    front; and behind the first word that both have, both must be long enough for the rest. So only fronts are looked up,
+    and only places that leave room for enough words make a candidate, whose words are then counted once.
+
+    Levels go down from all of a title's words to the threshold. A file leaves with the first level that finds
+    something, as all titles of that share were looked at; fronts are short at high levels, and low ones see few files.
+    All that is shuffled is numbers; no title or file is compared with all others.
     """
-    titles = registry.select(
-        "ord", "paper_id", F.array_sort(F.transform(word_set(F.col("title")), lambda w: F.xxhash64(w))).alias("title_words")
-    ).where(F.size("title_words") > 0)
-    titles = titles.groupBy("title_words").agg(F.min("ord").alias("ord"), F.min_by("paper_id", "ord").alias("paper_id"))
-    needed = F.greatest(F.lit(1), F.ceil(F.size("title_words") * threshold - 1e-9).cast("int"))
-    each = titles.select(
-        "ord", "paper_id", F.size("title_words").alias("n"), needed.alias("needed"), F.explode("title_words").alias("word")
-    )
-    rarity = each.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    place = F.row_number().over(Window.partitionBy("ord").orderBy("freq", "word"))
-    ranked = each.join(rarity, "word").select(
-        "ord", "paper_id", "n", "needed", "word", (place <= F.col("n") - F.col("needed") + 1).alias("front")
-    )
-    ranked = stored(ranked, "title-words")
-    own = heads.select("file", F.explode("words").alias("word"))
-    fronts = own.join(ranked.where("front").select("word", "ord", "n", "needed"), "word").groupBy("file", "ord")
-    fronts = stored(
-        fronts.agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("needed").alias("needed")), "title-fronts"
-    )
-    sure, hoped = F.col("shared") / F.col("n"), (F.col("shared") + F.col("needed") - 1) / F.col("n")
-    roof = fronts.where("shared >= needed").groupBy("file").agg(F.max(sure).alias("best_sure"))
-    likely = fronts.join(roof, "file", "left").where(hoped >= F.greatest(F.coalesce("best_sure", F.lit(0.0)), F.lit(threshold)) - 1e-9)
-    behind = ranked.where("NOT front").groupBy("ord").agg(F.collect_list("word").alias("rest"))  # a title's words at most
-    asked = likely.join(behind, "ord", "left").select("file", "ord", "shared", "n", "needed", F.explode_outer("rest").alias("word"))
-    met = asked.join(own.withColumn("there", F.lit(1)), ["file", "word"], "left")
-    counted = met.groupBy("file", "ord").agg(
-        (F.first("shared") + F.count("there")).alias("shared"), F.first("n").alias("n"), F.first("needed").alias("needed")
-    )
-    scored = counted.where("shared >= needed").withColumn("score", F.col("shared") / F.col("n"))
-    best = scored.groupBy("file").agg(F.max_by(F.struct("ord", "score"), F.struct("score", -F.col("ord"))).alias("best"))
-    names = ranked.groupBy("ord").agg(F.first("paper_id").alias("paper_id"))
-    return best.select("file", "best.ord", "best.score").join(names, "ord").select("file", "paper_id", "score")
+
+    def __init__(self, heads: DataFrame, registry: DataFrame) -> None:
+        hashed = F.array_sort(F.transform(word_set(F.col("title")), lambda w: F.xxhash64(w)))
+        titles = registry.select("ord", "paper_id", hashed.alias("title_words")).where(F.size("title_words") > 0)
+        self.heads = heads
+        # titles of the same words are one
+        self.titles = stored(
+            titles.groupBy("title_words").agg(F.min("ord").alias("ord"), F.min_by("paper_id", "ord").alias("paper_id")), "titles"
+        )
+        each = self.titles.select("ord", F.size("title_words").alias("n"), F.explode("title_words").alias("word"))
+        owned = each.groupBy("word").agg(F.count(F.lit(1)).alias("titles"))
+        there = heads.select("file", F.explode("words").alias("word")).join(owned, "word")
+        there = stored(there.select("file", "word", "titles"), "title-words-there")
+        pairs = there.groupBy("word").agg((F.count(F.lit(1)) * F.first("titles")).alias("pairs"))
+        pairs = stored(pairs, "title-word-pairs")
+        place = lambda key: (F.row_number().over(Window.partitionBy(key).orderBy("pairs", "word")) - 1).alias("at")
+        rare = F.coalesce("pairs", F.lit(0)).alias("pairs")
+        ranked = each.join(pairs, "word", "left").select("ord", "n", "word", rare).select("ord", "n", "word", place("ord"))
+        self.fronts = stored(ranked, "title-fronts")
+        placed = there.join(pairs, "word").select("file", "word", "pairs").select("file", "word", place("file"))
+        # words of a file from here on, counted from the back
+        behind = F.count(F.lit(1)).over(Window.partitionBy("file")) - 1 - F.col("at")
+        self.places = stored(placed.select("file", "word", behind.alias("behind")), "title-places")
+
+    def candidates(self, share: float, open_files: DataFrame | None = None) -> DataFrame:
+        """Pairs (file, ord) among which are all of at least this share of the title's words."""
+        needed = F.greatest(F.lit(1), F.ceil(F.col("n") * share - 1e-9)).cast("int")
+        fronts = self.fronts.withColumn("needed", needed).where(F.col("at") <= F.col("n") - F.col("needed"))
+        places = self.places if open_files is None else self.places.join(open_files, "file", "left_semi")
+        room = 1 + F.least(F.col("n") - 1 - F.col("at"), F.col("behind")) >= F.col("needed")
+        return places.join(fronts, "word").where(room).select("file", "ord").distinct()
+
+    def scored(self, pairs: DataFrame) -> DataFrame:
+        """The pairs with score, the share of the title's words that the file has."""
+        both = pairs.join(self.titles.select("ord", "title_words"), "ord").join(self.heads, "file")
+        shared = F.size(F.array_intersect("title_words", "words"))
+        return both.select("file", "ord", (shared / F.size("title_words")).alias("score"))
+
+    def best(self, threshold: float = THRESHOLD) -> DataFrame:
+        """file, paper_id and score of the best title of each file, if it has the threshold's share; of equals the first."""
+        found, left = [], None
+        for share in (*[x for x in LEVELS if x > threshold], threshold):
+            scored = self.scored(self.candidates(share, left)).where(F.col("score") >= share - 1e-9)
+            best = scored.groupBy("file").agg(F.max_by(F.struct("ord", "score"), F.struct("score", -F.col("ord"))).alias("best"))
+            found.append(stored(best.select("file", "best.ord", "best.score"), "title-best"))
+            if share > threshold:
+                left = stored((self.heads if left is None else left).select("file").join(found[-1], "file", "left_anti"), "title-open")
+                if left.isEmpty():
+                    break
+        whole = found[0]
+        for more in found[1:]:
+            whole = whole.unionByName(more)
+        return whole.join(self.titles.select("ord", "paper_id"), "ord").select("file", "paper_id", "score")
 
 
 def match_files(files: DataFrame, registry: DataFrame) -> DataFrame:
@@ -128,7 +156,8 @@ def match_files(files: DataFrame, registry: DataFrame) -> DataFrame:
     rest = heads.where("readable").join(named, "file", "left_anti")
     cited = stored(_cited(rest.select("file", "dois"), registry).withColumnRenamed("paper_id", "cited"), "match-cited")
     rest = rest.join(cited, "file", "left_anti").select("file", "words")
-    titled = _titled(rest, registry, THRESHOLD).withColumnRenamed("paper_id", "titled")
+    rest = stored(rest, "match-rest")
+    titled = TitleIndex(rest, registry).best().withColumnRenamed("paper_id", "titled")
     joined = heads.select("file", "readable").join(named, "file", "left").join(cited, "file", "left").join(titled, "file", "left")
     ways = [
         (~F.col("readable"), "extraction_failed", 0.0),

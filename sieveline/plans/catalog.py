@@ -455,4 +455,4 @@ def article_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", xml.alias("xml")).select("doc_id", file_sources.xml_text("xml").alias("text"))
 
 
-from . import catalog_services, catalog_stages  # noqa: E402, F401  these register more queries
+from . import catalog_sinks, catalog_stages  # noqa: E402, F401  these register more queries

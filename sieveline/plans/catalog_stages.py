@@ -86,29 +86,6 @@ def full_text_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", providers.long_enough("text").alias("kept"))
 
 
-REPLIES = '{"rows": [], "summary_paragraph": "of the paper"}'
-
-
-@_query(
-    f"""WITH {PAIRS} SELECT paper_id, modality, CASE WHEN contains(lower(text), ' the ') THEN '{REPLIES}' END AS json, CASE WHEN contains(lower(text), ' the ') THEN '' ELSE 'no reply' END AS error FROM pairs"""
-)
-def reextraction_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of a model that fails on some pairs: each failure stays in its own row."""
-
-    def model():
-        def ask(message: str) -> str:
-            if " the " not in message.lower():
-                raise LookupError("no reply")
-            return REPLIES
-
-        return ask
-
-    prompts = derived(spark, sf_dir, "SELECT 'ephys' AS modality, 'Ask.' AS prompt UNION ALL SELECT 'functional', 'Ask.'")
-    done = spark.createDataFrame([], "paper_id string, modality string")
-    got = audit.reextract(_pairs(spark, sf_dir), done, prompts, model)
-    return got.select("paper_id", "modality", "json", F.coalesce("error", F.lit("")).alias("error"))
-
-
 @_query(f"""WITH {MANIFEST} SELECT file AS source_file, paper_id, coalesce(r.doi, '') AS doi, CASE WHEN file LIKE '%.pdf' THEN 'local_pdf' ELSE 'local_txt' END AS text_source, 'ok' AS status, match_method, CAST(confidence AS DOUBLE) AS match_confidence, md5(text) AS digest, true AS stamped
  FROM claims JOIN f USING (file) LEFT JOIN r USING (paper_id) WHERE status = 'matched'""")
 def local_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,17 +347,3 @@ def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _manifest(spark, sf_dir).select(
         "file", F.row_number().over(Window.partitionBy("status").orderBy(F.split("file", "/"))).cast("long").alias("place")
     )
-
-
-@_query(
-    "SELECT modality, concat('Ask about ', modality, '.') AS prompt FROM (VALUES ('anatomical'), ('photometry'), ('ephys'), ('functional')) AS m(modality)"
-)
-def prompts_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts by modality, without the white space around; files of other names are left out."""
-    named = spark.createDataFrame([(m,) for m in [*records.MODALITIES, "else"]], "modality string")
-    path = _folder(spark, "prompts")
-    rows = named.select(
-        F.concat("modality", F.lit(".txt")).alias("name"), F.concat(F.lit("\n Ask about "), "modality", F.lit(".\n\n")).alias("body")
-    )
-    tables.write_files(rows, path, "name", "body")
-    return tables.read_prompts(spark, path)
