@@ -116,7 +116,8 @@ def trie(conversations: DataFrame) -> DataFrame:
     turns = placed_turns(conversations)
     convs, both = rebuilt(turns)
     steps = stored(_prefixes(convs, both), "op12-steps")
-    owners = steps.groupBy(*NODE).agg(F.min("conv_id").alias("owner"), F.max("length").alias("longest"))
+    # stored, so that both sides of the join are dealt out for it: a side that an aggregate has dealt out can't be split
+    owners = stored(steps.groupBy(*NODE).agg(F.min("conv_id").alias("owner"), F.max("length").alias("longest")), "op12-owners")
     marked = stored(steps.join(owners, NODE), "op12-marked")
     mine = F.col("owner") == F.col("conv_id")
     own = marked.groupBy("conv_id").agg(
