@@ -12,8 +12,9 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators.article import parse_articles, summary_rows
-from .sources import files, tables
+from .operators.article import parse_articles
+from .sources import files, sinks, tables
+from .tables import stored
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -28,18 +29,19 @@ def main(argv: list[str] | None = None) -> int:
     except (FileNotFoundError, files.UnsupportedFileType) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1
-    readable = texts.where("text IS NOT NULL").orderBy(F.split("file", "/"))
+    readable = texts.where("text IS NOT NULL")
     articles = parse_articles(readable, source_file="file")
     if tables.is_folder(spark, given.input):
-        n = tables.write_articles(articles, given.output or "extracted")
-        print(f"{n} articles written to {given.output or 'extracted'}")
+        articles = stored(articles, "articles")  # parsed once for both sinks
+        tables.write_articles(articles, given.output or "extracted")
+        print(f"{articles.count()} articles written to {given.output or 'extracted'}")
         if given.summary_csv:
-            tables.write_csv(summary_rows(articles), given.summary_csv, True)
+            tables.write_summary(articles, given.summary_csv)
     else:
         shaped = articles.withColumn("sections", F.map_from_entries("sections")).select(tables.indented_json("*").alias("body"))
         if given.output:
             folder, _, name = given.output.rpartition("/")
-            tables.write_files(shaped.withColumn("name", F.lit(name)), folder or ".", "name", "body")
+            sinks.write_files(shaped.withColumn("name", F.lit(name)), folder or ".", "name", "body")
         else:
             for row in shaped.collect():  # one article
                 print(row.body)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
-from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escaped, strip
+from ..sources.sinks import ranked, write_files
+from ..tables import stored
 from .pages import FILTER, OVERVIEW, SORT, page
 from .records import SEVERITY, severity
 from .score import reliability, verdict_counts
@@ -184,11 +184,6 @@ def overview_page(rows: list[Row], verdicts: list[Row], template: str = OVERVIEW
 TRIAGE = ["paper_id", "title", "modality", "field_name", "verdict", "confidence", "recorded_value", "explanation", "evidence_quote"]
 
 
-def _triage_rows(verdicts: DataFrame) -> Iterator[Row]:
-    shown = [html_escaped(F.col(c).cast("string")).alias(c) for c in TRIAGE]
-    return verdicts.orderBy(severity("verdict"), "paper_id", "field_name").select(*shown).toLocalIterator()
-
-
 def _counted(verdicts: DataFrame) -> str:
     """The page's line of totals."""
     n = verdict_counts(verdicts).first()
@@ -197,86 +192,105 @@ def _counted(verdicts: DataFrame) -> str:
     return f"<p>{total['n']} verdicts on {total['papers']} papers: {told}</p>"
 
 
-def _triage(rows: Iterable[Row], totals: str) -> str:
+#: Rows of a page, where a table has more than one page should hold.
+PAGE_ROWS = 5000
+
+
+def _tag(name: str, *inside: Column | str) -> Column:
+    return F.concat(F.lit(f"<{name}>"), *[F.lit(x) if isinstance(x, str) else x for x in inside], F.lit(f"</{name}>"))
+
+
+def _paged(rows: DataFrame, html: Column, most: int) -> DataFrame:
+    """n (from 1) and html: that of a page's rows, joined in their order. ``rows`` has page and place; a page has ``most`` rows at most."""
+    each = rows.select("page", "place", html.alias("html"))
+    whole = each.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("place", "html"))).alias("parts"))
+    joined = F.array_join(F.transform("parts", lambda p: p["html"]), "")
+    return whole.select((F.col("page") + 1).alias("n"), joined.alias("html"))
+
+
+def _placed(rows: DataFrame, most: int | None, *order: Column | str) -> DataFrame:
+    """The rows with place and page; without ``most`` all are on one page, for tables that fit on it."""
+    return ranked(rows, *order).withColumn("page", F.floor(F.col("place") / most) if most else F.lit(0).cast("long"))
+
+
+def _at_least_one(pages: DataFrame) -> DataFrame:
+    """An empty table has one page, without rows."""
+    first = pages.sparkSession.range(1).select((F.col("id") + 1).alias("n"))
+    return first.join(pages, "n", "full").select("n", F.coalesce("html", F.lit("")).alias("html"))
+
+
+def _around(pages: DataFrame, title: str, before: str, after: str, *scripts: str) -> DataFrame:
+    """n and body: each page's rows inside the page that they are on."""
+    head, tail = page(title, f"{before}\0{after}", *scripts).split("\0")
+    return _at_least_one(pages).select("n", F.concat(F.lit(head), "html", F.lit(tail)).alias("body"))
+
+
+def _triage(verdicts: DataFrame, most: int | None) -> DataFrame:
+    rows = _placed(verdicts, most, severity("verdict"), "paper_id", "field_name", *[F.col(c) for c in TRIAGE if c not in ("paper_id", "field_name")])
+    cell = lambda c: html_escaped(F.col(c).cast("string"))
+    blob = F.lower(F.concat_ws(" ", *[cell(c) for c in ("paper_id", "title", "field_name", "modality")]))
+    row = F.concat(
+        F.lit("<tr data-kind='"), cell("verdict"), F.lit("' data-search='"), blob, F.lit("'>"), *[_tag("td", cell(c)) for c in TRIAGE], F.lit("</tr>")
+    )
     boxes = "".join(f"<label><input type='checkbox' class='kind' value='{v}' checked> {v}</label> " for v in SEVERITY)
     head = "".join(f"<th>{c}</th>" for c in TRIAGE)
-    body = []
-    for r in rows:
-        blob = " ".join(r[c] for c in ("paper_id", "title", "field_name", "modality")).lower()
-        body.append(f"<tr data-kind='{r['verdict']}' data-search='{blob}'>" + "".join(f"<td>{r[c]}</td>" for c in TRIAGE) + "</tr>")
-    table = f"<table><thead><tr>{head}</tr></thead><tbody>{''.join(body)}</tbody></table>"
-    return page(
-        "Verification",
-        f"{totals}<input type='search' id='search' placeholder='paper, title, field or modality'><p>{boxes}</p>{table}",
-        FILTER,
-        SORT
-    )
+    before = f"{_counted(verdicts)}<input type='search' id='search' placeholder='paper, title, field or modality'><p>{boxes}</p><table><thead><tr>{head}</tr></thead><tbody>"
+    return _around(_paged(rows, row, most), "Verification", before, "</tbody></table>", FILTER, SORT)
 
 
 def triage_page(verdicts: DataFrame) -> str:
     """All verdicts with recorded values on one page, worst first. See ``triage_pages`` for more than a page should hold."""
-    return _triage(_triage_rows(verdicts), _counted(verdicts))
-
+    return _triage(verdicts, None).first()["body"]
 
-def triage_pages(verdicts: DataFrame, most: int = 5000) -> Iterator[str]:
-    """The same rows in pages of ``most``; the driver holds a page and a partition at once."""
-    totals = _counted(verdicts)
-    return (_triage(rows, totals) for rows in _chunks(_triage_rows(verdicts), most))
 
+def triage_pages(verdicts: DataFrame, most: int = PAGE_ROWS) -> DataFrame:
+    """n and body of pages of ``most`` rows each. Rows are ranked in ranges of their order and rendered where they are."""
+    return _triage(verdicts, most)
 
-def _review_rows(side_by_side: DataFrame) -> Iterator[Row]:
-    columns = ["paper_id", "title", "field_name", "recorded_value", "row_label", "found_value", "source_quote", "figure_ref"]
-    return side_by_side.orderBy(
-        "paper_id", "mod_ord", "field_ord", "kind", "row_index"
-    ).select(*[html_escaped(c).alias(c) for c in columns]).toLocalIterator()
 
-
-def _review(rows: Iterable[Row]) -> str:
-    out, paper, field = [], None, None
-    for r in rows:
-        if r["paper_id"] != paper:
-            out.append("</section>" if paper is not None else "")
-            paper, field = r["paper_id"], None
-            blob = f"{paper} {r['title']}".lower()
-            out.append(f"<section data-search='{blob}'><h2>{paper}: {r['title']}</h2>")
-        if r["field_name"] != field:
-            field = r["field_name"]
-            out.append(f"<h3>{field}</h3><p>Recorded: {r['recorded_value']}</p>")
-        quote = f" <q>{r['source_quote']}</q>" if r["source_quote"] else ""
-        figure = f" [{r['figure_ref']}]" if r["figure_ref"] else ""
-        out.append(f"<p><b>{r['row_label']}</b> {r['found_value']}{quote}{figure}</p>")
-    out.append("</section>" if paper is not None else "")
-    return page("Review", "<input type='search' id='search' placeholder='paper or title'>" + "".join(out), FILTER)
+def _review(side_by_side: DataFrame, most: int | None) -> DataFrame:
+    shown = ["title", "field_name", "recorded_value", "row_label", "found_value", "source_quote", "figure_ref"]
+    rows = _placed(side_by_side, most, "paper_id", "mod_ord", "field_ord", "kind", "row_index", *shown)
+    safe = rows.select("page", "place", *[html_escaped(c).alias(c) for c in ("paper_id", *shown)])
+    before = Window.partitionBy("page").orderBy("place")  # a page's rows
+    paper, field = (F.lag(c).over(before) for c in ("paper_id", "field_name"))
+    told = safe.withColumns({"new_paper": ~paper.eqNullSafe(F.col("paper_id")), "new_field": ~field.eqNullSafe(F.col("field_name")), "first": paper.isNull()})
+    some = lambda c, head, tail: F.when(F.col(c) != "", F.concat(F.lit(head), c, F.lit(tail))).otherwise("")
+    opened = F.concat(
+        F.when(F.col("first"), "").otherwise("</section>"),
+        F.lit("<section data-search='"), F.lower(F.concat("paper_id", F.lit(" "), "title")), F.lit("'>"), _tag("h2", F.col("paper_id"), ": ", F.col("title"))
+    )
+    headed = F.concat(_tag("h3", F.col("field_name")), _tag("p", "Recorded: ", F.col("recorded_value")))
+    row = F.concat(
+        F.when(F.col("new_paper"), opened).otherwise(""),
+        F.when(F.col("new_paper") | F.col("new_field"), headed).otherwise(""),
+        F.lit("<p>"), _tag("b", F.col("row_label")), F.lit(" "), F.col("found_value"), some("source_quote", " <q>", "</q>"), some("figure_ref", " [", "]"), F.lit("</p>")
+    )
+    pages = _paged(told, row, most).withColumn("html", F.concat("html", F.lit("</section>")))
+    return _around(pages, "Review", "<input type='search' id='search' placeholder='paper or title'>", "", FILTER)
 
 
 def review_page(side_by_side: DataFrame) -> str:
     """Papers by ID, their fields in order, and what was found for each beside what was recorded, all on one page."""
-    return _review(_review_rows(side_by_side))
-
-
-def review_pages(side_by_side: DataFrame, most: int = 5000) -> Iterator[str]:
-    """The same rows in pages of ``most``; a paper that goes on has its headings again on the next page."""
-    return map(_review, _chunks(_review_rows(side_by_side), most))
+    return _review(side_by_side, None).first()["body"]
 
 
-def _chunks(rows: Iterator[Row], most: int) -> Iterator[Iterable[Row]]:
-    """Lists of ``most`` rows, one empty list for no rows."""
-    yield list(islice(rows, most))
-    while more := list(islice(rows, most)):
-        yield more
+def review_pages(side_by_side: DataFrame, most: int = PAGE_ROWS) -> DataFrame:
+    """n and body of pages of ``most`` rows each; a paper that goes on has its headings again on the next page."""
+    return _review(side_by_side, most)
 
 
-def write_pages(spark: SparkSession, pages: Iterator[str], folder: str) -> int:
-    """Write each page as page-N.html as it comes, to any store that Spark reaches; the number of pages.
+def write_pages(pages: DataFrame, folder: str) -> int:
+    """Each page as page-N.html, written by the tasks that rendered it; the number of pages.
 
     Pages that an earlier, longer run left in the folder are deleted.
     """
-    path, n = spark._jvm.org.apache.hadoop.fs.Path, 0
+    spark = pages.sparkSession
+    rows = stored(pages.select(F.format_string("page-%d.html", "n").alias("name"), "body"), "pages")
+    write_files(rows, folder, "name", "body")
+    n = rows.count()
+    path = spark._jvm.org.apache.hadoop.fs.Path
     system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for n, page in enumerate(pages, 1):
-        out = system.create(path(f"{folder}/page-{n}.html"), True)
-        out.write(bytearray(page.encode()))
-        out.close()
     left = n + 1
     while system.exists(path(f"{folder}/page-{left}.html")):
         system.delete(path(f"{folder}/page-{left}.html"), False)

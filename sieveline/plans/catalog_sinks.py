@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import article
 from ..sources import tables
 from . import audit
-from .catalog import FOUR, POINTS, V, WEIGHTS, _docs, _query, _registry
+from .catalog import _WORD_COUNT, A, FOUR, POINTS, V, WEIGHTS, _query, _registry
 from .catalog_stages import _folder
 from .inputs import ARTICLES, VERDICTS, article_part, derived
 
@@ -33,12 +33,15 @@ _SUMMARY = ", ".join(
 )
 
 
-@_query(f"SELECT CAST(doc_id AS VARCHAR) AS source_file, {_SUMMARY} FROM documents")
+@_query(
+    f"WITH d AS (SELECT doc_id, {_SUMMARY} FROM documents) SELECT CAST(doc_id AS VARCHAR) AS source_file, title, authors, doi, journal, publication_year, "
+    f"CAST({_WORD_COUNT} AS VARCHAR) AS word_count, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM d JOIN {A} USING (doc_id)"
+)
 def summary_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of all articles in files, by source, and the order in which they are read again."""
     path = _folder(spark, "summary")
-    parsed = article.parse_articles(derived(spark, sf_dir, ARTICLES), source_file="doc_id")
-    tables.write_csv(article.summary_rows(parsed), path, True)
-    return tables.read_csv(spark, path).drop("word_count")
+    tables.write_summary(article.parse_articles(derived(spark, sf_dir, ARTICLES), source_file="doc_id"), path)
+    return tables.read_ordered_csv(spark, path)
 
 
 @_query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import dashboard, records, score
-from ..sources import files, providers, tables
+from ..sources import files, providers, sinks, tables
 from ..tables import shared_folder
 from . import audit, runner
 from .catalog import (
@@ -22,6 +22,7 @@ from .catalog import (
     L,
     MANIFEST,
     R_SQL,
+    SEVERITY,
     SIDE,
     V,
 )
@@ -223,10 +224,11 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 @_query(
-    """SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, concat('AIM-', doc_id) AS paper_id, CASE WHEN doc_id % 3 > 0 THEN concat('10.1/', doc_id) END AS doi, trim(text, ' ' || chr(9) || chr(10)) AS title FROM documents WHERE doc_id % 9 <> 4"""
+    """SELECT doc_id, place, concat('AIM-', doc_id) AS paper_id, CASE WHEN doc_id % 3 > 0 THEN concat('10.1/', doc_id) END AS doi, trim(text, ' ' || chr(9) || chr(10)) AS title
+ FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents) AS d WHERE doc_id % 9 <> 4"""
 )
 def registry_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A registry written as CSV, titles of many lines and quotes included, and read again; rows without an ID are left out."""
+    """A registry written as CSV files in order, titles of many lines and quotes included, and read again in that order; rows without an ID are left out."""
     doc = F.col("doc_id").cast("string")
     wide = _docs(spark, sf_dir).select(
         F.when(F.col("doc_id") % 9 == 4, " ").otherwise(F.concat(F.lit(" AIM-"), doc)).alias(tables.ID_COLUMN),
@@ -235,17 +237,34 @@ def registry_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
     )
     path = _folder(spark, "registry")
-    tables.write_csv(wide.orderBy("doc_id"), path, True)
-    back = tables.read_registry(spark, path).withColumn("doc_id", F.col("doc_id").cast("long"))
-    place = (F.row_number().over(Window.orderBy("ord")) - 1).cast("long")
-    return back.select("doc_id", place.alias("place"), "paper_id", F.col("doi_key").alias("doi"), F.col("title_key").alias("title"))
+    sinks.write_ordered_csv(wide, path, "doc_id")
+    back = tables.read_registry(spark, path)
+    return back.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("ord").alias("place"),
+        "paper_id",
+        F.col("doi_key").alias("doi"),
+        F.col("title_key").alias("title")
+    )
+
 
+def _placed(columns: str, rows: str, order: str) -> str:
+    """SQL of the rows with their place in a written table."""
+    return f"SELECT {columns}, row_number() OVER (ORDER BY {order}) - 1 AS place FROM {rows}"
 
-@_query(f"SELECT paper_id, modality, row_index, row_label, figure_ref, source_quote, {DETAIL} AS detail, summary_paragraph FROM ({L}) AS l")
+
+@_query(
+    _placed(
+        f"paper_id, modality, row_index, row_label, figure_ref, source_quote, {DETAIL} AS detail, summary_paragraph",
+        f"({L}) AS l",
+        "paper_id, modality, row_index"
+    )
+)
 def flat_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "flat")
     tables.write_flat(_flat(spark, sf_dir), path)
-    return tables.read_flat(spark, path).select(
+    places = tables.read_ordered_csv(spark, path).select("paper_id", "modality", F.col("row_index").cast("int").alias("row_index"), "place")
+    return tables.read_flat(spark, path).join(places, ["paper_id", "modality", "row_index"]).select(
         "paper_id",
         "modality",
         "row_index",
@@ -253,29 +272,41 @@ def flat_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         "figure_ref",
         "source_quote",
         records.detail("fields").alias("detail"),
-        "summary_paragraph"
+        "summary_paragraph",
+        "place"
     )
 
 
-@_query(f"SELECT paper_id, modality, field_name, verdict, confidence, explanation, evidence_quote FROM {V}")
+@_query(
+    _placed(
+        "paper_id, modality, field_name, verdict, confidence, explanation, evidence_quote",
+        V,
+        f"{SEVERITY}, paper_id, modality, field_name, explanation"
+    )
+)
 def verdicts_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts in files, worst first, and the order in which they are read again."""
     path = _folder(spark, "verdicts")
     tables.write_verdicts(derived(spark, sf_dir, VERDICTS), path)
-    return tables.read_table(spark, path, tables.VERDICTS)
+    return tables.read_ordered_csv(spark, path)
 
 
-@_query(f"WITH {MANIFEST} SELECT file, paper_id, match_method, CAST(confidence AS DOUBLE) AS confidence, status FROM claims")
+@_query(
+    f"WITH {MANIFEST} " + _placed("file, paper_id, match_method, CAST(confidence AS DOUBLE) AS confidence, status", "claims", "string_split(file, '/')")
+)
 def manifest_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "manifest")
     tables.write_scrape_manifest(_manifest(spark, sf_dir), path)
-    return tables.read_table(spark, path, tables.MANIFEST)
-
-
-FETCHED = "paper_id string, doi string, pmid string, pmcid string, text_source string, status string, fetched_at string, error string"
+    return tables.read_ordered_csv(spark, path).withColumn("confidence", F.col("confidence").cast("double"))
 
 
 @_query(
-    f"WITH c AS ({CACHE}) SELECT paper_id, '10.1/x' AS doi, '' AS pmid, 'PMC1' AS pmcid, text_source, CASE WHEN text = '' THEN 'failed' ELSE 'ok' END AS status, '2026-01-01T00:00:00' AS fetched_at, CASE WHEN text = '' THEN concat('a \"quoted\", broken', chr(10), 'reason') ELSE '' END AS error FROM c"
+    f"WITH c AS ({CACHE}) " + _placed(
+        "paper_id, '10.1/x' AS doi, '' AS pmid, 'PMC1' AS pmcid, text_source, CASE WHEN text = '' THEN 'failed' ELSE 'ok' END AS status, '2026-01-01T00:00:00' AS fetched_at, "
+        "CASE WHEN text = '' THEN concat('a \"quoted\", broken', chr(10), 'reason') ELSE '' END AS error",
+        "c",
+        "paper_id"
+    )
 )
 def fetch_manifest_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.col("text") == ""
@@ -292,16 +323,49 @@ def fetch_manifest_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = _folder(spark, "fetched")
     tables.write_fetch_manifest(rows, path)
-    return tables.read_table(spark, path, FETCHED)
+    return tables.read_ordered_csv(spark, path)
 
 
 @_query(
-    f"WITH {SIDE} SELECT paper_id, title, modality, field_name, row_label, recorded_value, found_value AS reextracted_value, source_quote, figure_ref FROM rows"
+    f"WITH {SIDE} " + _placed(
+        "paper_id, title, modality, field_name, row_label, recorded_value, found_value AS reextracted_value, source_quote, figure_ref",
+        "rows",
+        "ord, mod_ord, field_ord, kind, row_index"
+    )
 )
 def side_by_side_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "side")
     tables.write_side_by_side(records.side_by_side(_registry(spark, sf_dir), _flat(spark, sf_dir)), path)
-    return tables.read_csv(spark, path)
+    return tables.read_ordered_csv(spark, path)
+
+
+_SAFE = """replace(replace(replace(replace(replace(CAST(coalesce({}, '') AS VARCHAR), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')"""
+_CELLS = ", ".join(f"'<td>', {_SAFE.format(c)}, '</td>'" for c in dashboard.TRIAGE)
+_BLOB = f"lower(concat_ws(' ', {', '.join(_SAFE.format(c) for c in ('paper_id', 'title', 'field_name', 'modality'))}))"
+_TRIAGE_ORDER = ", ".join([SEVERITY, "paper_id", "field_name", *[c for c in dashboard.TRIAGE if c not in ("paper_id", "field_name")]])
+
+
+@_query(
+    f"""WITH {RECORDED}, t AS (SELECT j.* EXCLUDE (title), j.title AS title, coalesce(CASE j.field_name WHEN 'Anatomical connections' THEN anatomical WHEN 'Electrophysiology Data' THEN ephys WHEN 'Purpose of this circuit' THEN functional END, '') AS recorded_value
+ FROM j LEFT JOIN r ON r.paper_id = j.paper_id AND j.field_name <> 'Verification of Zona Incerta Targeting'),
+p AS (SELECT *, row_number() OVER (ORDER BY {_TRIAGE_ORDER}) - 1 AS place FROM t),
+h AS (SELECT place, concat('<tr data-kind=''', {_SAFE.format('verdict')}, ''' data-search=''', {_BLOB}, '''>', {_CELLS}, '</tr>') AS html FROM p)
+SELECT place // 300 + 1 AS n, count(*) AS n_rows, md5(string_agg(html, '' ORDER BY place)) AS digest FROM h GROUP BY 1"""
+)
+def triage_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of each page of the verdicts, rendered in tasks and numbered by prefix sums."""
+    rows = records.with_recorded(derived(spark, sf_dir, VERDICTS), _registry(spark, sf_dir))
+    inside = F.regexp_extract("body", r"(?s)<tbody>(.*)</tbody>", 1)
+    return dashboard.triage_pages(rows, 300).select(
+        "n", (F.size(F.split(inside, "<tr data-kind=")) - 1).cast("long").alias("n_rows"), F.md5(inside).alias("digest")
+    )
+
+
+@_query(f"WITH {RECORDED} " + _placed("event_id", "j", f"{SEVERITY}, paper_id, j.field_name, event_id"))
+def triage_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each verdict among all, worst first: ranges of the order, ranked without one task for all."""
+    rows = records.with_recorded(derived(spark, sf_dir, VERDICTS), _registry(spark, sf_dir))
+    return sinks.ranked(rows, records.severity("verdict"), "paper_id", "field_name", "event_id").select("event_id", "place")
 
 
 @_query(
@@ -314,7 +378,7 @@ def json_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items.select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("key"), "text", F.length("text").alias("n_chars"))
     tables.write_json_by_key(rows, path, "key")
     odd = spark.range(1).select(F.lit("odd.json").alias("name"), F.lit("{not json").alias("body"))
-    tables.write_files(odd, path, "name", "body")
+    sinks.write_files(odd, path, "name", "body")
     back = tables.read_json_by_key(spark, path, "text string, n_chars int")
     return back.select(
         "key", "value.text", F.coalesce("value.n_chars", F.lit(-1)).alias("n_chars"), F.col("value.text").isNull().alias("malformed")
@@ -335,9 +399,9 @@ def loaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     body = F.when(F.col("item_id") % 5 == 0, "").otherwise(F.concat("text", F.lit("\r\né\r")))
     path = _folder(spark, "articles")
-    tables.write_files(items.select(name.alias("name"), body.alias("body")), path, "name", "body")
+    sinks.write_files(items.select(name.alias("name"), body.alias("body")), path, "name", "body")
     others = spark.createDataFrame([("README.md", "no"), ("notes.doc", "no"), ("sub folder/readme.txt", "no")], "name string, body string")
-    tables.write_files(others, path, "name", "body")
+    sinks.write_files(others, path, "name", "body")
     return files.load_texts(spark, path, skip_readme=True).select("stem", "suffix", "text")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_doi, strip
-from ..operators import records
+from ..operators import article, records
+from .sinks import numbered, write_files, write_ordered_csv
 
 ID_COLUMN, DOI_COLUMN, TITLE_COLUMN = "Reference ID", "DOI", "Title"
 FLAT = "paper_id string, modality string, row_index int, row_label string, figure_ref string, source_quote string, fields_json string, summary_paragraph string"
@@ -24,23 +25,27 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
+CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "inferSchema": False, "encoding": "UTF-8"}
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, quotes doubled inside quotes, line ends allowed in fields; nothing is null."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False, encoding="UTF-8").na.fill("")
+    return spark.read.csv(path, **CSV).na.fill("")
 
 
-def as_registry(wide: DataFrame) -> DataFrame:
+def as_registry(wide: DataFrame, ord: str | None = None) -> DataFrame:
     """ord, paper_id, doi and title in front of the table's own columns; rows without an ID go.
 
-    A registry file is one multi-line split, so ids that rise with the rows give its order.
+    ord is the column that holds the registry's order, left out of its own columns; without one, rows have rising
+    numbers as they come, which is the order of a registry of one file.
     """
+    own = [c for c in wide.columns if c not in ("ord", "paper_id", ord)]
     text = lambda name: F.col(f"`{name}`") if name in wide.columns else F.lit("")
-    keyed = wide.withColumn("ord", F.monotonically_increasing_id())
+    keyed = wide.withColumn("ord", F.col(f"`{ord}`") if ord else F.monotonically_increasing_id())
     named = keyed.withColumns(
         {"paper_id": strip(text(ID_COLUMN)), "doi_key": normal_doi(text(DOI_COLUMN)), "title_key": strip(text(TITLE_COLUMN))}
     ).where("paper_id <> ''")
-    own = [F.col(f"`{c}`") for c in wide.columns if c not in ("ord", "paper_id")]
-    return named.select("ord", "paper_id", "doi_key", "title_key", *own)
+    return named.select("ord", "paper_id", "doi_key", "title_key", *[F.col(f"`{c}`") for c in own])
 
 
 def for_matching(registry: DataFrame) -> DataFrame:
@@ -49,7 +54,14 @@ def for_matching(registry: DataFrame) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return as_registry(read_csv(spark, path))
+    """A registry of one file or of several, which follow one another by name: ord counts all rows from 0."""
+    return as_registry(read_ordered_csv(spark, path), "place")
+
+
+def read_ordered_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV's rows as ``read_csv`` gives them, with ``place``, their number from 0: files by name, rows as they stand in them."""
+    rows = spark.read.csv(path, **CSV)
+    return numbered(rows.select(*[F.coalesce(f"`{c}`", F.lit("")).alias(c) for c in rows.columns], "_metadata"))
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -86,69 +98,62 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("modality").isin(*records.MODALITIES))
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """RFC quoting and a header; single keeps an order made by orderBy in one file."""
-    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # the writer would strip fields else
-    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", **keep)
-
-
 def write_flat(flat: DataFrame, path: str) -> None:
-    write_csv(
-        flat.select(
-            "paper_id",
-            "modality",
-            "row_index",
-            "row_label",
-            "figure_ref",
-            "source_quote",
-            F.to_json("fields").alias("fields_json"),
-            "summary_paragraph"
-        ).orderBy("paper_id", "modality", "row_index"),
-        path,
-        True
+    """By paper, modality and row."""
+    rows = flat.select(
+        "paper_id",
+        "modality",
+        "row_index",
+        "row_label",
+        "figure_ref",
+        "source_quote",
+        F.to_json("fields").alias("fields_json"),
+        "summary_paragraph"
     )
+    write_ordered_csv(rows, path, "paper_id", "modality", "row_index")
 
 
 def write_verdicts(verdicts: DataFrame, path: str) -> None:
-    write_csv(
-        records.triaged(verdicts, "paper_id", "modality", "field_name").select(
-            "paper_id", "modality", "field_name", "verdict", "confidence", "explanation", "evidence_quote"
-        ),
-        path,
-        True
-    )
+    """Worst first, then by paper, modality and field; the explanation breaks ties."""
+    columns = ["paper_id", "modality", "field_name", "verdict", "confidence", "explanation", "evidence_quote"]
+    order = [records.severity("verdict"), "paper_id", "modality", "field_name", "explanation"]
+    write_ordered_csv(verdicts.select(*columns), path, *order)
 
 
 def write_fetch_manifest(cache: DataFrame, path: str) -> None:
     """How each paper's text was fetched: all but the text."""
-    write_csv(
-        cache.select("paper_id", "doi", "pmid", "pmcid", "text_source", "status", "fetched_at", "error").orderBy("paper_id"), path, True
-    )
+    columns = ["paper_id", "doi", "pmid", "pmcid", "text_source", "status", "fetched_at", "error"]
+    write_ordered_csv(cache.select(*columns), path, "paper_id")
 
 
 def write_scrape_manifest(manifest: DataFrame, path: str) -> None:
     """Which file was matched to which paper, in the files' order."""
-    write_csv(manifest.select("file", "paper_id", "match_method", "confidence", "status").orderBy(F.split("file", "/")), path, True)
+    write_ordered_csv(manifest.select("file", "paper_id", "match_method", "confidence", "status"), path, F.split("file", "/"))
 
 
 def write_side_by_side(rows: DataFrame, path: str) -> None:
     """Recorded beside found values, in the registry's order."""
-    ordered = rows.orderBy("ord", "mod_ord", "field_ord", "kind", "row_index")
-    write_csv(
-        ordered.select(
-            "paper_id",
-            "title",
-            "modality",
-            "field_name",
-            "row_label",
-            "recorded_value",
-            F.col("found_value").alias("reextracted_value"),
-            "source_quote",
-            "figure_ref"
-        ),
-        path,
-        True
+    order = ["ord", "mod_ord", "field_ord", "kind", "row_index"]
+    shown = rows.select(
+        "paper_id",
+        "title",
+        "modality",
+        "field_name",
+        "row_label",
+        "recorded_value",
+        F.col("found_value").alias("reextracted_value"),
+        "source_quote",
+        "figure_ref",
+        F.struct(*order).alias("_order")
     )
+    # sorted before the order's columns go
+    shown = shown.repartitionByRange("_order").sortWithinPartitions("_order").drop("_order")
+    write_ordered_csv(shown, path)
+
+
+def write_summary(articles: DataFrame, path: str) -> None:
+    """The seven columns of the summary, by source file."""
+    write_ordered_csv(article.summary_rows(articles), path, "source_file")
 
 
 def indented_json(*columns: Column | str) -> Column:
@@ -156,30 +161,14 @@ def indented_json(*columns: Column | str) -> Column:
     return F.to_json(F.struct(*columns), {"pretty": "true", "ignoreNullFields": "false"})
 
 
-def write_files(rows: DataFrame, folder: str, name: str, body: str) -> int:
-    """A file for each row, as it comes, in any store that Spark reaches; a later row of one name wins. The number of rows.
-
-    The driver holds a partition at once. For more rows than a folder should have files, write a table instead.
-    """
-    spark = rows.sparkSession
-    path, n = spark._jvm.org.apache.hadoop.fs.Path, 0
-    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for n, (to, text) in enumerate(rows.select(name, body).toLocalIterator(), 1):
-        out = system.create(path(f"{folder}/{to}"), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-    return n
-
-
-def write_json_by_key(df: DataFrame, folder: str, key: str) -> int:
+def write_json_by_key(df: DataFrame, folder: str, key: str) -> None:
     """An indented JSON file for each row, named by its key; ``read_json_by_key`` reads them."""
-    return write_files(df.select(F.concat(key, F.lit(".json")).alias("name"), indented_json("*").alias("body")), folder, "name", "body")
+    write_files(df.select(F.concat(key, F.lit(".json")).alias("name"), indented_json("*").alias("body")), folder, "name", "body")
 
 
-def write_articles(articles: DataFrame, folder: str) -> int:
+def write_articles(articles: DataFrame, folder: str) -> None:
     """An indented JSON file for each article, named by its file's stem; of two with one stem the later path wins."""
     stem = F.regexp_replace(F.element_at(F.split("source_file", "/"), -1), r"(?<=.)\.[^.]+$", "")
-    shaped = articles.withColumn("sections", F.map_from_entries("sections")).orderBy(F.split("source_file", "/"))
-    return write_files(
-        shaped.select(F.concat(stem, F.lit(".json")).alias("name"), indented_json("*").alias("body")), folder, "name", "body"
-    )
+    shaped = articles.withColumn("sections", F.map_from_entries("sections"))
+    rows = shaped.select(F.concat(stem, F.lit(".json")).alias("name"), indented_json("*").alias("body"), F.split("source_file", "/").alias("path"))
+    write_files(rows, folder, "name", "body", "path")
