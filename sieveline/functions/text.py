@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 #: White space of Python's str methods and patterns: Unicode's, and the four separators \x1c to \x1f.
 WS = r"[\s\x1C-\x1F]"
+#: The same, one by one.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Line ends but \n.
+ODD_END = r"[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
@@ -23,7 +27,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(_col(c), rx(rf"\A{WS}+|{WS}+\z"), "")
+    return F.btrim(_col(c), F.lit(WHITE))
 
 
 def lines(c: Column | str) -> Column:

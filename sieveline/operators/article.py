@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, first_match, is_upper, lines, matches, rx, starts_with_any, strip, words
+from ..functions.text import LINE_END, ODD_END, WS, first_match, is_upper, lines, matches, rx, starts_with_any, strip, words
 
 # Section headers seen in articles and the sections they open.
 SECTION_ALIASES = {
@@ -39,6 +39,8 @@ SECTION_ALIASES = {
 NUMBERING = rf"^{WS}*(?:[0-9]+(?:\.[0-9]+)*\.?|[IVXLC]+\.?){WS}+"
 DOI = r"\b10\.\d{4,9}/[^\s\x1C-\x1F\"'<>,;]+"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
+#: The same matches, each run of characters looked at once: it starts where no other does, or behind the last match.
+EMAILS = r"(?:(?<![\w.+-])|\G)[\w.+-]++@[\w-]++\.[\w.-]+"
 YEAR = r"\b(?:19|20)\d{2}\b"
 KEYWORDS = rf"^{WS}*(?:key{WS}*words|keywords|index{WS}+terms){WS}*[:\-]{WS}*(.+)$"
 JOURNAL = r"\bjournal\b|\bproceedings\b|\btransactions\b"
@@ -51,9 +53,17 @@ NAME_EDGES = " .*0123456789"
 
 SECTION = "array<struct<name: string, body: string>>"
 
-
-def clean_header(line: Column) -> Column:
-    return F.lower(F.btrim(F.regexp_replace(strip(line), rx(NUMBERING, "iu"), ""), F.lit(" :\t")))
+#: What ends a line, and white space inside one, spelled out so that no flag widens them.
+_END = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
+_GAP = r"[\t \x1F\xA0\u1680\u2000-\u200A\u202F\u205F\u3000]"
+_LINE_START = rf"(?<![^{_END}])"
+_NUMBER = rf"(?:(?:[0-9]+(?:\.[0-9]+)*\.?|[IVXLC]+\.?){_GAP}+)?"
+_NAMES = "|".join(sorted(SECTION_ALIASES, key=len, reverse=True)).replace("k", r"[k\u212A]")  # that sign is a k in lower case
+#: A section header with the line end before it: alone on its line of 60 characters at most, numbered or not.
+HEADER = (
+    rf"(?i)[{_END}]{_GAP}*+(?={_NUMBER}[ :\t]*({_NAMES})[ :\t]*{_GAP}*(?:[{_END}]|\z))"
+    rf"(?=[^{_END}]{{1,60}}?{_GAP}*(?:[{_END}]|\z))[^{_END}]*+"
+)
 
 
 def looks_like_metadata(line: Column) -> Column:
@@ -73,7 +83,7 @@ def doi_of(text: Column | str) -> Column:
 
 def emails_of(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rx(EMAIL)), 0))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rx(EMAILS)), 0))
 
 
 def word_count(text: Column | str) -> Column:
@@ -87,25 +97,22 @@ def keywords_of(text: Column) -> Column:
 
 
 def year_of(text: Column) -> Column:
+    """The first year of the first dated line near the top that has one, else the first year there."""
     head = F.substring(text, 1, 2000)
-    dated = F.filter(lines(head), lambda line: matches(line, DATED, "iu") & matches(line, YEAR))
-    return F.coalesce(first_match(F.get(dated, F.lit(0)), YEAR), first_match(head, YEAR))
-
-
-def _merged(bodies: Column) -> Column:
-    def step(done: Column, new: Column) -> Column:
-        joined = F.transform(
-            done,
-            lambda s: F.struct(
-                s["name"].alias("name"),
-                F.when(s["name"] == new["name"], strip(F.concat(s["body"], F.lit("\n"), new["body"]))).otherwise(s["body"]).alias("body")
-            )
-        )
-        return F.when(F.exists(done, lambda s: s["name"] == new["name"]), joined).otherwise(
-            F.array_append(done, F.struct(new["name"].alias("name"), new["body"].alias("body")))
+    dated = rf"{_LINE_START}(?=[^{_END}]*(?:{DATED}))[^{_END}]*?({YEAR})"
+    return F.coalesce(first_match(head, dated, 1, "iu"), first_match(head, YEAR))
+
+
+def _sections(names: Column, bodies: Column) -> Column:
+    """(name, body) in order of first appearance; bodies of one name are joined by line ends. Names are a few, whatever the hits."""
+    hits = F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("name"), b.alias("body")))
+    return F.transform(
+        F.array_distinct(names),
+        lambda name: F.struct(
+            name.alias("name"),
+            F.array_join(F.transform(F.filter(hits, lambda h: (h["name"] == name) & (h["body"] != "")), lambda h: h["body"]), "\n").alias("body")
         )
-
-    return F.aggregate(bodies, F.array().cast(SECTION), step)
+    )
 
 
 def _body(sections: str, name: str) -> Column:
@@ -140,22 +147,24 @@ def parse_articles(texts: DataFrame, text: str = "text", source_file: str = "sou
     empty one. affiliations is always empty, as the rules have none for it.
     """
     given = texts.select(F.col(source_file).alias("source_file"), F.coalesce(F.col(text), F.lit("")).alias("txt"))
-    split = given.withColumn("lns", lines("txt"))
+    # one scan for the headers, one for what stands between them; the line of each is never looked at by itself
     alias = F.create_map(*[F.lit(x) for pair in SECTION_ALIASES.items() for x in pair])
-    header = lambda line, at: F.struct(
-        at.alias("line_no"), F.length(strip(line)).alias("long"), F.try_element_at(alias, clean_header(line)).alias("name")
+    led = given.withColumn("led", F.concat(F.lit("\n"), "txt"))
+    cut = led.select(
+        "source_file", "txt", F.regexp_extract_all("led", F.lit(HEADER), 1).alias("hds"), F.split("led", HEADER, -1).alias("parts")
     )
-    headed = split.withColumn("hds", F.filter(F.transform("lns", header), lambda h: h["name"].isNotNull() & h["long"].between(1, 60)))
-
-    def body(h: Column, k: Column) -> Column:
-        until = F.coalesce(F.get(F.col("hds"), k + 1)["line_no"], F.size("lns"))
-        return F.struct(
-            h["name"].alias("name"), strip(F.array_join(F.slice("lns", h["line_no"] + 2, until - h["line_no"] - 1), "\n")).alias("body")
-        )
-
-    parted = headed.withColumn("secs", _merged(F.transform("hds", body))).withColumn("head_stop", F.get("hds", F.lit(0))["line_no"])
-    head = lambda n: F.slice("lns", F.lit(1), F.coalesce("head_stop", F.least(F.size("lns"), F.lit(n))))
-    fronted = parted.withColumn("cds", F.filter(F.transform(head(40), strip), lambda c: c != ""))
+    plain = lambda p: F.when(F.rlike(p, F.lit(ODD_END)), F.regexp_replace(p, LINE_END, "\n")).otherwise(p)
+    bodies = F.transform(F.slice("parts", F.lit(2), F.size("parts")), lambda p: strip(plain(p)))
+    named = cut.select(
+        "source_file", "txt", F.substring(F.get("parts", F.lit(0)), 2, 2**31 - 1).alias("front"), (F.size("hds") > 0).alias("headed"), bodies.alias("bodies"),
+        F.transform("hds", lambda h: F.try_element_at(alias, F.lower(h))).alias("names")
+    )
+    # of a text without headers the first lines are looked at, the rest stays whole behind them
+    top = F.when(F.col("headed"), lines("front")).otherwise(F.slice(F.split("front", LINE_END, 41), F.lit(1), F.lit(40)))
+    parted = named.select(
+        "source_file", "txt", "headed", _sections(F.col("names"), F.col("bodies")).alias("secs"), top.alias("lns")
+    )
+    fronted = parted.withColumn("cds", F.filter(F.transform("lns", strip), lambda c: c != ""))
     titled = lambda c: ~looks_like_metadata(c["line"]) & F.length(c["line"]).between(15, 300) & ~(
         is_upper(c["line"]) & (F.size(words(c["line"])) <= 3)
     )
@@ -178,7 +187,8 @@ def parse_articles(texts: DataFrame, text: str = "text", source_file: str = "sou
             ).otherwise(s["body"]).alias("body")
         )
     )
-    journal = F.get(F.filter(F.transform(head(15), strip), lambda j: (j != "") & matches(j, JOURNAL, "iu") & (F.length(j) < 150)), F.lit(0))
+    early = F.when(F.col("headed"), F.col("lns")).otherwise(F.slice("lns", F.lit(1), F.lit(15)))
+    journal = F.get(F.filter(F.transform(early, strip), lambda j: (j != "") & matches(j, JOURNAL, "iu") & (F.length(j) < 150)), F.lit(0))
     return told.select(
         "source_file", F.col("tit")["line"].alias("title"), _authors(
             F.col("cds"), F.col("tit")["at"]

@@ -118,11 +118,15 @@ FIELDS = [
 ]
 
 
-@_query(f"SELECT doc_id, {', '.join(f'{article_part(f)} AS {f}' for f in FIELDS)} FROM documents")
+@_query(
+    f"SELECT doc_id, {', '.join(f'{article_part(f)} AS {f}' for f in FIELDS)}, md5({article_part('bodies')}) AS bodies_md5, CAST(length({article_part('bodies')}) AS INTEGER) AS bodies_length FROM documents"
+)
 def article_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields, and of the sections every name and whole body."""
     parsed = article.parse_articles(derived(spark, sf_dir, ARTICLES), source_file="doc_id")
     names = F.array_join(F.transform("sections", lambda s: s["name"]), "|")
-    return parsed.select(
+    bodies = F.array_join(F.transform("sections", lambda s: F.concat(F.lit("<"), s["name"], F.lit(">"), s["body"])), "")
+    return parsed.withColumn("bodies", bodies).select(
         F.col("source_file").alias("doc_id"),
         "title",
         F.array_join("authors", "|").alias("authors"),
@@ -135,6 +139,8 @@ def article_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         names.alias("section_names"),
         F.get(F.filter("sections", lambda s: s["name"] == "results"), F.lit(0))["body"].alias("results"),
         "abstract",
+        F.md5("bodies").alias("bodies_md5"),
+        F.length("bodies").alias("bodies_length"),
     )
 
 

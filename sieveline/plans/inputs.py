@@ -53,6 +53,11 @@ ARTICLE_PARTS = {
     "results": "CASE WHEN doc_id % 2 = 0 THEN 'Found it.' ELSE concat('Found it.', chr(10), 'And more.') END",
     "abstract": "nullif(trim(substring(coalesce(text, ''), 1, 200), chr(10) || ' '), '')",
 }
+_BLANK = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+_BODY = r"regexp_replace(regexp_replace(regexp_replace(%s, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '^BLANK', ''), 'BLANK$', '')".replace("BLANK", _BLANK)
+# Names and whole bodies of all sections, as one text.
+ARTICLE_PARTS["bodies"] = f"""concat(CASE WHEN doc_id % 7 = 3 THEN '' ELSE concat('<abstract>', {_BODY % "substring(coalesce(text, ''), 1, 200)"}) END,
+ '<introduction>', {_BODY % "substring(coalesce(text, ''), 201)"}, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '<methods>Did it.' END, '<results>', {ARTICLE_PARTS["results"]})""".replace("{", "{{").replace("}", "}}")
 
 
 def article_part(name: str, sep: str = "|") -> str:

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import is_upper, lines, normal_doi, strip, words
+from sieveline.operators import article
 from sieveline.operators.article import parse_articles, summary_rows
 
 ARTICLE = """Annals of Sample Journal, Vol. 3
@@ -159,3 +160,57 @@ def test_parser_equals_python_on_random_documents(spark):
         title, bodies = plain(texts[int(r.source_file)])
         assert r.title == title, repr(texts[int(r.source_file)])
         assert {s.name: s.body for s in r.sections if s.name != "abstract"} == bodies
+
+
+def plain_sections(text):
+    """Line by line: what a header is, and the bodies between headers."""
+    heads = []
+    own = text.splitlines()
+    for at, line in enumerate(own):
+        bare = line.strip()
+        name = re.sub(r"^\s*(?:[0-9]+(?:\.[0-9]+)*\.?|[IVXLC]+\.?)\s+", "", bare, flags=re.I).strip(" :\t").lower()
+        if bare and len(bare) <= 60 and name in article.SECTION_ALIASES:
+            heads.append((at, article.SECTION_ALIASES[name]))
+    out = {}
+    for (at, name), (end, _) in zip(heads, [*heads, (len(own), "")][1:], strict=True):
+        body = "\n".join(own[at + 1 : end]).strip()
+        out[name] = f"{out[name]}\n{body}".strip() if name in out else body
+    return list(out.items()), heads[0][0] if heads else None
+
+
+def test_headers_in_one_scan_equal_line_by_line(spark):
+    rnd = random.Random(12)
+    names = [*article.SECTION_ALIASES, "BacKgo", "bacKground", "reſults", "abstracts", "the results"]
+    ends = ["\n", "\n", "\r\n", "\r", "\x0b", "\x1d", "\x85", " ", "\n\n"]
+    rows = []
+    for i in range(1500):
+        parts = []
+        for _ in range(rnd.randint(0, 9)):
+            kind, name = rnd.random(), rnd.choice(names)
+            name = rnd.choice([name, name.upper(), name.title()])
+            if kind < 0.5:
+                lead = rnd.choice(["", "", "1. ", "2.1\t", "IV ", "iv.\xa0", "1.", "  ", "\xa0", "1. 2. ", ": ", "1 :", " " * 40 + "3 " + " " * 20, "\x1f"])
+                line = lead + name + rnd.choice(["", "", ":", " :\t", "\xa0", ":\xa0", "\xa0:", " " * 70, " x", "."])
+            else:
+                line = rnd.choice(["", " ", "some words", "1. one", "\x1c", name + " of it", "é　"])
+            parts.append(line + rnd.choice(ends))
+        text = "".join(parts)
+        rows.append((i, text.rstrip() if rnd.random() < 0.3 else text))
+    frame = spark.createDataFrame(rows, "source_file int, text string")
+    got = {r.source_file: r for r in article.parse_articles(frame).select("source_file", "sections", "references", "emails").collect()}
+    for i, text in rows:
+        want = [x for x in plain_sections(text)[0] if x[0] != "references"]
+        assert [(s.name, s.body) for s in got[i].sections if s.name != "abstract"] == [x for x in want if x[0] != "abstract"], text
+
+
+def test_emails_and_years_equal_plain_patterns(spark):
+    rnd = random.Random(13)
+    pieces = ["a@b.c", "+", "x", "@", ".", "d_e@f-g.h.i", " ", "\n", "é@ü.ö", "-", "1999", "2021 ", "Received ", "copyright", "(c) 1850", "2005"]
+    rows = [(i, "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 14)))) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "source_file int, text string")
+    for r in article.parse_articles(frame).join(frame, "source_file").select("text", "emails", "publication_year").collect():
+        assert r.emails == list(dict.fromkeys(re.findall(r"[\w.+-]+@[\w-]+\.[\w.-]+", r.text))), r.text
+        year = re.compile(r"\b(?:19|20)\d{2}\b")
+        dated = [x for x in r.text.splitlines() if re.search("received|accepted|published|copyright|©", x, re.I) and year.search(x)]
+        first = year.search(dated[0]) if dated else year.search(r.text)
+        assert r.publication_year == (first.group() if first else None), r.text
