@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -128,6 +129,21 @@ def nested(side_by_side: DataFrame) -> DataFrame:
     return papers.withColumn("fields", F.transform("fields", lambda f: f.dropFields("mod_ord", "field_ord")))
 
 
+def review_of(side_by_side: DataFrame, papers: DataFrame) -> DataFrame:
+    """``nested`` of some papers alone: rows of others go before anything is nested. ``papers`` has paper_id."""
+    return nested(side_by_side.join(papers.select("paper_id").distinct(), "paper_id", "left_semi"))
+
+
+def searchable(columns: list[str]) -> Callable[[], list[Column]]:
+    """What an index of ``search.TextIndex`` holds for ``searched`` in these columns."""
+    return lambda: [F.col(c) for c in columns]
+
+
+def review_text() -> list[Column]:
+    """What the review is searched in."""
+    return [F.concat("paper_id", F.lit(" "), F.coalesce("title", F.lit("")))]
+
+
 def review_searched(papers: DataFrame, term: str) -> DataFrame:
     """Papers with the term in their ID or title."""
     return papers.where(F.contains(F.lower(F.concat("paper_id", F.lit(" "), F.coalesce("title", F.lit("")))), F.lit(term.lower())))

@@ -47,6 +47,20 @@ def verdict_counts(verdicts: DataFrame, by: str | None = None) -> DataFrame:
     return verdicts.groupBy(F.coalesce(by, F.lit("unknown")).alias(by)).agg(*counts) if by else verdicts.agg(*counts)
 
 
+def breakdowns(verdicts: DataFrame, *by: str) -> DataFrame:
+    """The counts of ``verdict_counts`` overall and by each column, in one scan: level (a column's name, or all), value, and the four.
+
+    GROUPING SETS: rows go to a set for each column and one for all, and are combined before the shuffle.
+    """
+    named = verdicts.select("verdict", *[F.coalesce(c, F.lit("unknown")).alias(c) for c in by])
+    sets = named.groupingSets([[F.col(c)] for c in by] + [[]], *by)
+    counts = sets.agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS], *[F.grouping(c).alias(f"_{c}") for c in by])
+    level, value = F.lit("all"), F.lit("")
+    for c in by:
+        level, value = F.when(F.col(f"_{c}") == 0, c).otherwise(level), F.when(F.col(f"_{c}") == 0, F.col(c)).otherwise(value)
+    return counts.select(level.alias("level"), value.alias("value"), *VERDICTS)
+
+
 def is_provisional(audited: Column, total: Column) -> Column:
     """Under a fifth of the papers audited."""
     return audited < total * 0.2

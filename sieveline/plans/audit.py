@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching, records, score
 from ..sources import files, providers, tables
+from ..sources.log import Log
 from ..tables import stored
 
 
@@ -20,26 +21,31 @@ def scrape(spark: SparkSession, folder: str, registry: DataFrame) -> tuple[DataF
 
 
 def scrape_stage(spark: SparkSession, folder: str, registry_csv: str, out: str) -> Row:
-    """Articles of a folder into ``out``: manifest (CSV) and cache (a table); returns what was found and what is missing."""
+    """Articles of a folder into ``out``: manifest (CSV) and cache (a log, see ``local_log``); returns what was found and what is missing."""
     registry = tables.read_registry(spark, registry_csv)
     manifest, cache = scrape(spark, folder, registry)
     manifest = stored(manifest, "scrape-manifest")
     tables.write_scrape_manifest(manifest, f"{out}/manifest")
-    cache.write.mode("overwrite").parquet(f"{out}/cache")
+    local_log(spark, f"{out}/cache").append(cache)
     return matching.scrape_totals(tables.for_matching(registry), manifest).first()
 
 
+def local_log(spark: SparkSession, folder: str) -> Log:
+    """The cache of local articles: the last row of a paper counts."""
+    return Log(spark, folder, providers.LOCAL_CACHE, "paper_id")
+
+
 def fetch_stage(
     spark: SparkSession, registry_csv: str, cache_table: str, out: str, literature: Callable, connections: int = 1
 ) -> list[Row]:
-    """Texts of papers that the cache lacks or that failed, appended to it; the manifest (CSV) of all. Returns counts by outcome."""
+    """Texts of papers that the cache lacks or that failed, appended to it; the manifest (CSV) of all. Returns counts by outcome.
+
+    The cache is a log: a run that is lost before its end leaves it as it was.
+    """
     registry = tables.for_matching(tables.read_registry(spark, registry_csv))
-    empty = spark.createDataFrame([], providers.CACHE)
-    cache = spark.read.parquet(cache_table) if tables.exists(spark, cache_table) else empty
-    fetched = stored(providers.fetch_texts(providers.to_do(registry, cache), literature, connections), "fetched")
-    kept = cache.select(*empty.columns).join(fetched.select("paper_id"), "paper_id", "left_anti")
-    whole = stored(kept.unionByName(fetched), "fetched-all")  # before the table it reads is replaced
-    whole.write.mode("overwrite").parquet(cache_table)
+    cache = Log(spark, cache_table, providers.CACHE, "paper_id")
+    cache.append(providers.fetch_texts(providers.to_do(registry, cache.state()), literature, connections))
+    whole = cache.state()
     tables.write_fetch_manifest(whole, f"{out}/fetch_manifest")
     return providers.fetch_counts(whole).collect()
 
@@ -98,4 +104,6 @@ def verify(work: DataFrame, done: DataFrame, registry: DataFrame, flat: DataFram
 
 
 def reliability_report(verdicts: DataFrame, registry: DataFrame) -> str:
-    return score.report(score.reliability(verdicts).first(), score.verdict_counts(verdicts, "field_name").collect(), registry.count())
+    """The report's numbers come from two scans: the score's, and one for all breakdowns."""
+    fields = score.breakdowns(verdicts, "field_name").where("level = 'field_name'").withColumnRenamed("value", "field_name")
+    return score.report(score.reliability(verdicts).first(), fields.collect(), registry.count())

@@ -91,6 +91,14 @@ def verdict_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.verdict_counts(derived(spark, sf_dir, VERDICTS))
 
 
+@_query(
+    f"SELECT CASE WHEN grouping(field_name) = 0 THEN 'field_name' WHEN grouping(modality) = 0 THEN 'modality' ELSE 'all' END AS level, coalesce(field_name, modality, '') AS value, {FOUR.replace('{}', '')} FROM {V} GROUP BY GROUPING SETS ((field_name), (modality), ())"
+)
+def verdict_breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overall, by field and by modality in one scan."""
+    return score.breakdowns(derived(spark, sf_dir, VERDICTS), "field_name", "modality")
+
+
 @_query(f"SELECT count(DISTINCT paper_id) < (SELECT count(*) FROM documents) * 0.2 AS provisional FROM {V}")
 def provisional_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     audited = score.reliability(derived(spark, sf_dir, VERDICTS)).select("n_papers_audited")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import article
+from ..operators import article, dashboard, records
+from ..operators.search import TextIndex
 from ..sources import tables
+from ..sources.log import Log
 from . import audit
-from .catalog import _WORD_COUNT, A, FOUR, POINTS, V, WEIGHTS, _query, _registry
+from . import catalog
+from .catalog import _WORD_COUNT, A, FOUR, POINTS, SIDE, V, WEIGHTS, _board, _flat, _query, _registry
 from .catalog_stages import _folder
 from .inputs import ARTICLES, VERDICTS, article_part, derived
 
@@ -58,3 +61,59 @@ def report_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text report down to the breakdown by field."""
     text = audit.reliability_report(derived(spark, sf_dir, VERDICTS), _registry(spark, sf_dir))
     return spark.createDataFrame([(text.split("\n\nBy field:")[0],)], "head string")
+
+
+_TITLED = "contains(lower(concat(paper_id, ' ', title)), '{}')"
+
+
+@_query(catalog.oracle_sql()["dashboard_search"])
+def indexed_dashboard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overview's search by trigrams."""
+    index = TextIndex.build(_board(spark, sf_dir), dashboard.searchable(dashboard.SEARCHED), _folder(spark, "board-index"))
+    return dashboard.with_status(index.search("SRC1"), "missing").select("id", "matched")
+
+
+@_query(
+    f"SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '' ELSE evidence_quote END AS shown_quote, 'son 77' AS term FROM {V} WHERE verdict = 'mismatch' AND contains(lower(explanation), 'son 77') "
+    f"UNION ALL SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '' ELSE evidence_quote END, 'st-1' FROM {V} WHERE verdict = 'mismatch' AND contains(lower(paper_id), 'st-1')"
+)
+def indexed_verdict_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches of the verdicts with one index."""
+    columns = ["paper_id", "field_name", "explanation", "modality"]
+    index = TextIndex.build(derived(spark, sf_dir, VERDICTS), dashboard.searchable(columns), _folder(spark, "verdict-index"))
+    one, two = (
+        dashboard.verdict_view(index.search(term), "mismatch").select("event_id", "shown_quote", F.lit(term.lower()).alias("term"))
+        for term in ("SON 77", "ST-1")
+    )
+    return one.unionByName(two)
+
+
+@_query(
+    f"WITH {SIDE} SELECT paper_id, count(DISTINCT field_name) AS n_fields, count(*) AS n_rows FROM rows WHERE {_TITLED.format('st-12')} OR {_TITLED.format('study tha')} GROUP BY paper_id"
+)
+def indexed_review_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review's search by trigrams of papers; only the papers found are nested."""
+    registry = _registry(spark, sf_dir)
+    papers = registry.select("paper_id", "title")
+    index = TextIndex.build(papers, dashboard.review_text, _folder(spark, "review-index"))
+    found = index.search("ST-12").unionByName(index.search("Study Tha"))
+    nested = dashboard.review_of(records.side_by_side(registry, _flat(spark, sf_dir)), found)
+    n_rows = F.aggregate("fields", F.lit(0).cast("long"), lambda n, f: n + F.size(f["rows"]))
+    return nested.select("paper_id", F.size("fields").cast("long").alias("n_fields"), n_rows.alias("n_rows"))
+
+
+@_query(
+    """WITH b AS (SELECT doc_id, 1 AS n, text FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, 2, concat(source, ' again') FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 3, lang FROM documents WHERE doc_id % 5 = 1)
+SELECT concat('ST-', doc_id) AS paper_id, max_by(concat('batch ', n), n) AS status, md5(coalesce(max_by(coalesce(text, ''), n), '')) AS digest FROM b GROUP BY doc_id"""
+)
+def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache written in three batches, compacted between the second and the third: of each paper the last row."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    log = Log(spark, _folder(spark, "log"), "paper_id string, status string, text string", "paper_id")
+    batches = [("doc_id % 3 > 0", F.col("text")), ("doc_id % 2 = 0", F.concat("source", F.lit(" again"))), ("doc_id % 5 = 1", F.col("lang"))]
+    for n, (which, text) in enumerate(batches, 1):
+        key = F.concat(F.lit("ST-"), F.col("doc_id").cast("string")).alias("paper_id")
+        log.append(docs.where(which).select(key, F.lit(f"batch {n}").alias("status"), text.alias("text")))
+        if n == 2:
+            log.compact()
+    return log.state().select("paper_id", "status", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))

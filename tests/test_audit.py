@@ -464,7 +464,7 @@ def test_stages_write_their_tables(spark, tmp_path):
     totals = audit.scrape_stage(spark, f"file://{folder}", registry, out)
     assert (totals.matched, totals.unmatched_files, totals.missing) == (1, 1, 1)
     assert sorted(r.status for r in tables.read_table(spark, f"{out}/manifest", tables.MANIFEST).collect()) == ["matched", "unmatched"]
-    assert spark.read.parquet(f"{out}/cache").first().text == "text of one"
+    assert audit.local_log(spark, f"{out}/cache").state().first().text == "text of one"
 
     def literature():
         return client(Answer({"records": [{}]}), Answer({"esearchresult": {"idlist": ["5"]}}), Answer(text="an abstract"))
