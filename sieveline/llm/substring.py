@@ -11,8 +11,9 @@ two documents have and answers each pack with one bit a hash. So a passage of a
 a pack, no place is ever a row, and answers are small. The ranges follow the size of the input, so that each has
 about RANGE hashes.
 
-At the last level a pack sends the 128-bit BLAKE2 digest of the words themselves, joined by one space, and the doc_id
-of each candidate, and is answered whether a smaller doc_id has that digest. Shorter levels only pass candidates on.
+At the last level a pack sends, of each distinct candidate, the 128-bit BLAKE2 digest of the words themselves, joined by
+one space, and the least doc_id that has it in the pack, and is answered whether another pack has a smaller one. Which
+of its own documents come later it sees by itself. Shorter levels only pass candidates on.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .common import BYTE_KEYS, NOT_SPACE, Rolling, dropped, ragged, stored, text
 FIRST = 4
 PACK = 1 << 20
 RANGE = 1 << 20
+#: Base of the second rolling hash, with which a pack tells its own windows apart.
+SECOND = 0xD1342543DE82EF95
 #: 2**LEAST_BITS ranges at least.
 LEAST_BITS = 7
 U64 = np.uint64
@@ -123,7 +126,7 @@ class Pack:
     def candidates(self, steps: list[int], level: int, bits: int) -> np.ndarray:
         """Starts of the windows that a level looks at: those whose parts survived all levels before."""
         numbers = Rolling(BYTE_KEYS[self.data]).of(self.starts, self.ends)
-        self.rolling = Rolling(numbers)
+        self.numbers, self.rolling = numbers, Rolling(numbers)
         starts = self.whole(steps[0])
         for k in range(level):
             alive = np.zeros(len(self.doc) + 1, bool)
@@ -136,11 +139,16 @@ class Pack:
     def hashes(self, starts: np.ndarray, length: int) -> np.ndarray:
         return self.rolling.of(starts, starts + length)
 
-    def dealt(self, starts: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The windows by range, and within it in their order in the pack; the ranges; their offsets."""
-        part = (self.hashes(starts, length) >> U64(64 - bits)).astype(np.int32)
-        order = np.argsort(part.astype(np.uint16) if bits <= 16 else part, kind="stable")
-        return starts[order], *ranges(part[order])
+    def grouped(self, starts: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Of the windows' distinct sequences, in order: one start each, the least doc_id, each window's place among them, and their ranges.
+
+        Windows of a pack are told apart by 128 bits of rolling hashes, the first 64 of which say the range.
+        """
+        wide = np.stack([self.hashes(starts, length), Rolling(self.numbers, SECOND).of(starts, starts + length)], 1)
+        cells, order, owner = distinct(wide)
+        heads = np.flatnonzero(np.diff(owner[order], prepend=-1))
+        least = np.minimum.reduceat(self.ids[self.doc[starts[order]]], heads)
+        return starts[order][heads], least, owner, ranges(cells[:, 0] >> U64(64 - bits))
 
     def digests(self, starts: np.ndarray, length: int) -> np.ndarray:
         """n x 2 numbers: the 128-bit digest of each window's words."""
@@ -239,20 +247,20 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 
 def _last_level(steps: list[int], bits: int):
-    """Rows (r, pack, keys, ids): digests of candidates and their doc_ids."""
+    """Rows (r, pack, keys, ids): digests of distinct candidates and the least doc_id of each."""
 
     def made(pack: Pack) -> Iterator[pa.RecordBatch]:
         starts = pack.candidates(steps, len(steps) - 1, bits)
         if not len(starts):
             return
-        starts, parts, cuts = pack.dealt(starts, steps[-1], bits)
-        yield _sent(pack, parts, cuts, {"keys": pack.digests(starts, steps[-1]), "ids": pack.ids[pack.doc[starts]]})
+        firsts, least, _, (parts, cuts) = pack.grouped(starts, steps[-1], bits)
+        yield _sent(pack, parts, cuts, {"keys": pack.digests(firsts, steps[-1]), "ids": least})
 
     return _each_pack(made)
 
 
 def _later_ones(table: pa.Table) -> pa.Table:
-    """Of a range: which digests a document of smaller doc_id has too."""
+    """Of a range: which digests a smaller doc_id has in another pack."""
     packs, offsets, keys = _parts(table, 2)
     _, order, owner = distinct(keys)
     own = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")])
@@ -265,8 +273,9 @@ def _kept_rows(steps: list[int], bits: int, searched: bool):
         gone = np.zeros(len(pack.doc), bool)
         starts = pack.candidates(steps, len(steps) - 1, bits) if searched else np.zeros(0, np.int64)
         if len(starts):
-            starts, parts, cuts = pack.dealt(starts, steps[-1], bits)
-            later = starts[pack.answered(len(steps) - 1, parts, cuts)]
+            _, least, owner, (parts, cuts) = pack.grouped(starts, steps[-1], bits)
+            elsewhere = pack.answered(len(steps) - 1, parts, cuts)
+            later = starts[elsewhere[owner] | (pack.ids[pack.doc[starts]] > least[owner])]
             gone[ragged(later, np.full(len(later), steps[-1]))] = True
         flat, at = pack.joined(~gone)
         left = np.concatenate([[0], np.cumsum(~gone)])[pack.words]
@@ -301,8 +310,8 @@ def remove_repeated_windows(documents: DataFrame, width: int = 13) -> DataFrame:
     Words are runs of anything but ASCII white space. Windows are judged on the input. Returns doc_id, n_words,
     n_removed, kept_text (kept words joined by one space) and its kept_sha256, a row for each row. Texts that are
     null, empty or of fewer than ``width`` words lose nothing. Rows of the same doc_id are one document: they take
-    nothing from each other, whatever their texts. A null doc_id neither takes nor loses anything. Columns besides
-    doc_id and text are not read.
+    nothing from each other, whatever their texts. A null doc_id neither takes nor loses anything. A very long text is a
+    pack of its own. An empty table gives an empty result. Columns besides doc_id and text are not read.
     """
     if width < 1:
         raise ValueError("width has to be a word at least")

@@ -144,3 +144,60 @@ def test_suffix_dedup_edges(spark):
     rows = [(1, text, None, None), (None, text, None, None), (2, text + "!", None, None)]
     got = remove_repeated_bytes(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, len(text)), (1, len(text)), (2, len(text))]
+
+
+def test_last_level_sends_one_key_a_pack(spark, monkeypatch):
+    """A passage of 20,000 documents is one number in each pack, at the last level as at those before."""
+    from sieveline.llm import substring
+
+    passage = " ".join(f"shared{i}" for i in range(13))
+    rows = [(i, f"{passage} own{i} word{i}") for i in range(20_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = []
+    real = substring.stored
+
+    def kept(df, label):
+        if "level" in label:
+            seen.append((label, df))
+        return real(df, label)
+
+    monkeypatch.setattr(substring, "stored", kept)
+    found = substring.remove_repeated_windows(frame).collect()
+    assert sum(r.n_removed for r in found) == 13 * 19_999 and min(r.n_words - r.n_removed for r in found) == 2
+    packs = real(frame.select("doc_id", "text").mapInArrow(substring._pack_rows, substring.PACKS), "test-packs")
+    answers = []
+    steps, bits = substring.lengths(13), substring.LEAST_BITS
+    for level in range(3):
+        last = level == 2
+        sent = "r int, pack long, keys binary, " + ("ids binary" if last else "twice binary")
+        made = substring._last_level(steps, bits) if last else substring._level(steps, level, bits)
+        rows = real(substring._marked(packs, answers).mapInArrow(made, sent), "test-sent")
+        if last:
+            assert max(len(r["keys"]) // 16 for r in rows.collect()) == 1
+        answers.append(rows.groupBy("r").applyInArrow(substring._later_ones if last else substring._repeated, substring.ANSWERS))
+
+
+def test_long_texts(spark):
+    """Texts of more than a slice, beside short ones: brute force of both operators."""
+    rnd = random.Random(9)
+    block = "".join(rnd.choice("abcdefgh ") for _ in range(900_000))
+    long = block + " " + "".join(rnd.choice("ijklmnop ") for _ in range(400_000))
+    rows = [(5, long), (6, "x " + long[1000:3000]), (7, None), (8, "short"), (9, block[:600_000] + "!")]
+    frame = spark.createDataFrame([(*r, "y", 1) for r in rows], SCHEMA)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeated_windows(frame).collect()}
+    assert got == brute_words(rows)
+    seen = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeated_bytes(frame).collect()}
+    raws = {d: (t or "").encode() for d, t in rows}
+    keys = {}
+    for d, r in raws.items():  # strings of 400 bytes by digest
+        for i in range(len(r) - 399):
+            keys.setdefault(hashlib.blake2b(r[i : i + 400], digest_size=8).digest(), []).append((d, i))
+    gone = {d: np.zeros(len(r) + 1, bool) for d, r in raws.items()}
+    for places in keys.values():
+        if len(places) > 1:
+            for d, i in places:
+                gone[d][i : i + 400] = True
+    for d, r in raws.items():
+        g = gone[d]
+        kept = np.frombuffer(r, np.uint8)[~g[:-1]].tobytes()
+        assert seen[d] == (len(r), int(g.sum()), int((g[1:] & ~g[:-1]).sum() + g[0]), hashlib.sha256(kept).hexdigest())
