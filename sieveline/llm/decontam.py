@@ -1,8 +1,10 @@
 """Benchmark decontamination by winnowing.
 
 Of every window of w neighbouring k-grams the one of least hash is kept, so any shared span of k + w - 1 words has
-a fingerprint in common whatever stands around it. Fingerprints of documents and benchmark items are joined on
-their hashes, and each hit is extended word by word to both sides: a run of a whole window's words is a match.
+a fingerprint in common whatever stands around it. Documents keep the fingerprints that any item has. Each of these is
+extended to both sides, to the windows of a whole match that hold it, a few a fingerprint; and these meet the items'
+windows by 128-bit digests of their words. So a common fingerprint of many documents and many items makes no product:
+only what agrees word by word ever meets, and each window of a document meets one row.
 
 A window has 13 words, or all words of a shorter item; each such length has fingerprints of its own kind. Before
 the join, documents' fingerprints pass a Bloom filter of FILTER_BITS bits filled from the benchmark. Its size does
@@ -117,50 +119,43 @@ def _texts(table: DataFrame, key: str) -> DataFrame:
     return table.select(F.col(key).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words that agree around a common fingerprint, where they make a whole window."""
-    for batch in batches:
-        picked, low, high = [], [], []
-        cells = zip(*(batch.column(c).to_pylist() for c in ("kind", "at", "ahead", "around", "i_ahead", "i_around")), strict=True)
-        for row, (width, at, ahead, around, i_ahead, i_around) in enumerate(cells):
-            mine, other, k = around.split(" "), i_around.split(" "), gram(width)
-            if mine[ahead : ahead + k] != other[i_ahead : i_ahead + k]:
-                continue  # the hashes alone agree
-            left = 0
-            while left < min(ahead, i_ahead) and mine[ahead - left - 1] == other[i_ahead - left - 1]:
-                left += 1
-            right = k
-            while right < min(len(mine) - ahead, len(other) - i_ahead) and mine[ahead + right] == other[i_ahead + right]:
-                right += 1
-            if left + right >= width:
-                picked.append(row)
-                low.append(at - left)
-                high.append(at + right)
-        at = pa.array(picked, pa.int64())
-        arrays = [batch.column("row").take(at), batch.column("content").take(at), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, ["row", "content", "low", "high"])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+WINDOWS = "kind int, d1 long, d2 long, low int, high int"
+
+
+def _extended(key: str):
+    """Rows (key, kind, d1, d2, low, high): the windows around each fingerprint, with digests of their words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, kinds, low, digests = [], [], [], []
+            cells = zip(*(batch.column(c).to_pylist() for c in (key, "kind", "at", "ahead", "around")), strict=True)
+            for who, width, at, ahead, around in cells:
+                words, k = around.split(" "), gram(width)
+                for start in range(max(0, ahead + k - width), min(ahead, len(words) - width) + 1):
+                    own.append(who)
+                    kinds.append(width)
+                    low.append(at - ahead + start)
+                    digests.append(hashlib.blake2b(" ".join(words[start : start + width]).encode(), digest_size=16).digest())
+            pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            kind, first = np.array(kinds, np.int32), np.array(low, np.int32)
+            arrays = [pa.array(own, pa.int64()), pa.array(kind), *[pa.array(pairs[:, c]) for c in (0, 1)], pa.array(first), pa.array(first + kind)]
+            yield pa.RecordBatch.from_arrays(arrays, [key, "kind", "d1", "d2", "low", "high"])
+
+    return rows
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, n_hit (words in any span), spans and sets."""
     for batch in batches:
-        n_hit, digests = [], []
-        for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+        n_hit = []
+        for spans in batch.column("spans").to_pylist():
             upto = total = 0
             for a, b in sorted((s["low"], s["high"]) for s in spans):
                 total += max(0, b - max(a, upto))
                 upto = max(upto, b)
             n_hit.append(total)
-            digests.append(hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest())
-        n_items = batch.column("items").value_lengths().cast(pa.int64())
-        arrays = [
-            batch.column("row"),
-            pa.array(n_hit, pa.int64()),
-            n_items,
-            pa.array(digests, pa.string()),
-            batch.column("items"),
-            batch.column("spans")
-        ]
-        yield pa.RecordBatch.from_arrays(arrays, ["row", "n_hit", "n_items", "items_sha256", "items", "spans"])
+        columns = [batch.column(c) for c in ("row", "spans", "sets")]
+        yield pa.RecordBatch.from_arrays([columns[0], pa.array(n_hit, pa.int64()), *columns[1:]], ["row", "n_hit", "spans", "sets"])
 
 
 #: sha256 of no items.
@@ -176,8 +171,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, s
     have no words. Each row is judged by its own text: null and repeated doc_ids make no difference. text_hash is
     Spark's xxhash64 of the text. Columns besides doc_id, item_id and text are not read.
 
-    Fingerprints are joined on distinct content, so a passage that many items share is met once; which items those
-    are is looked up behind that, without any text.
+    An item of a null or repeated text or id is one of each (id, text). A very long text is looked at in one piece, its
+    fingerprints alone go on. An empty table of documents gives an empty result; an empty benchmark hits nothing.
+    Hashes of 64 bits name sets of items; which words agree is told by digests of 128 bits.
     """
     items = _texts(benchmark, "item_id").where("id IS NOT NULL AND text IS NOT NULL")
     kinds = list(range(1, width + 1))
@@ -189,23 +185,25 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, s
     for cell, bits in known.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(cell_bit).alias("bits")).collect():
         seen[cell] = np.uint64(bits & (1 << 64) - 1)
     scan = stored(_texts(documents, "doc_id").mapInArrow(_scan(present, seen, None), SCANNED), "op5-scan")
-    content = F.xxhash64("kind", "h", "ahead", "around")
-    owners = known.select(content.alias("content"), "item_id").distinct()
-    asked = known.select(
-        content.alias("content"),
-        F.col("kind").alias("i_kind"),
-        F.col("h").alias("i_h"),
-        F.col("ahead").alias("i_ahead"),
-        F.col("around").alias("i_around")
-    ).distinct()
-    pairs = scan.select("row", F.inline("hits")).join(asked, F.expr("h = i_h AND kind = i_kind"))
-    pairs = pairs.select("row", "content", "kind", "at", "ahead", "around", "i_ahead", "i_around")
-    matches = stored(pairs.mapInArrow(_extended, "row long, content long, low long, high long"), "op5-matches")
-    spans = matches.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    named = matches.select("row", "content").distinct().join(owners, "content").groupBy("row").agg(F.collect_set("item_id").alias("items"))
-    counted = spans.join(named, "row").mapInArrow(
-        _counted, "row long, n_hit long, n_items long, items_sha256 string, items array<long>, spans array<struct<low: long, high: long>>"
-    )
+    there = known.select(F.col("kind").alias("i_kind"), F.col("h").alias("i_h")).distinct()
+    hits = scan.select("row", F.inline("hits")).join(there, F.expr("h = i_h AND kind = i_kind"), "left_semi")
+    windows = hits.mapInArrow(_extended("row"), f"row long, {WINDOWS}")
+    # the items of each window as one number, as windows of a passage have the same ones
+    digest = ["kind", "d1", "d2"]
+    owners = known.mapInArrow(_extended("item_id"), f"item_id long, {WINDOWS}").groupBy(*digest)
+    owners = stored(owners.agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("owned", F.xxhash64("items")), "op5-owners")
+    met = windows.join(owners.select(*digest, "owned"), digest)
+    spans = met.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("spans"), F.array_sort(F.collect_set("owned")).alias("sets"))
+    counted = spans.mapInArrow(_covered, "row long, n_hit long, spans array<struct<low: int, high: int>>, sets array<long>")
+    counted = stored(counted.withColumn("sets_key", F.xxhash64("sets")), "op5-counted")
+    # documents that met the same sets of items have the same items: each combination is looked up once
+    lists = owners.groupBy("owned").agg(F.first("items").alias("items"))
+    combined = counted.groupBy("sets_key").agg(F.first("sets").alias("sets")).select("sets_key", F.explode("sets").alias("owned"))
+    each = combined.join(lists, "owned").select("sets_key", F.explode("items").alias("item")).distinct()
+    named = each.groupBy("sets_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    as_text = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    named = named.select("sets_key", "items", F.size("items").cast("long").alias("n_items"), F.sha2(as_text, 256).alias("items_sha256"))
+    counted = counted.join(named, "sets_key").select("row", "n_hit", "n_items", "items_sha256", "items", "spans")
     joined = scan.select("row", F.col("id").alias("doc_id"), "text_hash", "n_words").join(counted, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(

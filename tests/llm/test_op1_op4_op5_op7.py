@@ -262,3 +262,20 @@ def test_sharding_edges(spark):
 def test_sharding_stays_in_the_jvm(spark):
     plan = sharding.assign(make(spark, [(i, "t", "a") for i in range(9)]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_common_fingerprints_make_no_product(spark):
+    """1,000 documents and 400 items share nine common words, and no window: few rows go on, and nothing is hit."""
+    shared = "nine words that stand in all of them here"
+    side = lambda kind, i, k: " ".join(f"{kind}{i}w{j}" for j in range(k))
+    docs = [(i, f"{side('d', i, 8)} {shared} {side('e', i, 8)}") for i in range(1000)]
+    items = [(i, f"{side('b', i, 8)} {shared} {side('c', i, 8)}") for i in range(400)]
+    items.append((400, f"{side('d', 7, 8)} {shared}"))  # one document is contaminated
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    scan = documents.selectExpr("doc_id AS id", "text", "xxhash64(text) AS text_hash").mapInArrow(decontam._scan([13], None, None), decontam.SCANNED)
+    prints = scan.selectExpr("sum(size(hits))").first()[0]
+    windows = scan.selectExpr("row", "inline(hits)").mapInArrow(decontam._extended("row"), f"row long, {decontam.WINDOWS}").count()
+    assert windows <= 10 * prints
+    found = {r.doc_id: (r.n_hit, r.items) for r in decontam.contamination(documents, benchmark).where("n_hit > 0").collect()}
+    assert found == {7: (17, [400])}
