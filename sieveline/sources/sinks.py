@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -96,7 +97,7 @@ class Store:
             return fs.S3FileSystem(**dict(self.settings)), rest.lstrip("/")
         if name == "file":
             return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-        return fs.FileSystem.from_uri(f"{name}:{rest}")
+        return fs.FileSystem.from_uri(quote(f"{name}:{rest}", safe=":/@"))
 
 
 class FilesSource(DataSource):

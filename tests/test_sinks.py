@@ -79,3 +79,12 @@ def test_a_failed_task_leaves_no_half_file(spark, tmp_path):
     left = files_in(tmp_path)
     assert "77" not in left and not any("_staging" in f for f in left)
     assert all((tmp_path / f).read_text() in ("x" * 1000, "as it was") for f in left)
+
+
+def test_stores_of_other_schemes():
+    from pyarrow import fs
+
+    known = sinks.Store("s3a://bucket/some folder", (("access_key", "k"), ("secret_key", "s"), ("region", "eu-west-1")))
+    system, place = known.opened()
+    assert isinstance(system, fs.S3FileSystem) and place == "bucket/some folder"
+    assert sinks.Store("file:/tmp/a b").opened()[1] == "/tmp/a b" == sinks.Store("file:///tmp/a b").opened()[1]
