@@ -17,26 +17,51 @@ def _decimal(values: dict[str, str], c: Column | str) -> Column:
     return F.try_element_at(table, F.coalesce(c, F.lit("")))
 
 
+SUMS = ["n_field_verdicts", "n_scored_verdicts", *[f"n_{v}" for v in VERDICTS], "points", "weight"]
+
+
+def _sums() -> list[Column]:
+    """Counts, and sums of decimals: they can be added up in any order and from any parts."""
+    point, weight = _decimal(POINTS, "verdict"), _decimal(WEIGHTS, "confidence")
+    scored = point.isNotNull() & weight.isNotNull()
+    exact = lambda c: F.coalesce(F.sum(F.when(scored, c)), F.lit(0)).cast("decimal(28,4)")
+    return [
+        F.count(F.lit(1)).alias("n_field_verdicts"), F.count_if(scored).alias("n_scored_verdicts"),
+        *[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in VERDICTS], exact(point * weight).alias("points"), exact(weight).alias("weight")
+    ]
+
+
+def paper_sums(verdicts: DataFrame) -> DataFrame:
+    """paper_id and what ``from_sums`` needs of each paper's verdicts."""
+    return verdicts.groupBy("paper_id").agg(*_sums())
+
+
+def from_sums(papers: DataFrame) -> DataFrame:
+    """The row of ``reliability`` from ``paper_sums``: equal to the last digit, as all that is added up is exact."""
+    total = papers.agg(
+        F.count_distinct(F.when(F.col("n_field_verdicts") > 0, F.nullif("paper_id", F.lit("")))).alias("n_papers_audited"),
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("decimal(28,4)" if c in ("points", "weight") else "long").alias(c) for c in SUMS]
+    )
+    return _scored(total)
+
+
 def reliability(verdicts: DataFrame) -> DataFrame:
     """One row: counts, weighted sums, fractions and scores out of ten; raw ones are null without a scored verdict.
 
     Unverifiable and unknown verdicts, and unknown confidences, count as verdicts but are not scored. Sums are of
     decimals, so they do not depend on the order of rows.
     """
-    point, weight = _decimal(POINTS, "verdict"), _decimal(WEIGHTS, "confidence")
-    scored = point.isNotNull() & weight.isNotNull()
-    sums = verdicts.agg(
-        F.count(F.lit(1)).alias("n_field_verdicts"), F.count_if(scored).alias("n_scored_verdicts"), F.count_distinct(
-            F.nullif("paper_id", F.lit(""))
-        ).alias("n_papers_audited"),
-        *[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in VERDICTS],
-        F.coalesce(
-            F.sum(F.when(scored, point * weight)), F.lit(0)
-        ).cast("double").alias("weighted_points"), F.coalesce(F.sum(F.when(scored, weight)), F.lit(0)).cast("double").alias("weighted_weight"),
+    return _scored(verdicts.agg(F.count_distinct(F.nullif("paper_id", F.lit(""))).alias("n_papers_audited"), *_sums()))
+
+
+def _scored(sums: DataFrame) -> DataFrame:
+    shown = sums.select(
+        "n_field_verdicts", "n_scored_verdicts", "n_papers_audited", *[f"n_{v}" for v in VERDICTS],
+        F.col("points").cast("double").alias("weighted_points"), F.col("weight").cast("double").alias("weighted_weight")
     )
     raw = F.try_divide("weighted_points", F.nullif("weighted_weight", F.lit(0.0)))
     shrunk = (F.col("weighted_points") + PRIOR_SCORE * PRIOR_STRENGTH) / (F.col("weighted_weight") + PRIOR_STRENGTH)
-    return sums.withColumns(
+    return shown.withColumns(
         {"raw_fraction": raw, "shrunk_fraction": shrunk, "raw_score_10": F.bround(raw * 10, 1), "shrunk_score_10": F.bround(shrunk * 10, 1)}
     )
 

@@ -13,6 +13,7 @@ from . import audit
 from . import catalog
 from .catalog import _WORD_COUNT, A, FOUR, POINTS, SIDE, V, WEIGHTS, _board, _flat, _query, _registry
 from .catalog_stages import _folder
+from .scored_log import ScoredLog
 from .inputs import ARTICLES, VERDICTS, article_part, derived
 
 
@@ -117,3 +118,19 @@ def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         if n == 2:
             log.compact()
     return log.state().select("paper_id", "status", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+_CHANGED = "CASE WHEN event_id % 10 = 3 THEN 'match' ELSE verdict END"
+_LAST = f"(SELECT paper_id, explanation, {_CHANGED} AS verdict, confidence FROM {V}) AS v"
+
+
+@_query(catalog.oracle_sql()["reliability_score"].replace(f"FROM {V}", f"FROM {_LAST}"))
+def score_after_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of a log of verdicts in three appends, the last of which changes some of the first: from sums by paper."""
+    rows = derived(spark, sf_dir, VERDICTS)
+    log = ScoredLog(spark, _folder(spark, "scored"), "paper_id string, explanation string, verdict string, confidence string", "paper_id", "explanation")
+    changed = F.when(F.col("event_id") % 10 == 3, "match").otherwise(F.col("verdict"))
+    log.append(rows.where("event_id % 10 < 5"))
+    log.append(rows.where("event_id % 10 >= 5").withColumn("verdict", changed))
+    log.append(rows.where("event_id % 10 = 3").withColumn("verdict", changed))
+    return log.score()

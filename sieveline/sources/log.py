@@ -73,15 +73,23 @@ class Log:
 
     def state(self, version: int | None = None) -> DataFrame:
         """The last row of each key, as of a version or now."""
-        rows = self._read(self.batches(version))
+        return self.last(self._read(self.batches(version)))
+
+    def last(self, rows: DataFrame) -> DataFrame:
+        """The last of the given rows of this log by key."""
         own = [c for c in rows.columns if c[0] != "_" and c not in self.key]
         last = rows.groupBy(*self.key).agg(F.max_by(F.struct(*own), F.struct("_version", "_row")).alias("last"))
         return last.select(*self.key, "last.*").select(*[c for c in rows.columns if c[0] != "_"])
 
+    def state_of(self, keys: DataFrame) -> DataFrame:
+        """The state of the rows that ``keys``, some of the key's columns, name."""
+        rows = self.state()
+        return rows.join(keys.distinct(), keys.columns, "left_semi")
+
     def added(self, since: int) -> DataFrame:
-        """Rows of the batches that versions after ``since`` added, as they were written."""
+        """Rows of the batches that versions after ``since`` added, as they were written, with _version and _row, which order them."""
         before = set(self.batches(since)) if since else set()
-        return self._read([b for b in self.batches() if b not in before]).drop("_version", "_row")
+        return self._read([b for b in self.batches() if b not in before])
 
     def _written(self, rows: DataFrame, number: int) -> str:
         batch = f"{number:0{DIGITS}}-{uuid.uuid4().hex}"
