@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import article, dashboard, records
+from ..operators import article, dashboard, matching, records
 from ..operators.search import TextIndex
 from ..sources import tables
 from ..sources.log import Log
+from ..streaming import claims
+from ..tables import stored
 from . import audit
 from . import catalog
 from .catalog import _WORD_COUNT, A, FOUR, POINTS, SIDE, V, WEIGHTS, _board, _flat, _query, _registry
 from .catalog_stages import _folder
 from .scored_log import ScoredLog
-from .inputs import ARTICLES, VERDICTS, article_part, derived
+from .inputs import ARTICLES, FILES, VERDICTS, article_part, derived
 
 
 @_query(
@@ -134,3 +136,15 @@ def score_after_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     log.append(rows.where("event_id % 10 >= 5").withColumn("verdict", changed))
     log.append(rows.where("event_id % 10 = 3").withColumn("verdict", changed))
     return log.score()
+
+
+@_query(catalog.oracle_sql()["claim_manifest"])
+def streamed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest from a stream of matches in three batches, each of which writes the claims that it changes."""
+    found = stored(matching.match_files(derived(spark, sf_dir, FILES), _registry(spark, sf_dir)), "matches")
+    source, log = _folder(spark, "arriving"), _folder(spark, "claims")
+    for k in range(3):
+        found.where(F.pmod(F.xxhash64("file"), F.lit(3)) == k).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(found.schema).parquet(source)
+        claims.follow(stream, log, f"{log}-marks").awaitTermination()
+    return claims.claims_log(spark, log).state()
