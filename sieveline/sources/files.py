@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from dataclasses import replace
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import stored
+from .sinks import Store
+
 SUFFIXES = ("pdf", "txt", "md")
 
 
@@ -47,16 +53,59 @@ def _checked(spark: SparkSession, path: str) -> None:
         raise UnsupportedFileType(path)
 
 
+LISTED = "path string, folder boolean, length long"
+#: Folders that a task lists at most before it hands their names on.
+FOLDERS_A_TASK = 64
+
+
+def _children(store: Store):
+    """What stands in each folder of a batch. Names that Spark's readers leave out, with . or _ in front, are left out."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                system, place = replace(store, folder=folder).opened()
+                found = [i for i in system.get_file_info(fs.FileSelector(place)) if i.base_name[0] not in "._"]
+                is_folder = [i.type == fs.FileType.Directory for i in found]
+                arrays = [
+                    pa.array([f"{folder}/{i.base_name}" for i in found], pa.string()),
+                    pa.array(is_folder, pa.bool_()),
+                    pa.array([i.size or 0 for i in found], pa.int64())
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["path", "folder", "length"])
+
+    return rows
+
+
+def tree(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of every file under a folder: tasks list the folders of one depth, a table of them is the next one's.
+
+    No name comes to the driver, however many there are. Stores are those of ``sinks.Store``.
+    """
+    store = Store.at(spark, path)
+    level, files = spark.createDataFrame([(store.folder, True, 0)], LISTED), None
+    while True:
+        folders = level.where("folder")
+        n = folders.count()
+        if not n:
+            return files if files is not None else level.select("path", "length").limit(0)
+        dealt = folders.select("path").repartition(-(-n // FOLDERS_A_TASK), "path")
+        level = stored(dealt.mapInArrow(_children(store), LISTED), "folders")
+        own = level.where("NOT folder").select("path", "length")
+        files = own if files is None else files.unionByName(own)
+
+
 def _listed(spark: SparkSession, path: str) -> DataFrame:
-    """path of every file, those of no length too: the names that Spark's own listing holds, in one call."""
-    found = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", _contents(spark, path)._jdf.inputFiles())
-    names = spark.createDataFrame([(name,) for name in found.split("\n") if name], "path string")
-    plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
-    return names.select(F.regexp_replace(plain, "^([A-Za-z0-9+.-]+):///", "$1:/").alias("path"))  # as the reader writes them
+    """path and length of every file of the suffixes, those of no length too."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = root.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(root)
+    if status.isDirectory():
+        return tree(spark, path).where(F.lower("path").rlike(rf"\.({'|'.join(SUFFIXES)})$"))
+    return spark.createDataFrame([(status.getPath().toString(), status.getLen())], "path string, length long")
 
 
 def list_files(spark: SparkSession, path: str, skip_readme: bool = False) -> DataFrame:
-    """path, suffix and stem of the articles under a folder, or of the one file; files of no length are listed too."""
+    """path, length, suffix and stem of the articles under a folder, or of the one file; files of no length are listed too."""
     _checked(spark, path)
     return _described(_listed(spark, path), skip_readme)
 
@@ -102,7 +151,7 @@ def load_texts(spark: SparkSession, path: str, skip_readme: bool = False) -> Dat
     # one scan for all kinds; what is no PDF goes through Python as a null
     read = content.withColumn("from_pdf", pdf_text(F.when(is_pdf, F.col("content"))))
     read = read.select("path", "stem", "suffix", F.when(is_pdf, F.col("from_pdf")).otherwise(plain).alias("text"))
-    blank = _described(_listed(spark, path).join(_contents(spark, path).select("path"), "path", "left_anti"), skip_readme)
+    blank = _described(_listed(spark, path).where("length = 0").select("path"), skip_readme)  # that reader leaves them out
     blank = blank.select("path", "stem", "suffix", F.when(~is_pdf, F.lit("")).alias("text"))
     return read.unionByName(blank).withColumnRenamed("path", "file")
 
