@@ -45,19 +45,32 @@ MOST_VALUES = 1 << 16
 def least_drawn(rows: DataFrame, by: str, most: int, *order: str) -> DataFrame:
     """Of each value of ``by`` the ``most`` rows of least hash of ``order`` (then by order itself).
 
-    First only rows stay whose hash is among the least of so many rows as the value has, by a margin, so that what is
-    ranked does not grow with the table. The margin is four times and 64 rows, far beyond chance.
+    First only rows stay whose hash is among the least of so many different ones as the value has, by a margin, so that
+    what is ranked does not grow with the table. The margin is four times and 64 rows, far beyond chance and the error
+    of the counts. Rows that repeat count once.
     """
     unit = F.shiftrightunsigned(F.xxhash64(*order), 11) * F.lit(2.0**-53)
-    drawn = rows.withColumn("draw", unit)
-    counts = drawn.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"))
+    drawn = rows.select(by, *order).withColumn("draw", unit)
+    counts = drawn.groupBy(by).agg(F.approx_count_distinct("draw", 0.05).alias("n_rows"))
     few = counts.count() <= MOST_VALUES  # else the join is dealt out by value
     thin = drawn.join(F.broadcast(counts) if few else counts, by)
-    thin = thin.where(F.col("draw") * F.col("n_rows") < 4 * most + 64).drop("n_rows")
+    thin = thin.where(F.col("draw") * F.col("n_rows") < 4 * most + 64).drop("n_rows").distinct()
     place = F.row_number().over(Window.partitionBy(by).orderBy("draw", *order))
     return thin.withColumn("place", place).where(F.col("place") <= most).drop("place", "draw")
 
 
+def drawn_texts(texts: DataFrame, picked: DataFrame, by: str, most: int, *on: str) -> DataFrame:
+    """The rows of ``texts`` (doc_id, text and others) that ``picked`` names by ``on``, ``most`` of each value of ``by`` at most.
+
+    A doc_id that repeats has all its different texts among the rows to draw from, and each (doc_id, text) once: what
+    is gathered of them does not grow with how often an id repeats. ``picked`` goes to all tasks.
+    """
+    asked = texts.join(F.broadcast(picked), list(on)).withColumn("text_hash", F.xxhash64("text"))
+    few = least_drawn(asked.select("doc_id", "text_hash", by).distinct(), by, most, "doc_id", "text_hash")
+    rows = asked.join(F.broadcast(few), ["doc_id", "text_hash", by])
+    return rows.groupBy("doc_id", "text_hash", by).agg(F.first("text").alias("text")).select("doc_id", "text", by)
+
+
 ID_KEYS = ["key_id", "key_null", "key_text"]
 
 

@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_KEYS, U64, Rolling, least_drawn, mixed, ragged, sliced, text_bytes, word_spans
+from .common import BYTE_KEYS, U64, Rolling, drawn_texts, least_drawn, mixed, ragged, sliced, text_bytes, word_spans
 from .crf import Features, fit, marginals
 
 TABLE = 1 << 17
 NO_LANGUAGE = "und"
-#: Rows (doc_id, lang) of a sample that are sent to all tasks at most; beyond that the join is dealt out.
-MOST_SENT = 1 << 18
+#: Languages that a model learns at most: its weights are a number for each feature and language.
+MOST_LANGUAGES = 256
 #: A word is in a language's lexicon if so many texts have it and so great a share of them are in that language.
 LEXICON_TEXTS, LEXICON_SHARE = 3, 0.9
 LETTER = np.zeros(256, bool)
@@ -178,18 +178,20 @@ def train(sample: pa.Table, rounds: int) -> Model:
 def learn(documents: DataFrame, per_language: int = 150, rounds: int = 15) -> Model:
     """Fit on the per_language texts of least hash of each language, among doc_ids whose crc32 mod 5 is not 0.
 
-    Ids and languages alone are looked at first, then the texts picked. The sample, per_language x languages texts
-    (more where a doc_id repeats), is gathered in one task and fitted there.
+    Ids and languages alone are looked at first, then the texts picked; of rows that repeat a doc_id each different text
+    is drawn from once. The sample, per_language x languages texts at most, is gathered in one task and fitted there.
+    More than MOST_LANGUAGES languages are an error, as the model has a weight for each feature and language.
     """
     named = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
     usable = named.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
+    n_languages = usable.select("lang").distinct().count()
+    if n_languages > MOST_LANGUAGES:
+        raise ValueError(f"{n_languages} languages to learn; at most {MOST_LANGUAGES} are")
     picked = least_drawn(usable.select("doc_id", "lang"), "lang", per_language, "doc_id")
-    # per_language rows a language; that these are few enough to be sent to all tasks is checked
-    few = usable.select("lang").distinct().count() * per_language <= MOST_SENT
-    picked = F.broadcast(picked) if few else picked
-    sample = usable.where("text IS NOT NULL").join(picked, ["doc_id", "lang"], "left_semi")
+    # per_language x MOST_LANGUAGES rows at most are sent to all tasks
+    sample = drawn_texts(usable.where("text IS NOT NULL"), picked, "lang", per_language, "doc_id", "lang")
     sample = sample.withColumn("draw", F.xxhash64("doc_id"))
 
     def fitted(table: pa.Table) -> pa.Table:
@@ -216,7 +218,9 @@ def identify_rows(documents: DataFrame, model: Model) -> DataFrame:
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row.
 
-    ``und`` with score 0 for null texts and texts without a letter (and for all if nothing could be learned).
+    ``und`` with score 0 for null texts and texts without a letter (and for all if nothing could be learned). Repeated
+    rows get equal rows, a tie goes to the first language by name, a very long text is labelled whole, and an empty
+    table gives an empty result.
     lang, source and doc_id are not read for the prediction.
     """
     docs = documents.select(

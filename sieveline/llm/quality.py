@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, NOT_SPACE, Rolling, least_drawn, sliced, text_bytes, word_spans
+from .common import BYTE_KEYS, NOT_SPACE, Rolling, drawn_texts, least_drawn, sliced, text_bytes, word_spans
 from .crf import Features, fit, marginals
 
 BINS = 8
@@ -178,8 +178,9 @@ def held_out(column: str = "doc_id"):
 def learn(documents: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model | None:
     """Fit on per_class labelled documents of each class, of least hash, among doc_ids whose crc32 mod 3 is not 1.
 
-    Of several labels of one doc_id the lower counts. The sample, 2 x per_class texts, is gathered in one task and
-    fitted there; rows that repeat a doc_id are all in it.
+    Of several labels of one doc_id the lower counts. Of rows that repeat a doc_id each different text is drawn from
+    once. The sample, 2 x per_class texts at most, is gathered in one task and fitted there. Without labelled rows
+    there is no model.
     """
     known = labels.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")
@@ -187,7 +188,7 @@ def learn(documents: DataFrame, labels: DataFrame, per_class: int = 1000) -> Mod
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out())
     picked = least_drawn(known, "quality", per_class, "doc_id")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = docs.join(F.broadcast(picked), "doc_id")  # 2 x per_class rows at most
+    sample = drawn_texts(docs, picked, "quality", per_class, "doc_id")  # 2 x per_class rows at most
 
     def fitted(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
@@ -202,7 +203,8 @@ def classify(documents: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: better) and predicted (1 if score >= 0.5) for each row.
 
     A null or empty text is one empty line and is scored like any other. Without any labelled document all scores
-    are 0.5. Labels, lang, source and doc_id are not read for the score.
+    are 0.5. Repeated rows get equal rows; a very long text is scored whole, by itself; an empty table gives an empty
+    result. Labels, lang, source and doc_id are not read for the score.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -125,3 +125,30 @@ def test_quality_edges(spark):
 def test_lines_never_cross_texts():
     features, sizes, lines = quality.line_features(pa.array(["a b\nc", "", None, "\n"]))
     assert lines.tolist() == [0, 2, 3, 4, 6] and sizes.tolist() == [4, 2, 1, 1, 1, 1] and len(features) == 6
+
+
+def test_samples_are_bounded_where_ids_repeat(spark, monkeypatch):
+    """One labelled doc_id has 1,500 of 3,000 rows: 10 of each class, or language, reach the task that fits, whatever it repeats."""
+    from pyspark.sql import functions as F
+
+    from sieveline.llm import common, langid, quality
+
+    ids = [(i, f"text number {i} with some words") for i in range(1500)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1500)], "doc_id long, quality int")
+    for kind in ("different", "equal"):
+        known = labels.where(~quality.held_out())
+        hot = common.least_drawn(known, "quality", 10, "doc_id").first().doc_id
+        rows = ids + [(hot, f"again {i}" if kind == "different" else "again") for i in range(1500)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        picked = common.least_drawn(known, "quality", 10, "doc_id")
+        assert picked.count() == 20
+        drawn = common.drawn_texts(docs, picked, "quality", 10, "doc_id")
+        assert {r["quality"]: r["count"] for r in drawn.groupBy("quality").count().collect()} == {0: 10, 1: 10}
+        spoken = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "en").otherwise("fr"))
+        some = common.least_drawn(spoken.select("doc_id", "lang"), "lang", 10, "doc_id")
+        assert some.count() == 20
+        both = common.drawn_texts(spoken, some, "lang", 10, "doc_id", "lang")
+        assert {r["lang"]: r["count"] for r in both.groupBy("lang").count().collect()} == {"en": 10, "fr": 10}
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(spoken)
