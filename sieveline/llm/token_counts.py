@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import Store
 from .common import stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -96,8 +98,10 @@ def blocks_of_files(
 
     Files of up to ``whole`` bytes come through Spark's reader, from any store. Larger ones, which that reader takes
     as one value each and refuses beyond 2 GB, are read in pieces of about ``piece`` bytes, many at once, by Arrow's
-    file systems (local, HDFS, S3 and the like). A file without a byte has no blocks.
+    file systems (local, HDFS, S3 and the like, s3a with the keys and the endpoint of Spark's settings). A file without
+    a byte has no blocks.
     """
+    store = Store.at(spark, path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,16 +109,9 @@ def blocks_of_files(
                 yield from _cut(name, 0, content.as_buffer(), block_bytes)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from urllib.parse import quote
-
-        from pyarrow import fs
-
         for batch in batches:
             for name, first, n in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "blocks")), strict=True):
-                local = name.startswith("file:")
-                system, place = (
-                    fs.LocalFileSystem(), name.removeprefix("file:")
-                ) if local else fs.FileSystem.from_uri(quote(name, safe=":/@"))
+                system, place = replace(store, folder=name).opened()
                 with system.open_input_file(place) as file:
                     for k in range(first, first + n):
                         yield from _cut(name, k, pa.py_buffer(file.read_at(block_bytes, k * block_bytes)), block_bytes)
@@ -208,7 +205,8 @@ def stitched(scan: DataFrame) -> DataFrame:
 def token_counts(documents: DataFrame, block_tokens: int = 1 << 16, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
     """doc_id, n_tokens, file and ordinal of each row, counted from the flat token stream of the documents.
 
-    Null and empty texts have 0 tokens. Repeated rows give repeated rows; a null doc_id stays null.
+    Null and empty texts have 0 tokens. Repeated rows give repeated rows; a null doc_id stays null. A very long text is
+    encoded whole and its tokens lie in several blocks; an empty table gives an empty result.
     """
     scan = stored(scanned(packed(documents, block_tokens, vocabulary, end), end), "op1-scan")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
