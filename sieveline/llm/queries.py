@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     decontam, langid, line_rules, mixing, prefix_trie, quality, sharding, simhash, substring, suffix_dedup, token_counts, topk, turn_repair
 )
-from .queries_sql import OP11_SQL, OP12_SQL, OP13_SQL
+from .queries_sql import OP3_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,11 +95,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: op1, op2, op4, op6 and op10 have none: BPE, learned labels, label propagation and XXH64 are not in SQL; op3's would
-#: look at 400 bytes for each byte of the table. tests/llm holds these against brute force.
+#: op1, op2, op4, op6 and op10 have none: BPE, learned labels, label propagation and XXH64 are not in SQL. tests/llm
+#: holds these against brute force.
 def oracle_sql() -> dict[str, str]:
     """Equivalent DuckDB SQL where SQL can express the contract."""
     return {
+        "op3_suffix_array_dedup": OP3_SQL,
         "op5_benchmark_decontamination": OP5_SQL,
         "op7_mixing": OP7_SQL,
         "op8_substring_dedup": OP8_SQL,

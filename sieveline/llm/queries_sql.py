@@ -1,4 +1,4 @@
-"""DuckDB SQL of op11 to op13. Checksums are computed bit by bit, as DuckDB has no CRC-32."""
+"""DuckDB SQL of op3 and of op11 to op13. Checksums are computed bit by bit, as DuckDB has no CRC-32."""
 
 from __future__ import annotations
 
@@ -18,6 +18,19 @@ def _shifted(acc: str) -> str:
     return f"xor(({acc}) >> 1, 3988292384::BIGINT * (({acc}) & 1))"
 
 
+#: Strings of 400 bytes by digest, texts in hexadecimal digits: for small tables.
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, md5(substring(x, 2 * i + 1, 800)) AS m FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 399)) AS i FROM d) AS p),
+c AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS n FROM w) AS k WHERE n > 1),
+s AS (SELECT r, i, before, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS span FROM c),
+g AS (SELECT r, span, min(i) AS a, max(i) + 400 AS b FROM s GROUP BY r, span),
+k AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM g GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, n_spans + 1), lambda j: substring(x, CASE WHEN j = 0 THEN 1 ELSE 2 * ends[j] + 1 END, CASE WHEN j = n_spans THEN len(x) ELSE 2 * starts[j + 1] - CASE WHEN j = 0 THEN 0 ELSE 2 * ends[j] END END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
 OP11_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
