@@ -4,10 +4,11 @@ A 64-bit fingerprint has eight positional bytes, in four pieces of two. Two fing
 bits share at least six bytes (the guaranteed minimum of matches) and at least two pieces. The index lists the
 distinct fingerprints by the content of each two pieces: six lists a fingerprint, keyed by 32 bits. Within a list the
 shared positional bytes of each pair are tallied, pairs that reach six are retained, and these are verified bit by
-bit. A list of over LONG members is first cut by the content of two more bytes, in each of the six ways, since a pair
-that counts shares two of the other four bytes as well; what is long even then holds at most 65,536 fingerprints that
-differ in two known bytes, and there the 136 neighbours of each member are looked up instead of trying all pairs. So
-no list costs the square of its size. Links are contracted to stars inside each task; components of these give the
+bit. A list of over LONG members is cut before it is gathered, by the content of two more bytes, in each of the six
+ways, since a pair that counts shares two of the other four bytes as well. What is long even then holds at most 65,536
+fingerprints that differ in two known bytes: all its pairs share six bytes, so a tally would keep them all, and they
+are verified by looking up the 136 neighbours of each member instead of trying all pairs. So no list costs the square
+of its size, and none is in one task whole. Links are contracted to stars inside each task; components of these give the
 classes.
 
 Fingerprints are computed in Python, where one call of a C library hashes a shingle: with column expressions
@@ -122,10 +123,20 @@ def _byte_mask(byte: int) -> np.uint64:
     return np.uint64(255 << 8 * byte)
 
 
+def _rest(kind: int) -> list[int]:
+    """The bytes that do not key a kind of list."""
+    return [b for b in range(8) if b // 2 not in KINDS[kind]]
+
+
+def _cuts(kind: int) -> list[tuple[int, int]]:
+    """The pairs of bytes that cut its long lists."""
+    return list(combinations(_rest(kind), 2))
+
+
 def refined(members: np.ndarray, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links in a long list: by two more bytes, then by tally or, in what is still long, by neighbours."""
-    rest = [b for b in range(8) if b // 2 not in KINDS[kind]]
-    for fixed in combinations(rest, 2):
+    rest = _rest(kind)
+    for fixed in _cuts(kind):
         keys = members & (_byte_mask(fixed[0]) | _byte_mask(fixed[1]))
         order = np.argsort(keys, kind="stable")
         own = members[order]
@@ -138,21 +149,23 @@ def refined(members: np.ndarray, kind: int) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by list (kind, content); lists are whole within a partition."""
+    """Rows come sorted by list (kind, content, part, sub); lists are whole within a partition. Part is -1 where a list is not cut."""
     rest: list[np.ndarray] = []
     found: list[tuple[np.ndarray, np.ndarray]] = []
     n_found = 0
 
     def linked(rows: np.ndarray) -> None:
         nonlocal found, n_found
-        new = (rows[1:, :2] != rows[:-1, :2]).any(1)
+        new = (rows[1:, :4] != rows[:-1, :4]).any(1)
         heads = np.flatnonzero(np.concatenate([[True], new]))
         tails = np.append(heads[1:], len(rows))
-        members = np.ascontiguousarray(rows[:, 2]).view(np.uint64)
+        members = np.ascontiguousarray(rows[:, 4]).view(np.uint64)
         some, long = tails - heads > 1, tails - heads > LONG
         parts = [*tallied(members, heads[some & ~long], tails[some & ~long])]
         for a, b in zip(heads[long].tolist(), tails[long].tolist(), strict=True):
-            parts.append(stars(refined(members[a:b], int(rows[a, 0]))))
+            kind, part = int(rows[a, 0]), int(rows[a, 2])
+            free = tuple(x for x in _rest(kind) if x not in _cuts(kind)[part])
+            parts.append(stars(neighbours(members[a:b], free) if part >= 0 else refined(members[a:b], kind)))
         found += parts
         n_found += sum(len(a) for a, _ in parts)
         if n_found > PAIRS:
@@ -160,15 +173,15 @@ def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_found = len(found[0][0])
 
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+        rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)], 1)
         if not len(rows):
             continue
-        fresh = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1))
-        if rest and not len(fresh) and (rows[0, :2] == rest[-1][-1, :2]).all():
+        fresh = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(1))
+        if rest and not len(fresh) and (rows[0, :4] == rest[-1][-1, :4]).all():
             rest.append(rows)  # one list goes on
             continue
         rows = np.concatenate([*rest, rows])
-        last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1))
+        last = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(1))
         upto = int(last[-1]) + 1 if len(last) else 0
         rest = [rows[upto:]]
         if upto:
@@ -186,6 +199,23 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return docs.mapInArrow(_fingerprint_rows, "doc_id long, text_hash long, fp long")
 
 
+LIST = ["kind", "content", "part", "sub"]
+
+
+def _cut_lists(index: DataFrame) -> DataFrame:
+    """Rows (kind, content, part, sub, fp): as they are (part -1), or in long lists six times, by two more bytes each."""
+    long = stored(index.groupBy("kind", "content").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG), "op10-long")
+    whole = lambda rows: rows.select("kind", "content", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("sub"), "fp")
+    if long.isEmpty():
+        return whole(index)
+    masks = [[_signed(sum(255 << 8 * b for b in cut)) for cut in _cuts(k)] for k in range(len(KINDS))]
+    subs = F.get(F.array(*[F.array(*[F.lit(m) for m in own]) for own in masks]), F.col("kind"))
+    of_long = index.join(long.drop("n"), ["kind", "content"], "left_semi")
+    cut = of_long.select("kind", "content", "fp", F.posexplode(subs).alias("part", "mask"))
+    cut = cut.select("kind", "content", "part", F.col("fp").bitwiseAND(F.col("mask")).alias("sub"), "fp")
+    return whole(index.join(long.drop("n"), ["kind", "content"], "left_anti")).unionByName(cut)
+
+
 def _classes(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, fp, root (a fingerprint of the class) and component_id of each row."""
     prints = stored(fingerprints(documents), "op10-prints")
@@ -193,8 +223,8 @@ def _classes(documents: DataFrame) -> DataFrame:
     masks = [_signed(sum(0xFFFF << (16 * piece) for piece in kind)) for kind in KINDS]
     kinds = [F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(mask)).alias("content")) for k, mask in enumerate(masks)]
     index = nodes.select("fp", F.explode(F.array(*kinds)).alias("list")).select("list.kind", "list.content", "fp")
-    index = index.repartition("kind", "content").sortWithinPartitions("kind", "content", "fp")
-    edges = index.mapInArrow(_edge_rows, "a long, b long")
+    lists = _cut_lists(index)
+    edges = lists.repartition(*LIST).sortWithinPartitions(*LIST, "fp").mapInArrow(_edge_rows, "a long, b long")
     roots = components(edges).withColumnsRenamed({"node": "fp"})
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -209,8 +239,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Fingerprints of 3-word shingles (A-Z lower-cased, repeats counted) link at two or fewer differing bits;
     component_id is the smallest doc_id that can be reached over links. Null, empty and blank texts have the
     fingerprint zero and are linked like any other. Equal fingerprints are one node, so copies cost nothing; null
-    doc_ids belong to their component but can't name it, and a component of nothing else has a null id. Columns
-    besides doc_id and text are not read.
+    doc_ids belong to their component but can't name it, and a component of nothing else has a null id. A very long
+    text is hashed whole, shingle by shingle. An empty table gives an empty result. Columns besides doc_id and text
+    are not read.
     """
     return _classes(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -197,3 +197,41 @@ def test_pairs_without_hope_get_no_rows(spark, monkeypatch):
     got = {tuple(r) for r in top_k(df, df.where("vec_id % 20 = 0"), 20, 16, 16, 64).collect()}
     assert got == brute_top(rows, 20, 20)
     assert sizes["op9-open"] < 0.5 * sizes["op9-home"] * 2000 / 64
+
+
+def test_long_lists_are_cut_before_they_are_gathered(spark, monkeypatch):
+    """Fingerprints that share half of their bytes: the same links by lists that are cut, however short a long list is."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from sieveline.llm import simhash
+
+    rnd = np.random.default_rng(10)
+    base = rnd.integers(0, 1 << 16, 3000, np.uint64) | np.uint64(0xABCD_1234 << 32)
+    near = base[:500] ^ (np.uint64(1) << rnd.integers(0, 64, 500, np.uint64))
+    prints = np.unique(np.concatenate([base, near]))
+    rows = [(int(x),) for x in prints.view(np.int64)]
+    masks = [simhash._signed(sum(0xFFFF << (16 * piece) for piece in kind)) for kind in simhash.KINDS]
+    kinds = [F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(m)).alias("content")) for k, m in enumerate(masks)]
+    index = spark.createDataFrame(rows, "fp long").select("fp", F.explode(F.array(*kinds)).alias("list")).select("list.kind", "list.content", "fp")
+    monkeypatch.setattr(simhash, "LONG", 40)  # of the driver's side: tasks keep theirs
+    cut = simhash._cut_lists(index)
+    sizes = cut.groupBy(*simhash.LIST).count()
+    assert cut.where("part >= 0").count() > 0 and sizes.where("part < 0").agg({"count": "max"}).first()[0] <= 40
+    ordered = cut.repartition(*simhash.LIST).sortWithinPartitions(*simhash.LIST, "fp")
+    found = ordered.mapInArrow(simhash._edge_rows, "a long, b long")
+    root = {r.node: r.root for r in simhash.components(found).collect()}
+    want = {int(x): int(x) for x in prints.view(np.int64)}
+
+    def top(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    flat = prints.view(np.int64).tolist()
+    for i, x in enumerate(prints):
+        for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ x) <= 2).tolist():
+            a, b = top(flat[i]), top(flat[i + 1 + j])
+            want[max(a, b)] = min(a, b)
+    groups = lambda name: {frozenset(y for y in flat if name(y) == r) for r in set(map(name, flat))}
+    assert groups(lambda x: root.get(x, x)) == groups(top)
