@@ -76,7 +76,7 @@ def assign(documents: DataFrame, shards: int = 16, rounds: int = 8, slack: float
 
     Shards differ by one row at most; slots are gapless from 0 in each. size: UTF-8 bytes of the text and 1 (a null
     text is empty, and equals other empty texts). Repeated rows are rows of their own. A null doc_id is a value
-    like any other. An empty table gives an empty result.
+    like any other. A very long text counts by its bytes and travels as a hash. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # a number of its own for each row, stored with it: rows without a doc_id are told apart by it when they are ranked
