@@ -5,6 +5,8 @@ A registry has ord (its order, for first and last row rules), paper_id, doi and
 
 from __future__ import annotations
 
+from functools import cached_property, reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +65,17 @@ def by_title(files: DataFrame, registry: DataFrame, threshold: float = THRESHOLD
     return TitleIndex(stored(files.select("file", head_words("text", window).alias("words")), "title-heads"), registry).best(threshold)
 
 
-#: Shares of a title's words that are asked for one after another.
-LEVELS = (1.0, 0.8, 0.65)
+def title_sets(registry: DataFrame) -> DataFrame:
+    """title_words, ord and paper_id: titles of the same words are one, the first of them."""
+    hashed = F.array_sort(F.transform(word_set(F.col("title")), lambda w: F.xxhash64(w)))
+    titles = registry.select("ord", "paper_id", hashed.alias("title_words")).where(F.size("title_words") > 0)
+    return titles.groupBy("title_words").agg(F.min("ord").alias("ord"), F.min_by("paper_id", "ord").alias("paper_id"))
+
+
+#: Shares of a title's words that are asked for one after another, behind all of them.
+LEVELS = (0.8, 0.65)
+#: Titles of the first block of whole ones, and how many times as many come with the blocks behind it.
+FIRST_TITLES, STEP = 1 << 12, 8
 
 
 class TitleIndex:
@@ -78,30 +89,65 @@ class TitleIndex:
     Levels go down from all of a title's words to the threshold. A file leaves with the first level that finds
     something, as all titles of that share were looked at; fronts are short at high levels, and low ones see few files.
     All that is shuffled is numbers; no title or file is compared with all others.
+
+    At the level of whole titles the first row of the registry wins, so titles come in blocks by ord, and a file leaves
+    with the first block that has one: what later blocks have doesn't matter to it. The level's work therefore follows
+    how far down the registry files have to look, not the product of both. Words are only put in order for what is left.
     """
 
-    def __init__(self, heads: DataFrame, registry: DataFrame) -> None:
-        hashed = F.array_sort(F.transform(word_set(F.col("title")), lambda w: F.xxhash64(w)))
-        titles = registry.select("ord", "paper_id", hashed.alias("title_words")).where(F.size("title_words") > 0)
-        self.heads = heads
-        # titles of the same words are one
-        self.titles = stored(
-            titles.groupBy("title_words").agg(F.min("ord").alias("ord"), F.min_by("paper_id", "ord").alias("paper_id")), "titles"
-        )
+    def __init__(self, heads: DataFrame, registry: DataFrame, titles: DataFrame | None = None) -> None:
+        self.heads, self.titles = heads, stored(title_sets(registry), "titles") if titles is None else titles
+        self.registry = registry
+
+    @cached_property
+    def _placed(self) -> tuple[DataFrame, DataFrame]:
         each = self.titles.select("ord", F.size("title_words").alias("n"), F.explode("title_words").alias("word"))
         owned = each.groupBy("word").agg(F.count(F.lit(1)).alias("titles"))
-        there = heads.select("file", F.explode("words").alias("word")).join(owned, "word")
+        there = self.heads.select("file", F.explode("words").alias("word")).join(owned, "word")
         there = stored(there.select("file", "word", "titles"), "title-words-there")
         pairs = there.groupBy("word").agg((F.count(F.lit(1)) * F.first("titles")).alias("pairs"))
         pairs = stored(pairs, "title-word-pairs")
         place = lambda key: (F.row_number().over(Window.partitionBy(key).orderBy("pairs", "word")) - 1).alias("at")
         rare = F.coalesce("pairs", F.lit(0)).alias("pairs")
         ranked = each.join(pairs, "word", "left").select("ord", "n", "word", rare).select("ord", "n", "word", place("ord"))
-        self.fronts = stored(ranked, "title-fronts")
+        fronts = stored(ranked, "title-fronts")
         placed = there.join(pairs, "word").select("file", "word", "pairs").select("file", "word", place("file"))
         # words of a file from here on, counted from the back
         behind = F.count(F.lit(1)).over(Window.partitionBy("file")) - 1 - F.col("at")
-        self.places = stored(placed.select("file", "word", behind.alias("behind")), "title-places")
+        return fronts, stored(placed.select("file", "word", behind.alias("behind")), "title-places")
+
+    @property
+    def fronts(self) -> DataFrame:
+        return self._placed[0]
+
+    @property
+    def places(self) -> DataFrame:
+        return self._placed[1]
+
+    def blocks(self) -> list[DataFrame]:
+        """The titles by ord: about the first FIRST_TITLES, then STEP times as many up to the end of each further block."""
+        total, ends, n = self.titles.count(), [], FIRST_TITLES
+        while n < total:
+            ends.append(n / total)
+            n = n * STEP
+        cuts = self.titles.agg(F.percentile_approx("ord", ends)).first()[0] if ends else []
+        bounds = [None, *sorted(set(cuts)), None]
+        below = lambda cut: F.lit(True) if cut is None else F.col("ord") <= cut
+        above = lambda cut: F.lit(True) if cut is None else F.col("ord") > cut
+        return [self.titles.where(above(a) & below(b)) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    @staticmethod
+    def first_whole(heads: DataFrame, titles: DataFrame) -> DataFrame:
+        """file and ord of the first of these titles of which a file has all words; titles are looked up by their rarest."""
+        each = titles.select("ord", F.explode("title_words").alias("word"))
+        words = heads.select("file", F.explode("words").alias("word"))
+        known = words.join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("files"))
+        rare = F.min(F.struct(F.coalesce("files", F.lit(0)).alias("files"), "word")).alias("rare")
+        rarest = each.join(stored(known, "title-word-files"), "word", "left").groupBy("ord").agg(rare).where("rare.files > 0")
+        fronts = stored(rarest.select("ord", "rare.word").join(titles.select("ord", "title_words"), "ord"), "title-rarest")
+        pairs = words.join(fronts, "word").select("file", "ord", "title_words").join(heads, "file")
+        whole = pairs.where(F.forall("title_words", lambda w: F.array_contains("words", w)))
+        return whole.groupBy("file").agg(F.min("ord").alias("ord"))
 
     def candidates(self, share: float, open_files: DataFrame | None = None) -> DataFrame:
         """Pairs (file, ord) among which are all of at least this share of the title's words."""
@@ -119,8 +165,21 @@ class TitleIndex:
 
     def best(self, threshold: float = THRESHOLD) -> DataFrame:
         """file, paper_id and score of the best title of each file, if it has the threshold's share; of equals the first."""
+        found, left = [], self.heads
+        for block in self.blocks():
+            whole = self.first_whole(left, block).select("file", "ord", F.lit(1.0).alias("score"))
+            found.append(stored(whole, "title-whole"))
+            left = stored(left.join(found[-1], "file", "left_anti"), "title-open")
+            if left.isEmpty():
+                break
+        else:
+            found += TitleIndex(left, self.registry, self.titles)._partly(threshold)
+        return reduce(DataFrame.unionByName, found).join(self.titles.select("ord", "paper_id"), "ord").select("file", "paper_id", "score")
+
+    def _partly(self, threshold: float) -> list[DataFrame]:
+        """file, ord and score by levels below whole titles, down to the threshold, for files that have no whole one."""
         found, left = [], None
-        for share in (*[x for x in LEVELS if x > threshold], threshold):
+        for share in (*[x for x in LEVELS if x > threshold], *([threshold] if threshold < 1 else [])):
             scored = self.scored(self.candidates(share, left)).where(F.col("score") >= share - 1e-9)
             best = scored.groupBy("file").agg(F.max_by(F.struct("ord", "score"), F.struct("score", -F.col("ord"))).alias("best"))
             found.append(stored(best.select("file", "best.ord", "best.score"), "title-best"))
@@ -128,10 +187,7 @@ class TitleIndex:
                 left = stored((self.heads if left is None else left).select("file").join(found[-1], "file", "left_anti"), "title-open")
                 if left.isEmpty():
                     break
-        whole = found[0]
-        for more in found[1:]:
-            whole = whole.unionByName(more)
-        return whole.join(self.titles.select("ord", "paper_id"), "ord").select("file", "paper_id", "score")
+        return found
 
 
 def match_files(files: DataFrame, registry: DataFrame) -> DataFrame:
@@ -183,15 +239,27 @@ def settle_claims(matches: DataFrame, *order: Column | str) -> DataFrame:
     """Sets status where files claim one paper, in file order.
 
     A file that comes after one of at least its confidence is a duplicate_match; one that a later file beats is
-    superseded; the last to stand is matched.
+    superseded; the last to stand is matched. Of rows of one file the one of the highest confidence comes first.
     """
     order = order or (F.split("file", "/"),)
-    claims = Window.partitionBy("paper_id").orderBy(*order)
-    before = F.max("confidence").over(claims.rowsBetween(Window.unboundedPreceding, -1))
-    behind = F.max("confidence").over(claims.rowsBetween(1, Window.unboundedFollowing))
-    settled = F.when(before >= F.col("confidence"), "duplicate_match").when(behind > F.col("confidence"), "superseded").otherwise("matched")
-    claimed = matches.where("status = 'matched'").withColumn("status", settled)
-    return claimed.unionByName(matches.where("status <> 'matched'"))
+    matched = matches.where("status = 'matched'")
+    place, again = F.struct(*order).alias("place"), Window.partitionBy("paper_id", *order).orderBy(F.desc("confidence"))
+    claimed = matched.select(*matches.columns, place, (F.row_number().over(again) > 1).alias("again"))
+    # of a paper only the first and the last file of each confidence count, so that no window holds all of its files
+    ends = matched.select("paper_id", "confidence", place).groupBy("paper_id", "confidence")
+    ends = ends.agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    falling = Window.partitionBy("paper_id").orderBy(F.desc("confidence"))
+    known = ends.select(
+        F.col("paper_id").alias("paper"),
+        F.col("confidence").alias("level"),
+        F.min("first").over(falling.rowsBetween(Window.unboundedPreceding, 0)).alias("first_as_good"),
+        F.max("last").over(falling.rowsBetween(Window.unboundedPreceding, -1)).alias("last_better")
+    )
+    late = F.col("again") | (F.col("first_as_good") < F.col("place"))
+    settled = F.when(late, "duplicate_match").when(F.col("last_better") > F.col("place"), "superseded").otherwise("matched")
+    both = claimed.join(known, F.expr("paper_id = paper AND confidence = level"))
+    told = both.select(*[settled.alias(c) if c == "status" else F.col(c) for c in matches.columns])
+    return told.unionByName(matches.where("status <> 'matched'"))
 
 
 def missing_papers(registry: DataFrame, manifest: DataFrame) -> DataFrame:

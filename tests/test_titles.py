@@ -53,3 +53,44 @@ def test_few_pairs_are_looked_at(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert top.count() < 0.03 * len(titles) * len(files)
     assert index.places.count() <= sum(len(set(w)) for w in files)
+
+
+def test_whole_titles_come_in_blocks_and_files_leave_with_the_first(spark, monkeypatch):
+    """Files leave with the block of their first whole title; when none is left the last block is not looked at."""
+    monkeypatch.setattr(matching, "FIRST_TITLES", 10)
+    titles, files, registry, heads = made(spark, 3, 400, 90, 60, 0.8)
+    sizes = [b.count() for b in matching.TitleIndex(heads, registry).blocks()]
+    assert len(sizes) == 3 and sum(sizes) == len({frozenset(t) for t in titles})
+    seen, first_whole = [], matching.TitleIndex.first_whole
+    monkeypatch.setattr(matching.TitleIndex, "first_whole", staticmethod(lambda h, t: seen.append(h.count()) or first_whole(h, t)))
+    best = {}
+    for k, w in enumerate(files):
+        own = [(-len(set(t) & set(w)) / len(set(t)), i) for i, t in enumerate(titles) if 2 * len(set(t) & set(w)) >= len(set(t))]
+        best |= {f"f{k}": min(own)} if own else {}
+    index = matching.TitleIndex(heads, registry)
+    assert {r.file: (-r.score, int(r.paper_id[1:])) for r in index.best().collect()} == best
+    assert len(seen) == 2 and seen[0] == 90 > seen[1]
+
+
+def test_claims_of_one_paper_need_no_window_over_its_files(spark):
+    """A frame of all files behind each file would look at half a billion pairs here; rows of one file stay one claim."""
+    rnd = random.Random(4)
+    many = spark.range(30_000).selectExpr(
+        "concat('in/f', id) AS file", "'P' AS paper_id", "'title' AS match_method",
+        "round(0.5 + pmod(xxhash64(id), 400) / 1000D, 3) AS confidence", "'matched' AS status"
+    )
+    rows = [("in/g", "Q", "doi", 0.95, "matched")] * 2 + [("in/x", "", "unmatched", 0.0, "unmatched")]
+    rows += [(f"in/{i}", f"R{rnd.randint(0, 9)}", "title", rnd.choice([0.5, 0.6, 0.7]), "matched") for i in range(300)]
+    settled = matching.settle_claims(many.unionByName(spark.createDataFrame(rows, many.schema)), "file")
+    assert "unboundedfollowing" not in settled._jdf.queryExecution().executedPlan().toString().lower()
+    got = sorted(((r.file, r.paper_id, r.confidence), r.status) for r in settled.collect())
+    whole, want = sorted([*map(tuple, many.collect()), *rows]), []
+    top = {}
+    for file, paper, _, confidence, status in whole:
+        want.append([(file, paper, confidence), status if status != "matched" else "duplicate_match"])
+        if status == "matched" and confidence > top.get(paper, (0, None))[0]:
+            if paper in top:
+                top[paper][1][1] = "superseded"
+            want[-1][1] = "matched"
+            top[paper] = (confidence, want[-1])
+    assert [tuple(w) for w in sorted(want)] == got
