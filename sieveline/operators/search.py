@@ -13,12 +13,13 @@ PART_ROWS = 1 << 12
 SIZE = 3
 
 
+#: A match at each place that has three letters behind it, so that one scan of a text gives all runs.
+RUNS = rf"(?s)(?=(.{{{SIZE}}}))"
+
+
 def trigrams(text: Column | str) -> Column:
     """The distinct runs of three letters in lower case; none for shorter texts."""
-    letters = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
-    behind = lambda k: F.slice(letters, F.lit(k + 1), F.greatest(F.size(letters) - (SIZE - 1), F.lit(0)))
-    pairs = F.zip_with(behind(0), behind(1), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.zip_with(pairs, behind(2), lambda ab, c: F.concat(ab, c)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(RUNS), 1))
 
 
 class TextIndex:

@@ -35,6 +35,17 @@ def test_few_rows_are_read(spark, tmp_path, monkeypatch):
     assert "PushedFilters: [In(gram" in index.candidates("needle")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_trigrams_take_one_scan_of_a_text(spark):
+    """Whatever the letters, and without arrays of them."""
+    texts = ["", "ab", "abc", "ABCabc", "a\nb\nc", "éÉx", "𝒳yz𝒳", None, "aaaaa"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", search.trigrams("t").alias("g"))
+    for r in frame.collect():
+        low = (r.t or "").lower()
+        assert {low[i : i + 3] for i in range(len(low) - 2)} <= set(r.g) and len(r.g) == len(set(r.g))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "split" not in plan and "zip_with" not in plan and plan.count("regexp_extract_all") == 1
+
+
 def test_only_papers_found_are_nested(spark):
     side = spark.createDataFrame([(p, "T", 0, 0, "f", "rec", 1, i, f"l{i}", "x", "", "") for p in ("P-1", "P-2") for i in range(3)],
         "paper_id string, title string, mod_ord int, field_ord int, field_name string, recorded_value string, kind int, row_index int, row_label string, found_value string, source_quote string, figure_ref string")
