@@ -9,6 +9,7 @@ from types import SimpleNamespace
 import pytest
 
 from sieveline import tables
+from sieveline.sources import tables as folders
 
 
 def there(table):
@@ -79,3 +80,23 @@ def test_nothing_is_left_at_the_end(tmp_path):
     said = subprocess.run([sys.executable, "-c", SAYS.format(tmp_path)], capture_output=True, text=True, timeout=200, cwd=os.getcwd())
     assert said.stdout.strip() == "4", said.stderr[-1500:]
     assert not [p for p in tmp_path.iterdir() if p.name.startswith("left")]
+
+
+def test_a_task_reads_many_small_files(spark, tmp_path):
+    """Each file counted as 4 MB before, so that 32 of them were a task, and three million would be 94,000 tasks."""
+    names = spark.range(400).selectExpr("concat('k', id) AS key", "id")
+    folders.write_json_by_key(names, str(tmp_path), "key")
+    seen = []
+
+    def counted(df, label):
+        with tables._writing.setdefault(spark, tables._Settings())(spark):
+            seen.append(df.rdd.getNumPartitions())
+        return tables.stored(df, label)
+
+    folders.stored, kept = counted, folders.stored
+    try:
+        back = folders.read_json_by_key(spark, str(tmp_path), "id long")
+    finally:
+        folders.stored = kept
+    assert {(r.key, r.value.id) for r in back.collect()} == {(f"k{i}", i) for i in range(400)}
+    assert seen[0] <= 8
