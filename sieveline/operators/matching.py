@@ -74,6 +74,8 @@ def title_sets(registry: DataFrame) -> DataFrame:
 
 #: Shares of a title's words that are asked for one after another, behind all of them.
 LEVELS = (0.8, 0.65)
+#: Words of a title's front that a candidate has, if it needs as many: one makes few lookups and many candidates.
+FRONT_WORDS = 4
 #: Titles of the first block of whole ones, and how many times as many come with the blocks behind it.
 FIRST_TITLES, STEP = 1 << 12, 8
 
@@ -82,9 +84,10 @@ class TitleIndex:
     """A positional prefix index of titles' words and of the files' words that any title has.
 
     Words are put in one order, by how many pairs of a title and a file they would join: the rarest first, those
-    that no file has before them. A file that has enough of a title's n words has one of its first n - needed + 1, its
-    front; and behind the first word that both have, both must be long enough for the rest. So only fronts are looked up,
-    and only places that leave room for enough words make a candidate, whose words are then counted once.
+    that no file has before them. A file that has enough of a title's n words has k of its first n - needed + k, its front,
+    for any k up to needed; and behind the last of them that both have, the file must be long enough for the rest. So only
+    fronts are looked up, and only k shared words that leave room for enough make a candidate, whose words are then counted
+    once.
 
     Levels go down from all of a title's words to the threshold. A file leaves with the first level that finds
     something, as all titles of that share were looked at; fronts are short at high levels, and low ones see few files.
@@ -152,10 +155,12 @@ class TitleIndex:
     def candidates(self, share: float, open_files: DataFrame | None = None) -> DataFrame:
         """Pairs (file, ord) among which are all of at least this share of the title's words."""
         needed = F.greatest(F.lit(1), F.ceil(F.col("n") * share - 1e-9)).cast("int")
-        fronts = self.fronts.withColumn("needed", needed).where(F.col("at") <= F.col("n") - F.col("needed"))
+        fronts = self.fronts.withColumn("needed", needed).withColumn("least", F.least("needed", F.lit(FRONT_WORDS)))
+        fronts = fronts.where(F.col("at") < F.col("n") - F.col("needed") + F.col("least"))
         places = self.places if open_files is None else self.places.join(open_files, "file", "left_semi")
-        room = 1 + F.least(F.col("n") - 1 - F.col("at"), F.col("behind")) >= F.col("needed")
-        return places.join(fronts, "word").where(room).select("file", "ord").distinct()
+        shared = places.join(fronts, "word").groupBy("file", "ord", "needed", "least")
+        shared = shared.agg(F.count(F.lit(1)).alias("n"), F.min("behind").alias("behind"))
+        return shared.where("n >= least AND n + behind >= needed").select("file", "ord")
 
     def scored(self, pairs: DataFrame) -> DataFrame:
         """The pairs with score, the share of the title's words that the file has."""

@@ -94,3 +94,17 @@ def test_claims_of_one_paper_need_no_window_over_its_files(spark):
             want[-1][1] = "matched"
             top[paper] = (confidence, want[-1])
     assert [tuple(w) for w in sorted(want)] == got
+
+
+def test_candidates_share_several_words_of_a_front(spark):
+    """A single common word makes no candidate of a title that needs more, and no pair of the share is lost by that."""
+    titles, files, registry, heads = made(spark, 5, 80, 70, 60, 0.6)
+    first = {}
+    for i, t in enumerate(titles):
+        first.setdefault(frozenset(t), i)
+    sets = {o: t for t, o in first.items()}
+    found = {tuple(r) for r in matching.TitleIndex(heads, registry).candidates(0.5).collect()}
+    for file, o in found:
+        assert len(sets[o] & set(files[int(file[1:])])) >= min(4, -(-len(sets[o]) // 2))
+    want = {(f"f{k}", o) for k, w in enumerate(files) for o, t in sets.items() if 2 * len(t & set(w)) >= len(t)}
+    assert want <= found
