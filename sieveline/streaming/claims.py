@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..sources.log import Log
+from ..tables import dropped, stored
 
 MATCHES = "file string, paper_id string, match_method string, confidence double, status string"
 CHAIN = "file string, match_method string, confidence double"
@@ -27,19 +27,18 @@ class Claims(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.chain = handle.getListState("chain", CHAIN)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         before = [tuple(r) for r in self.chain.get()]
         chain, status = list(before), {}
-        for batch in rows:
-            for file, method, confidence in batch[["file", "match_method", "confidence"]].itertuples(index=False):
-                status |= settled(chain, file, method, float(confidence))
+        for r in rows:
+            status |= settled(chain, r.file, r.match_method, float(r.confidence))
         state = {row: "superseded" for row in chain[:-1]} | {chain[-1]: "matched"}
         was = {row: "superseded" for row in before[:-1]} | ({before[-1]: "matched"} if before else {})
         status |= {row: now for row, now in state.items() if was.get(row) != now}
         if chain != before:
             self.chain.put(chain)
-        out = [(file, key[0], method, confidence, now) for (file, method, confidence), now in status.items()]
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in MATCHES.split(", ")])
+        for (file, method, confidence), now in status.items():
+            yield Row(file=file, paper_id=key[0], match_method=method, confidence=confidence, status=now)
 
     def close(self) -> None:
         pass
@@ -63,7 +62,7 @@ def changed_claims(matches: DataFrame) -> DataFrame:
     """
     spark = matches.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    found = matches.where("status = 'matched'").groupBy("paper_id").transformWithStateInPandas(Claims(), MATCHES, "Update", "None")
+    found = matches.where("status = 'matched'").groupBy("paper_id").transformWithState(Claims(), MATCHES, "Update", "None")
     return found.unionByName(matches.where("status <> 'matched'").select(*found.columns))
 
 
@@ -75,8 +74,10 @@ def follow(matches: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Takes in all that is there now and stops; the log in ``folder`` has the claims so far. A batch that is repeated changes nothing."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            claims_log(batch.sparkSession, folder).append(batch)
+        changed = stored(batch, "claims-changed")  # a batch is run by each look at it, its state with it
+        if not changed.isEmpty():
+            claims_log(batch.sparkSession, folder).append(changed)
+        dropped(changed)
 
     stream = changed_claims(matches).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     return stream.foreachBatch(keep).trigger(availableNow=True).start()

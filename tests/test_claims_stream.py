@@ -1,6 +1,7 @@
 """Arriving files: the log of changed claims ends with the rows that settling all of them at once gives."""
 
 import random
+import uuid
 
 from sieveline.operators import matching
 from sieveline.streaming import claims
@@ -40,3 +41,29 @@ def test_three_batches_end_as_one(spark, tmp_path):
     assert got == want
     changed = claims.claims_log(spark, log).added(2)
     assert changed.count() < 120  # the last batch's files and what they change, not all
+
+
+def test_a_batch_runs_its_state_once(spark, tmp_path):
+    """A look whether a batch is empty runs the stateful step and its Python workers as well."""
+    rows = [(f"in/f{i:03}", f"P{i % 7}", "title", 0.5 + i % 3 / 10, "matched") for i in range(60)]
+    source, log = str(tmp_path / "in"), f"file://{tmp_path}/log"
+    notes = tmp_path / "notes"
+    notes.mkdir()
+
+    def seen(frames):
+        for f in frames:
+            (notes / uuid.uuid4().hex).write_text("\n".join(f["file"]))
+            yield f
+
+    spark.createDataFrame(rows, claims.MATCHES).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(claims.MATCHES).parquet(source)
+    counted = claims.changed_claims
+    claims.changed_claims = lambda matches: counted(matches).mapInPandas(seen, claims.MATCHES)
+    try:
+        claims.follow(stream, log, str(tmp_path / "mark")).awaitTermination()
+    finally:
+        claims.changed_claims = counted
+    looked = [x for n in notes.iterdir() for x in n.read_text().split()]
+    assert claims.claims_log(spark, log).state().count() == 60 and len(looked) == 60
+    claims.follow(stream, log, str(tmp_path / "mark")).awaitTermination()
+    assert claims.claims_log(spark, log).version() == 1
