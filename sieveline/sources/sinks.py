@@ -54,6 +54,17 @@ def ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
     return _after(table, "_part", starts, F.col("_at").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1))).drop("_part", "_at")
 
 
+def places(rows: DataFrame, by: str, *order: Column | str) -> DataFrame:
+    """The rows with ``place``, their number from 1 among the rows of equal ``by`` (null is a value), in a total order.
+
+    As a row number over a window, but no task holds all rows of one value: ranks of all, less the value's first rank.
+    """
+    table = ranked(rows, by, *order)
+    firsts = table.groupBy(F.col(by).alias("_by")).agg((F.min("place") - 1).alias("_ahead"))
+    both = table.join(firsts, F.col(by).eqNullSafe(F.col("_by")))
+    return both.withColumn("place", F.col("place") - F.col("_ahead")).drop("_by", "_ahead")
+
+
 def numbered(table: DataFrame) -> DataFrame:
     """A file table's rows with ``place``: their number from 0, files by name, rows as they stand in them.
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from sieveline.plans import catalog
 from sieveline.sources import sinks, tables
 
 
@@ -22,6 +23,38 @@ def test_ranked_equals_sorting(spark):
     assert sinks.ranked(frame.limit(0), "a").collect() == []
 
 
+def test_places_equal_row_numbers(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice([None, 1, 2, 3]), i) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "a string, b int, i int").repartition(5)
+    want = []
+    for value in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == value), key=lambda r: (-(r[1] or 0), r[2]))
+        want += [(*r, n) for n, r in enumerate(own, 1)]
+    got = sinks.places(frame, "a", F.desc("b"), "i")
+    assert {tuple(r) for r in got.collect()} == set(want) and got.count() == 4000
+    assert sinks.places(frame.limit(0), "a", "i").collect() == []
+    assert got.schema["place"].dataType.simpleString() == "bigint"
+
+
+def test_order_of_papers_is_not_one_task(spark):
+    """Half of all papers have one year; no task may sort them all."""
+    rows = [(i, f"ST-{i}", "x" if i % 2 else str(i % 30), None if i % 3 else i % 5 / 5, i % 4 > 0, f"T {i % 9}") for i in range(3000)]
+    board = spark.createDataFrame(rows, "ord long, id string, year string, confidence double, matched boolean, title string").repartition(4)
+    keys = {
+        "confidence": (True, lambda r: (-(-1 if r[3] is None else r[3]), r[0])),
+        "matched": (False, lambda r: (r[4], r[0])),
+        "title": (False, lambda r: (r[5], r[0]))
+    }
+    for key, (down, order) in keys.items():
+        got = catalog.catalog_stages._places(board, key, down)
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+        want = set()
+        for year in {r[2] for r in rows}:
+            want |= {(r[1], n) for n, r in enumerate(sorted((r for r in rows if r[2] == year), key=order), 1)}
+        assert {tuple(r) for r in got.collect()} == want
+
+
 def test_ordered_csv_in_several_files(spark, tmp_path):
     rows = [(i, f'line "{i}",\nand more \\ ' if i % 3 else "") for i in range(3000)]
     frame = spark.createDataFrame(rows, "i int, text string").repartition(5)
