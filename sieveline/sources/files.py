@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import os
 from collections.abc import Iterator
 from dataclasses import replace
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -58,25 +60,47 @@ LISTED = "path string, folder boolean, length long"
 FOLDERS_A_TASK = 64
 
 
+#: Entries of a folder that go on in one batch.
+ENTRIES_A_BATCH = 16_384
+
+
+def _entries(system: fs.FileSystem, place: str) -> Iterator[tuple[str, bool, int]]:
+    """Name, whether it is a folder, and length. A local folder comes entry by entry; other stores' listings are held whole in the task."""
+    if not isinstance(system, fs.LocalFileSystem):
+        for i in system.get_file_info(fs.FileSelector(place)):
+            yield i.base_name, i.type == fs.FileType.Directory, i.size or 0
+        return
+    with os.scandir(place) as found:
+        for i in found:
+            try:
+                yield i.name, i.is_dir(), 0 if i.is_dir() else i.stat().st_size
+            except FileNotFoundError:  # a link to nothing
+                yield i.name, False, 0
+
+
 def _children(store: Store):
     """What stands in each folder of a batch. Names that Spark's readers leave out, with . or _ in front, are left out."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for folder in batch.column("path").to_pylist():
-                system, place = replace(store, folder=folder).opened()
-                found = [i for i in system.get_file_info(fs.FileSelector(place)) if i.base_name[0] not in "._"]
-                is_folder = [i.type == fs.FileType.Directory for i in found]
-                arrays = [
-                    pa.array([f"{folder}/{i.base_name}" for i in found], pa.string()),
-                    pa.array(is_folder, pa.bool_()),
-                    pa.array([i.size or 0 for i in found], pa.int64())
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, ["path", "folder", "length"])
+                seen = (e for e in _entries(*replace(store, folder=folder).opened()) if e[0][0] not in "._")
+                while some := list(islice(seen, ENTRIES_A_BATCH)):
+                    names, folders, lengths = zip(*some, strict=True)
+                    arrays = [
+                        pa.array([f"{folder}/{n}" for n in names], pa.string()), pa.array(folders, pa.bool_()), pa.array(lengths, pa.int64())
+                    ]
+                    yield pa.RecordBatch.from_arrays(arrays, ["path", "folder", "length"])
 
     return rows
 
 
+def _below(folders: DataFrame, n: int, store: Store) -> DataFrame:
+    """What stands in n folders, as a table that tasks write."""
+    dealt = folders.select("path").repartition(-(-n // FOLDERS_A_TASK), "path")
+    return stored(dealt.mapInArrow(_children(store), LISTED), "folders")
+
+
 def tree(spark: SparkSession, path: str) -> DataFrame:
     """path and length of every file under a folder: tasks list the folders of one depth, a table of them is the next one's.
 
@@ -89,12 +113,53 @@ def tree(spark: SparkSession, path: str) -> DataFrame:
         n = folders.count()
         if not n:
             return files if files is not None else level.select("path", "length").limit(0)
-        dealt = folders.select("path").repartition(-(-n // FOLDERS_A_TASK), "path")
-        level = stored(dealt.mapInArrow(_children(store), LISTED), "folders")
+        level = _below(folders, n, store)
         own = level.where("NOT folder").select("path", "length")
         files = own if files is None else files.unionByName(own)
 
 
+#: Files that a task reads at most, about, and bytes of them that go on in one batch.
+FILES_A_TASK, BATCH_BYTES = 1024, 8 << 20
+
+
+def _bytes_of(store: Store):
+    """The content of each file of a batch, under the store's folder; compressed ones, by their suffix, are unpacked, as Spark does."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = store.opened()
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], ["path", "content"])
+        paths, bodies, size = [], [], 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with system.open_input_stream(root + path[len(store.folder) :]) as file:
+                    bodies.append(file.read())
+                paths.append(path)
+                size += len(bodies[-1])
+                if size >= BATCH_BYTES:
+                    yield made()
+                    paths, bodies, size = [], [], 0
+        yield made()
+
+    return rows
+
+
+def folder_contents(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of each file that stands in a folder itself, or of the one file: listed and read in tasks.
+
+    No name comes to the driver, where Spark's own readers hold the names of all their files.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = root.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(root)
+    one = spark.createDataFrame([(status.getPath().toString(),)], "path string")
+    if status.isDirectory():
+        store = Store.at(spark, path)
+        own = _below(one, 1, store).where("NOT folder").select("path")
+    else:
+        store, own = Store.at(spark, status.getPath().getParent().toString()), one
+    dealt = own.repartition(max(1, -(-own.count() // FILES_A_TASK)), "path")
+    return dealt.mapInArrow(_bytes_of(store), "path string, content binary")
+
+
 def _listed(spark: SparkSession, path: str) -> DataFrame:
     """path and length of every file of the suffixes, those of no length too."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normal_doi, strip
 from ..operators import article, records
 from ..tables import stored
+from .files import folder_contents
 from .sinks import numbered, write_files, write_ordered_csv
 
 ID_COLUMN, DOI_COLUMN, TITLE_COLUMN = "Reference ID", "DOI", "Title"
@@ -86,11 +87,11 @@ def read_flat(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_by_key(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """key (the file's stem), json and value of a folder of JSON files; value is null where one is malformed.
+    """key (the file's stem), json and value of a folder of JSON files; value is null where one is malformed or empty.
 
-    The files are read here, into a stored table, as then a task takes many of them (see ``tables.WRITING``).
+    The files are listed and read here, by tasks, into a stored table: the driver holds no names.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("json"), F.col("_metadata.file_name").alias("name"))
+    rows = folder_contents(spark, path).select(F.col("content").cast("string").alias("json"), F.element_at(F.split("path", "/"), -1).alias("name"))
     rows = stored(rows, "json-files")
     return rows.select(F.regexp_replace("name", r"\.json$", "").alias("key"), "json", F.from_json("json", schema).alias("value"))
 
